@@ -17,30 +17,35 @@ from gristmill.session import place, staged
 
 
 class DigestIndex:
-    """Digests seen so far: digest string, keep_id (of the row that stays), group_size (rows in the batch that brought it)."""
+    """Digests seen so far: digest, keep_id (the key that stays), group_size (rows of the batch that brought it). path: an index that is there, or a place for a new one."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         self.spark, self.path = spark, path or place(spark, "digests")
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.name = f"digests_{uuid.uuid4().hex}"
-        self.rows: DataFrame | None = None
-
-    def _append(self, df: DataFrame) -> None:
-        # one task writes each bucket, so that a bucket is one sorted file for each batch
-        df.repartition(self.buckets, "digest").write.format("parquet").mode("append").option("path", self.path).bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
-        self.rows = self.spark.table(self.name)
+        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        about = f"{self.path}-about"
+        there = path and self._exists(about)
+        if there:
+            buckets = spark.read.parquet(about).first()["buckets"]
+        else:
+            spark.createDataFrame([(buckets,)], "buckets int").write.parquet(about)
+        self.buckets, self.name = buckets, f"digests_{uuid.uuid4().hex}"
+        spark.sql(f"CREATE TABLE {self.name} (digest STRING, keep_id BIGINT, group_size BIGINT) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}'")
+
+    def _exists(self, path: str) -> bool:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
 
     def add(self, digests: DataFrame) -> DataFrame:
         """Appends the digests that are new and returns them. digests: digest, keep_id, group_size; a row for each digest."""
-        fresh = digests.select("digest", "keep_id", "group_size")
-        if self.rows is not None:
-            fresh = staged(fresh.join(self.rows.select("digest").hint("merge"), "digest", "left_anti"), "fresh")
-        self._append(fresh)
+        known = self.spark.table(self.name).select("digest").hint("merge")
+        fresh = staged(digests.select("digest", "keep_id", "group_size").join(known, "digest", "left_anti"), "fresh")
+        # one task writes each bucket, so that a bucket is one sorted file for each batch
+        fresh.repartition(self.buckets, "digest").write.insertInto(self.name)
         return fresh
 
     def scan(self) -> DataFrame:
         """The index as plain files: a join with it is dealt out anew, so that Spark can split a digest that many rows share."""
-        return self.spark.read.parquet(self.path)
+        return self.spark.read.schema("digest string, keep_id long, group_size long").parquet(self.path)
 
 
 def digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -58,6 +63,5 @@ def dedup(df: DataFrame, index: DigestIndex | None = None, key: str = "doc_id",
     """
     index = index or DigestIndex(df.sparkSession)
     held = staged(digests(df, key, text), "digested")
-    fresh = index.add(held.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
-    del fresh
+    index.add(held.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
     return held.join(index.scan(), "digest").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))

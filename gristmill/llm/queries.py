@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import ann, exact_dedup, language_id, line_dedup, mixing, packing, sharding, substring_dedup, token_count
+from gristmill.llm import ann, exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing, sharding, substring_dedup, token_count
 from gristmill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), ngram=3, num=90, den=100)
+
+
 def op5_log_template_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = line_dedup.drop_recurring_lines(table(spark, sf_dir, "documents"), counts=True)
     return held.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
@@ -65,7 +69,7 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_cross_polytope_ann, op2_fixed_block_substring_dedup, op3_best_fit_packing, op5_log_template_line_dedup, op6_exact_dedup, op7_feistel_sharding, op8_language_mixture, op9_source_mixing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_cross_polytope_ann, op2_fixed_block_substring_dedup, op3_best_fit_packing, op4_ngram_jaccard_join, op5_log_template_line_dedup, op6_exact_dedup, op7_feistel_sharding, op8_language_mixture, op9_source_mixing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

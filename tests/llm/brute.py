@@ -20,3 +20,32 @@ def remove_repeats(rows, window=20):
         kept = " ".join(x for i, x in enumerate(w) if i not in gone)
         out[doc_id] = (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
     return out
+
+
+def shingles(text, n):
+    w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
+
+
+def jaccard_components(rows, n, num, den):
+    """rows: (doc_id, text), ids distinct. doc_id -> (n_shingles, component)."""
+    sets = {d: shingles(t, n) for d, t in rows}
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    ids, posting = sorted(sets), {}
+    for d in ids:
+        common = {}
+        for s in sets[d]:
+            for e in posting.setdefault(s, []):
+                common[e] = common.get(e, 0) + 1
+            posting[s].append(d)
+        for e, c in common.items():
+            if den * c >= num * (len(sets[d]) + len(sets[e]) - c):
+                a, b = find(d), find(e)
+                root[max(a, b)] = min(a, b)
+    return {d: (len(sets[d]), find(d)) for d in ids}

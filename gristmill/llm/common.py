@@ -29,15 +29,18 @@ def lower_ascii(text: Column) -> Column:
 
 
 class Memo:
-    """Values by word, computed in batches and kept within a bound: beyond it only the words of the batch at hand stay."""
+    """Values by word, computed in batches. Two generations of at most `limit` words (or one batch's): a word that is asked for again moves to the younger."""
 
-    def __init__(self, compute: Callable[[list[str]], Iterable], limit: int = 400_000):
-        self.compute, self.limit, self.held = compute, limit, {}
+    def __init__(self, compute: Callable[[list[str]], Iterable], limit: int = 500_000):
+        self.compute, self.limit, self.held, self.old = compute, limit, {}, {}
 
     def of(self, wanted: set[str]) -> dict:
-        if new := list(wanted - self.held.keys()):
-            if len(self.held) + len(new) > self.limit:
-                self.held = {w: self.held[w] for w in wanted if w in self.held}
+        missing = [w for w in wanted if w not in self.held]
+        if missing and len(self.held) + len(missing) > self.limit:
+            self.old, self.held, missing = self.held, {}, list(wanted)
+        if missing:
+            self.held.update({w: self.old[w] for w in missing if w in self.old})
+            new = [w for w in missing if w not in self.held]
             self.held.update(zip(new, self.compute(new), strict=True))
         return self.held
 
@@ -50,6 +53,7 @@ def numbered(df: DataFrame, order: list[str], name: str) -> tuple[DataFrame, int
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = staged(df, "unnumbered")  # else df is computed twice, once for the ranges' bounds
     held = staged(df.repartitionByRange(parts, *[F.col(c).asc_nulls_last() for c in order]).sortWithinPartitions(*[F.col(c).asc_nulls_last() for c in order]).withColumn("_at", F.monotonically_increasing_id()), "numbered")
     part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
     counts = held.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))

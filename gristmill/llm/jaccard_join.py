@@ -37,7 +37,7 @@ PART_ENTRIES = 4_000_000
 def _hashes() -> Memo:
     import xxhash
 
-    return Memo(lambda new: map(xxhash.xxh64_intdigest, new), 1_000_000)
+    return Memo(lambda new: map(xxhash.xxh64_intdigest, new))
 
 
 def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:

@@ -25,9 +25,8 @@ from pyspark.sql import functions as F
 
 from gristmill.llm.common import Memo, numbered
 
-#: Latin letters that neither normalising nor lowering turns into anything but letters, with closing marks at most: one word of the
-#: tokenizer, or two.
-PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ňŊ-ɏ]+([.,;:!?]*)")
+#: Latin letters that neither normalising nor lowering turns into anything but as many letters, then ASCII marks but the apostrophe.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ňŊ-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
 #: A filling of sequences: (length, pieces of it) from long to short, and how many sequences are filled so.
 Filling = tuple[tuple[tuple[int, int], ...], int]
 
@@ -175,24 +174,29 @@ def _ids_of(path: str) -> Memo:
     def one_by_one(new: list[str]) -> Iterator[bytes]:
         return (np.array(e.ids, "<u4").tobytes() for e in encode(new, add_special_tokens=False))
 
-    def all_ids(new: list[str]) -> list[bytes]:
-        """Plain words go many to a line, which is cut again where words end; a line whose ends don't add up goes word by word."""
-        out: dict[str, bytes] = {}
-        plain = {w: 1 + bool(m[1]) for w in new if (m := PLAIN.fullmatch(w))} if suffix else {}
-        out.update(zip(rest := [w for w in new if w not in plain], one_by_one(rest), strict=True))
-        held = list(plain)
-        lines = [held[i : i + 256] for i in range(0, len(held), 256)]
+    def word_ids(new: list[str]) -> list[bytes]:
+        """Letters alone are one word of the tokenizer each: many go to a line, which is cut again where words end. Were a line's ends not as many as its words, it would go word by word."""
+        out: list[bytes] = []
+        lines = [new[i : i + 256] for i in range(0, len(new), 256)]
         for line, e in zip(lines, encode([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
-            at, last = np.flatnonzero(ends[ids]) + 1, np.cumsum([plain[w] for w in line])
-            if len(at) != last[-1]:
-                out.update(zip(line, one_by_one(line), strict=True))
-                continue
-            raw, stops = ids.tobytes(), (4 * at[last - 1]).tolist()
-            out.update(zip(line, (raw[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)), strict=True))
+            stops = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)] if len(stops) == len(line) else one_by_one(line)
+        return out
+
+    letters, marks = Memo(word_ids), Memo(one_by_one)
+
+    def all_ids(new: list[str]) -> list[bytes]:
+        """Letters with marks after them are two words of the tokenizer, and case makes no difference to it."""
+        cut = {w: (m[1].lower(), m[2]) for w in new if (m := PLAIN.fullmatch(w))} if suffix else {}
+        head, tail = letters.of({a for a, _ in cut.values()}), marks.of({b for _, b in cut.values() if b})
+        out = {w: head[a] + tail[b] if b else head[a] for w, (a, b) in cut.items()}
+        rest = [w for w in new if w not in cut]
+        out.update(zip(rest, one_by_one(rest), strict=True))
         return [out[w] for w in new]
 
-    return Memo(all_ids, 1_000_000)
+    return Memo(all_ids)
 
 
 def _text_ids(texts: list[str | None], memo: Memo) -> list[bytes]:

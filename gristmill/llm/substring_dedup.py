@@ -39,7 +39,7 @@ LAST = np.iinfo(np.int64).max
 def _hashes() -> Memo:
     import xxhash
 
-    return Memo(lambda new: map(xxhash.xxh64_intdigest, new), 1_000_000)
+    return Memo(lambda new: map(xxhash.xxh64_intdigest, new))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

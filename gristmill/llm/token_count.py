@@ -45,7 +45,7 @@ class PieceCounter:
         # a line feed that is in no piece stands alone; other spaces start a new pre-token
         alone = "\n" if not any("\n" in p for p in scores) else ""
         self.split = re.compile(f"{alone}|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
-        self.memo = Memo(self.count_all, 1_000_000)
+        self.memo = Memo(self.count_all)
         for probe in ("", " a  b\n\tc <s> ▁x", "Café é ﬁ ² 12,345 </s>\U0001f600", "aaaaaaa  \n\n  zz\u0000"):
             assert self.counts([probe])[0] == len(sp.encode(probe)), "this model's text rules are not the ones that are counted here"
 

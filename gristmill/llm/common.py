@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,41 @@ def words(text: str | None) -> list[str]:
     return [w for w in text.translate(_TO_SPACE).split(" ") if w] if any(c in text for c in "\t\v\f\r") else [w for w in text.replace("\n", " ").split(" ") if w]
 
 
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def mixed_bits(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser of multiplications and shifts; different values stay different."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return x ^ (x >> np.uint64(33))
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of UTF-8 texts, text after text, and the number of words of each text.
+
+    Words are found and hashed on the bytes, eight at a time for all words at once; very long ones are hashed one by one.
+    """
+    buf = b" ".join(texts) + b" " + bytes(8)
+    n = len(buf) - 8
+    turn = np.diff(_BLANK[np.frombuffer(buf, np.uint8, n)].view(np.int8), prepend=np.int8(1))
+    start, end = np.flatnonzero(turn == -1), np.flatnonzero(turn == 1)
+    length = end - start
+    eight = np.ndarray((n,), "<u8", buf, 0, (1,))  # the eight bytes from every byte on
+    h = mixed_bits((eight[start] & _MASK[np.minimum(length, 8)]) + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    live, done = np.flatnonzero((length > 8) & (length <= 1024)), 8
+    while len(live):
+        h[live] = mixed_bits(h[live] * np.uint64(0xD6E8FEB86659FD93) + (eight[start[live] + done] & _MASK[np.minimum(length[live] - done, 8)]))
+        done += 8
+        live = live[length[live] > done]
+    for i in np.flatnonzero(length > 1024):
+        h[i] = xxhash.xxh64_intdigest(buf[start[i] : end[i]])
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    return h, np.diff(np.searchsorted(start, ends), prepend=0)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case and nothing else. Where all characters are ASCII, lower() does just that."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))

@@ -14,7 +14,6 @@ spanning forest of the links leaves a block.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -22,9 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import Memo, words
+from gristmill.llm.common import mixed_bits, word_hashes
 from gristmill.llm.components import components
-from gristmill.llm.substring_dedup import _mix
 from gristmill.session import staged
 
 #: Sets of a verification block, and their elements, at most (but for one larger set).
@@ -33,27 +31,23 @@ BLOCK_SETS, BLOCK_ELEMENTS = 1024, 4_000_000
 PART_ENTRIES = 4_000_000
 
 
-@cache
-def _hashes() -> Memo:
-    import xxhash
-
-    return Memo(lambda new: map(xxhash.xxh64_intdigest, new))
-
-
-def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
-    """Sorted distinct hashes of the n-word shingles of each text, A-Z lowered; fewer words are one shingle, none are none."""
-    docs = [words(t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")) if t else [] for t in texts]
-    held = _hashes().of(set().union(*docs)) if docs else {}
-    out = []
-    for d in docs:
-        h, k = np.fromiter(map(held.__getitem__, d), np.uint64, len(d)), min(n, len(d))
-        if not k:
-            out.append(h)
-            continue
-        rolled = np.zeros(len(h) - k + 1, np.uint64)
-        for j in range(k):
-            rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + h[j : j + len(rolled)]
-        out.append(np.unique(_mix(rolled + np.uint64(k))))
+def shingle_sets(texts: list[bytes | None], n: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of the n-word shingles of each UTF-8 text, A-Z lowered; fewer words are one shingle, none are none."""
+    h, count = word_hashes([t.lower() if t else b"" for t in texts])  # bytes.lower() changes A-Z alone
+    rolled = np.zeros(max(0, len(h) - n + 1), np.uint64)
+    for j in range(n):
+        rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + h[j : j + len(rolled)]
+    rolled = mixed_bits(rolled + np.uint64(n))
+    out, start = [], 0
+    for c in count.tolist():
+        if c >= n:
+            out.append(np.unique(rolled[start : start + c - n + 1]))
+        else:
+            whole = np.zeros(min(1, c), np.uint64)
+            for x in h[start : start + c]:
+                whole = whole * np.uint64(0x9E3779B97F4A7C15) + x
+            out.append(mixed_bits(whole + np.uint64(c)))
+        start += c
     return out
 
 
@@ -102,14 +96,14 @@ class Bands:
 def signatures(s: np.ndarray, family: int, m: int, twice: int) -> np.ndarray:
     """Hashes of segments' contents, sums of their elements' hashes; empty contents count too."""
     seg = ((s >> np.uint64(20)) % np.uint64(m)).astype(np.int64)
-    element = _mix(s ^ np.uint64(0xA24BAED4963EE407))
+    element = mixed_bits(s ^ np.uint64(0xA24BAED4963EE407))
     total = np.zeros(m, np.uint64)
     np.add.at(total, seg, element)
-    place = _mix(np.arange(m, dtype=np.uint64) + np.uint64((family << 32) + 1))
-    out = [_mix(total ^ place)]
+    place = mixed_bits(np.arange(m, dtype=np.uint64) + np.uint64((family << 32) + 1))
+    out = [mixed_bits(total ^ place)]
     if twice:
         own = seg < twice
-        out.append(_mix((total[seg[own]] - element[own]) ^ place[seg[own]]))
+        out.append(mixed_bits((total[seg[own]] - element[own]) ^ place[seg[own]]))
     return np.concatenate(out)
 
 
@@ -169,7 +163,7 @@ def jaccard_components(df: DataFrame, ngram: int = 5, num: int = 80, den: int =
     An empty table gives none. Other columns of df are not read. Elements and sets are told apart by 64-bit hashes.
     """
     base_schema = "doc_id long, text_key binary, n_shingles long, set_id long"
-    docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.unhex(F.md5(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"))).alias("text_key"))
+    docs = df.select(F.col(key).cast("long").alias("doc_id"), F.encode(text, "UTF-8").alias("text")).withColumn("text_key", F.unhex(F.md5(F.coalesce("text", F.lit(b"")))))
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -18,7 +18,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
-from functools import cache
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -27,27 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import Memo, words
+from gristmill.llm.common import mixed_bits, word_hashes
 from gristmill.session import place
 
 BLOCK = 10
-CHUNK_BYTES, PART_BYTES = 4 << 20, 32 << 20
+CHUNK_BYTES, PART_BYTES = 4 << 20, 16 << 20
 LAST = np.iinfo(np.int64).max
 
 
-@cache
-def _hashes() -> Memo:
-    import xxhash
-
-    return Memo(lambda new: map(xxhash.xxh64_intdigest, new))
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
-
-
 def rolling(h: np.ndarray, n: int, base: int) -> np.ndarray:
     """A hash of each window of n, by sums of halves; h is as long as the words are, and so is the result less n - 1."""
     if len(h) < n:
@@ -61,7 +48,7 @@ def rolling(h: np.ndarray, n: int, base: int) -> np.ndarray:
         if 2 * width <= n:
             held = held[:-width] + held[width:] * np.uint64(pow(base, width, 1 << 64))
         width *= 2
-    return _mix(out)
+    return mixed_bits(out)
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -84,13 +71,10 @@ def _unbits(b: bytes, n: int) -> np.ndarray:
 class Chunk:
     """A chunk's words in order, document after document."""
 
-    def __init__(self, texts: list[str | None], parts: int):
-        self.docs = [words(t) for t in texts]
-        held = _hashes().of(set().union(*self.docs)) if self.docs else {}
-        self.n = np.fromiter(map(len, self.docs), np.int64, len(self.docs))
+    def __init__(self, texts: list[bytes | None], parts: int):
+        self.h, self.n = word_hashes([t or b"" for t in texts])
         self.first = np.cumsum(self.n) - self.n
-        self.doc = np.repeat(np.arange(len(self.docs)), self.n)
-        self.h = np.fromiter((held[w] for d in self.docs for w in d), np.uint64, int(self.n.sum()))
+        self.doc = np.repeat(np.arange(len(texts)), self.n)
         self.parts = parts
 
     def windows(self, n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,13 +135,13 @@ def _packed(df: DataFrame, key: str, text: str) -> DataFrame:
         chunk, held, size = TaskContext.get().partitionId() << 32, [], 0
 
         def out() -> pa.RecordBatch:
-            held.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
-            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([[r[0] for r in held]], pa.list_(pa.int64())), pa.array([[r[1] for r in held]], pa.list_(pa.string())), pa.array([size], pa.int64())], ["chunk", "doc_ids", "texts", "size"])
+            held.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1] or b""))
+            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([[r[0] for r in held]], pa.list_(pa.int64())), pa.array([[r[1] for r in held]], pa.list_(pa.binary())), pa.array([size], pa.int64())], ["chunk", "doc_ids", "texts", "size"])
 
         for b in batches:
             for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 held.append(row)
-                size += len(row[1] or "")
+                size += len(row[1] or b"")
                 if size >= CHUNK_BYTES or len(held) >= 1 << 20:
                     yield out()
                     chunk, held, size = chunk + 1, [], 0
@@ -166,7 +150,7 @@ def _packed(df: DataFrame, key: str, text: str) -> DataFrame:
 
     spark = df.sparkSession
     n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"chunks_{uuid.uuid4().hex}"
-    rows = df.select(F.col(key).cast("long"), F.col(text)).mapInArrow(packed, "chunk long, doc_ids array<long>, texts array<string>, size long")
+    rows = df.select(F.col(key).cast("long"), F.encode(text, "UTF-8")).mapInArrow(packed, "chunk long, doc_ids array<long>, texts array<binary>, size long")
     rows.write.format("parquet").option("path", place(spark, "chunks")).option("compression", "zstd").bucketBy(n, "chunk").saveAsTable(name)
     return spark.table(name)
 
@@ -271,8 +255,11 @@ def remove_repeats(df: DataFrame, window: int = 20, key: str = "doc_id", text: s
                     c.probes()
                     c.candidates(found, window)
                     gone = c.removed(_by_part(row["a1"]), window)
-                count = np.bincount(c.doc[gone], minlength=len(c.docs))
-                kept = [" ".join(w) if not k else " ".join([x for x, g in zip(w, gone[a : a + n].tolist(), strict=True) if not g]) for w, k, a, n in zip(c.docs, count, c.first, c.n, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(c.n, pa.int64()), pa.array(count, pa.int64()), pa.array([hashlib.sha256(k.encode()).hexdigest() for k in kept]), *[pa.array(kept, pa.string())] * with_text], ["doc_id", "n_words", "n_removed", "kept_sha256", *["kept"] * with_text])
+                count = np.bincount(c.doc[gone], minlength=len(c.n))
+                stay = (~gone).tolist()
+                # bytes.split() cuts at just the blanks of the contract
+                split = [(t or b"").split() for t in row["texts"]]
+                kept = [b" ".join(compress(w, stay[a : a + n]) if k else w) for w, k, a, n in zip(split, count, c.first, c.n, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(c.n, pa.int64()), pa.array(count, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), *[pa.array([k.decode() for k in kept], pa.string())] * with_text], ["doc_id", "n_words", "n_removed", "kept_sha256", *["kept"] * with_text])
 
     return _answered(chunks, hits, firsts).select("chunk", "doc_ids", "texts", "a0", "a1").mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)

@@ -1,17 +1,517 @@
-"""The queries of the reference's own operators and their SQL."""
+"""The queries of the engine's own operators and, where SQL says the same, their SQL. A decorator keeps both together."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gristmill.functions import documents as D
+from gristmill.functions import pages as P
+from gristmill.functions import scores as S
+from gristmill.functions import text as T
+from gristmill.functions import urls as U
+from gristmill.operators import cohorts, funnel, rollups, state, vectors
+from gristmill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
+_found: dict[str, tuple[Query, str | None]] = {}
+
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        _found[f.__name__] = (f, sql)
+        return f
+
+    return keep
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {k: f for k, (f, _) in _found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for k, (_, s) in _found.items() if s}
+
+
+# --- URLs
+
+_HOST = "regexp_replace(lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1)), '^www\\.', '')"
+_PATH = "regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1)"
+_TRACK = ", ".join(f"'{x}'" for x in U.TRACKING)
+_NORM = f"""(SELECT page_id, url,
+  lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) || '://' || {_HOST}
+  || CASE WHEN {_PATH} = '' THEN '/' WHEN length({_PATH}) > 1 THEN regexp_replace({_PATH}, '/+$', '') ELSE {_PATH} END
+  || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS url_key,
+  {_HOST} AS host, kept
+ FROM (SELECT *, list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT list_contains([{_TRACK}], lower(string_split(p, '=')[1]))) AS kept FROM pages))"""
+_ROOT = "CASE WHEN len(string_split(host, '.')) > 1 THEN string_split(host, '.')[-2] || '.' || string_split(host, '.')[-1] ELSE host END"
+
+
+@_query(f"SELECT page_id, url_key FROM {_NORM}")
+def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", U.normalize_url(F.col("url")).alias("url_key"))
+
+
+@_query(f"SELECT page_id, {_ROOT} AS root FROM {_NORM}")
+def url_root_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", U.root_domain(F.col("url")).alias("root"))
+
+
+@_query(r"""WITH p AS (SELECT page_id, url, regexp_extract(url, '^([a-z]+)://', 1) AS s, lower(regexp_extract(url, '//([^/?#]*)', 1)) AS h, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS pa, regexp_extract(url, '^[^?#]*(.*)$', 1) AS t FROM pages),
+q AS (SELECT *, CASE WHEN h LIKE 'www.%' THEN substr(h, 5) ELSE 'www.' || h END AS h2, CASE WHEN pa LIKE '%/' AND length(pa) > 1 THEN regexp_replace(pa, '/+$', '') ELSE pa || '/' END AS p2 FROM p),
+v AS (SELECT page_id, unnest([url, s || '://' || h || pa || t, s || '://' || h || p2 || t, s || '://' || h2 || pa || t, s || '://' || h2 || p2 || t]) AS variant FROM q)
+SELECT DISTINCT page_id, variant FROM v""")
+def url_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(U.url_variants(F.col("url"))).alias("variant"))
+
+
+@_query(f"""SELECT page_id, CASE WHEN {_ROOT} IN ('example.net') THEN 'disallowed-domain:' || {_ROOT}
+  WHEN contains(lower(url), '/de/') THEN 'disallowed-path:/de/' WHEN contains(lower(url), '/fr/') THEN 'disallowed-path:/fr/' END AS reason FROM {_NORM}""")
+def url_blocklist_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", U.block_reason(F.col("url"), ["example.net"], ["/fr/", "/de/"]).alias("reason"))
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as the results of one query for each language folder."""
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("seq"), "url", F.regexp_extract("url", r"//[^/]*/([a-z]*)/", 1).alias("query"), F.when(F.col("page_id") % 7 != 0, (F.col("page_id") % 25).cast("int")).alias("rank"), F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"))
+
+
+_RESULTS = "(SELECT page_id AS seq, url, regexp_extract(url, '//[^/]*/([a-z]*)/', 1) AS query, CASE WHEN page_id % 7 <> 0 THEN page_id % 25 END AS rank, regexp_extract(html, '<title>(.*?)</title>', 1) AS title FROM pages)"
+
+
+@_query(f"""SELECT url_key, arg_min(r.url, seq) AS url, array_to_string(list(query ORDER BY seq), ',') AS queries, min(rank)::INT AS best_rank, arg_max(title, length(title) * 1000000 - seq) AS title, count(*) AS n
+FROM {_RESULTS} r JOIN {_NORM} k ON r.seq = k.page_id GROUP BY url_key""")
+def candidate_dedup_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return funnel.merged_candidates(_results(spark, sf_dir)).withColumn("queries", F.array_join("queries", ","))
+
+
+@_query(f"""SELECT stage, count(*) AS n FROM (SELECT CASE WHEN {_ROOT} = 'example.net' THEN 'disallowed-domain' WHEN contains(url, '/fr/') THEN 'disallowed-path' ELSE 'kept' END AS stage FROM {_NORM}) GROUP BY stage""")
+def funnel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return funnel.stage_counts(funnel.blocked(table(spark, sf_dir, "pages"), domains=["example.net"], paths=["/fr/"]))
+
+
+# --- scores and cohorts: da is the quantity, pa the price in thousands, a group is a brand
+
+_POINTS = "(SELECT p_brand AS dish, l_orderkey * 8 + l_linenumber AS seq, l_quantity::DOUBLE AS da, l_extendedprice / 1000 AS pa FROM lineitem JOIN part ON l_partkey = p_partkey)"
+_OU = "round_even(pa - 3.0273 * pow(da, 0.6034), 3)"
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with their part's brand. The parts are the smaller side; Spark broadcasts them if their size allows."""
+    l, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    return l.join(p, l["l_partkey"] == p["p_partkey"]).select(F.col("p_brand").alias("dish"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), F.col("l_quantity").cast("double").alias("da"), (F.col("l_extendedprice") / 1000).alias("pa"))
+
+
+@_query(f"SELECT dish, count(*) AS n, round(sum({_OU}), 1) AS total, max({_OU}) AS best FROM {_POINTS} GROUP BY dish")
+def ou_global_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ou = _points(spark, sf_dir).select("dish", S.opportunity(F.col("pa"), F.col("da")).alias("ou"))
+    return ou.groupBy("dish").agg(F.count("*").alias("n"), F.round(F.sum("ou"), 1).alias("total"), F.max("ou").alias("best"))
+
+
+@_query(f"SELECT dish, rank::INT AS rank, seq, ou FROM (SELECT dish, seq, {_OU} AS ou, row_number() OVER (PARTITION BY dish ORDER BY {_OU} DESC, seq) AS rank FROM {_POINTS} WHERE {_OU} >= 0) WHERE rank <= 10")
+def ou_floor_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = _points(spark, sf_dir).withColumn("ou", S.opportunity(F.col("pa"), F.col("da")))
+    return funnel.top_n(funnel.floored(scored), 10, ["dish"]).select("dish", "rank", "seq", "ou")
+
+
+@_query(f"SELECT dish, min(ou) AS bar FROM (SELECT dish, {_OU} AS ou, row_number() OVER (PARTITION BY dish ORDER BY {_OU} DESC, seq) AS rank FROM {_POINTS}) WHERE rank <= 10 GROUP BY dish")
+def bar_to_beat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = _points(spark, sf_dir).withColumn("ou", S.opportunity(F.col("pa"), F.col("da")))
+    return funnel.bar_to_beat(funnel.top_n(scored, 10, ["dish"]), ["dish"])
+
+
+_LADDER = "CASE " + " ".join(f"WHEN score >= {least} THEN '{letter}'" for least, letter in S.GRADES) + " ELSE 'F' END"
+
+
+@_query(f"SELECT event_id, score, {_LADDER} AS grade, CASE WHEN {_LADDER} IN ('A+', 'A', 'A-') THEN {_LADDER} ELSE substr({_LADDER}, 1, 1) END AS tier FROM (SELECT event_id, value AS score FROM events)")
+def grade_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_id", F.col("value").alias("score"), S.grade(F.col("value")).alias("grade"))
+    return e.withColumn("tier", S.grade_tier(F.col("grade")))
+
+
+def _fit_sql(points: str, key: str) -> str:
+    """Linear and power fits by SQL's regressions, the quadratic by normal equations."""
+    return f"""
+pts AS (SELECT {key}, da, pa FROM {points}),
+a AS (SELECT {key}, count(*) AS n, avg(da) AS mx, avg(pa) AS my, regr_slope(pa, da) AS m, regr_intercept(pa, da) AS b, min(da) AS lo, max(da) AS hi,
+  count(*) FILTER (da > 0 AND pa > 0) AS np, regr_slope(ln(CASE WHEN da > 0 AND pa > 0 THEN pa END), ln(CASE WHEN da > 0 AND pa > 0 THEN da END)) AS pb, exp(regr_intercept(ln(CASE WHEN da > 0 AND pa > 0 THEN pa END), ln(CASE WHEN da > 0 AND pa > 0 THEN da END))) AS pw FROM pts GROUP BY {key}),
+c AS (SELECT {key}, sum(u * u) AS s2, sum(u * u * u) AS s3, sum(u * u * u * u) AS s4, sum(u * v) AS sxy, sum(u * u * v) AS sxxy FROM (SELECT {key}, da - mx AS u, pa - my AS v FROM pts JOIN a USING ({key})) GROUP BY {key}),
+q AS (SELECT *, (s2 * sxxy - s3 * sxy) / (s2 * (s4 - s2 * s2 / n) - s3 * s3) AS qa FROM a JOIN c USING ({key})),
+f AS (SELECT *, (sxy - qa * s3) / s2 AS qb0 FROM q),
+r AS (SELECT {key}, sum(pow(pa - my, 2)) AS tot, sum(pow(pa - (m * da + b), 2)) AS ssl, sum(pow(pa - (my + qa * (pow(da - mx, 2) - s2 / n) + qb0 * (da - mx)), 2)) AS ssq, sum(pow(pa - pw * pow(da, pb), 2)) AS ssp,
+  stddev_pop(pa - (m * da + b)) AS sdl, stddev_pop(pa - (my + qa * (pow(da - mx, 2) - s2 / n) + qb0 * (da - mx))) AS sdq, stddev_pop(pa - pw * pow(da, pb)) AS sdp FROM pts JOIN f USING ({key}) GROUP BY {key}),
+g AS (SELECT f.*, 1 - ssl / tot AS rl, 1 - ssq / tot AS rq, 1 - ssp / tot AS rp, sdl, sdq, sdp, n >= 25 AND hi > lo AS used FROM f JOIN r USING ({key}))"""
+
+
+@_query(f"WITH {_fit_sql(_POINTS, 'dish')} SELECT dish, n, round(m, 4) AS slope, round(b, 3) AS intercept, round(rl, 4) AS r2, round(greatest(sdl, 0.5), 4) AS sigma FROM g")
+def cohort_fit_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = cohorts.fit_groups(_points(spark, sf_dir), ["dish"], models=("linear",))
+    return f.select("dish", "n", F.round(F.col("coefficients")[0], 4).alias("slope"), F.round(F.col("coefficients")[1], 3).alias("intercept"), F.round("r2", 4).alias("r2"), F.round("sigma_effective", 4).alias("sigma"))
+
+
+@_query(f"WITH {_fit_sql(_POINTS, 'dish')} SELECT dish, n, round(qa, 5) AS a, round(qb0 - 2 * qa * mx, 4) AS b, round(my - qa * s2 / n - qb0 * mx + qa * mx * mx, 2) AS c, round(rq, 4) AS r2, round(greatest(sdq, 0.5), 4) AS sigma FROM g")
+def cohort_fit_quadratic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = cohorts.fit_groups(_points(spark, sf_dir), ["dish"], models=("quadratic",))
+    return f.select("dish", "n", *[F.round(F.col("coefficients")[i], d).alias(c) for i, (c, d) in enumerate((("a", 5), ("b", 4), ("c", 2)))], F.round("r2", 4).alias("r2"), F.round("sigma_effective", 4).alias("sigma"))
+
+
+@_query(f"WITH {_fit_sql(_POINTS, 'dish')} SELECT dish, n, round(pw, 2) AS a, round(pb, 4) AS b, round(rp, 3) AS r2, round(greatest(sdp, 0.5), 3) AS sigma FROM g")
+def cohort_fit_power(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = cohorts.fit_groups(_points(spark, sf_dir), ["dish"], models=("power",))
+    return f.select("dish", "n", F.round(F.col("coefficients")[0], 2).alias("a"), F.round(F.col("coefficients")[1], 4).alias("b"), F.round("r2", 3).alias("r2"), F.round("sigma_effective", 3).alias("sigma"))
+
+
+_BY_PART = "(SELECT l_partkey AS dish, l_quantity::DOUBLE AS da, l_extendedprice / 1000 AS pa FROM lineitem)"
+_MODEL = "CASE WHEN NOT used THEN NULL WHEN rl >= rq AND rl >= rp THEN 'linear' WHEN rq >= rp THEN 'quadratic' ELSE 'power' END"
+
+
+def _by_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("dish"), F.col("l_quantity").cast("double").alias("da"), (F.col("l_extendedprice") / 1000).alias("pa"))
+
+
+@_query(f"WITH {_fit_sql(_BY_PART, 'dish')} SELECT dish, n, used, {_MODEL} AS model, CASE WHEN n < 25 THEN 'below_min_n' WHEN NOT used THEN 'degenerate' END AS reason FROM g")
+def cohort_model_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cohorts.fit_groups(_by_part(spark, sf_dir), ["dish"]).select("dish", "n", "used", "model", "reason")
+
+
+@_query(f"WITH {_fit_sql(_BY_PART, 'dish')} SELECT count(*) FILTER (used) AS used, count(*) FILTER (n < 25) AS below_min_n FROM g")
+def below_min_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = cohorts.fit_groups(_by_part(spark, sf_dir), ["dish"], models=("linear",))
+    return f.agg(F.count_if("used").alias("used"), F.count_if(F.col("reason") == "below_min_n").alias("below_min_n"))
+
+
+@_query(f"""WITH {_fit_sql(_POINTS, 'dish')}, s AS (SELECT dish, seq, (pa - (m * da + b)) / greatest(sdl, 0.5) * 10 + 75 AS score FROM {_POINTS} JOIN g USING (dish)),
+t AS (SELECT *, {_LADDER} AS grade, row_number() OVER (PARTITION BY dish ORDER BY round(score, 6) DESC, seq) AS rank FROM s)
+SELECT dish, rank::INT AS rank, seq, round(score, 2) AS score, grade FROM t WHERE rank <= 10""")
+def cohort_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fit, grade and best ten of each group."""
+    p = _points(spark, sf_dir)
+    g = cohorts.graded(p, cohorts.fit_groups(p, ["dish"], models=("linear",)), ["dish"]).withColumn("_s", F.round("score", 6))
+    return funnel.top_n(g, 10, ["dish"], ou="_s").select("dish", "rank", "seq", F.round("score", 2).alias("score"), "grade")
+
+
+@_query(f"""SELECT dish, grade, count(*) AS n FROM (SELECT dish, {_LADDER} AS grade FROM (SELECT dish, (pa - CASE WHEN da <= 0 THEN 0 ELSE 20.0 * pow(da, 0.25) END) / 12.5 * 10 + 75 AS score FROM {_POINTS})) GROUP BY dish, grade""")
+def stored_fit_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fit = F.struct(F.lit("power").alias("model"), F.array(F.lit(20.0), F.lit(0.25)).alias("coefficients"), F.lit(12.5).alias("sigma_effective"), F.lit(12.5).alias("sigma_observed"), F.lit(100).alias("n"))
+    return _points(spark, sf_dir).select("dish", S.exceptionalism(F.col("pa"), F.col("da"), fit)["grade"].alias("grade")).groupBy("dish", "grade").agg(F.count("*").alias("n"))
+
+
+_STATUS = f"WITH names AS (SELECT DISTINCT p_partkey AS dish FROM part), {_fit_sql(_BY_PART, 'dish')} SELECT dish, CASE WHEN used THEN 'graded' WHEN used IS NOT NULL THEN 'below_min_n' ELSE 'never' END AS status, coalesce(n, 0) AS n FROM names LEFT JOIN g USING (dish)"
+
+
+@_query(_STATUS)
+def chapter_rollup_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("dish")).distinct()
+    fits = cohorts.fit_groups(_by_part(spark, sf_dir), ["dish"], models=("linear",)).select("dish", "used", "n")
+    return rollups.chapter_status(names, fits, "dish").select("dish", "status", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@_query(f"""WITH brand AS (SELECT p_partkey AS part, p_brand FROM part), {_fit_sql(_BY_PART, 'dish')}
+SELECT l_returnflag, count(*) FILTER (used) AS own, count(*) FILTER (NOT coalesce(used, false)) AS brand FROM lineitem LEFT JOIN g ON l_partkey = dish GROUP BY l_returnflag""")
+def grade_cohort_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item's own part's fit if it is used, else its brand's."""
+    li, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    own = cohorts.fit_groups(_by_part(spark, sf_dir), ["dish"], models=("linear",)).withColumnRenamed("dish", "l_partkey")
+    brand = cohorts.fit_groups(_points(spark, sf_dir), ["dish"], models=("linear",)).withColumnRenamed("dish", "p_brand")
+    t = cohorts.first_usable(li.join(part, "l_partkey"), (own, ["l_partkey"], "own"), (brand, ["p_brand"], "brand"))
+    return t.groupBy("l_returnflag").agg(F.count_if(F.col("fit_source") == "own").alias("own"), F.count_if(F.col("fit_source") == "brand").alias("brand"))
+
+
+# --- vectors
+
+_VEC = "(SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)"
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    v = table(spark, sf_dir, "embeddings")
+    return v, v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("label").alias("query_label"))
+
+
+def _knn_sql(where: str, k: int = 10) -> str:
+    return f"""SELECT query_id, rank::INT AS rank, vec_id, round(distance, 6) AS distance FROM (SELECT q.vec_id AS query_id, v.vec_id, list_distance(q.e, v.e) AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.e, v.e), v.vec_id) AS rank
+FROM (SELECT * FROM {_VEC} WHERE vec_id < 5) q JOIN {_VEC} v ON {where}) WHERE rank <= {k}"""
+
+
+@_query(_knn_sql("true"))
+def knn_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.knn(*_vectors(spark, sf_dir), 10).withColumn("distance", F.round("distance", 6))
+
+
+@_query(_knn_sql("q.label = v.label"))
+def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.knn(*_vectors(spark, sf_dir), 10, F.col("label") == F.col("query_label")).withColumn("distance", F.round("distance", 6))
+
+
+@_query(_knn_sql("q.vec_id <> v.vec_id AND v.label <> 3"))
+def knn_excluding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.knn(*_vectors(spark, sf_dir), 10, (F.col("vec_id") != F.col("query_id")) & (F.col("label") != 3)).withColumn("distance", F.round("distance", 6))
+
+
+@_query(f"""WITH d AS (SELECT q.vec_id AS query_id, v.vec_id, q.label = v.label AS narrow, list_distance(q.e, v.e) AS distance FROM (SELECT * FROM {_VEC} WHERE vec_id < 5) q JOIN (SELECT * FROM {_VEC} WHERE vec_id >= 5) v ON true),
+b AS (SELECT query_id, arg_min(vec_id, distance) FILTER (narrow) AS nm, 1 - pow(min(distance) FILTER (narrow), 2) / 2 AS ns, arg_min(vec_id, distance) AS wm, 1 - pow(min(distance), 2) / 2 AS ws FROM d GROUP BY query_id)
+SELECT query_id, CASE WHEN ns >= 0.3 THEN nm WHEN ws >= 0.3 THEN wm END AS match, round(CASE WHEN ns >= 0.3 THEN ns WHEN ws >= 0.3 THEN ws END, 6) AS similarity, CASE WHEN ns >= 0.3 THEN 'narrow' WHEN ws >= 0.3 THEN 'wide' END AS scope FROM b""")
+def match_narrow_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, q = _vectors(spark, sf_dir)
+    return vectors.best_match(v.where("vec_id >= 5"), q, F.col("label") == F.col("query_label"), 0.3).withColumn("similarity", F.round("similarity", 6))
+
+
+@_query(f"SELECT a.vec_id AS vec_id, round(list_cosine_similarity(a.e, b.e), 6) AS similarity FROM {_VEC} a JOIN {_VEC} b ON b.vec_id = a.vec_id + 1")
+def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings")
+    return v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next")), "vec_id").select("vec_id", F.round(S.cosine(F.col("embedding"), F.col("next")), 6).alias("similarity"))
+
+
+# --- text
+
+_LEX = ["the ", "der ", "eau", "the ", "tion"]
+_HITS = " + ".join(f"(contains(lower(text), '{p}'))::INT" for p in _LEX)
+
+
+@_query(f"SELECT doc_id, {_HITS} AS score, ({_HITS}) >= 3 AS accepted FROM documents")
+def phrase_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").withColumn("v", T.verdict(F.col("text"), _LEX, 3)).select("doc_id", "v.score", "v.accepted")
+
+
+@_query(f"SELECT doc_id, length(text) + 100 * ({_HITS}) AS score FROM documents")
+def region_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.region_score(F.col("text"), _LEX).alias("score"))
+
+
+@_query("""SELECT doc_id, CASE WHEN n < 5 THEN 'fewer than 5 ingredients (' || n || ')' WHEN s < 3 THEN 'fewer than 3 instructions (' || s || ')' ELSE 'ok' END AS reason
+FROM (SELECT doc_id, len(list_filter(string_split(text, '. '), lambda x: trim(x) <> '')) AS n, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS s FROM documents)""")
+def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", D.quality_gate(F.lit("name"), F.split("text", r"\. "), F.split("text", "\n"), 5, 3)["reason"].alias("reason"))
+
+
+@_query("SELECT doc_id, sha256(array_to_string(list_concat([lower(source)], list_transform(string_split(text, chr(10)), lambda x: lower(trim(x)))), chr(10))) AS fingerprint FROM documents")
+def semantic_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.fingerprint(F.col("source"), F.split("text", "\n"), F.array().cast("array<string>")).alias("fingerprint"))
+
+
+@_query("SELECT page_id, ' ' || trim(regexp_replace(lower(strip_accents(regexp_extract(html, '<title>(.*?)</title>', 1))), '[^a-z0-9]+', ' ', 'g')) || ' ' AS title FROM pages")
+def title_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", T.normalized_title(F.regexp_extract("html", "<title>(.*?)</title>", 1)).alias("title"))
+
+
+@_query("SELECT page_id, CASE WHEN (contains(t, ' the ')::INT + contains(t, ' der ')::INT) = 1 THEN CASE WHEN contains(t, ' the ') THEN 'Soup' ELSE 'Bread' END ELSE 'Uncertain' END AS chapter FROM (SELECT page_id, ' ' || trim(regexp_replace(lower(strip_accents(regexp_extract(html, '<title>(.*?)</title>', 1))), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t FROM pages)")
+def shortcut_chapter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", T.chapter_of(F.regexp_extract("html", "<title>(.*?)</title>", 1), F.lit(None).cast("string"), {"the": "Soup", "der": "Bread"}).alias("chapter"))
+
+
+@_query("SELECT page_id, coalesce(nullif(lower(regexp_extract(html, '<html[^>]*\\slang=\"([A-Za-z-]+)', 1))[1:2], ''), 'en') AS lang FROM pages")
+def lang_from_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", T.language_of(F.col("html"), F.lit(None).cast("string"), F.lit("")).alias("lang"))
+
+
+@_query("SELECT doc_id, regexp_extract(text, '^([^ ]*)', 1) AS title, 'https://' || source || '.example.com/' || doc_id AS url FROM documents")
+def markdown_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    md = F.concat(F.lit("\n# "), F.regexp_extract("text", "^([^ ]*)", 1), F.lit(" \r\nSource: https://"), F.col("source"), F.lit(".example.com/"), F.col("doc_id").cast("string"), F.lit("\r\n\r\n"), F.col("text"))
+    x = T.passthrough(md, F.lit(""), F.lit(None).cast("string"))
+    return d.select("doc_id", x["title"].alias("title"), x["url"].alias("url"))
+
+
+@_query("SELECT doc_id, length(regexp_replace(replace(text, '. ', '.' || chr(10) || chr(10) || chr(10) || chr(10)), '\\n{3,}', chr(10) || chr(10), 'g')) AS n FROM documents")
+def markdown_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(T.cleaned_markdown(F.concat(F.lit("![x](data:image/png;base64,AA==)"), F.replace("text", F.lit(". "), F.lit(".\n\n\n\n"))))).alias("n"))
+
+
+@_query("SELECT p_partkey, trim(split_part(p_name, ',', 1)) AS ingredient FROM part")
+def ingredient_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat(F.col("p_size").cast("string"), F.lit(" 1/2 cups "), F.col("p_name"), F.lit(" (about one), chopped"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.cleaned_ingredient(line).alias("ingredient"))
+
+
+@_query("SELECT doc_id, CASE WHEN length(text) * 0.3 < 0.4 * length(text) AND length(text) > 200 THEN 'too short' ELSE 'checked' END AS reason FROM documents")
+def translation_plausible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    r = T.plausible(F.col("text"), F.expr("left(text, int(length(text) * 0.3))"))["reason"]
+    return d.select("doc_id", F.when(r == "too short", r).otherwise(F.lit("checked")).alias("reason"))
+
+
+@_query("SELECT page_id, length(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<title>.*?</title>', ' ', 'gs'), '<script>.*?</script>', ' ', 'gs'), '<style>.*?</style>', ' ', 'gs'), '<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'gs'), '\\s+', ' ', 'g'))) > 0 AS has_text FROM pages")
+def html_visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").withColumn("page", P.parsed_page("html"))
+    return p.select("page_id", (F.length("page.visible") > 0).alias("has_text"))
+
+
+@_query()
+def html_main_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").withColumn("page", P.parsed_page("html")).withColumn("main", P.main_region(F.col("page")))
+    return p.select("page_id", "main.selector", "main.score", F.sha2("main.text", 256).alias("text_sha256"))
+
+
+@_query()
+def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").withColumn("page", P.parsed_page("html")).withColumn("main", P.main_region(F.col("page")))
+    return p.select("page_id", P.envelope(F.col("page.title"), F.col("url"), F.lit(None).cast("string"), F.col("main.markdown")).alias("markdown"))
+
+
+@_query("SELECT page_id, replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&amp;', '&') AS title FROM pages")
+def entity_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", T.unescaped(F.regexp_extract("html", "<title>(.*?)</title>", 1)).alias("title"))
+
+
+@_query("SELECT page_id, replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&amp;', '&') AS title, regexp_extract(html, 'lang=\"([a-z]+)\"', 1) AS language FROM pages")
+def open_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").withColumn("page", P.parsed_page("html"))
+    return p.select("page_id", P.open_graph(F.col("page"), F.col("url")).alias("og")).select("page_id", F.trim(F.col("og.title")).alias("title"), "og.language")
+
+
+# --- records and reports
+
+@_query("SELECT event_type, json_extract(props, '$.k')::INT AS k, count(*) AS n FROM events GROUP BY ALL")
+def json_group_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy("event_type", F.try_variant_get(D.parsed(F.col("props")), "$.k", "int").alias("k")).agg(F.count("*").alias("n"))
+
+
+@_query("SELECT name, rank::INT AS rank, event_id FROM (SELECT c_name AS name, event_id, row_number() OVER (PARTITION BY c_custkey ORDER BY json_extract(props, '$.k')::INT DESC, event_id) AS rank FROM events JOIN customer ON user_id = c_custkey) WHERE rank <= 3")
+def json_topn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, c = table(spark, sf_dir, "events").withColumn("k", F.try_variant_get(D.parsed(F.col("props")), "$.k", "int")), table(spark, sf_dir, "customer")
+    j = e.join(c, e["user_id"] == c["c_custkey"])
+    return funnel.top_n(j, 3, ["c_custkey"], ou="k", seq="event_id").select(F.col("c_name").alias("name"), "rank", "event_id")
+
+
+@_query("""SELECT name_key, waiting, array_to_string(chapters, ',') AS chapters, array_to_string(ids[1:5], ',') AS examples FROM (SELECT lower(p_type) AS name_key, count(*) AS waiting, list_sort(list_distinct(list(p_brand))) AS chapters, list_sort(list_distinct(list(p_partkey))) AS ids
+FROM part WHERE lower(p_type) NOT IN (SELECT lower(p_type) FROM part WHERE p_size > 49) GROUP BY 1) WHERE waiting >= 3""")
+def suggestions_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("name"), F.col("p_brand").alias("chapter"), "p_size")
+    s = rollups.suggestions(p, p.where("p_size > 49").select("name"), 3)
+    return s.select("name_key", "waiting", F.array_join("chapters", ",").alias("chapters"), F.array_join(F.transform("examples", lambda x: x.cast("string")), ",").alias("examples"))
+
+
+@_query("SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 'saved' WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 'rejected' ELSE 'dropped' END AS label FROM documents")
+def fit_data_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lab = table(spark, sf_dir, "labels")
+    return rollups.membership(table(spark, sf_dir, "documents").select("doc_id"), lab.where("quality = 1"), lab.where("toxic = 1"), "doc_id")
+
+
+@_query("SELECT conv_id, string_agg(role, '>' ORDER BY turn) AS roles, count(*) AS n FROM conversations GROUP BY conv_id")
+def ordered_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.ordered_lists(table(spark, sf_dir, "conversations"), "conv_id", ["turn"], "role").select("conv_id", F.array_join("items", ">").alias("roles"), F.size("items").cast("long").alias("n"))
+
+
+@_query("SELECT old, new, count(*) AS n FROM (SELECT o_orderstatus AS old, CASE WHEN o_totalprice > 250000 THEN 'F' ELSE o_orderstatus END AS new FROM orders) WHERE old IS DISTINCT FROM new GROUP BY old, new")
+def status_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("old"), F.when(F.col("o_totalprice") > 250000, "F").otherwise(F.col("o_orderstatus")).alias("new"))
+    return rollups.transitions(o, "old", "new")
+
+
+@_query("SELECT count(*) FILTER (d > 0) AS gained, count(*) FILTER (d = 0) AS unchanged, count(*) FILTER (d < 0) AS lost, round(avg(d) FILTER (d > 0), 4) AS mean_gain, round(avg(d) FILTER (d < 0), 4) AS mean_loss FROM (SELECT value - json_extract(props, '$.k')::INT AS d FROM events)")
+def delta_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.try_variant_get(D.parsed(F.col("props")), "$.k", "int").alias("old"), F.col("value").alias("new"))
+    return rollups.deltas(e, "old", "new").withColumn("mean_gain", F.round("mean_gain", 4)).withColumn("mean_loss", F.round("mean_loss", 4))
+
+
+@_query("SELECT user_id, event_type AS model, date_trunc('month', ts)::TIMESTAMP AS month, count(*) AS calls, sum(json_extract(props, '$.k')::INT)::BIGINT AS input_tokens, sum(CASE WHEN value > 5 THEN 1 ELSE 0 END)::BIGINT AS output_tokens FROM events GROUP BY ALL")
+def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("model"), F.col("ts").alias("created_at"), F.try_variant_get(D.parsed(F.col("props")), "$.k", "int").alias("prompt_tokens"), (F.col("value") > 5).cast("int").alias("completion_tokens"))
+    return rollups.usage(rollups.normalized_usage(e))
+
+
+@_query("SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'edit,read' WHEN 'MACHINERY' THEN 'read' ELSE '' END AS permissions FROM customer")
+def permission_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = table(spark, sf_dir, "customer").withColumn("role", F.col("c_mktsegment"))
+    return rollups.permitted(users, {"BUILDING": ["read", "edit"], "MACHINERY": ["read"]}).select("c_custkey", F.array_join("permissions", ",").alias("permissions"))
+
+
+@_query("SELECT n_name, count(c_custkey) AS customers FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey GROUP BY n_name")
+def nocase_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, c = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+    named = c.join(n.select(F.col("n_nationkey").alias("c_nationkey"), F.upper("n_name").alias("c_nation")), "c_nationkey")
+    return n.join(named, F.lower(n["n_name"]) == F.lower("c_nation"), "left").groupBy("n_name").agg(F.count("c_custkey").alias("customers"))
+
+
+@_query("SELECT s_suppkey, 'name=' || s_name || ';nation=' || s_nationkey AS fields FROM supplier")
+def static_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doc = F.create_map(F.lit("name"), F.col("s_name"), F.lit("balance"), F.col("s_acctbal").cast("string"), F.lit("nation"), F.col("s_nationkey").cast("string"))
+    kept = D.static_fields(doc, ["name", "nation"])
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.array_join(F.transform(F.array_sort(F.map_entries(kept)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("fields"))
+
+
+@_query("SELECT nation, n FROM (SELECT n_nationkey AS nation FROM nation) LEFT JOIN (SELECT s_nationkey AS nation, count(*) AS n FROM supplier GROUP BY 1) USING (nation) WHERE n IS NOT NULL UNION ALL SELECT n_nationkey, 0 FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
+def counts_onto_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.counts_onto(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation")), table(spark, sf_dir, "supplier").withColumnRenamed("s_nationkey", "nation"), "nation")
+
+
+# --- state
+
+_AS_OF = "1998-06-01 00:00:00"
+_OLD_REJECTS = "(SELECT o_custkey AS dish_name, o_orderkey AS url, 'old' AS reason, o_totalprice AS ou, 1 AS rank, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE 'skipped' END AS status, 'n' || o_orderkey AS notes FROM orders WHERE o_orderkey % 2 = 0)"
+_NEW_REJECTS = "(SELECT o_custkey AS dish_name, o_orderkey AS url, 'fresh' AS reason, o_totalprice + 1 AS ou, 2 AS rank FROM orders WHERE o_orderkey % 4 < 2)"
+
+
+@_query(f"""SELECT coalesce(o.dish_name, n.dish_name) AS dish_name, coalesce(o.url, n.url) AS url, coalesce(n.reason, o.reason) AS reason, round(coalesce(n.ou, o.ou), 2) AS ou, coalesce(n.rank, o.rank) AS rank, coalesce(o.status, 'new') AS status, o.notes AS notes
+FROM (SELECT * FROM {_OLD_REJECTS} WHERE status <> 'new') o FULL JOIN {_NEW_REJECTS} n ON o.dish_name = n.dish_name AND o.url = n.url""")
+def reject_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("dish_name"), F.col("o_orderkey").alias("url"), F.col("o_totalprice").alias("ou"))
+    old = o.where("url % 2 = 0").select("dish_name", "url", F.lit("old").alias("reason"), "ou", F.lit(1).alias("rank"), F.when(F.col("url") % 3 == 0, "new").otherwise("skipped").alias("status"), F.concat(F.lit("n"), F.col("url").cast("string")).alias("notes"))
+    new = o.where("url % 4 < 2").select("dish_name", "url", F.lit("fresh").alias("reason"), (F.col("ou") + 1).alias("ou"), F.lit(2).alias("rank"))
+    return state.merged_rejects(old.withColumn("created_at", F.lit(None).cast("string")), new, own=("status", "notes", "created_at")).drop("created_at").withColumn("ou", F.round("ou", 2))
+
+
+@_query(f"""SELECT c_custkey, CASE WHEN at IS NULL THEN 'miss' WHEN at < TIMESTAMP '{_AS_OF}' - INTERVAL 60 DAY THEN 'stale' ELSE 'fresh' END AS status FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS at FROM orders GROUP BY 1) ON c_custkey = o_custkey""")
+def cache_tristate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cache = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderdate").alias("created_at"))
+    return state.cache_status(table(spark, sf_dir, "customer").select("c_custkey"), cache, ["c_custkey"], 60, F.to_timestamp(F.lit(_AS_OF))).select("c_custkey", "status")
+
+
+@_query(f"SELECT o_orderkey, o_orderdate <= TIMESTAMP '{_AS_OF}' - INTERVAL 30 DAY AS due FROM orders")
+def is_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", state.is_due(F.col("o_orderdate"), F.lit(30), F.to_timestamp(F.lit(_AS_OF))).alias("due"))
+
+
+@_query("SELECT doc_id, sha256(text)[1:16] <> sha256(replace(text, 'the', 'THE'))[1:16] AS drift FROM documents")
+def drift_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = T.hash_prefix(F.col("text"), 16), T.hash_prefix(F.replace("text", F.lit("the"), F.lit("THE")), 16)
+    return table(spark, sf_dir, "documents").select("doc_id", state.drifted(old, new).alias("drift"))
+
+
+def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("entity_ref"), F.when(F.col("o_orderstatus") == "O", "queued").when(F.col("o_orderstatus") == "P", "running").otherwise("success").alias("status"), F.when(F.col("o_orderkey") % 5 == 0, F.col("o_orderdate")).alias("scheduled_at"), F.col("o_orderdate").alias("created_at"), F.lit(None).cast("timestamp").alias("finished_at"))
+
+
+@_query(f"SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'O' AND (o_orderkey % 5 <> 0 OR o_orderdate <= TIMESTAMP '{_AS_OF}') ORDER BY o_orderdate, o_orderkey LIMIT 1")
+def jobs_next_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.next_ready(_jobs(spark, sf_dir), F.to_timestamp(F.lit(_AS_OF))).select("id")
+
+
+@_query("SELECT entity_ref, id FROM (SELECT o_custkey AS entity_ref, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders WHERE o_orderstatus IN ('O', 'P')) WHERE r = 1")
+def jobs_inflight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.in_flight(_jobs(spark, sf_dir)).select("entity_ref", "id")
+
+
+@_query("SELECT c_custkey AS key, CASE WHEN c_custkey % 3 = 0 THEN 'third' WHEN c_custkey % 2 = 0 THEN 'second' ELSE 'first' END AS source FROM customer")
+def insert_or_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"))
+    return state.by_priority(["key"], *[c.where(w).withColumn("source", F.lit(s)) for w, s in (("true", "first"), ("key % 2 = 0", "second"), ("key % 3 = 0", "third"))])
+
+
+@_query("SELECT o_orderkey AS seq, coalesce(s, 'new' || o_orderkey) AS id, s IS NOT NULL AS adopted FROM orders LEFT JOIN (SELECT c_custkey, min(c_name) AS s FROM customer WHERE c_custkey % 2 = 1 GROUP BY 1) ON o_custkey = c_custkey")
+def adopt_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), F.concat(F.lit("new"), F.col("o_orderkey").cast("string")).alias("id"), F.concat(F.lit("u"), F.col("o_custkey").cast("string")).alias("url_normalized"), F.lit(1).alias("user_id"))
+    held = table(spark, sf_dir, "customer").select(F.col("c_name").alias("id"), F.when(F.col("c_custkey") % 2 == 1, F.concat(F.lit("u"), F.col("c_custkey").cast("string"))).otherwise("").alias("url_normalized"), F.lit(1).alias("user_id"))
+    return state.adopted(rows, held).select("seq", "id", "adopted")
+
+
+@_query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+def orphan_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.orphans(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey").select("c_custkey")
+
+
+@_query("SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS balance, 'old' AS created FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, c_acctbal + 1, 'new' FROM customer WHERE c_custkey % 4 = 1")
+def upsert_keep_created(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"))
+    old = c.where("id % 2 = 0").withColumn("created", F.lit("old"))
+    new = c.where("id % 4 < 2").withColumn("balance", F.col("balance") + 1).withColumn("created", F.lit("new"))
+    return state.merged_by_key(old, new, ["id"], keep=("created",))
+
+
+@_query("SELECT l_orderkey AS dish, l_linenumber AS point, CASE WHEN l_orderkey % 2 = 0 THEN 'new' ELSE 'old' END AS run FROM lineitem")
+def replace_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("dish"), F.col("l_linenumber").alias("point"))
+    return state.replaced(p.withColumn("run", F.lit("old")), p.where("dish % 2 = 0").withColumn("run", F.lit("new")), "dish")

@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType, StructField, StructType
 
 from gristmill.functions.text import PHRASES, region_score
 
@@ -20,7 +21,9 @@ REGION_TAGS = ["article", "main", "body"]
 VOID = {"br", "img", "meta", "link", "hr", "input", "source", "wbr", "area", "base", "col", "embed", "track"}
 BREAKS = {"p", "div", "li", "br", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "section", "article", "ul", "ol", "table", "blockquote"}
 
-SCHEMA = "lang string, title string, visible string, regions array<struct<selector:string,ord:int,text:string,markdown:string>>, meta map<string,string>, json array<string>"
+_TEXT = StringType()
+_REGION = StructType([StructField("selector", _TEXT), StructField("ord", IntegerType()), StructField("text", _TEXT), StructField("markdown", _TEXT)])
+SCHEMA = StructType([StructField("lang", _TEXT), StructField("title", _TEXT), StructField("visible", _TEXT), StructField("regions", ArrayType(_REGION)), StructField("meta", MapType(_TEXT, _TEXT)), StructField("json", ArrayType(_TEXT))])
 
 
 class _Page(HTMLParser):

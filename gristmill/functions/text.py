@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Unit words in the order in which they are tried.
 UNITS = ["tablespoons", "tablespoon", "tbsp", "teaspoons", "teaspoon", "tsp", "cups", "cup", "ounces", "ounce", "oz", "pounds", "pound", "lbs", "lb", "grams", "g", "kilograms", "kg", "milliliters", "ml", "liters", "l"]
@@ -130,13 +131,13 @@ def normalized_title(title: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(x, "[^a-z0-9]+", " ")), F.lit(" "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def folded(x: pd.Series) -> pd.Series:
     """Any script: canonical decomposition without combining marks. A UDF, since Spark has no such expression."""
     return x.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescaped(x: pd.Series) -> pd.Series:
     """HTML entities decoded; texts without & are left alone."""
     return x.map(lambda s: html.unescape(s) if s is not None and "&" in s else s)

@@ -29,7 +29,7 @@ def chapter_status(names: DataFrame, fits: DataFrame, key: str = "chapter") -> D
     """Each chapter's status: graded, below_min_n or never; in that order, then by name."""
     status = F.when(F.col("used"), "graded").when(F.col("used").isNotNull(), "below_min_n").otherwise("never")
     order = F.when(F.col("status") == "graded", 0).when(F.col("status") == "below_min_n", 1).otherwise(2)
-    return names.where(F.col(key) != "Uncertain").join(fits, key, "left").withColumn("status", status).orderBy(order, key)
+    return names.where(F.col(key).cast("string") != "Uncertain").join(fits, key, "left").withColumn("status", status).orderBy(order, key)
 
 
 def ordered_lists(rows: DataFrame, group: str, order: list[str], value: str, name: str = "items") -> DataFrame:

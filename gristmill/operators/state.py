@@ -63,7 +63,7 @@ def is_stale(at: Column, days: float, as_of: Column) -> Column:
 
 def is_due(last: Column, ttl_days: Column, as_of: Column) -> Column:
     """Never without a ttl; at once if never run; else when its age reaches the ttl."""
-    age = (F.unix_micros(as_of) - F.unix_micros(last)) / F.lit(86400e6)
+    age = (F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(last.cast("timestamp"))) / F.lit(86400e6)
     return F.when(ttl_days.isNull(), F.lit(False)).when(last.isNull(), F.lit(True)).otherwise(age >= ttl_days)
 
 

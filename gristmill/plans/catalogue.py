@@ -306,7 +306,7 @@ def lang_from_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.language_of(F.col("html"), F.lit(None).cast("string"), F.lit("")).alias("lang"))
 
 
-@_query("SELECT doc_id, regexp_extract(text, '^([^ ]*)', 1) AS title, 'https://' || source || '.example.com/' || doc_id AS url FROM documents")
+@_query("SELECT doc_id, regexp_extract(text, '^([^ \n]*)', 1) AS title, 'https://' || source || '.example.com/' || doc_id AS url FROM documents")
 def markdown_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     md = F.concat(F.lit("\n# "), F.regexp_extract("text", "^([^ ]*)", 1), F.lit(" \r\nSource: https://"), F.col("source"), F.lit(".example.com/"), F.col("doc_id").cast("string"), F.lit("\r\n\r\n"), F.col("text"))
@@ -355,7 +355,7 @@ def entity_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.unescaped(F.regexp_extract("html", "<title>(.*?)</title>", 1)).alias("title"))
 
 
-@_query("SELECT page_id, replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&amp;', '&') AS title, regexp_extract(html, 'lang=\"([a-z]+)\"', 1) AS language FROM pages")
+@_query("SELECT page_id, trim(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&amp;', '&')) AS title, regexp_extract(html, 'lang=\"([a-z]+)\"', 1) AS language FROM pages")
 def open_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").withColumn("page", P.parsed_page("html"))
     return p.select("page_id", P.open_graph(F.col("page"), F.col("url")).alias("og")).select("page_id", F.trim(F.col("og.title")).alias("title"), "og.language")
@@ -453,7 +453,7 @@ def reject_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.merged_rejects(old.withColumn("created_at", F.lit(None).cast("string")), new, own=("status", "notes", "created_at")).drop("created_at").withColumn("ou", F.round("ou", 2))
 
 
-@_query(f"""SELECT c_custkey, CASE WHEN at IS NULL THEN 'miss' WHEN at < TIMESTAMP '{_AS_OF}' - INTERVAL 60 DAY THEN 'stale' ELSE 'fresh' END AS status FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS at FROM orders GROUP BY 1) ON c_custkey = o_custkey""")
+@_query(f"""SELECT c_custkey, CASE WHEN t IS NULL THEN 'miss' WHEN t < TIMESTAMP '{_AS_OF}' - INTERVAL 60 DAY THEN 'stale' ELSE 'fresh' END AS status FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS t FROM orders GROUP BY 1) ON c_custkey = o_custkey""")
 def cache_tristate(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderdate").alias("created_at"))
     return state.cache_status(table(spark, sf_dir, "customer").select("c_custkey"), cache, ["c_custkey"], 60, F.to_timestamp(F.lit(_AS_OF))).select("c_custkey", "status")

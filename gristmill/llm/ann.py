@@ -40,35 +40,32 @@ def leaning(x: np.ndarray, turns: np.ndarray) -> np.ndarray:
     return np.concatenate([x, -x], 1)
 
 
-def inner_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """q by x in double precision, summed coordinate by coordinate: equal vectors get equal scores wherever they stand."""
-    out = np.zeros((len(q), len(x)))
-    for j in range(q.shape[1]):
-        out += q[:, j, None] * x[:, j]
-    return out
-
-
-def leaders(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, rows: int = 64, cols: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """ids and scores of the k best of x for each row of q, highest score first and then smallest id; a row's own id is left out."""
-    order = np.argsort(x_ids, kind="stable")
-    x, x_ids = x[order], x_ids[order]
+def leaders(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, rows: int = 256, cols: int = 16_384) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """ids and scores of the k best of x for each row of q, highest score first and then smallest id; a row's own id is left out.
+
+    A matrix product finds what may be among the best; its rounding differs from place to place, so these few are summed again coordinate
+    by coordinate, and equal vectors get equal scores wherever they stand.
+    """
+    slack = 1e-9 * float(np.abs(q).sum(1).max(initial=0)) * float(np.abs(x).max(initial=0))
     for a in range(0, len(q), rows):
-        ids, best = np.zeros((len(q[a : a + rows]), 0), np.int64), np.zeros((len(q[a : a + rows]), 0))
+        own, own_ids = q[a : a + rows], q_ids[a : a + rows]
+        row, ids, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         for b in range(0, len(x), cols):
-            s = inner_products(q[a : a + rows], x[b : b + cols])
-            s[q_ids[a : a + rows, None] == x_ids[b : b + cols]] = -np.inf
-            if s.shape[1] > k:  # all that reach the k-th best, of which the first by id stay
-                edge = np.partition(s, s.shape[1] - k, 1)[:, s.shape[1] - k, None]
-                room = k - (s > edge).sum(1, keepdims=True)
-                take = (s > edge) | ((s == edge) & (np.cumsum(s == edge, 1) <= room))
-                at = np.nonzero(take)[1].reshape(len(s), k)
-            else:
-                at = np.broadcast_to(np.arange(s.shape[1]), s.shape)
-            ids, best = np.concatenate([ids, x_ids[b : b + cols][at]], 1), np.concatenate([best, np.take_along_axis(s, at, 1)], 1)
-            top = np.lexsort((ids, -best), 1)[:, :k]
-            ids, best = np.take_along_axis(ids, top, 1), np.take_along_axis(best, top, 1)
-        for i, s in zip(ids, best, strict=True):
-            yield i[s > -np.inf], s[s > -np.inf]
+            near = own @ x[b : b + cols].T
+            near[own_ids[:, None] == x_ids[b : b + cols]] = -np.inf
+            edge = np.partition(near, near.shape[1] - k, 1)[:, near.shape[1] - k, None] - slack if near.shape[1] > k else -np.inf
+            r, c = np.nonzero((near >= edge) & (near > -np.inf))
+            exact = np.zeros(len(r))
+            for j in range(q.shape[1]):
+                exact += own[r, j] * x[b + c, j]
+            row, ids, score = np.r_[row, r], np.r_[ids, x_ids[b + c]], np.r_[score, exact]
+            top = np.lexsort((ids, -score, row))
+            row, ids, score = row[top], ids[top], score[top]
+            stay = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, ids, score = row[stay], ids[stay], score[stay]
+        ends = np.searchsorted(row, np.arange(len(own) + 1))
+        for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+            yield ids[lo:hi], score[lo:hi]
 
 
 def _proper(e: Column) -> Column:
@@ -81,6 +78,7 @@ def _proper(e: Column) -> Column:
 def nearest(df: DataFrame, is_query: Column, k: int = 20, tables: int = 8, probes: int = 16, block: int = 20_000, seed: int = 0, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each query the k rows of largest inner product that its probes find.
 
+    A query whose probes find fewer than k is asked again with all axes of one table, which is an exact search; so it gets k, or all there are.
     Rows with a null key, and vectors that are null, empty, zero or not finite take no part; all others must have one length (an error
     otherwise). Equal scores go by the smaller key. Rows that repeat a key and vector are one row, and a row is never its own neighbour. An empty table, or
     one vector, gives none. Buckets are worked on in blocks of at most `block` vectors by `block` queries, so a bucket may
@@ -89,7 +87,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, tables: int = 8, probe
     spark = df.sparkSession
     rows = staged(df.where(_proper(F.col(embedding)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("vec_id"), F.transform(embedding, lambda v: v.cast("double")).alias("v"), is_query.alias("is_query")).dropDuplicates(["vec_id", "v"]), "vectors")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, v: a + v * v))
-    seen = rows.agg(F.max(F.size("v")).alias("most"), F.min(F.size("v")).alias("least"), F.max(norm).alias("long"), F.min(norm).alias("short")).first()
+    seen = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("most"), F.min(F.size("v")).alias("least"), F.max(norm).alias("long"), F.min(norm).alias("short")).first()
     schema = "query_id long, rank int, vec_id long, score double"
     if seen["most"] is None:
         return spark.createDataFrame([], schema)
@@ -97,7 +95,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, tables: int = 8, probe
         raise ValueError(f"vectors of {seen['least']} and {seen['most']} components")
     longest, uneven = seen["long"], seen["long"] > 1.001 * seen["short"]
     turns = signs(tables, seen["most"] + uneven, seed)
-    probes = min(probes, 2 * turns.shape[2])
+    axes = 2 * turns.shape[2]
 
     def unit(v: np.ndarray, as_query: bool) -> np.ndarray:
         if uneven:
@@ -106,46 +104,57 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, tables: int = 8, probe
             return np.c_[v, more]
         return v / np.linalg.norm(v, axis=1, keepdims=True)
 
-    def hashed(as_query: bool):  # noqa: ANN202
+    def hashed(used: int, taken: int | None):  # noqa: ANN202
+        """Buckets of rows in the first `used` tables: the nearest axis, or the `taken` that a query probes."""
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 if not len(b):
                     continue
-                u = unit(np.stack(b["v"].to_numpy()), as_query)
-                for t in range(tables):
+                u = unit(np.stack(b["v"].to_numpy()), taken is not None)
+                for t in range(used):
                     lean = leaning(u, turns[t])
-                    at = np.argpartition(-lean, probes - 1, 1)[:, :probes] if as_query else lean.argmax(1)[:, None]
+                    at = np.argpartition(-lean, taken - 1, 1)[:, :taken] if taken else lean.argmax(1)[:, None]
                     n = at.shape[1]
-                    yield pd.DataFrame({"bucket": (t * 2 * turns.shape[2] + at).ravel().astype(np.int32), "id": np.repeat(b["vec_id"].to_numpy(), n), "v": [v for v in b["v"] for _ in range(n)]})
+                    yield pd.DataFrame({"bucket": (t * axes + at).ravel().astype(np.int32), "id": np.repeat(b["vec_id"].to_numpy(), n), "v": [v for v in b["v"] for _ in range(n)]})
 
         return run
 
-    indexed = rows.mapInPandas(hashed(False), "bucket int, id long, v array<double>")
-    probed = rows.where("is_query").mapInPandas(hashed(True), "bucket int, id long, v array<double>")
-    # how many blocks a bucket's rows need on either side; a row for each bucket, of which there are tables x 2 x dimensions
-    blocks = lambda x, name: F.broadcast(x.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias(name)))
-    cells = blocks(indexed.select("bucket", "id"), "xs").join(blocks(probed.select("bucket", "id"), "qs"), "bucket")
-    cells = F.broadcast(staged(cells, "cells"))
-    index = indexed.join(cells, "bucket").select("bucket", F.pmod(F.xxhash64("id"), "xs").cast("int").alias("x_block"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("q_block"), "id", "v")
-    asked = probed.join(cells, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("x_block"), F.pmod(F.xxhash64("id"), "qs").cast("int").alias("q_block"), "id", "v")
-
     def ranked(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(q):
             return pd.DataFrame({"query_id": [], "ids": [], "scores": []})
         found = list(leaders(np.stack(q["v"].to_numpy()), q["id"].to_numpy(), np.stack(x["v"].to_numpy()), x["id"].to_numpy(), k))
         return pd.DataFrame({"query_id": q["id"].to_numpy(), "ids": [i for i, _ in found], "scores": [s for _, s in found]})
 
-    cell = ["bucket", "x_block", "q_block"]
-    found = index.groupBy(*cell).cogroup(asked.groupBy(*cell)).applyInPandas(ranked, "query_id long, ids array<long>, scores array<double>")
-
     def merged(own: pd.DataFrame) -> pd.DataFrame:
         """The k best of what a query's probes found: at most k for each of its cells."""
         ids, scores = np.concatenate(own["ids"].to_list()), np.concatenate(own["scores"].to_list())
-        ids, first = np.unique(ids, return_index=True)
-        top = np.lexsort((ids, -scores[first]))[:k]
-        return pd.DataFrame({"query_id": own["query_id"].iloc[0], "rank": np.arange(1, len(top) + 1, dtype=np.int32), "vec_id": ids[top], "score": scores[first][top]})
-
-    return found.groupBy("query_id").applyInPandas(merged, schema)
+        # a key that stands for several vectors may come with several scores: the best is its own
+        order = np.lexsort((ids, -scores))
+        _, first = np.unique(ids[order], return_index=True)
+        top = order[np.sort(first)[:k]]
+        return pd.DataFrame({"query_id": own["query_id"].iloc[0], "rank": np.arange(1, len(top) + 1, dtype=np.int32), "vec_id": ids[top], "score": scores[top]})
+
+    def search(queries: DataFrame, used: int, taken: int) -> DataFrame:
+        indexed = rows.mapInPandas(hashed(used, None), "bucket int, id long, v array<double>")
+        probed = queries.mapInPandas(hashed(used, taken), "bucket int, id long, v array<double>")
+        # how many blocks a bucket's rows need on either side; a row for each bucket, of which there are tables x axes
+        blocks = lambda x, name: F.broadcast(x.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias(name)))
+        cells = blocks(indexed.select("bucket", "id"), "xs").join(blocks(probed.select("bucket", "id"), "qs"), "bucket")
+        cells = F.broadcast(staged(cells, "cells"))
+        index = indexed.join(cells, "bucket").select("bucket", F.pmod(F.xxhash64("id"), "xs").cast("int").alias("x_block"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("q_block"), "id", "v")
+        asked = probed.join(cells, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("x_block"), F.pmod(F.xxhash64("id"), "qs").cast("int").alias("q_block"), "id", "v")
+        cell = ["bucket", "x_block", "q_block"]
+        found = index.groupBy(*cell).cogroup(asked.groupBy(*cell)).applyInPandas(ranked, "query_id long, ids array<long>, scores array<double>")
+        return staged(found.groupBy("query_id").applyInPandas(merged, schema), "nearest")
+
+    asked = rows.where("is_query")
+    found = search(asked, tables, min(probes, axes))
+    full = found.groupBy(F.col("query_id").alias("vec_id")).count().where(F.col("count") >= min(k, seen["n"] - 1))
+    short = staged(asked.join(full, "vec_id", "left_anti"), "short")
+    if seen["n"] < 2 or short.isEmpty():
+        return found
+    return found.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(search(short, 1, axes))
 
 
 def brute_force(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:

@@ -2,16 +2,21 @@
 
 import hashlib
 import re
+from collections import Counter, defaultdict
 
 
 def words(text):
     return [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
 
 
+def lowered(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
 def remove_repeats(rows, window=20):
     """rows: (doc_id, text), ids distinct."""
     seen, out = set(), {}
-    for doc_id, text in sorted(rows):
+    for doc_id, text in sorted(rows, key=lambda r: r[0]):
         w, gone = words(text), set()
         for s in range(len(w) - window + 1):
             if (k := tuple(w[s : s + window])) in seen:
@@ -23,7 +28,7 @@ def remove_repeats(rows, window=20):
 
 
 def shingles(text, n):
-    w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    w = words(lowered(text))
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
 
 
@@ -49,3 +54,54 @@ def jaccard_components(rows, n, num, den):
                 a, b = find(d), find(e)
                 root[max(a, b)] = min(a, b)
     return {d: (len(sets[d]), find(d)) for d in ids}
+
+
+def masked(line):
+    tokens = [t for t in re.split(r"[ \t\n\x0b\x0c\r]+", line) if t]
+    return ["<*>" if re.search("[0-9]", t) else t for t in tokens]
+
+
+def drop_recurring_lines(rows, depth=4, agree=0.8, min_docs=5, min_tokens=3):
+    """rows: (doc_id, text), ids distinct. doc_id -> (text, lines, dropped)."""
+    leaves, at = defaultdict(set), defaultdict(list)
+    for d, text in rows:
+        if text is None:
+            continue
+        for i, line in enumerate(text.split("\n")):
+            t = masked(line)
+            if len(t) >= min_tokens:
+                leaf = (len(t), tuple(t[:depth]))
+                leaves[leaf].add(tuple(t))
+                at[(leaf, tuple(t))].append((d, i))
+    template = {}
+    for leaf, kinds in leaves.items():
+        consensus = []
+        for column in zip(*kinds, strict=True):
+            token, n = Counter(column).most_common(1)[0]
+            consensus.append(token if 2 * n > len(kinds) else "<*>")
+        for k in kinds:
+            same = sum(a == b for a, b in zip(k, consensus, strict=True))
+            template[(leaf, k)] = ("leaf", leaf) if len(kinds) > 1 and same >= agree * len(k) else ("own", k)
+    held, texts = defaultdict(list), dict(rows)
+    for key, places in at.items():
+        held[template[key]] += places
+    drop = defaultdict(set)
+    for places in held.values():
+        if len({texts[d] for d, _ in places}) >= min_docs:
+            keeper = texts[min(d for d, _ in places)]
+            for d, i in places:
+                if texts[d] != keeper:
+                    drop[d].add(i)
+    out = {}
+    for d, text in rows:
+        lines = text.split("\n") if text is not None else []
+        out[d] = (None if text is None else "\n".join(x for i, x in enumerate(lines) if i not in drop[d]), len(lines), len(drop[d]))
+    return out
+
+
+def exact_groups(rows):
+    """rows: (doc_id, text). doc_id -> (keep_id, group_size, kept, digest)."""
+    groups = defaultdict(list)
+    for d, t in rows:
+        groups[lowered(t)].append(d)
+    return {d: (max(g), len(g), d == max(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for d in g}

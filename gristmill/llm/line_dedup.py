@@ -6,7 +6,7 @@ agree with the consensus at `agree` of all positions are of the leaf's template,
 A template that stands in `min_docs` different texts or more is recurring: its lines are dropped, save in the text of
 the smallest doc_id that has it, so that no content is lost altogether.
 
-Leaves and lines travel as hashes; the texts are written once, bucketed by their digest, and each decision is joined to them
+Leaves and lines travel as hashes; the texts are written once, bucketed by a number of their row, and each decision is joined to them
 there. Texts are read for the templates only where a leaf has several lines.
 """
 
@@ -22,20 +22,35 @@ from gristmill.session import place, staged
 FIELD = "<*>"
 
 
-def masked(line: Column) -> Column:
-    """Tokens joined by single spaces; those that hold a digit as FIELD."""
-    spaced = F.when(line.rlike(r"[\x09\x0B-\x0D]|\x20\x20"), F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line)
-    spaced = F.btrim(spaced, F.lit(" "))
-    return F.when(spaced.rlike("[0-9]"), F.regexp_replace(spaced, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", FIELD)).otherwise(spaced)
+def spaced(line: Column) -> Column:
+    """Tokens joined by single spaces. Most lines are so already, which plain searches tell sooner than an expression does."""
+    odd = F.contains(line, F.lit("  "))
+    for c in "\t\x0b\x0c\r":
+        odd = odd | F.contains(line, F.lit(c))
+    return F.btrim(F.when(odd, F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line), F.lit(" "))
+
+
+def fielded(line: Column) -> Column:
+    """Tokens that hold a digit as FIELD; line: spaced."""
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", FIELD)).otherwise(line)
+
+
+def with_masked(df: DataFrame, line: Column, *keep: str) -> DataFrame:
+    """keep and _m, the line with its fields masked. A generator for each step: what it makes is worked out once, however often it is used."""
+    held = df.select(*keep, F.explode(F.array(spaced(line))).alias("_s"))
+    return held.select(*keep, F.explode(F.array(fielded(F.col("_s")))).alias("_m"))
 
 
 def n_tokens(m: Column) -> Column:
-    return F.char_length(m) - F.char_length(F.replace(m, F.lit(" "), F.lit(""))) + 1
+    """Of a masked line that isn't empty."""
+    return F.octet_length(m) - F.octet_length(F.replace(m, F.lit(" "), F.lit(""))) + 1
 
 
 def _bucketed(df: DataFrame, by: str) -> DataFrame:
+    """df, dealt out by `by` once, as a table of a file for each bucket: later joins by it leave the texts where they are."""
     spark, name = df.sparkSession, f"texts_{uuid.uuid4().hex}"
-    df.write.format("parquet").option("path", place(spark, "texts")).option("compression", "zstd").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).saveAsTable(name)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, by).write.format("parquet").option("path", place(spark, "texts")).option("compression", "zstd").bucketBy(n, by).saveAsTable(name)
     return spark.table(name)
 
 
@@ -48,24 +63,26 @@ def drop_recurring_lines(df: DataFrame, depth: int = 4, agree: float = 0.8, min_
     """
     cols = df.columns
     body = F.coalesce(F.col(text), F.lit(""))
-    held = _bucketed(df.select(F.unhex(F.md5(F.encode(body, "UTF-8"))).alias("_ld_text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(cols)]), "_ld_text")
+    # rows are dealt out by a number of their own, so that copies of a text don't gather
+    held = _bucketed(df.select(F.monotonically_increasing_id().alias("_row"), F.unhex(F.md5(F.encode(body, "UTF-8"))).alias("_ld_text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(cols)]), "_row")
     doc, body = F.col(f"_c{cols.index(key)}"), F.col(f"_c{cols.index(text)}")
 
-    m = F.col("_m")
-    lines = held.where(body.isNotNull()).select("_ld_text", F.coalesce(doc.cast("long"), F.lit((1 << 63) - 1)).alias("_doc"), F.posexplode(F.split(body, "\n")).alias("_line", "_x")).withColumn("_m", masked(F.col("_x")))
-    lines = lines.withColumn("_n", n_tokens(m)).where(F.col("_n") >= min_tokens).select("_ld_text", "_doc", "_line", F.xxhash64("_n", F.substring_index(m, " ", depth)).alias("_leaf"), F.xxhash64(F.lit(0), m).alias("_own"))
+    m, place_of = F.col("_m"), ["_row", "_ld_text", "_doc", "_line"]
+    lines = held.where(body.isNotNull()).select("_row", "_ld_text", F.coalesce(doc.cast("long"), F.lit((1 << 63) - 1)).alias("_doc"), F.posexplode(F.split(body, "\n")).alias("_line", "_x"))
+    long_enough = (m != "") & (F.substring_index(m, " ", min_tokens - 1) != m if min_tokens > 1 else F.lit(True))
+    lines = with_masked(lines, F.col("_x"), *place_of).where(long_enough).select(*place_of, F.xxhash64(n_tokens(m), F.substring_index(m, " ", depth)).alias("_leaf"), F.xxhash64(F.lit(0), m).alias("_own"))
     lines = staged(lines, "lines")
 
     # only leaves that stand in several texts can hold a recurring template
     leaves = lines.groupBy("_leaf").agg(F.count("*").alias("_n"), F.min("_ld_text").alias("_a"), F.max("_ld_text").alias("_b"), F.min("_own").alias("_p"), F.max("_own").alias("_q"))
-    leaves = leaves.where((F.col("_n") >= min_docs) & (F.col("_a") != F.col("_b"))).select("_leaf", (F.col("_p") != F.col("_q")).alias("_several"))
+    leaves = staged(leaves.where((F.col("_n") >= min_docs) & (F.col("_a") != F.col("_b"))).select("_leaf", (F.col("_p") != F.col("_q")).alias("_several")), "leaves")
     lines = staged(lines.join(leaves, "_leaf"), "lines")
 
     # the different lines of leaves that have several, each read where it stands first
-    kinds = lines.where("_several").groupBy("_leaf", "_own").agg(F.min(F.struct("_ld_text", "_line")).alias("_at"))
-    wanted = kinds.select("_at._ld_text", F.struct("_at._line", "_leaf", "_own").alias("_w")).groupBy("_ld_text").agg(F.collect_list("_w").alias("_w"))
-    texts = held.select("_ld_text", body.alias("_x")).join(wanted.hint("merge"), "_ld_text").dropDuplicates(["_ld_text"]).select(F.split("_x", "\n").alias("_x"), F.explode("_w").alias("_w"))
-    kinds = staged(texts.select("_w._leaf", "_w._own", F.split(masked(F.element_at("_x", F.col("_w._line") + 1)), " ").alias("_tokens")), "kinds")
+    kinds = lines.where("_several").groupBy("_leaf", "_own").agg(F.min(F.struct("_row", "_line")).alias("_at"))
+    wanted = kinds.select("_at._row", F.struct("_at._line", "_leaf", "_own").alias("_w")).groupBy("_row").agg(F.collect_list("_w").alias("_w"))
+    texts = held.select("_row", body.alias("_x")).join(wanted.hint("merge"), "_row").select(F.split("_x", "\n").alias("_x"), F.explode("_w").alias("_w")).select("_w._leaf", "_w._own", F.element_at("_x", F.col("_w._line") + 1).alias("_x"))
+    kinds = staged(with_masked(texts, F.col("_x"), "_leaf", "_own").select("_leaf", "_own", F.split("_m", " ").alias("_tokens")), "kinds")
     tokens = kinds.select("_leaf", F.posexplode("_tokens").alias("_at", "_token")).groupBy("_leaf", "_at", "_token").agg(F.count("*").alias("_n"))
     places = tokens.groupBy("_leaf", "_at").agg(F.sum("_n").alias("_all"), F.max(F.struct("_n", "_token")).alias("_top"))
     consensus = places.select("_leaf", F.struct("_at", F.when(F.col("_top._n") * 2 > F.col("_all"), F.col("_top._token")).otherwise(FIELD).alias("_token")).alias("_p")).groupBy("_leaf").agg(F.transform(F.array_sort(F.collect_list("_p")), lambda p: p["_token"]).alias("_consensus"))
@@ -73,13 +90,13 @@ def drop_recurring_lines(df: DataFrame, depth: int = 4, agree: float = 0.8, min_
     joined = kinds.join(consensus, "_leaf").where(same >= agree * F.size("_tokens")).select("_leaf", "_own", F.lit(True).alias("_joined"))
 
     told = lines.where("_several").join(joined, ["_leaf", "_own"], "left").withColumn("_template", F.when(F.col("_joined"), F.col("_leaf")).otherwise(F.col("_own"))).drop("_joined")
-    told = staged(told.unionByName(lines.where("not _several").withColumn("_template", F.col("_own"))).select("_ld_text", "_doc", "_line", "_template"), "templates")
+    told = staged(told.unionByName(lines.where("not _several").withColumn("_template", F.col("_own"))).select(*place_of, "_template"), "templates")
     texts_of = told.groupBy("_template", "_ld_text").agg(F.min("_doc").alias("_doc"))
     recurring = texts_of.groupBy("_template").agg(F.count("*").alias("_n"), F.min(F.struct("_doc", "_ld_text")).alias("_first")).where(F.col("_n") >= min_docs).select("_template", F.col("_first._ld_text").alias("_keeper"))
-    dropped = told.join(staged(recurring, "recurring"), "_template").where(F.col("_ld_text") != F.col("_keeper")).groupBy("_ld_text").agg(F.array_sort(F.collect_set("_line")).alias("_drop"))
+    dropped = told.join(staged(recurring, "recurring"), "_template").where(F.col("_ld_text") != F.col("_keeper")).groupBy("_row").agg(F.array_sort(F.collect_set("_line")).alias("_drop"))
 
     # what stays lies between the dropped lines
-    out = held.join(dropped.hint("merge"), "_ld_text", "left").withColumn("_x", F.split(body, "\n"))
+    out = held.join(dropped.hint("merge"), "_row", "left").withColumn("_x", F.split(body, "\n"))
     edges = F.concat(F.array(F.lit(-1)), F.col("_drop"), F.array(F.size("_x")))
     kept = F.expr("flatten(transform(sequence(1, size(_e) - 1), j -> slice(_x, _e[j - 1] + 2, _e[j] - _e[j - 1] - 1)))")
     out = out.withColumn("_e", F.when(F.col("_drop").isNotNull(), edges)).withColumn("_text", F.when(F.col("_drop").isNull(), body).otherwise(F.array_join(kept, "\n")))

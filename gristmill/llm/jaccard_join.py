@@ -6,6 +6,10 @@ neighbourhood (2: two contents that differ in one element meet as well). If the
 segment. Sizes are cut into bands so that linked sets lie in one band or in two that follow each other; a family is a band with the
 next one, and each family gets the number of segments of either kind that costs least by its size and number of sets.
 
+Some contents are common without saying much: empty segments, or those of a passage that many documents share. So the counts sum to
+H + 1 + K: linked sets then meet in segments that count K + 1 or more, and each set may give up those of its contents that most sets have, as long as
+they count K at most. Of the segments in which two linked sets meet, the one with the rarest content is kept by both.
+
 Sets that meet are joined into clusters by one edge from each meeting's least member, never by all its pairs. The clusters'
 sets are read again, and within a cluster all sets are held against each other exactly, in blocks if it is large; only a
 spanning forest of the links leaves a block.
@@ -29,6 +33,8 @@ from gristmill.session import staged
 BLOCK_SETS, BLOCK_ELEMENTS = 1024, 4_000_000
 #: Signature entries that one part of the index is meant to hold.
 PART_ENTRIES = 4_000_000
+#: K as a share of H + 1; contents that more sets than FREQUENT have are held against it.
+SLACK, FREQUENT = 0.25, 16
 
 
 def shingle_sets(texts: list[bytes | None], n: int) -> list[np.ndarray]:
@@ -76,13 +82,17 @@ class Bands:
         r = int(self.starts[g + 1]) - 1
         return (self.den - self.num) * (r + r * self.den // self.num) // (self.den + self.num)
 
+    def slack(self, g: int) -> int:
+        """What the contents that a set gives up may count."""
+        return int(np.ceil(SLACK * (self.difference(g) + 1)))
+
     def allocate(self, g: int, sets: int, chance: float = 0.2, meeting: float = 1e-3) -> tuple[int, int]:
         """Segments of family g, and how many of them, the first, also have their one-deletion neighbourhoods.
 
         The cost is signatures for a set, and for each other set of the family the chance that a segment meets by accident,
         `chance` to the power of its length.
         """
-        h, size = self.difference(g), float(self.starts[g + 1])
+        h, size = self.difference(g) + self.slack(g), float(self.starts[g + 1])
         best = None
         for twice in range(h // 2 + 1):
             m = h + 1 - twice
@@ -188,16 +198,17 @@ def jaccard_components(df: DataFrame, ngram: int = 5, num: int = 80, den: int =
             sets = shingle_sets(b.column("text").to_pylist(), ngram)
             ids = set_ids(sets)
             new = {i: s for i, s in zip(ids, sets, strict=True) if i is not None}  # a set of the batch once
-            sigs, owner = [], []
-            for k, s in enumerate(new.values()):
+            sigs, owner, owners = [], [], []
+            for i, s in new.items():
                 own = int(bands.of(np.array(len(s))))
                 for g in (own - 1, own):
                     if g >= 0 and bands.difference(g):  # else only equal sets link, which need no index
                         sigs.append(signatures(s, g, *plan[g]))
-                        owner.append(np.full(len(sigs[-1]), k, np.uint32))
+                        owner.append(np.full(len(sigs[-1]), len(owners), np.uint32))
+                        owners.append((i, g))
             if not sigs:
                 continue
-            sig, owner, ids = np.concatenate(sigs), np.concatenate(owner), np.array(list(new), np.int64)
+            sig, owner, owners = np.concatenate(sigs), np.concatenate(owner), np.array(owners, np.int64)
             part = (sig >> np.uint64(40)) % np.uint64(parts)
             order = np.argsort(part, kind="stable")
             edges = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
@@ -206,22 +217,36 @@ def jaccard_components(df: DataFrame, ngram: int = 5, num: int = 80, den: int =
                 at = order[edges[p] : edges[p + 1]]
                 if len(at):
                     own, which = np.unique(owner[at], return_inverse=True)
-                    rows.append((p, sig[at].tobytes(), ids[own].tobytes(), which.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()))
+                    rows.append((p, sig[at].tobytes(), owners[own].tobytes(), which.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3)]], ["part", "sig", "ids", "which"])
 
     def met(rows: pd.DataFrame) -> pd.DataFrame:
+        """Edges a, b from the least set of each content that few have (n is 0), and the sets a of the others, with their number n."""
         sig = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["sig"]])
-        ids = np.concatenate([np.frombuffer(i, np.int64)[np.ascontiguousarray(np.frombuffer(w, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()] for i, w in zip(rows["ids"], rows["which"], strict=True)])
-        order = np.lexsort((ids, sig))
-        sig, ids = sig[order], ids[order]
+        own = np.concatenate([np.frombuffer(i, np.int64).reshape(-1, 2)[np.ascontiguousarray(np.frombuffer(w, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()] for i, w in zip(rows["ids"], rows["which"], strict=True)])
+        order = np.lexsort((own[:, 0], sig))
+        sig, ids, family = sig[order], own[order, 0], own[order, 1]
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])  # a set that stands in several batches counts once
+        sig, ids, family = sig[new], ids[new], family[new]
         new = np.ones(len(sig), bool)
         new[1:] = sig[1:] != sig[:-1]
-        least = ids[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        pairs = np.stack([ids, least], 1)[ids != least]
+        at = np.cumsum(new) - 1
+        n, least = np.bincount(at)[at], ids[new][at]
+        often = n > FREQUENT
+        pairs = np.stack([ids, least], 1)[~often & (ids != least)]
         pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    edges = docs.select("text").mapInArrow(signed, "part int, sig binary, ids binary, which binary").repartition(parts, "part").groupBy("part").applyInPandas(met, "a long, b long")
+        rare = pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "sig": 0, "n": 0, "family": 0})
+        return pd.concat([rare, pd.DataFrame({"a": ids[often], "b": 0, "sig": sig[often].view(np.int64), "n": n[often], "family": family[often]})])
+
+    meetings = docs.select("text").mapInArrow(signed, "part int, sig binary, ids binary, which binary").repartition(parts, "part").groupBy("part").applyInPandas(met, "a long, b long, sig long, n long, family int")
+    meetings = staged(meetings, "meetings")
+    # a set's contents that more sets have, the most frequent first; it gives up what its slack allows (those of segments with deletions count 2)
+    spared = F.lit([bands.slack(g) // (2 if t else 1) for g, (_, t) in enumerate(plan)] or [0])
+    often = meetings.where("n > 0").groupBy("a", "family").agg(F.sort_array(F.collect_list(F.struct("n", "sig")), asc=False).alias("x"))
+    often = staged(often.withColumn("k", F.element_at(spared, F.col("family") + 1)).where("size(x) > k").select("a", F.explode(F.expr("slice(x, k + 1, size(x) - k)")).alias("x")).select("a", "x.sig"), "often")
+    least = staged(often.groupBy("sig").agg(F.min("a").alias("b")), "least")
+    edges = meetings.where("n = 0").select("a", "b").unionByName(often.join(least, "sig").where("a <> b").select("a", "b").distinct())
     clusters = components(edges)
 
     # each set of a cluster once, with the blocks of its cluster

@@ -87,7 +87,7 @@ def drop_recurring_lines(df: DataFrame, depth: int = 4, agree: float = 0.8, min_
     places = tokens.groupBy("_leaf", "_at").agg(F.sum("_n").alias("_all"), F.max(F.struct("_n", "_token")).alias("_top"))
     consensus = places.select("_leaf", F.struct("_at", F.when(F.col("_top._n") * 2 > F.col("_all"), F.col("_top._token")).otherwise(FIELD).alias("_token")).alias("_p")).groupBy("_leaf").agg(F.transform(F.array_sort(F.collect_list("_p")), lambda p: p["_token"]).alias("_consensus"))
     same = F.aggregate(F.zip_with("_tokens", "_consensus", lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, v: a + v)
-    joined = kinds.join(consensus, "_leaf").where(same >= agree * F.size("_tokens")).select("_leaf", "_own", F.lit(True).alias("_joined"))
+    joined = kinds.join(staged(consensus, "consensus"), "_leaf").where(same >= agree * F.size("_tokens")).select("_leaf", "_own", F.lit(True).alias("_joined"))
 
     told = lines.where("_several").join(joined, ["_leaf", "_own"], "left").withColumn("_template", F.when(F.col("_joined"), F.col("_leaf")).otherwise(F.col("_own"))).drop("_joined")
     told = staged(told.unionByName(lines.where("not _several").withColumn("_template", F.col("_own"))).select(*place_of, "_template"), "templates")

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+import weakref
+from collections.abc import Callable, Iterable, Iterator
+from typing import ClassVar
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,8 +72,18 @@ def lower_ascii(text: Column) -> Column:
 class Memo:
     """Values by word, computed in batches. Two generations of at most `limit` words (or one batch's): a word that is asked for again moves to the younger."""
 
+    alive: ClassVar[weakref.WeakSet[Memo]] = weakref.WeakSet()
+
     def __init__(self, compute: Callable[[list[str]], Iterable], limit: int = 500_000):
         self.compute, self.limit, self.held, self.old = compute, limit, {}, {}
+        Memo.alive.add(self)
+
+    @classmethod
+    def forget_all(cls) -> None:
+        """Gives back a task's memory at its end: workers are used again, and what they keep would add up."""
+        for m in cls.alive:
+            m.held, m.old = {}, {}
+        pa.default_memory_pool().release_unused()
 
     def of(self, wanted: set[str]) -> dict:
         missing = [w for w in wanted if w not in self.held]
@@ -82,6 +96,15 @@ class Memo:
         return self.held
 
 
+def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in stretches of rows that have about `most` bytes in a column (but for one larger row)."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    edges = np.r_[0, np.flatnonzero(np.diff(np.cumsum(size, dtype=np.int64) // most)) + 1, len(size)]
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        if hi > lo:
+            yield batch.slice(lo, hi - lo)
+
+
 def numbered(df: DataFrame, order: list[str], name: str) -> tuple[DataFrame, int]:
     """df with a global row number from 0 in the given order, and the number of rows.
 

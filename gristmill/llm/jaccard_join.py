@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import mixed_bits, word_hashes
+from gristmill.llm.common import mixed_bits, slices, word_hashes
 from gristmill.llm.components import components
 from gristmill.session import staged
 
 #: Sets of a verification block, and their elements, at most (but for one larger set).
 BLOCK_SETS, BLOCK_ELEMENTS = 1024, 4_000_000
 #: Signature entries that one part of the index is meant to hold.
-PART_ENTRIES = 4_000_000
+PART_ENTRIES = 1_000_000
 #: K as a share of H + 1; contents that more sets than FREQUENT have are held against it.
 SLACK, FREQUENT = 0.25, 16
 
@@ -176,7 +176,7 @@ def jaccard_components(df: DataFrame, ngram: int = 5, num: int = 80, den: int =
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.encode(text, "UTF-8").alias("text")).withColumn("text_key", F.unhex(F.md5(F.coalesce("text", F.lit(b"")))))
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (s for b in batches for s in slices(b, "text")):
             sets = shingle_sets(b.column("text").to_pylist(), ngram)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key").cast(pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_ids(sets), pa.int64())], ["doc_id", "text_key", "n_shingles", "set_id"])
 
@@ -194,10 +194,11 @@ def jaccard_components(df: DataFrame, ngram: int = 5, num: int = 80, den: int =
     parts = int(max(1, -(-entries // PART_ENTRIES)))
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        seen: set[int | None] = {None}  # a set of the partition once
+        for b in (s for b in batches for s in slices(b, "text")):
             sets = shingle_sets(b.column("text").to_pylist(), ngram)
-            ids = set_ids(sets)
-            new = {i: s for i, s in zip(ids, sets, strict=True) if i is not None}  # a set of the batch once
+            new = {i: s for i, s in zip(set_ids(sets), sets, strict=True) if i not in seen}
+            seen.update(new)
             sigs, owner, owners = [], [], []
             for i, s in new.items():
                 own = int(bands.of(np.array(len(s))))
@@ -258,7 +259,7 @@ def jaccard_components(df: DataFrame, ngram: int = 5, num: int = 80, den: int =
     wanted = docs.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"), "text").join(member.hint("merge"), (F.col("_t") == F.col("text_key")) & F.col("_d").eqNullSafe(F.col("doc_id"))).select("text", "set_id", "cluster", "blocks", "block")
 
     def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (s for b in batches for s in slices(b, "text")):
             sets = shingle_sets(b.column("text").to_pylist(), ngram)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("set_id", "cluster", "blocks", "block")), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_id", "cluster", "blocks", "block", "elements"])
 

@@ -14,10 +14,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import PandasUDFType
+
+from gristmill.llm.common import Memo
 
 BUCKETS = 1 << 16
 #: Letters that are worked on at once.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 #: More label values than this are refused: the model has a row of BUCKETS numbers for each.
 MOST_LANGUAGES = 4096
 
@@ -138,6 +141,7 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lan
         for name, held in sums.items():
             at = np.flatnonzero(held)
             yield pd.DataFrame({"lang": name, "bucket": at.astype(np.int32), "n": held[at]})
+        Memo.forget_all()
 
     labelled = df.where(~held_out(F.col(key)) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     rows = labelled.mapInPandas(counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
@@ -158,10 +162,12 @@ def identify(df: DataFrame, model: Model, penalty: float = 3.0, text: str = "tex
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(model)  # languages x BUCKETS numbers, whatever the corpus
 
-    @F.pandas_udf("lang_pred string, score double, lang_set string")
-    def predicted(x: pd.Series) -> pd.DataFrame:
-        pred, score, chosen = shared.value.predict(x.tolist(), penalty)
-        return pd.DataFrame({"lang_pred": pred, "score": score, "lang_set": chosen})
+    def predicted(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for x in texts:
+            pred, score, chosen = shared.value.predict(x.tolist(), penalty)
+            yield pd.DataFrame({"lang_pred": pred, "score": score, "lang_set": chosen})
+        Memo.forget_all()
 
+    predicted = F.pandas_udf(predicted, "lang_pred string, score double, lang_set string", PandasUDFType.SCALAR_ITER)
     held = df.drop("lang_pred", "score", "lang_set").withColumn("_lang", predicted(F.col(text)))
     return held.select("*", "_lang.lang_pred", "_lang.score", "_lang.lang_set").drop("_lang")

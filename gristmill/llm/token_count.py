@@ -10,12 +10,14 @@ such a sequence merges its leftmost place alone in that round. The counts are th
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import PandasUDFType
 
 from gristmill.llm.common import Memo
 
@@ -165,10 +167,13 @@ def token_counts(df: DataFrame, model: str, limit: int = 4096, key: str = "doc_i
     of df are not read.
     """
 
-    @F.pandas_udf("long")
-    def counted(x: pd.Series) -> pd.Series:
-        own, texts = counter(model), x.tolist()
-        return pd.Series([n for i in range(0, len(texts), 512) for n in own.counts(texts[i : i + 512])], dtype="int64")
+    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = counter(model)
+        for x in batches:
+            texts = x.tolist()
+            yield pd.Series([n for i in range(0, len(texts), 512) for n in own.counts(texts[i : i + 512])], dtype="int64")
+        Memo.forget_all()
 
+    counted = F.pandas_udf(counted, "long", PandasUDFType.SCALAR_ITER)
     body = F.coalesce(F.col(text), F.lit(""))
     return df.select(F.col(key).alias("doc_id"), F.octet_length(body).cast("long").alias("n_bytes"), counted(body).alias("n_tokens")).withColumn("over_limit", F.col("n_tokens") > limit)

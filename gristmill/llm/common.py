@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import weakref
 from collections.abc import Callable, Iterable, Iterator
@@ -78,13 +79,6 @@ class Memo:
         self.compute, self.limit, self.held, self.old = compute, limit, {}, {}
         Memo.alive.add(self)
 
-    @classmethod
-    def forget_all(cls) -> None:
-        """Gives back a task's memory at its end: workers are used again, and what they keep would add up."""
-        for m in cls.alive:
-            m.held, m.old = {}, {}
-        pa.default_memory_pool().release_unused()
-
     def of(self, wanted: set[str]) -> dict:
         missing = [w for w in wanted if w not in self.held]
         if missing and len(self.held) + len(missing) > self.limit:
@@ -96,6 +90,15 @@ class Memo:
         return self.held
 
 
+def release() -> None:
+    """Gives back a task's memory at its end: workers are used again, and what each operator leaves in them would add up."""
+    for m in Memo.alive:
+        m.held, m.old = {}, {}
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps freed pages otherwise
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in stretches of rows that have about `most` bytes in a column (but for one larger row)."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

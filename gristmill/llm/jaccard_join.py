@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import mixed_bits, slices, word_hashes
+from gristmill.llm.common import mixed_bits, release, slices, word_hashes
 from gristmill.llm.components import components
 from gristmill.session import staged
 
@@ -179,6 +179,7 @@ def jaccard_components(df: DataFrame, ngram: int = 5, num: int = 80, den: int =
         for b in (s for b in batches for s in slices(b, "text")):
             sets = shingle_sets(b.column("text").to_pylist(), ngram)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key").cast(pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_ids(sets), pa.int64())], ["doc_id", "text_key", "n_shingles", "set_id"])
+        release()
 
     base = staged(docs.mapInArrow(sized, base_schema), "sets")
     largest = base.agg(F.max("n_shingles").alias("n")).first()["n"] or 0
@@ -220,6 +221,7 @@ def jaccard_components(df: DataFrame, ngram: int = 5, num: int = 80, den: int =
                     own, which = np.unique(owner[at], return_inverse=True)
                     rows.append((p, sig[at].tobytes(), owners[own].tobytes(), which.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3)]], ["part", "sig", "ids", "which"])
+        release()
 
     def met(rows: pd.DataFrame) -> pd.DataFrame:
         """Edges a, b from the least set of each content that few have (n is 0), and the sets a of the others, with their number n."""
@@ -262,6 +264,7 @@ def jaccard_components(df: DataFrame, ngram: int = 5, num: int = 80, den: int =
         for b in (s for b in batches for s in slices(b, "text")):
             sets = shingle_sets(b.column("text").to_pylist(), ngram)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("set_id", "cluster", "blocks", "block")), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_id", "cluster", "blocks", "block", "elements"])
+        release()
 
     spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
     held = wanted.mapInArrow(fetched, "set_id long, cluster long, blocks int, block int, elements binary")

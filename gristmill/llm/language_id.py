@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import PandasUDFType
 
-from gristmill.llm.common import Memo
+from gristmill.llm.common import release
 
 BUCKETS = 1 << 16
 #: Letters that are worked on at once.
@@ -141,7 +141,7 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lan
         for name, held in sums.items():
             at = np.flatnonzero(held)
             yield pd.DataFrame({"lang": name, "bucket": at.astype(np.int32), "n": held[at]})
-        Memo.forget_all()
+        release()
 
     labelled = df.where(~held_out(F.col(key)) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     rows = labelled.mapInPandas(counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
@@ -166,7 +166,7 @@ def identify(df: DataFrame, model: Model, penalty: float = 3.0, text: str = "tex
         for x in texts:
             pred, score, chosen = shared.value.predict(x.tolist(), penalty)
             yield pd.DataFrame({"lang_pred": pred, "score": score, "lang_set": chosen})
-        Memo.forget_all()
+        release()
 
     predicted = F.pandas_udf(predicted, "lang_pred string, score double, lang_set string", PandasUDFType.SCALAR_ITER)
     held = df.drop("lang_pred", "score", "lang_set").withColumn("_lang", predicted(F.col(text)))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import Memo, numbered
+from gristmill.llm.common import Memo, numbered, release
 
 #: Latin letters that neither normalising nor lowering turns into anything but as many letters, then ASCII marks but the apostrophe.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ňŊ-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
@@ -217,7 +217,7 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int, key: str = "doc_id", te
                 keys, texts = (b.column(i).slice(at, 256).to_pylist() for i in (0, 1))
                 rows = [(k, i // step, i // 4, len(x) // 4, zlib.crc32(x), *[x] * with_ids) for k, ids in zip(keys, _text_ids(texts, memo), strict=True) for whole in [ids + end] for i in range(0, len(whole), step) for x in [whole[i : i + step]]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-        Memo.forget_all()
+        release()
 
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * with_ids]
     names = [f.split(" ")[0] for f in schema.split(", ")]

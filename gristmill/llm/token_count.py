@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import PandasUDFType
 
-from gristmill.llm.common import Memo
+from gristmill.llm.common import Memo, release
 
 SPACE = "▁"
 NONE = np.iinfo(np.int32).max
@@ -172,7 +172,7 @@ def token_counts(df: DataFrame, model: str, limit: int = 4096, key: str = "doc_i
         for x in batches:
             texts = x.tolist()
             yield pd.Series([n for i in range(0, len(texts), 512) for n in own.counts(texts[i : i + 512])], dtype="int64")
-        Memo.forget_all()
+        release()
 
     counted = F.pandas_udf(counted, "long", PandasUDFType.SCALAR_ITER)
     body = F.coalesce(F.col(text), F.lit(""))

@@ -7,8 +7,9 @@ segment. Sizes are cut into bands so that linked sets lie in one band or in two
 next one, and each family gets the number of segments of either kind that costs least by its size and number of sets.
 
 Some contents are common without saying much: empty segments, or those of a passage that many documents share. So the counts sum to
-H + 1 + K: linked sets then meet in segments that count K + 1 or more, and each set may give up those of its contents that most sets have, as long as
-they count K at most. Of the segments in which two linked sets meet, the one with the rarest content is kept by both.
+H + 1 + K: linked sets then meet in segments that count K + 1 or more. A set that shares contents of a smaller count with others drops out, and each of
+the rest gives up those of its shared contents that most sets have, as long as they count K at most. Of the segments in which two linked sets meet, the one with the
+rarest content is kept by both.
 
 Sets that meet are joined into clusters by one edge from each meeting's least member, never by all its pairs. The clusters'
 sets are read again, and within a cluster all sets are held against each other exactly, in blocks if it is large; only a
@@ -33,8 +34,8 @@ from gristmill.session import staged
 BLOCK_SETS, BLOCK_ELEMENTS = 1024, 4_000_000
 #: Signature entries that one part of the index is meant to hold.
 PART_ENTRIES = 1_000_000
-#: K as a share of H + 1; contents that more sets than FREQUENT have are held against it.
-SLACK, FREQUENT = 0.25, 16
+#: K as a share of H + 1.
+SLACK = 0.25
 
 
 def shingle_sets(texts: list[bytes | None], n: int) -> list[np.ndarray]:
@@ -224,7 +225,7 @@ def jaccard_components(df: DataFrame, ngram: int = 5, num: int = 80, den: int =
         release()
 
     def met(rows: pd.DataFrame) -> pd.DataFrame:
-        """Edges a, b from the least set of each content that few have (n is 0), and the sets a of the others, with their number n."""
+        """Contents that several sets have, with each of these sets and their number n."""
         sig = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["sig"]])
         own = np.concatenate([np.frombuffer(i, np.int64).reshape(-1, 2)[np.ascontiguousarray(np.frombuffer(w, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()] for i, w in zip(rows["ids"], rows["which"], strict=True)])
         order = np.lexsort((own[:, 0], sig))
@@ -234,22 +235,19 @@ def jaccard_components(df: DataFrame, ngram: int = 5, num: int = 80, den: int =
         sig, ids, family = sig[new], ids[new], family[new]
         new = np.ones(len(sig), bool)
         new[1:] = sig[1:] != sig[:-1]
-        at = np.cumsum(new) - 1
-        n, least = np.bincount(at)[at], ids[new][at]
-        often = n > FREQUENT
-        pairs = np.stack([ids, least], 1)[~often & (ids != least)]
-        pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
-        rare = pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "sig": 0, "n": 0, "family": 0})
-        return pd.concat([rare, pd.DataFrame({"a": ids[often], "b": 0, "sig": sig[often].view(np.int64), "n": n[often], "family": family[often]})])
-
-    meetings = docs.select("text").mapInArrow(signed, "part int, sig binary, ids binary, which binary").repartition(parts, "part").groupBy("part").applyInPandas(met, "a long, b long, sig long, n long, family int")
-    meetings = staged(meetings, "meetings")
-    # a set's contents that more sets have, the most frequent first; it gives up what its slack allows (those of segments with deletions count 2)
+        n = np.bincount(at := np.cumsum(new) - 1)[at]
+        shared = n > 1
+        return pd.DataFrame({"a": ids[shared], "family": family[shared], "sig": sig[shared].view(np.int64), "n": n[shared]})
+
+    meetings = docs.select("text").mapInArrow(signed, "part int, sig binary, ids binary, which binary").repartition(parts, "part").groupBy("part").applyInPandas(met, "a long, family int, sig long, n long")
+    # what a set may give up, the most frequent first (contents of segments with deletions count 2), and what it must share at least
     spared = F.lit([bands.slack(g) // (2 if t else 1) for g, (_, t) in enumerate(plan)] or [0])
-    often = meetings.where("n > 0").groupBy("a", "family").agg(F.sort_array(F.collect_list(F.struct("n", "sig")), asc=False).alias("x"))
-    often = staged(often.withColumn("k", F.element_at(spared, F.col("family") + 1)).where("size(x) > k").select("a", F.explode(F.expr("slice(x, k + 1, size(x) - k)")).alias("x")).select("a", "x.sig"), "often")
-    least = staged(often.groupBy("sig").agg(F.min("a").alias("b")), "least")
-    edges = meetings.where("n = 0").select("a", "b").unionByName(often.join(least, "sig").where("a <> b").select("a", "b").distinct())
+    needed = F.lit([-(-(bands.slack(g) + 1) // (2 if t else 1)) for g, (_, t) in enumerate(plan)] or [0])
+    kept = meetings.groupBy("a", "family").agg(F.sort_array(F.collect_list(F.struct("n", "sig")), asc=False).alias("x"))
+    kept = kept.withColumn("k", F.element_at(spared, F.col("family") + 1)).where((F.size("x") >= F.element_at(needed, F.col("family") + 1)) & (F.size("x") > F.col("k")))
+    kept = staged(kept.select("a", F.explode(F.expr("slice(x, k + 1, size(x) - k)")).alias("x")).select("a", "x.sig"), "meetings")
+    least = staged(kept.groupBy("sig").agg(F.min("a").alias("b")), "least")
+    edges = kept.join(least, "sig").where("a <> b").select("a", "b").distinct()
     clusters = components(edges)
 
     # each set of a cluster once, with the blocks of its cluster

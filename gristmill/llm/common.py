@@ -75,7 +75,7 @@ class Memo:
 
     alive: ClassVar[weakref.WeakSet[Memo]] = weakref.WeakSet()
 
-    def __init__(self, compute: Callable[[list[str]], Iterable], limit: int = 500_000):
+    def __init__(self, compute: Callable[[list[str]], Iterable], limit: int = 300_000):
         self.compute, self.limit, self.held, self.old = compute, limit, {}, {}
         Memo.alive.add(self)
 

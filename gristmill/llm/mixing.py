@@ -19,6 +19,8 @@ from gristmill.session import staged
 
 #: Blocks of one source at most, and rows that a block is meant to have at least.
 BLOCKS, BLOCK_ROWS = 4096, 16
+#: Up to so many blocks, of some 50 bytes each, the table of blocks is broadcast; beyond, it is joined like any other.
+FEW_BLOCKS = 200_000
 #: The tree's vectors have a number for each source; more sources than this are refused.
 MOST_SOURCES = 1_000_000
 
@@ -86,12 +88,14 @@ def mix_plan(df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float
         return pd.Series([[int(np.searchsorted(held.value[a], c * k + b, "right")) for c in range(m)] for a, b, k, m in zip(s, block, n, copies, strict=True)])
 
     rest = Window.partitionBy("_s", "_block").orderBy("_h", "doc_id", "size")
-    drawn = dealt.join(blocks.drop("_size"), ["_s", "_block"])
-    edge = drawn.where("_edge").withColumn("_upto", F.sum("size").over(rest.rowsBetween(Window.unboundedPreceding, 0)))
+    few = sum(max(1, min(BLOCKS, r["n"] // BLOCK_ROWS)) for r in found) <= FEW_BLOCKS
+    drawn = lambda x: dealt.join(F.broadcast(x.drop("_size")) if few else x.drop("_size"), ["_s", "_block"])
+    # only documents of the blocks at the edge, one for each source at most, are put in order
+    edge = drawn(blocks.where("_edge")).withColumn("_upto", F.sum("size").over(rest.rowsBetween(Window.unboundedPreceding, 0)))
     # a document goes if that brings the source nearer to its target
     edge = edge.withColumn("_more", (F.col("_upto") - F.col("size") / 2 <= F.col("_room")).cast("int")).drop("_upto")
     copies = (F.col("_full") + F.col("_more")).cast("int")
-    out = drawn.where(~F.col("_edge")).withColumn("_more", F.col("_whole").cast("int")).unionByName(edge).withColumn("copies", F.least(copies, F.lit(most)))
+    out = drawn(blocks.where("not _edge")).withColumn("_more", F.col("_whole").cast("int")).unionByName(edge).withColumn("copies", F.least(copies, F.lit(most)))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), shards_of("_s", "_block", "_blocks", "copies").alias("shards"), *[F.col(f"_kept_{c}").alias(c) for c in keep if c not in ("doc_id", "source", "size", "source_size", "target", "copies", "taken", "shards")])
 
 

@@ -237,6 +237,7 @@ def jaccard_components(df: DataFrame, ngram: int = 5, num: int = 80, den: int =
         new[1:] = sig[1:] != sig[:-1]
         n = np.bincount(at := np.cumsum(new) - 1)[at]
         shared = n > 1
+        release()
         return pd.DataFrame({"a": ids[shared], "family": family[shared], "sig": sig[shared].view(np.int64), "n": n[shared]})
 
     meetings = docs.select("text").mapInArrow(signed, "part int, sig binary, ids binary, which binary").repartition(parts, "part").groupBy("part").applyInPandas(met, "a long, family int, sig long, n long")
@@ -276,6 +277,7 @@ def jaccard_components(df: DataFrame, ngram: int = 5, num: int = 80, den: int =
             i, j, block = x["i"].iloc[0], x["j"].iloc[0], x["block"].to_numpy()
             side = np.full(len(x), 2) if i == j else (block == j).astype(int)
             out += linked_forest(x["set_id"].to_numpy(), [np.frombuffer(e, np.uint64) for e in x["elements"]], side, num, den)
+        release()
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     links = held.select("set_id", "cluster", "block", "elements", "task", "cell.i", "cell.j").groupBy("task").applyInPandas(verified, "a long, b long")

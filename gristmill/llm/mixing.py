@@ -71,7 +71,8 @@ def mix_plan(df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float
     full = [min(most, int(t // s)) if s else 0 for s, t in zip(sizes, targets, strict=True)]
     schema = "_s int, source string, source_size long, target double, _full int, _blocks int"
     plan = spark.createDataFrame([(i, r["source"], r["size"], t, f, max(1, min(BLOCKS, r["n"] // BLOCK_ROWS))) for i, (r, t, f) in enumerate(zip(found, targets, full, strict=True))], schema)
-    dealt = rows.join(plan, rows["source"].eqNullSafe(plan["source"])).drop(plan["source"]).withColumn("_block", F.pmod(F.shiftright("_h", 20), F.col("_blocks")).cast("int"))
+    few = sum(max(1, min(BLOCKS, r["n"] // BLOCK_ROWS)) for r in found) <= FEW_BLOCKS  # as many sources or fewer
+    dealt = rows.join(F.broadcast(plan) if few else plan, rows["source"].eqNullSafe(plan["source"])).drop(plan["source"]).withColumn("_block", F.pmod(F.shiftright("_h", 20), F.col("_blocks")).cast("int"))
 
     # blocks in order: whole ones below the target, and one at its edge, of which the leading documents go
     blocks = dealt.groupBy("_s", "_block").agg(F.sum("size").alias("_size"), F.first("target").alias("_t"), F.first("source_size").alias("_all"), F.first("_full").alias("_f"))
@@ -88,7 +89,6 @@ def mix_plan(df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float
         return pd.Series([[int(np.searchsorted(held.value[a], c * k + b, "right")) for c in range(m)] for a, b, k, m in zip(s, block, n, copies, strict=True)])
 
     rest = Window.partitionBy("_s", "_block").orderBy("_h", "doc_id", "size")
-    few = sum(max(1, min(BLOCKS, r["n"] // BLOCK_ROWS)) for r in found) <= FEW_BLOCKS
     drawn = lambda x: dealt.join(F.broadcast(x.drop("_size")) if few else x.drop("_size"), ["_s", "_block"])
     # only documents of the blocks at the edge, one for each source at most, are put in order
     edge = drawn(blocks.where("_edge")).withColumn("_upto", F.sum("size").over(rest.rowsBetween(Window.unboundedPreceding, 0)))

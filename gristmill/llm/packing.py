@@ -211,6 +211,7 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int, key: str = "doc_id", te
     end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         memo = _ids_of(tokenizer)
         for b in batches:
             for at in range(0, b.num_rows, 256):

@@ -2,8 +2,9 @@
 
 A table's hash turns a unit vector by a pseudo-rotation (three rounds of random signs and a fast Hadamard transform) and takes the
 signed axis it lies nearest to. Every vector is indexed in each table; a query probes, in each, the axes it leans to most.
-The candidates are ranked by their exact inner products. Vectors of unequal length get one more coordinate that makes them
-equally long and leaves the order of inner products as it is.
+The candidates are ranked by their exact inner products. Vectors of unequal length are cut into bands of near equal length, where the
+order of inner products is nearly that of angles; each band has buckets of its own, a query probes all bands, and bands of few
+rows are searched as a whole.
 """
 
 from __future__ import annotations
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 
 from gristmill.session import staged
 
+#: A band's longest vector is at most so many times its shortest, and a band of fewer rows is not hashed but searched as a whole.
+BAND, BAND_ROWS = 1.25, 2048
+
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
     """Fast Walsh-Hadamard transform of each row; the length is a power of two."""
@@ -78,45 +82,58 @@ def _proper(e: Column) -> Column:
 def nearest(df: DataFrame, is_query: Column, k: int = 20, tables: int = 8, probes: int = 16, block: int = 20_000, seed: int = 0, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each query the k rows of largest inner product that its probes find.
 
-    A query whose probes find fewer than k is asked again with all axes of one table, which is an exact search; so it gets k, or all there are.
+    A query whose probes find fewer than k is asked again against all rows, which is an exact search; so it gets k, or all there are.
     Rows with a null key, and vectors that are null, empty, zero or not finite take no part; all others must have one length (an error
     otherwise). Equal scores go by the smaller key. Rows that repeat a key and vector are one row, and a row is never its own neighbour. An empty table, or
     one vector, gives none. Buckets are worked on in blocks of at most `block` vectors by `block` queries, so a bucket may
     hold any part of the rows. Other columns of df are not read.
     """
     spark = df.sparkSession
-    rows = staged(df.where(_proper(F.col(embedding)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("vec_id"), F.transform(embedding, lambda v: v.cast("double")).alias("v"), is_query.alias("is_query")).dropDuplicates(["vec_id", "v"]), "vectors")
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, v: a + v * v))
-    seen = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("most"), F.min(F.size("v")).alias("least"), F.max(norm).alias("long"), F.min(norm).alias("short")).first()
+    # lengths as logarithms of scaled vectors: squares of very large or small numbers are not held
+    large = F.array_max(F.transform("v", lambda v: F.abs(v)))
+    length = F.log(large) + F.log(F.aggregate("v", F.lit(0.0), lambda a, v: a + (v / large) * (v / large))) / 2
+    rows = df.where(_proper(F.col(embedding)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("vec_id"), F.transform(embedding, lambda v: v.cast("double")).alias("v"), is_query.alias("is_query")).dropDuplicates(["vec_id", "v"])
+    rows = staged(rows.withColumn("length", length), "vectors")
+    seen = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("most"), F.min(F.size("v")).alias("least"), F.max("length").alias("long"), F.min("length").alias("short")).first()
     schema = "query_id long, rank int, vec_id long, score double"
     if seen["most"] is None:
         return spark.createDataFrame([], schema)
     if seen["most"] != seen["least"]:
         raise ValueError(f"vectors of {seen['least']} and {seen['most']} components")
-    longest, uneven = seen["long"], seen["long"] > 1.001 * seen["short"]
-    turns = signs(tables, seen["most"] + uneven, seed)
+    turns = signs(tables, seen["most"], seed)
     axes = 2 * turns.shape[2]
+    if seen["long"] - seen["short"] <= np.log(1.001):
+        band, deep = F.lit(0), np.zeros(1, np.int64)
+    else:
+        # doubles span less than 7000 bands, so the driver gets a row for each
+        band = F.floor((F.lit(seen["long"]) - F.col("length")) / float(np.log(BAND))).cast("int")
+        deep = np.array(sorted(r["band"] for r in rows.groupBy(band.alias("band")).count().collect() if r["count"] >= BAND_ROWS), np.int64)
+    rows = rows.withColumn("band", band)
 
-    def unit(v: np.ndarray, as_query: bool) -> np.ndarray:
-        if uneven:
-            v = v / np.linalg.norm(v, axis=1, keepdims=True) if as_query else v / longest
-            more = np.zeros(len(v)) if as_query else np.sqrt(np.maximum(0, 1 - (v * v).sum(1)))
-            return np.c_[v, more]
-        return v / np.linalg.norm(v, axis=1, keepdims=True)
-
-    def hashed(used: int, taken: int | None):  # noqa: ANN202
-        """Buckets of rows in the first `used` tables: the nearest axis, or the `taken` that a query probes."""
+    def hashed(deep: np.ndarray, taken: int | None):  # noqa: ANN202
+        """Buckets of rows: in each table of their band the nearest axis, or the `taken` that a query probes, in all bands; bucket 0 holds the bands that aren't in `deep`."""
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 if not len(b):
                     continue
-                u = unit(np.stack(b["v"].to_numpy()), taken is not None)
-                for t in range(used):
+                ids, vectors, bands = b["vec_id"].to_numpy(), b["v"].to_numpy(), b["band"].to_numpy()
+                whole = np.flatnonzero(~np.isin(bands, deep)) if taken is None else np.arange(len(b))
+                if len(whole):
+                    yield pd.DataFrame({"bucket": np.zeros(len(whole), np.int64), "id": ids[whole], "v": list(vectors[whole])})
+                if not len(deep):
+                    continue
+                u = np.stack(vectors)
+                u = u / np.abs(u).max(1, keepdims=True)
+                u = u / np.linalg.norm(u, axis=1, keepdims=True)
+                for t in range(tables):
                     lean = leaning(u, turns[t])
-                    at = np.argpartition(-lean, taken - 1, 1)[:, :taken] if taken else lean.argmax(1)[:, None]
-                    n = at.shape[1]
-                    yield pd.DataFrame({"bucket": (t * axes + at).ravel().astype(np.int32), "id": np.repeat(b["vec_id"].to_numpy(), n), "v": [v for v in b["v"] for _ in range(n)]})
+                    for j, own in enumerate(deep):
+                        mine = np.flatnonzero(bands == own) if taken is None else np.arange(len(b))
+                        at = np.argpartition(-lean[mine], taken - 1, 1)[:, :taken] if taken else lean[mine].argmax(1)[:, None]
+                        n = at.shape[1]
+                        if len(mine):
+                            yield pd.DataFrame({"bucket": (1 + (j * tables + t) * axes + at).ravel().astype(np.int64), "id": np.repeat(ids[mine], n), "v": [v for v in vectors[mine] for _ in range(n)]})
 
         return run
 
@@ -135,10 +152,10 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, tables: int = 8, probe
         top = order[np.sort(first)[:k]]
         return pd.DataFrame({"query_id": own["query_id"].iloc[0], "rank": np.arange(1, len(top) + 1, dtype=np.int32), "vec_id": ids[top], "score": scores[top]})
 
-    def search(queries: DataFrame, used: int, taken: int) -> DataFrame:
-        indexed = rows.mapInPandas(hashed(used, None), "bucket int, id long, v array<double>")
-        probed = queries.mapInPandas(hashed(used, taken), "bucket int, id long, v array<double>")
-        # how many blocks a bucket's rows need on either side; a row for each bucket, of which there are tables x axes
+    def search(queries: DataFrame, deep: np.ndarray) -> DataFrame:
+        indexed = rows.mapInPandas(hashed(deep, None), "bucket long, id long, v array<double>")
+        probed = queries.mapInPandas(hashed(deep, min(probes, axes)), "bucket long, id long, v array<double>")
+        # how many blocks a bucket's rows need on either side; a row for each bucket, of which there are bands x tables x axes
         blocks = lambda x, name: F.broadcast(x.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias(name)))
         cells = blocks(indexed.select("bucket", "id"), "xs").join(blocks(probed.select("bucket", "id"), "qs"), "bucket")
         cells = F.broadcast(staged(cells, "cells"))
@@ -149,12 +166,12 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, tables: int = 8, probe
         return staged(found.groupBy("query_id").applyInPandas(merged, schema), "nearest")
 
     asked = rows.where("is_query")
-    found = search(asked, tables, min(probes, axes))
+    found = search(asked, deep)
     full = found.groupBy(F.col("query_id").alias("vec_id")).count().where(F.col("count") >= min(k, seen["n"] - 1))
     short = staged(asked.join(full, "vec_id", "left_anti"), "short")
     if seen["n"] < 2 or short.isEmpty():
         return found
-    return found.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(search(short, 1, axes))
+    return found.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(search(short, deep[:0]))
 
 
 def brute_force(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:

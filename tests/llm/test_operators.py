@@ -57,6 +57,23 @@ def test_nearest_gives_all_candidates_when_they_are_few(spark):
         ann.nearest(df.unionByName(spark.createDataFrame([(50, [1.0])], df.schema)), F.lit(True))
 
 
+def test_nearest_reaches_recall_where_lengths_differ(spark):
+    rng = np.random.default_rng(7)
+    unit = rng.normal(size=(6000, 64))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    one_long, own = unit.copy(), np.arange(0, 6000, 50)
+    one_long[3] *= 5
+    for name, x in {"one long": one_long, "lognormal": unit * rng.lognormal(0, 0.5, (6000, 1)), "vast": one_long * 1e150}.items():
+        df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+        found = defaultdict(set)
+        for r in ann.nearest(df, F.col("vec_id") % 50 == 0).collect():
+            found[r["query_id"]].add(r["vec_id"])
+        scores = x[own] @ x.T
+        scores[np.arange(len(own)), own] = -np.inf
+        best = np.argsort(-scores, axis=1)[:, :20]
+        assert sum(len(found[q] & set(b)) for q, b in zip(own.tolist(), best.tolist(), strict=True)) >= 0.95 * best.size, name
+
+
 # --- 2: substring dedup
 
 

@@ -1,4 +1,4 @@
-"""Exact nearest neighbours under a filter, for a few queries against a table of vectors."""
+"""Exact nearest neighbours under a filter, for any number of queries against a table of vectors."""
 
 from __future__ import annotations
 
@@ -6,27 +6,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions.scores import cosine_of_l2, l2
+from gristmill.session import place, staged
 
-#: Queries of one call; they are broadcast, so their number is bounded and checked.
-MOST_QUERIES = 10_000
+#: Queries of one block, about; a block is broadcast, so its size is bounded.
+BLOCK_QUERIES = 1_000
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, the vector's key, distance: the k nearest by Euclidean distance among the vectors that pass `where`, ties by key.
 
-    queries: query_id, query (and any columns that `where` uses). Vectors of another length, or null, take no part. At most MOST_QUERIES queries.
+    queries: query_id, query (and any columns that `where` uses). Vectors of another length, or null, take no part. Beyond BLOCK_QUERIES queries they
+    go block by block, dealt by query_id, and the k nearest of each block are written before the next one begins.
     """
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries")
+    spark = queries.sparkSession
     fits = F.size("query") == F.size(embedding)
-    pairs = vectors.join(F.broadcast(queries), fits & (where if where is not None else F.lit(True)))
     w = Window.partitionBy("query_id").orderBy("distance", key)
-    return pairs.select("query_id", key, l2(F.col("query"), F.col(embedding)).alias("distance")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", key, "distance")
 
+    def nearest(own: DataFrame) -> DataFrame:
+        pairs = vectors.join(F.broadcast(own), fits & (where if where is not None else F.lit(True)))
+        return pairs.select("query_id", key, l2(F.col("query"), F.col(embedding)).alias("distance")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", key, "distance")
 
-def best_match(vectors: DataFrame, queries: DataFrame, narrow: Column, least: float = 0.55, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """query_id, match, similarity, scope: the nearest vector within the narrow filter, or else of all, if its cosine reaches `least`; null if neither does."""
-    near, wide = knn(vectors, queries, 1, narrow, key, embedding), knn(vectors, queries, 1, None, key, embedding)
+    blocks = -(-queries.count() // BLOCK_QUERIES)
+    if blocks <= 1:
+        return nearest(queries)
+    held, at = staged(queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "queries"), place(spark, "nearest")
+    for b in range(blocks):
+        found = nearest(held.where(F.col("_block") == b).drop("_block"))
+        found.write.mode("append").parquet(at)
+    return spark.read.schema(found.schema).parquet(at)
+
+
+def best_match(vectors: DataFrame, queries: DataFrame, narrow: Column, least: float = 0.55, key: str = "vec_id", embedding: str = "embedding", among: Column | None = None) -> DataFrame:
+    """query_id, match, similarity, scope: the nearest vector within the narrow filter, or else of all, if its cosine reaches `least`; null if neither does.
+
+    among: what either search is held to, such as all but the query's own row.
+    """
+    near, wide = knn(vectors, queries, 1, narrow if among is None else narrow & among, key, embedding), knn(vectors, queries, 1, among, key, embedding)
     one = lambda x, s: x.select("query_id", F.struct(cosine_of_l2(F.col("distance")).alias("similarity"), F.col(key).alias("match"), F.lit(s).alias("scope")).alias(s))
     out = queries.select("query_id").join(one(near, "narrow"), "query_id", "left").join(one(wide, "wide"), "query_id", "left")
     good = F.when(F.col("narrow.similarity") >= least, F.col("narrow")).when(F.col("wide.similarity") >= least, F.col("wide"))

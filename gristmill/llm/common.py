@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import re
+import uuid
 import weakref
 from collections.abc import Callable, Iterable, Iterator
 from typing import ClassVar
@@ -15,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.session import staged
+from gristmill.session import place, staged
 
 #: A word of the contracts: a run of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -108,6 +109,18 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[
             yield batch.slice(lo, hi - lo)
 
 
+def bucketed(df: DataFrame, by: str, name: str) -> DataFrame:
+    """df as Parquet in the shared folder, bucketed by a column, so that later joins by it leave its rows where they are.
+
+    The catalog's entry goes as soon as it is read: the frame holds the files and their buckets itself.
+    """
+    spark, held = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("path", place(spark, name)).option("compression", "zstd").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).saveAsTable(held)
+    out = spark.table(held)
+    spark.sql(f"DROP TABLE {held}")
+    return out
+
+
 def numbered(df: DataFrame, order: list[str], name: str) -> tuple[DataFrame, int]:
     """df with a global row number from 0 in the given order, and the number of rows.
 

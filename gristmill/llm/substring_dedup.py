@@ -16,7 +16,6 @@ A value occurs once in a chunk's message however often it stands there, so commo
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 from itertools import compress
 
@@ -27,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import mixed_bits, word_hashes
+from gristmill.llm.common import bucketed, mixed_bits, word_hashes
 from gristmill.session import place
 
 BLOCK = 10
@@ -148,11 +147,8 @@ def _packed(df: DataFrame, key: str, text: str) -> DataFrame:
         if held:
             yield out()
 
-    spark = df.sparkSession
-    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"chunks_{uuid.uuid4().hex}"
     rows = df.select(F.col(key).cast("long"), F.encode(text, "UTF-8")).mapInArrow(packed, "chunk long, doc_ids array<long>, texts array<binary>, size long")
-    rows.write.format("parquet").option("path", place(spark, "chunks")).option("compression", "zstd").bucketBy(n, "chunk").saveAsTable(name)
-    return spark.table(name)
+    return bucketed(rows, "chunk", "chunks")
 
 
 def _answered(chunks: DataFrame, *answers: DataFrame) -> DataFrame:

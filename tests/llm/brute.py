@@ -2,7 +2,7 @@
 
 import hashlib
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 
 def words(text):
@@ -61,6 +61,41 @@ def masked(line):
     return ["<*>" if re.search("[0-9]", t) else t for t in tokens]
 
 
+def templates(kinds, depth=4, agree=0.8):
+    """kinds: token tuples of one leaf. Each line's template: its leader's tokens, or its own."""
+    digest = {k: hashlib.md5(" ".join(k).encode()).digest() for k in kinds}
+    out, live = {k: k for k in kinds}, set(kinds)
+    if not kinds or len(next(iter(kinds))) <= depth:
+        return out
+
+    def segments(k):
+        apart = int(len(k) * (1 - agree) + 1e-9)
+        cut = [depth + j * (len(k) - depth) // (apart + 1) for j in range(apart + 2)]
+        return [(j, k[cut[j] : cut[j + 1]]) for j in range(apart + 1)]
+
+    while True:
+        shared = defaultdict(set)
+        for k in live:
+            for s in segments(k):
+                shared[s].add(k)
+        weight = {k: sum(len(shared[s]) for s in segments(k) if len(shared[s]) > 1) for k in live}
+        rank = {k: (weight[k], digest[k]) for k in live}
+        leads = defaultdict(set)
+        for own in shared.values():
+            leader = max(own, key=rank.get)
+            for k in own - {leader}:
+                if sum(a == b for a, b in zip(k, leader, strict=True)) >= agree * len(k) - 1e-9:
+                    leads[k].add(leader)
+        if not leads:
+            return out
+        settled = set()
+        for k, those in leads.items():
+            if free := [y for y in those if y not in leads]:
+                out[k] = max(free, key=rank.get)
+                settled |= {k, out[k]}
+        live -= settled
+
+
 def drop_recurring_lines(rows, depth=4, agree=0.8, min_docs=5, min_tokens=3):
     """rows: (doc_id, text), ids distinct. doc_id -> (text, lines, dropped)."""
     leaves, at = defaultdict(set), defaultdict(list)
@@ -68,29 +103,23 @@ def drop_recurring_lines(rows, depth=4, agree=0.8, min_docs=5, min_tokens=3):
         if text is None:
             continue
         for i, line in enumerate(text.split("\n")):
-            t = masked(line)
-            if len(t) >= min_tokens:
-                leaf = (len(t), tuple(t[:depth]))
-                leaves[leaf].add(tuple(t))
-                at[(leaf, tuple(t))].append((d, i))
-    template = {}
-    for leaf, kinds in leaves.items():
-        consensus = []
-        for column in zip(*kinds, strict=True):
-            token, n = Counter(column).most_common(1)[0]
-            consensus.append(token if 2 * n > len(kinds) else "<*>")
-        for k in kinds:
-            same = sum(a == b for a, b in zip(k, consensus, strict=True))
-            template[(leaf, k)] = ("leaf", leaf) if len(kinds) > 1 and same >= agree * len(k) else ("own", k)
+            t = tuple(masked(line))
+            if t and len(t) >= min_tokens:
+                leaves[len(t), t[:depth]].add(t)
+                at[t].append((d, i))
     held, texts = defaultdict(list), dict(rows)
-    for key, places in at.items():
-        held[template[key]] += places
+    for kinds in leaves.values():
+        # a leaf whose lines stand in fewer places, or in one text alone, holds no recurring template
+        places = [p for k in kinds for p in at[k]]
+        if len(places) >= min_docs and len({texts[d] for d, _ in places}) > 1:
+            for k, template in templates(kinds, depth, agree).items():
+                held[template] += at[k]
     drop = defaultdict(set)
     for places in held.values():
         if len({texts[d] for d, _ in places}) >= min_docs:
-            keeper = texts[min(d for d, _ in places)]
+            first = min(d for d, _ in places)
             for d, i in places:
-                if texts[d] != keeper:
+                if texts[d] != texts[first]:
                     drop[d].add(i)
     out = {}
     for d, text in rows:

@@ -225,6 +225,37 @@ def test_line_dedup_ties_and_keys(spark):
     assert line_dedup.drop_recurring_lines(df.limit(0)).count() == 0
 
 
+def test_a_leaf_holds_several_templates(spark):
+    names = "ann bob cleo dan eve finn gus hal ida jan kim leo".split()
+    a = [f"please sign in as {x} to read the rest" for x in names]
+    b = [f"please sign in as {x} or leave a comment" for x in names]
+    rows = [(i, f"{line}\nbody {chr(97 + i)} of its own kind") for i, line in enumerate(a + b)]
+    found = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in line_dedup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string"), counts=True).collect()}
+    assert sum(f[2] for f in found.values()) == 22
+    assert found == brute.drop_recurring_lines(rows)
+
+
+@pytest.mark.parametrize(("depth", "agree", "min_docs", "min_tokens"), [(4, 0.8, 5, 3), (2, 0.7, 3, 1), (0, 0.8, 4, 2), (4, 1.0, 5, 3)])
+def test_random_templates_are_those_of_brute_force(spark, depth, agree, min_docs, min_tokens):
+    """Templates of few words that share leading words, with fields of few and of many values, among lines of their own."""
+    rng = np.random.default_rng(8)
+    word = lambda k: f"w{chr(97 + rng.integers(k))}"
+    shapes = [["to", "go", "on", "we"][: rng.integers(5)] + [word(6) for _ in range(rng.integers(1, 12))] for _ in range(25)]
+    rows = []
+    for d in range(120):
+        lines = []
+        for _ in range(6):
+            x = list(shapes[rng.integers(len(shapes))])
+            for _ in range(int(rng.integers(0, 3))):
+                x[rng.integers(len(x))] = rng.choice([word(3), word(26) + word(26), str(rng.integers(99))])
+            lines.append(" ".join(x))
+        rows.append((d, "\n".join(lines)))
+    found = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in line_dedup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string"), depth, agree, min_docs, min_tokens, counts=True).collect()}
+    want = brute.drop_recurring_lines(rows, depth, agree, min_docs, min_tokens)
+    assert found == want
+    assert sum(w[2] for w in want.values()) > 100
+
+
 def test_line_dedup_is_native(planted):
     plan = line_dedup.drop_recurring_lines(planted)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

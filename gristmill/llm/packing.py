@@ -1,10 +1,11 @@
 """Best-fit packing of tokenised documents by bin completion.
 
 Documents are tokenised once, on the executors, and cut into pieces of at most the capacity. Pieces of one length are
-alike, so the packing is solved on their counts by length, a table of at most `capacity` rows whatever the corpus: each step fills
-the sequence of the largest piece left. The undominated fillings are enumerated, least waste first, and one is applied to as
-many sequences as the counts allow; branches that waste more than an incumbent may are cut, and best-fit decreasing gives the
-first incumbent. Pieces find their places by their number in order of length.
+alike, so the packing is solved on their counts by length, a table of at most `capacity` rows whatever the corpus. Best-fit decreasing gives the
+first incumbent; if it needs more sequences than the bound, a branch-and-bound search fills the sequence of the largest piece left, again and
+again: all its undominated fillings, least waste first, in as many sequences at once as the counts allow, then in fewer. A branch ends
+where waste or the bound of what is left says that it can't beat the incumbent. The search is exhaustive unless its steps run out; then it goes on
+over a few sequences at a time, the least filled ones and some others, as long as steps are left. Pieces find their places by their number in order of length.
 """
 
 from __future__ import annotations
@@ -12,10 +13,11 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -27,8 +29,12 @@ from gristmill.llm.common import Memo, numbered, release
 
 #: Latin letters that neither normalising nor lowering turns into anything but as many letters, then ASCII marks but the apostrophe.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ňŊ-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
-#: A filling of sequences: (length, pieces of it) from long to short, and how many sequences are filled so.
-Filling = tuple[tuple[tuple[int, int], ...], int]
+#: A filling of a sequence: (length, pieces of it) from long to short.
+Pieces = tuple[tuple[int, int], ...]
+#: A filling, and how many sequences are filled so.
+Filling = tuple[Pieces, int]
+#: Fillings of one waste that are looked at together, so that those of common lengths are tried first. Steps of the search, some 0.2 ms each.
+TOGETHER, STEPS = 64, 30_000
 
 
 def best_fit(counts: dict[int, int], cap: int) -> list[Filling]:
@@ -64,99 +70,210 @@ def best_fit(counts: dict[int, int], cap: int) -> list[Filling]:
     return [(tuple(sorted(Counter(f).items(), reverse=True)), n) for held in open_.values() for f, n in held.items()]
 
 
-def fillings(lengths: list[int], counts: dict[int, int], room: int, most_waste: int, width: int = 4, tries: int = 2000) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
-    """(waste, pieces) of undominated fillings of `room`, least waste first, then fewest pieces; lengths ascend.
-
-    One piece that fills the room exactly dominates all else. A filling that another piece still fits into is dominated by the
-    larger one, so branches end only where nothing fits. The search goes from long pieces to short ones, and only branches
-    that can still waste less than the worst of the best `width` go on; it stops after `tries` pieces.
-    """
-    if counts.get(room):
-        return [(0, ((room, 1),))]
-    best: list[tuple[int, int, tuple[tuple[int, int], ...]]] = []
-    left = tries
-    # (room left, index that lengths must be below, pieces): a stack, so that the longest pieces are tried first
-    stack: list[tuple[int, int, tuple[tuple[int, int], ...]]] = [(room, len(lengths), ())]
-    while stack and left > 0:
-        free, below, held = stack.pop()
-        worst = best[-1][0] if len(best) == width else most_waste + 1
-        k = bisect_left(lengths, free + 1, 0, below) - 1
-        if k < 0 or free < lengths[0]:
-            if free < worst:
-                best.append((free, sum(c for _, c in held), held))
-                best.sort()
-                del best[width:]
-                if best[-1][0] == 0 and len(best) == width:
-                    break
-            continue
-        # what closes the room exactly comes last onto the stack, so first off it
-        branch = []
-        for i in range(k, max(-1, k - 24), -1):
-            length = lengths[i]
-            left -= 1
-            for c in range(min(counts[length], free // length), 0, -1):
-                branch.append((free - c * length, i, (*held, (length, c))))
-        stack += reversed(branch)
-        if free in counts and counts[free] and bisect_left(lengths, free, 0, below) < below:
-            stack.append((0, 0, (*held, (free, 1))))
-    return [(w, held) for w, _, held in best] or ([(room, ())] if room <= most_waste else [])
-
-
-def completed(counts: dict[int, int], cap: int, budget: int = 40_000) -> tuple[list[Filling], int]:
-    """The fillings, and a lower bound on their number. budget: steps of the search; steps of the first descent aren't limited by it."""
-    counts = {k: v for k, v in counts.items() if v}
-    total = sum(k * v for k, v in counts.items())
-    large = sum(v for k, v in counts.items() if 2 * k > cap)
-    bound = max(-(-total // cap), large)
-    best = best_fit(counts, cap)
-    bins = sum(n for _, n in best)
-    left, lengths = dict(counts), sorted(counts)
-    path: list[tuple[Filling, int, Iterator]] = []  # filling, its waste, and what else there is to try
-    spent = used = 0
-
-    def remove(pieces: tuple[tuple[int, int], ...], n: int) -> None:
-        for length, c in pieces:
-            left[length] -= c * n
-            if not left[length]:
-                del lengths[bisect_left(lengths, length)]
-
-    def restore(pieces: tuple[tuple[int, int], ...], n: int) -> None:
-        for length, c in pieces:
-            if not left[length]:
-                lengths.insert(bisect_left(lengths, length), length)
-            left[length] += c * n
-
-    def choices() -> Iterator:
+def least_sequences(n: np.ndarray, cap: int) -> int:
+    """A lower bound on the sequences for n[length] pieces of each length, by sums of dual feasible functions of the lengths."""
+    size = np.arange(cap + 1)
+    number, total, half = np.cumsum(n), np.cumsum(n * size), cap // 2
+    a = np.arange(half + 1)
+    # pieces over half a sequence have one each; beside those of cap - a at most there is some room for pieces of a or more
+    beside, theirs = np.maximum(number[cap - a] - number[half], 0), np.maximum(total[cap - a] - total[half], 0)
+    rest = total[half] - np.where(a > 0, total[a - 1], 0) - (beside * cap - theirs)
+    return max(-(-int(total[cap]) // cap), int(number[cap] - number[half] + np.maximum(0, -(-rest // cap)).max()))
+
+
+def least_by_parts(n: np.ndarray, cap: int, most: int = 60) -> int:
+    """Another lower bound: lengths rounded to k-ths of a sequence, where they are no multiple of a (k + 1)-th, for each k."""
+    at = np.flatnonzero(n)
+    best = 0
+    for k in range(1, most):
+        x = (k + 1) * at
+        best = max(best, -(-int(np.where(x % cap == 0, at * k, x // cap * cap) @ n[at]) // (k * cap)))
+    return best
+
+
+def _sums(lengths: list[int], left: dict[int, int], room: int) -> list[int]:
+    """Up to `room`, as bits: what the first i lengths can sum to, for each i."""
+    whole, sums = (1 << room + 1) - 1, 1
+    out = [sums]
+    for length in lengths:
+        c, k = min(left[length], room // length), 1
+        while c > 0 and sums != whole:
+            sums |= (sums << min(k, c) * length) & whole
+            c, k = c - k, 2 * k
+        out.append(sums)
+    return out
+
+
+def _summing(lengths: list[int], left: dict[int, int], free: int, i: int, sums: list[int]) -> Iterator[Pieces]:
+    """All choices among the first i lengths that sum to `free`, those of the longest pieces first."""
+    if not free:
+        yield ()
+        return
+    i = min(i, bisect_right(lengths, free))
+    while i and sums[i] >> free & 1:
+        i -= 1
+        length = lengths[i]
+        for c in range(min(left[length], free // length), 0, -1):
+            if sums[i] >> (free - c * length) & 1:
+                for rest in _summing(lengths, left, free - c * length, i, sums):
+                    yield ((length, c), *rest)
+
+
+def _dominated(filling: Pieces, waste: int, lengths: list[int], left: dict[int, int]) -> bool:
+    """Whether one piece that is left over fits beside the filling, or in place of one or two of its pieces that are shorter."""
+    used = dict(filling)
+
+    def spare(lo: int) -> bool:
+        """A piece of lo to lo + waste that the filling leaves over."""
+        if not waste:
+            return left.get(lo, 0) > used.get(lo, 0)
+        return any(left[x] > used.get(x, 0) for x in lengths[bisect_left(lengths, lo) : bisect_right(lengths, lo + waste)])
+
+    if waste and (any(left[x] > used.get(x, 0) for x in lengths[: bisect_right(lengths, waste)]) or any(any(left[x] > used.get(x, 0) for x in lengths[bisect_right(lengths, a) : bisect_right(lengths, a + waste)]) for a in used)):
+        return True
+    return any(spare(a + b) for i, (a, n) in enumerate(filling) for b in [a] * (n > 1) + [x for x, _ in filling[i + 1 :]])
+
+
+def fillings(lengths: list[int], left: dict[int, int], room: int, most_waste: int) -> Iterator[tuple[int, list[Pieces]]]:
+    """(waste, some undominated fillings of `room` with it), least waste first, all of them bit by bit; lengths ascend."""
+    if left.get(room):
+        yield 0, [((room, 1),)]  # one piece that fills the room dominates all else
+        return
+    lengths = lengths[: bisect_right(lengths, room)]
+    sums = _sums(lengths, left, room)
+    for waste in range(min(most_waste, room) + 1):
+        if sums[-1] >> (room - waste) & 1:
+            found = _summing(lengths, left, room - waste, len(lengths), sums)
+            while some := list(islice(found, TOGETHER)):
+                some = [f for f in some if not _dominated(f, waste, lengths, left)]
+                # scarce lengths are kept for later, when little else fits
+                some.sort(key=lambda f: (sum(c for _, c in f), -min((left[x] // c for x, c in f), default=0), -sum(left[x] for x, _ in f)))
+                yield waste, some
+
+
+class Search:
+    """Branch-and-bound for `most` sequences or fewer. found: the fillings, or None; whole: nothing was left untried; deepest: the longest branch; used: steps."""
+
+    def __init__(self, n: np.ndarray, cap: int, most: int, steps: int):
+        self.cap, self.n, self.steps, self.used = cap, n.copy(), steps, 0
+        self.left = {int(x): int(n[x]) for x in np.flatnonzero(n)}
+        self.lengths = sorted(self.left)
+        self.spare = most * cap - int(n @ np.arange(cap + 1))  # waste that there may be
+        self.deepest: tuple[int, list[Filling], np.ndarray] = (0, [], self.n.copy())
+        self.found, self.whole = self._run(most) if self.spare >= 0 else (None, True)
+
+    def _choices(self, spare: int) -> Iterator[tuple[Pieces, int, int]]:
+        """(filling around the largest piece, its waste, sequences), step by step."""
+        left, lengths = self.left, self.lengths
         largest = lengths[-1]
-        left[largest] -= 1  # the sequence is filled around it
-        own = lengths if left[largest] else lengths[:-1]
-        found = fillings(own, left, cap - largest, (bins - 1) * cap - total - spent)
+        left[largest] -= 1
+        rest, own = {x: left[x] for x in lengths if left[x]}, lengths if left[largest] else lengths[:-1]
         left[largest] += 1
-        return iter([(w, tuple(sorted((Counter({largest: 1}) + Counter(dict(f))).items(), reverse=True))) for w, f in found])
-
-    todo = choices() if lengths and bins > bound else iter(())
-    while bins > bound and used < budget + len(counts) * 4:
-        used += 1
-        room = (bins - 1) * cap - total - spent  # waste that still beats the incumbent
-        w, pieces = next(((w, f) for w, f in todo if w <= room), (0, None))
-        if pieces is None:
-            if not path:
-                break
-            (pieces, n), w, todo = path.pop()
-            restore(pieces, n)
-            spent -= w
-            continue
-        n = min(left[length] // c for length, c in pieces)
-        n = min(n, room // w) if w else n
-        remove(pieces, n)
-        spent += w * n
-        path.append(((pieces, n), w * n, todo))
-        if not lengths:
-            best = [f for f, _, _ in path]
-            bins = sum(n for _, n in best)
-            continue
-        todo = choices()
-    return best, bound
+        for waste, some in fillings(list(own), rest, self.cap - largest, spare):
+            self.used += 1
+            for f in some:
+                whole = ((largest, 1 + f[0][1]), *f[1:]) if f and f[0][0] == largest else ((largest, 1), *f)
+                n = min(left[x] // c for x, c in whole)
+                for m in range(min(n, spare // waste) if waste else n, 0, -1):
+                    self.used += 1
+                    yield whole, waste, m
+
+    def _take(self, f: Pieces, m: int) -> None:
+        for x, c in f:
+            if not self.left[x]:
+                insort(self.lengths, x)
+            self.left[x] -= c * m
+            self.n[x] -= c * m
+            if not self.left[x]:
+                del self.lengths[bisect_left(self.lengths, x)]
+
+    def _run(self, most: int) -> tuple[list[Filling] | None, bool]:
+        path: list[tuple[Pieces, int, int, Iterator]] = []
+        spent = made = 0
+        seen: dict[tuple, int] = {}
+        todo = self._choices(self.spare)
+        while self.lengths:
+            if self.used > self.steps:
+                return None, False
+            if (choice := next(todo, None)) is None:
+                if not path:
+                    return None, True
+                f, waste, m, todo = path.pop()
+                self._take(f, -m)
+                spent, made = spent - waste * m, made - m
+                continue
+            f, waste, m = choice
+            self._take(f, m)
+            spent, made = spent + waste * m, made + m
+            path.append((f, waste, m, todo))
+            if made > self.deepest[0]:
+                self.deepest = made, [(x, k) for x, _, k, _ in path], self.n.copy()
+            state = (*self.lengths, *(self.left[x] for x in self.lengths))
+            if seen.get(state, spent + 1) <= spent or made + least_sequences(self.n, self.cap) > most:
+                todo = iter(())
+                continue
+            if len(seen) * len(state) < 4_000_000:
+                seen[state] = spent
+            todo = self._choices(self.spare - spent)
+        return [(x, k) for x, _, k, _ in path], True
+
+
+def completed(counts: dict[int, int], cap: int, steps: int = STEPS, seed: int = 0) -> tuple[list[Filling], int]:
+    """The fillings, and a lower bound on their number; where they are equal the packing is the best there is.
+
+    steps: after so many the best packing so far is returned. They bound the time, not the packing's validity.
+    """
+    n = np.zeros(cap + 1, np.int64)
+    for length, c in counts.items():
+        n[length] += c
+    bound = max(least_sequences(n, cap), least_by_parts(n, cap))
+    held = Counter()
+
+    def take(*some: list[Filling]) -> None:
+        """Keeps the packing if it needs fewer sequences."""
+        new = Counter()
+        for f, m in (x for part in some for x in part):
+            new[f] += m
+        if not held or new.total() < held.total():
+            held.clear()
+            held.update(new)
+
+    def rest_of(left: np.ndarray) -> list[Filling]:
+        return best_fit({int(x): int(left[x]) for x in np.flatnonzero(left)}, cap)
+
+    take(rest_of(n))
+    used, rng = 0, np.random.default_rng(seed)
+    while bound < held.total() and used < steps // 2:
+        # first for the bound itself, then for one sequence less than there are
+        most = bound if not used else held.total() - 1
+        s = Search(n, cap, most, steps // 4)
+        used += s.used
+        if s.found is not None:
+            take(s.found)
+        elif s.whole:
+            bound = most + 1
+        else:
+            take(s.deepest[1], rest_of(s.deepest[2]))
+    while bound < held.total() and used < steps:
+        kinds = list(held)
+        many, waste = np.array([held[f] for f in kinds]), np.array([cap - sum(x * c for x, c in f) for f in kinds])
+        size = int(rng.integers(6, 25))
+        picked = Counter()
+        for i in np.argsort(-waste * (rng.random(len(kinds)) < 0.9), kind="stable")[: size // 2].tolist():
+            if waste[i]:
+                picked[i] = min(int(many[i]), size // 2 - picked.total())
+        for i in rng.choice(len(kinds), size, p=many / many.sum()).tolist():
+            if picked.total() < size and picked[i] < many[i]:
+                picked[i] += 1
+        part = np.zeros(cap + 1, np.int64)
+        for i, m in picked.items():
+            for x, c in kinds[i]:
+                part[x] += c * m
+        s = Search(part, cap, picked.total() - 1, 150)
+        used += s.used + 5
+        if s.found is not None:
+            take(list((held - Counter({kinds[i]: m for i, m in picked.items()})).items()), s.found)
+    return list(held.items()), bound
 
 
 @cache
@@ -225,8 +342,10 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int, key: str = "doc_id", te
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, schema)
 
 
-def pack(df: DataFrame, tokenizer: str, capacity: int = 2048, key: str = "doc_id", text: str = "text", end_id: int = 0, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids) of every piece.
+def pack(df: DataFrame, tokenizer: str, capacity: int = 2048, key: str = "doc_id", text: str = "text", end_id: int = 0, with_ids: bool = False, steps: int = STEPS) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, least_sequences (and ids) of every piece.
+
+    sequence_id goes from 0 without gaps; least_sequences, the same in all rows, is a number of sequences that no packing can go below.
 
     A document is its ids and then end_id; only longer ones than the capacity are cut. Null and empty texts are end_id alone, so every row has a
     piece. Rows that repeat are packed each for itself, null keys like any other; which of equal pieces goes where is not told apart. An empty
@@ -235,7 +354,7 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = 2048, key: str = "doc_id
     extra = ["ids"] * with_ids
     rows, n = numbered(pieces(df, tokenizer, capacity, key, text, end_id, with_ids), ["length", "doc_id", "piece", "start", "ids_crc32"], "_number")
     counts = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}  # at most `capacity` rows
-    found, _ = completed(counts, capacity)
+    found, bound = completed(counts, capacity, steps)
     first = dict(zip(sorted(counts), np.cumsum([0, *[counts[k] for k in sorted(counts)]]), strict=False))
     places, base = [], 0
     for filling, times in found:
@@ -254,7 +373,7 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = 2048, key: str = "doc_id
         within = x - own[:, 0]
         return pd.DataFrame({"sequence_id": own[:, 1] + within // own[:, 2], "offset": own[:, 3] + within % own[:, 2] * own[:, 4]})
 
-    return rows.withColumn("_place", placed("_number")).select("doc_id", "piece", "start", "length", "ids_crc32", "_place.sequence_id", "_place.offset", *extra)
+    return rows.withColumn("_place", placed("_number")).select("doc_id", "piece", "start", "length", "ids_crc32", "_place.sequence_id", "_place.offset", F.lit(bound).cast("long").alias("least_sequences"), *extra)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

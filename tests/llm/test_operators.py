@@ -120,38 +120,64 @@ def test_pieces_are_the_librarys_and_every_sequence_is_gapless(planted, pairs):
 
 
 def _fewest(lengths, cap):
-    """The optimum, by trying all partitions of a few pieces."""
-    best = len(lengths)
-
-    def go(i, bins):
-        nonlocal best
-        if len(bins) >= best:
-            return
-        if i == len(lengths):
-            best = len(bins)
-            return
-        for k in range(len(bins)):
-            if bins[k] + lengths[i] <= cap and bins[k] not in bins[:k]:
-                bins[k] += lengths[i]
-                go(i + 1, bins)
-                bins[k] -= lengths[i]
-        go(i + 1, [*bins, lengths[i]])
-
-    go(0, [])
-    return best
+    """The optimum: for each set of pieces the fewest sequences, and then the least in the last one, whatever piece comes last."""
+    best = [(0, cap)] + [(len(lengths) + 1, 0)] * ((1 << len(lengths)) - 1)
+    for held in range(1 << len(lengths)):
+        bins, last = best[held]
+        for i, x in enumerate(lengths):
+            if not held >> i & 1:
+                new = (bins, last + x) if last + x <= cap else (bins + 1, x)
+                best[held | 1 << i] = min(best[held | 1 << i], new)
+    return best[-1][0]
+
+
+def _checked(lengths, cap, steps=packing.STEPS):
+    """The number of sequences and the bound of a packing that holds each piece once and no sequence too long."""
+    found, bound = packing.completed(Counter(lengths), cap, steps)
+    used = Counter()
+    for f, n in found:
+        assert n > 0 and sum(k * c for k, c in f) <= cap
+        for k, c in f:
+            used[k] += c * n
+    assert used == Counter(lengths)
+    assert bound <= sum(n for _, n in found)
+    return sum(n for _, n in found), bound
 
 
 def test_bin_completion_finds_the_optimum_of_small_cases():
     rng = np.random.default_rng(3)
-    for _ in range(60):
-        lengths = sorted(rng.integers(1, 21, rng.integers(1, 10)).tolist(), reverse=True)
-        found, _ = packing.completed(Counter(lengths), 20)
-        assert sum(n for _, n in found) == _fewest(lengths, 20), lengths
-        used = Counter()
-        for f, n in found:
-            assert sum(k * c for k, c in f) <= 20
-            used.update({k: c * n for k, c in f})
-        assert used == Counter(lengths)
+    for i in range(500):
+        cap = int(rng.choice([20, 50, 1000]))
+        lengths = sorted(rng.integers(1 + cap // 8 * (i % 3), cap + 1, rng.integers(1, 15 if i % 10 == 0 else 10)).tolist(), reverse=True)
+        bins, bound = _checked(lengths, cap)
+        assert bins == bound, lengths  # the search ends by itself, so the bound is the optimum
+        if packing.least_sequences(np.bincount(lengths, minlength=cap + 1), cap) < bins:
+            assert bins == _fewest(lengths, cap), lengths
+
+
+def test_bounds_of_packings_hold():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        lengths = rng.integers(1, 31, rng.integers(1, 10)).tolist()
+        n = np.bincount(lengths, minlength=31)
+        assert max(packing.least_sequences(n, 30), packing.least_by_parts(n, 30)) <= _fewest(lengths, 30)
+
+
+def test_bin_completion_of_many_pieces_is_near_its_bound():
+    """Triplets that fill sequences wholly are the hardest; best-fit alone is an eighth over."""
+    rng = np.random.default_rng(5)
+    triplets = []
+    while len(triplets) < 1200:
+        a, b = rng.integers(513, 1024, 2).tolist()
+        if 512 < 2048 - a - b < 1024:
+            triplets += [a, b, 2048 - a - b]
+    bins, bound = _checked(triplets, 2048)
+    assert bound == 400 and bins <= 403
+    for lengths in (np.clip(rng.lognormal(6.2, 0.9, 3000), 1, 2048).astype(int).tolist(), rng.integers(1, 2049, 3000).tolist()):
+        bins, bound = _checked(lengths, 2048)
+        assert bins <= 1.005 * bound
+    assert _checked([], 2048) == (0, 0)
+    assert _checked(triplets, 2048, steps=0)[0] <= 460  # without steps it is best-fit
 
 
 def test_sequences_hold_their_pieces(spark):

@@ -36,7 +36,7 @@ def op5_log_template_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup.dedup(table(spark, sf_dir, "documents"), batches=2)
 
 
 def op7_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,12 +47,12 @@ def op7_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = language_id.identify(docs, language_id.fit(docs))
-    return held.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "lang_set")
+    return held.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "lang_set", "set_share")
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = mixing.mix_plan(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2, shards=16)
-    return held.select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "shards")
+    return held.select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "shards", "shuffle_keys")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,16 +11,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import WORD
 from gristmill.session import staged
 
-#: Blocks of one source at most, and rows that a block is meant to have at least.
+#: Blocks of one source at most, and rows that a block is meant to have at least. The block at a source's edge is cut once more, into so many parts at most.
 BLOCKS, BLOCK_ROWS = 4096, 16
 #: Up to so many blocks, of some 50 bytes each, the table of blocks is broadcast; beyond, it is joined like any other.
 FEW_BLOCKS = 200_000
+PLANNED = ["doc_id", "source", "size", "source_size", "target", "copies", "taken", "shards", "shuffle_keys"]
 #: The tree's vectors have a number for each source; more sources than this are refused.
 MOST_SOURCES = 1_000_000
 
@@ -54,15 +55,17 @@ def split_quotas(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> n
 
 
 def mix_plan(df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, shards: int = 16, seed: int = 0, key: str = "doc_id", text: str = "text", source: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
-    """For each row of df: doc_id, source, size, source_size, target, copies (times the mix takes it), taken, shards (one for each copy).
+    """For each row of df: doc_id, source, size, source_size, target, copies (times the mix takes it), taken, shards (one for each copy), shuffle_keys (each copy's place in its shard goes by them).
 
     size is the number of words; a null text has none. Sources go by code point, null last (a source of its own), and weigh `weights`, repeating. Whole documents are taken, so a source misses its target by
     less than its last document. Nothing depends on how rows are stored: a row's block and order follow from key and text
-    alone, and rows that repeat both come in any order, being alike. Empty documents follow their block. An empty table gives none. keep: columns of df to carry along.
+    alone, and rows that repeat both come in any order, being alike. Empty documents follow their block. An empty table gives none. keep: columns of df to carry along; a name that the plan has itself is an error.
     """
     spark = df.sparkSession
+    if clash := sorted(set(keep) & set(PLANNED)):
+        raise ValueError(f"the plan has columns of its own named {', '.join(clash)}")
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = staged(df.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.regexp_count(body, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(F.lit(seed), F.col(key), body).alias("_h"), *[F.col(c).alias(f"_kept_{c}") for c in keep]), "sized")
+    rows = staged(df.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("doc_id"), F.col(source).alias("source"), F.regexp_count(body, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(F.lit(seed), F.col(key), body).alias("_h"), *[F.col(c).alias(f"_kept_{c}") for c in keep]), "sized")
     found = sorted(rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect(), key=lambda r: (r["source"] is None, r["source"] or ""))
     if len(found) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
@@ -76,8 +79,7 @@ def mix_plan(df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float
 
     # blocks in order: whole ones below the target, and one at its edge, of which the leading documents go
     blocks = dealt.groupBy("_s", "_block").agg(F.sum("size").alias("_size"), F.first("target").alias("_t"), F.first("source_size").alias("_all"), F.first("_full").alias("_f"))
-    before = F.sum("_size").over(Window.partitionBy("_s").orderBy("_block")) - F.col("_size")
-    blocks = staged(blocks.withColumn("_room", F.col("_t") - F.col("_f") * F.col("_all") - before).select("_s", "_block", "_size", "_room", (F.col("_room") >= F.col("_size")).alias("_whole"), ((F.col("_room") > 0) & (F.col("_room") < F.col("_size"))).alias("_edge")), "blocks")
+    blocks = staged(_at_edge(blocks.withColumn("_room", F.col("_t") - F.col("_f") * F.col("_all")), "_block"), "blocks")
     quotas = {r["_s"]: r["q"] for r in blocks.groupBy("_s").agg(F.count_if(F.col("_whole") | F.col("_edge")).alias("q")).collect()}
     # draws of each source: `full` rounds of all its blocks, then the leading ones; each shard's are consecutive
     counts = [f * p["_blocks"] + quotas.get(p["_s"], 0) for f, p in zip(full, plan.collect(), strict=True)]
@@ -88,22 +90,39 @@ def mix_plan(df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float
     def shards_of(s: pd.Series, block: pd.Series, n: pd.Series, copies: pd.Series) -> pd.Series:
         return pd.Series([[int(np.searchsorted(held.value[a], c * k + b, "right")) for c in range(m)] for a, b, k, m in zip(s, block, n, copies, strict=True)])
 
-    rest = Window.partitionBy("_s", "_block").orderBy("_h", "doc_id", "size")
     drawn = lambda x: dealt.join(F.broadcast(x.drop("_size")) if few else x.drop("_size"), ["_s", "_block"])
-    # only documents of the blocks at the edge, one for each source at most, are put in order
-    edge = drawn(blocks.where("_edge")).withColumn("_upto", F.sum("size").over(rest.rowsBetween(Window.unboundedPreceding, 0)))
+    # the block at the edge, one for each source at most, is cut again in the same way, and only the keys of one part of it are put in order
+    edge = drawn(blocks.where("_edge")).select("_row", "_s", "_h", "doc_id", "size", "_room", F.col("_h").bitwiseAND(BLOCKS - 1).alias("_part"))
+    parts = staged(_at_edge(edge.groupBy("_s", "_part").agg(F.sum("size").alias("_size"), F.first("_room").alias("_room")), "_part"), "parts")
+    edge = edge.drop("_room").join(F.broadcast(parts.drop("_size")) if few else parts.drop("_size"), ["_s", "_part"])
+    upto = F.sum("size").over(Window.partitionBy("_s").orderBy("_h", "doc_id", "size", "_row").rowsBetween(Window.unboundedPreceding, 0))
     # a document goes if that brings the source nearer to its target
-    edge = edge.withColumn("_more", (F.col("_upto") - F.col("size") / 2 <= F.col("_room")).cast("int")).drop("_upto")
-    copies = (F.col("_full") + F.col("_more")).cast("int")
-    out = drawn(blocks.where("not _edge")).withColumn("_more", F.col("_whole").cast("int")).unionByName(edge).withColumn("copies", F.least(copies, F.lit(most)))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), shards_of("_s", "_block", "_blocks", "copies").alias("shards"), *[F.col(f"_kept_{c}").alias(c) for c in keep if c not in ("doc_id", "source", "size", "source_size", "target", "copies", "taken", "shards")])
+    last = edge.where("_edge").withColumn("_upto", upto).where(F.col("_upto") - F.col("size") / 2 <= F.col("_room"))
+    more = edge.where("_whole and not _edge").select("_row").unionByName(last.select("_row")).withColumn("_more", F.lit(1))
+    edge = drawn(blocks.where("_edge")).join(more, "_row", "left").withColumn("_more", F.coalesce("_more", F.lit(0)))
+    copies = F.least((F.col("_full") + F.col("_more")).cast("int"), F.lit(most))
+    out = drawn(blocks.where("not _edge")).withColumn("_more", F.col("_whole").cast("int")).unionByName(edge).withColumn("copies", copies).withColumn("shards", shards_of("_s", "_block", "_blocks", "copies"))
+    keys = F.transform("shards", lambda shard, i: F.xxhash64(F.lit(seed), F.col("doc_id"), i, shard))
+    return out.withColumns({"taken": F.col("size") * F.col("copies"), "shuffle_keys": keys}).select(*PLANNED, *[F.col(f"_kept_{c}").alias(c) for c in keep])
 
 
-def mixed(plan: DataFrame, seed: int = 0) -> DataFrame:
-    """A row for each copy, with its shard and a key by which the shard is shuffled."""
-    return plan.select("*", F.posexplode("shards").alias("copy", "shard")).drop("shards").withColumn("shuffle_key", F.xxhash64(F.lit(seed), "doc_id", "copy", "shard"))
+def _at_edge(blocks: DataFrame, order: str) -> DataFrame:
+    """blocks with _room (what is left for a block after those before it), _whole (it fits) and _edge (a part of it fits); _room: of their source. A source has BLOCKS rows here at most."""
+    before = F.sum("_size").over(Window.partitionBy("_s").orderBy(order)) - F.col("_size")
+    room = F.col("_room")
+    return blocks.withColumn("_room", room - before).select("_s", order, "_size", "_room", (room >= F.col("_size")).alias("_whole"), ((room > 0) & (room < F.col("_size"))).alias("_edge"))
 
 
-def write_mix(plan: DataFrame, path: str, shards: int = 16, seed: int = 0, parts: Column | None = None) -> None:
-    """Writes the mix, a folder for each shard; a shard's rows are sorted by their shuffle key within ranges of it."""
-    mixed(plan, seed).repartitionByRange("shard", "shuffle_key").sortWithinPartitions("shard", "shuffle_key").write.partitionBy("shard").parquet(path)
+def mixed(plan: DataFrame) -> DataFrame:
+    """A row for each copy, with its shard and the key by which the shard is shuffled."""
+    return plan.select("*", F.posexplode(F.arrays_zip("shards", "shuffle_keys")).alias("copy", "_x")).select("*", F.col("_x.shards").alias("shard"), F.col("_x.shuffle_keys").alias("shuffle_key")).drop("shards", "shuffle_keys", "_x")
+
+
+def shuffled(plan: DataFrame) -> DataFrame:
+    """The copies dealt out shard after shard and, within a shard, sorted by their shuffle key; a shard may have several partitions, each a range of keys."""
+    return mixed(plan).repartitionByRange("shard", "shuffle_key").sortWithinPartitions("shard", "shuffle_key")
+
+
+def write_mix(plan: DataFrame, path: str) -> None:
+    """Writes the mix, a folder for each shard, its rows in shuffled order."""
+    shuffled(plan).write.partitionBy("shard").parquet(path)

@@ -6,9 +6,10 @@ same order and only sorted hashes and bits travel:
 1. every chunk sends its rolling windows of BLOCK words, as distinct 32-bit values by hash part, and marks those that are non-overlapping
    reference blocks (a document's words 0-9, 10-19, ...); a part answers, a bit for each value, which windows hit a block and
    stand in more than one place. A repeat of 2 * BLOCK words or more always holds a whole block of its other place.
-2. hits are extended: the windows of `window` words around a hit, by a 96-bit hash with the smallest doc_id of the chunk,
-   go to parts that answer which chunk has a window's first place. This is exact wherever step 1 hit too often.
-3. each chunk covers the words of all windows that are not first, which joins them into maximal repeats.
+2. hits are extended, to either side as long as the repeat goes on, by windows and not along pairs of texts: the windows of `window` words around
+   a hit, by a 96-bit hash with the smallest doc_id of the chunk, go to parts that answer which chunk has a window's first place. Which place is the first takes all
+   places of a window, and pairs of places would be the square of a common passage's. This is exact wherever step 1 hit too often.
+3. each chunk covers the words of all windows that are not first; those that follow each other are the maximal exact repeats.
 
 A value occurs once in a chunk's message however often it stands there, so common passages don't gather anywhere.
 """
@@ -31,6 +32,8 @@ from gristmill.session import place
 
 BLOCK = 10
 CHUNK_BYTES, PART_BYTES = 4 << 20, 16 << 20
+#: Tasks that the parts are dealt out to, at most; a task has its parts one after the other.
+MOST_TASKS = 20_000
 LAST = np.iinfo(np.int64).max
 
 
@@ -67,6 +70,12 @@ def _unbits(b: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool)
 
 
+def stretches(part: np.ndarray) -> dict[int, slice]:
+    """Where each part that is there stands in an ascending array of parts."""
+    there, at = np.unique(part, return_index=True)
+    return {int(p): slice(a, b) for p, a, b in zip(there, at.tolist(), [*at.tolist(), len(part)][1:], strict=True)}
+
+
 class Chunk:
     """A chunk's words in order, document after document."""
 
@@ -87,14 +96,14 @@ class Chunk:
         self.at, h = self.windows(BLOCK, 0x9E3779B97F4A7C15)
         part = (h >> np.uint64(33)) % np.uint64(self.parts)
         self.values, self.which = np.unique((part << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF)), return_inverse=True)
-        self.edges = np.searchsorted(self.values, np.arange(self.parts + 1, dtype=np.uint64) << np.uint64(32))
+        self.cut = stretches(self.values >> np.uint64(32))
 
     def candidates(self, answers: dict[int, bytes], window: int) -> None:
         """Windows around hits; their distinct hashes by part, which of them each has, and the first place of each."""
         hit = np.zeros(len(self.values), bool)
         for p, b in answers.items():
-            lo, hi = self.edges[p], self.edges[p + 1]
-            hit[lo:hi] = _unbits(b, hi - lo)
+            s = self.cut[p]
+            hit[s] = _unbits(b, s.stop - s.start)
         here = np.zeros(len(self.h) + 1, np.int64)
         here[self.at[hit[self.which]] + 1] = 1
         here = np.cumsum(here)
@@ -110,14 +119,14 @@ class Chunk:
         self.kind[order] = np.cumsum(new) - 1
         self.lead = order[new]
         self.h1, self.h2 = h[self.lead], h2[self.lead]
-        self.edges2 = np.searchsorted(part[self.lead], np.arange(self.parts + 1, dtype=np.uint64))
+        self.cut2 = stretches(part[self.lead])
 
     def removed(self, answers: dict[int, bytes], window: int) -> np.ndarray:
         """Which words a window covers that isn't the first of its kind."""
         won = np.zeros(len(self.lead), bool)
         for p, b in answers.items():
-            lo, hi = self.edges2[p], self.edges2[p + 1]
-            won[lo:hi] = _unbits(b, hi - lo)
+            s = self.cut2[p]
+            won[s] = _unbits(b, s.stop - s.start)
         first = np.zeros(len(self.start), bool)
         first[self.lead[won]] = True
         cover = np.zeros(len(self.h) + 1, np.int64)
@@ -174,6 +183,7 @@ def remove_repeats(df: DataFrame, window: int = 20, key: str = "doc_id", text: s
         raise ValueError(f"a window of {window} words may hold no whole block; at least {2 * BLOCK - 1} are needed")
     chunks = _packed(df, key, text)
     parts = max(1, -(-(chunks.agg(F.sum("size")).first()[0] or 0) // PART_BYTES))
+    tasks = min(parts, MOST_TASKS)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -183,7 +193,7 @@ def remove_repeats(df: DataFrame, window: int = 20, key: str = "doc_id", text: s
                 many = np.bincount(c.which, minlength=len(c.values)) > 1
                 block = np.zeros(len(c.values), bool)
                 block[c.which[(c.at - c.first[c.doc[c.at]]) % BLOCK == 0]] = True
-                cut = [(p, slice(c.edges[p], c.edges[p + 1])) for p in range(parts) if c.edges[p] < c.edges[p + 1]]
+                cut = list(c.cut.items())
                 low = c.values.astype(np.uint32)
                 yield pa.RecordBatch.from_pydict({"part": pa.array([p for p, _ in cut], pa.int32()), "chunk": pa.array([row["chunk"]] * len(cut), pa.int64()), "value": [_planes(low[s]) for _, s in cut], "many": [_bits(many[s]) for _, s in cut], "block": [_bits(block[s]) for _, s in cut]}, schema=probe_schema)
 
@@ -201,7 +211,7 @@ def remove_repeats(df: DataFrame, window: int = 20, key: str = "doc_id", text: s
 
     answer = "chunk long, part int, bits binary"
     sent = chunks.mapInArrow(probe, "part int, chunk long, value binary, many binary, block binary")
-    hits = sent.repartition(parts, "part").groupBy("part").applyInPandas(match, answer)
+    hits = sent.repartition(tasks, "part").groupBy("part").applyInPandas(match, answer)
     at = place(df.sparkSession, "hits")
     hits.write.parquet(at)
     hits = df.sparkSession.read.schema(answer).parquet(at)
@@ -216,7 +226,7 @@ def remove_repeats(df: DataFrame, window: int = 20, key: str = "doc_id", text: s
                 c.candidates(found, window)
                 doc = c.doc[c.start[c.lead]]
                 ids = np.array([LAST if i is None else i for i in row["doc_ids"]], np.int64)
-                cut = [(p, slice(c.edges2[p], c.edges2[p + 1])) for p in range(parts) if c.edges2[p] < c.edges2[p + 1]]
+                cut = list(c.cut2.items())
                 own = [np.unique(doc[s], return_inverse=True) for _, s in cut]
                 yield pa.RecordBatch.from_pydict({"part": pa.array([p for p, _ in cut], pa.int32()), "chunk": pa.array([row["chunk"]] * len(cut), pa.int64()), "h1": [c.h1[s].tobytes() for _, s in cut], "h2": [c.h2[s].tobytes() for _, s in cut], "ids": [ids[d].tobytes() for d, _ in own], "which": [w.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes() for _, w in own]}, schema=extend_schema)
 
@@ -237,7 +247,7 @@ def remove_repeats(df: DataFrame, window: int = 20, key: str = "doc_id", text: s
         return pd.DataFrame({"chunk": rows["chunk"], "part": rows["part"], "bits": [_bits(won[e - k : e]) for e, k in zip(ends, size, strict=True)]})
 
     extended = _answered(chunks, hits).select("chunk", "doc_ids", "texts", "a0").mapInArrow(extend, "part int, chunk long, h1 binary, h2 binary, ids binary, which binary")
-    firsts = extended.repartition(parts, "part").groupBy("part").applyInPandas(first, answer)
+    firsts = extended.repartition(tasks, "part").groupBy("part").applyInPandas(first, answer)
     at = place(df.sparkSession, "firsts")
     firsts.write.parquet(at)
     firsts = df.sparkSession.read.schema(answer).parquet(at)

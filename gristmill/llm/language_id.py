@@ -21,8 +21,8 @@ from gristmill.llm.common import release
 BUCKETS = 1 << 16
 #: Letters that are worked on at once.
 CHUNK = 1 << 19
-#: More label values than this are refused: the model has a row of BUCKETS numbers for each.
-MOST_LANGUAGES = 4096
+#: More label values than this are refused: the model has a row of BUCKETS numbers for each, 1.25 MB in all; counts and model fit a driver of 1 GB.
+MOST_LANGUAGES = 256
 
 
 @cache
@@ -82,11 +82,11 @@ class Model:
             where = live[doc]
         return out, np.bincount(doc, c * np.log((like * out[doc]).sum(1)), n)
 
-    def predict(self, texts: list[str | None], penalty: float) -> tuple[list[str], list[float], list[str]]:
-        """Language, its proportion, and the selected set (largest first) of each text."""
-        pred, score, chosen = ["und"] * len(texts), [0.0] * len(texts), [""] * len(texts)
+    def predict(self, texts: list[str | None], penalty: float) -> tuple[list[str], list[float], list[str], list[float]]:
+        """Language, its proportion, the selected set (largest first), and the share that this set has in the mixture of all languages, of each text."""
+        pred, score, chosen, of_set = ["und"] * len(texts), [0.0] * len(texts), [""] * len(texts), [0.0] * len(texts)
         if not self.langs:
-            return pred, score, chosen
+            return pred, score, chosen, of_set
         for part in _chunks(texts):
             at, bucket = trigrams(texts[part])
             if not len(at):
@@ -120,8 +120,9 @@ class Model:
                 open_[rows[~better]] = False
             for r, i in enumerate(ids + part.start):
                 pred[i], score[i] = self.langs[lead[r]], float(min(1.0, max(0.0, top[r])))
+                of_set[i] = float(min(1.0, share[r, lead[r]] if size[r] == 1 else share[r, order[r, : size[r]]].sum()))
                 chosen[i] = self.langs[lead[r]] if size[r] == 1 else ",".join(self.langs[j] for j in order[r, : size[r]])
-        return pred, score, chosen
+        return pred, score, chosen, of_set
 
 
 def held_out(key: Column) -> Column:
@@ -154,20 +155,19 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lan
 
 
 def identify(df: DataFrame, model: Model, penalty: float = 3.0, text: str = "text") -> DataFrame:
-    """df with lang_pred, score (proportion of that language) and lang_set (the selected languages).
+    """df with lang_pred, score (proportion of that language), lang_set (the selected languages) and set_share (how much of the mixture of all languages is theirs).
 
     Texts that are null or have no letters, and all texts when nothing was learned, are `und` with score 0. Repeated rows get the same answer; an
-    empty table stays empty. The three columns replace columns of these names.
+    empty table stays empty. The four columns replace columns of these names.
     """
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(model)  # languages x BUCKETS numbers, whatever the corpus
 
     def predicted(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for x in texts:
-            pred, score, chosen = shared.value.predict(x.tolist(), penalty)
-            yield pd.DataFrame({"lang_pred": pred, "score": score, "lang_set": chosen})
+            yield pd.DataFrame(dict(zip(("lang_pred", "score", "lang_set", "set_share"), shared.value.predict(x.tolist(), penalty), strict=True)))
         release()
 
-    predicted = F.pandas_udf(predicted, "lang_pred string, score double, lang_set string", PandasUDFType.SCALAR_ITER)
-    held = df.drop("lang_pred", "score", "lang_set").withColumn("_lang", predicted(F.col(text)))
-    return held.select("*", "_lang.lang_pred", "_lang.score", "_lang.lang_set").drop("_lang")
+    predicted = F.pandas_udf(predicted, "lang_pred string, score double, lang_set string, set_share double", PandasUDFType.SCALAR_ITER)
+    held = df.drop("lang_pred", "score", "lang_set", "set_share").withColumn("_lang", predicted(F.col(text)))
+    return held.select("*", "_lang.lang_pred", "_lang.score", "_lang.lang_set", "_lang.set_share").drop("_lang")

@@ -82,6 +82,14 @@ def test_repeats_are_removed_as_by_brute_force(planted, pairs):
     assert found == brute.remove_repeats(pairs)
 
 
+def test_repeats_over_many_parts_and_chunks(planted, pairs, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "PART_BYTES", 20_000)
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", 30_000)
+    monkeypatch.setattr(substring_dedup, "MOST_TASKS", 5)
+    found = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(planted).collect()}
+    assert found == brute.remove_repeats(pairs)
+
+
 def test_repeats_keys_and_text(spark):
     t = " ".join(f"w{i}" for i in range(25))
     df = spark.createDataFrame([(None, t), (None, t), (5, t + " more"), (5, t)], "doc_id long, text string")
@@ -298,15 +306,39 @@ def test_groups_of_equal_texts(planted, pairs):
 def test_index_persists_between_batches(spark, tmp_path):
     path = f"file://{tmp_path}/index"
     schema = "doc_id long, text string"
+    told = lambda df: {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in df.collect()}
     index = exact_dedup.DigestIndex(spark, path, buckets=4)
-    first = exact_dedup.dedup(spark.createDataFrame([(1, "a"), (2, "A"), (3, None)], schema), index)
-    assert {(r["doc_id"], r["keep_id"], r["kept"]) for r in first.collect()} == {(1, 2, False), (2, 2, True), (3, 3, True)}
+    first = spark.createDataFrame([(1, "a"), (2, "A"), (3, None)], schema)
+    assert told(exact_dedup.dedup(first, index, name="first")) == {(1, 2, 2, False), (2, 2, 2, True), (3, 3, 1, True)}
+    index.close()
     again = exact_dedup.DigestIndex(spark, path)
     assert again.buckets == 4
-    later = exact_dedup.dedup(spark.createDataFrame([(9, "a"), (10, "b"), (11, "")], schema), again)
-    assert {(r["doc_id"], r["keep_id"], r["kept"]) for r in later.collect()} == {(9, 2, False), (10, 10, True), (11, 3, False)}
-    assert again.scan().count() == 3
-    assert exact_dedup.dedup(spark.createDataFrame([], schema), again).count() == 0
+    later = spark.createDataFrame([(9, "a"), (10, "b"), (11, ""), (12, "b"), (8, "A")], schema)
+    want = {(9, 2, 4, False), (8, 2, 4, False), (10, 12, 2, False), (12, 12, 2, True), (11, 3, 2, False)}
+    assert told(exact_dedup.dedup(later, again, name="later")) == want
+    # again, as after a failure: nothing changes, also once the files are compacted
+    assert told(exact_dedup.dedup(later, again, name="later")) == want
+    again.compact()
+    assert told(exact_dedup.dedup(later, again, name="later")) == want
+    assert told(exact_dedup.dedup(first, again, name="first")) == {(1, 2, 4, False), (2, 2, 4, True), (3, 3, 2, True)}
+    third = exact_dedup.DigestIndex(spark, path)
+    assert third.version == 1 and third.scan().count() == 3
+    assert told(exact_dedup.dedup(spark.createDataFrame([(20, "c"), (None, "c"), (21, "B")], schema), third, batches=2)) == {(20, 20, 2, True), (None, 20, 2, False), (21, 12, 3, False)}
+    assert exact_dedup.dedup(spark.createDataFrame([], schema), third, batches=3).count() == 0
+    with third._alone(), pytest.raises(RuntimeError):
+        exact_dedup.dedup(first, third)
+
+
+@pytest.mark.parametrize("batches", [1, 2, 5])
+def test_batches_give_what_one_does(spark, batches):
+    rows = [(i % 40, "abcABCdef"[i * 7 % 9]) for i in range(200)] + [(None, "a"), (None, "z"), (None, "z"), (7, None), (8, "")]
+    held = Counter(brute.lowered(t) for _, t in rows)
+    keep = {}
+    for d, t in rows:
+        keep[brute.lowered(t)] = max(keep.get(brute.lowered(t), -1), -1 if d is None else d)
+    want = Counter((d, k if (k := keep[x := brute.lowered(t)]) >= 0 else None, held[x], (d if d is not None else -1) == k, hashlib.sha256(x.encode()).hexdigest()) for d, t in rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit("clash"))
+    assert Counter(map(tuple, exact_dedup.dedup(df, batches=batches).collect())) == want
 
 
 # --- 7: sharding
@@ -358,9 +390,9 @@ def test_mixtures_are_told_apart(spark, documents):
     model = language_id.fit(documents)
     one = {r["lang"]: r["text"] for r in documents.where("length(text) > 2000").select("lang", "text").collect()}
     a, b = sorted(one)[:2]
-    pred, score, chosen = model.predict([one[a][:1500] + " " + one[b][:500], one[a]], 3.0)
+    pred, score, chosen, share = model.predict([one[a][:1500] + " " + one[b][:500], one[a]], 3.0)
     assert pred[0] == a and set(chosen[0].split(",")) == {a, b} and 0.6 < score[0] < 0.9
-    assert pred[1] == a and chosen[1] == a
+    assert pred[1] == a and chosen[1] == a and min(share) > 0.9
     assert language_id.identify(documents.limit(0), model).count() == 0
     none = language_id.fit(documents.limit(0))
     assert {r["lang_pred"] for r in language_id.identify(documents, none).collect()} == {"und"}
@@ -404,11 +436,46 @@ def test_splitting_tree_is_exact():
     assert mixing.water_filled([10, 1000, 0], [5, 2, 1], 1.5 * 1010, 2) == [20, 1495, 0]
 
 
-def test_mix_is_written_by_shard(spark, planted, tmp_path):
+def test_mix_is_written_by_shard_and_shuffled(spark, planted, tmp_path):
     plan = mixing.mix_plan(planted, shards=4, keep=("text",))
-    mixing.write_mix(plan, f"file://{tmp_path}/mix", 4)
-    held = spark.read.parquet(f"file://{tmp_path}/mix")
-    assert held.count() == plan.agg(F.sum("copies")).first()[0]
+    mixing.write_mix(plan, f"file://{tmp_path}/mix")
+    want = Counter()
+    for r in plan.collect():
+        assert len(r["shuffle_keys"]) == len(r["shards"]) == r["copies"]
+        want.update((r["doc_id"], r["text"], s, k) for s, k in zip(r["shards"], r["shuffle_keys"], strict=True))
+    found, order = Counter(), defaultdict(list)
+    for path in sorted(tmp_path.glob("mix/shard=*/*.parquet")):
+        import pyarrow.parquet as pq
+
+        for r in pq.ParquetFile(path).read().to_pylist():
+            shard = int(path.parent.name.split("=")[1])
+            found[r["doc_id"], r["text"], shard, r["shuffle_key"]] += 1
+            order[shard].append(r["shuffle_key"])
+    assert found == want and len(order) == 4
+    assert all(keys == sorted(keys) for keys in order.values())  # the files of a shard follow each other
+    with pytest.raises(ValueError):
+        mixing.mix_plan(planted, keep=("size",))
+
+
+def test_mix_of_few_blocks_repeats_and_null_keys(spark):
+    """A source whose edge lies within a block of many parts, rows that repeat, and sources of one row or of none with words."""
+    rows = [(None if i % 50 == 0 else i % 900, " ".join(["w"] * (i % 23)), "big") for i in range(3000)] + [(1, "a b", "one"), (2, None, "none"), (None, None, None)] + [(5, "x y z", "same")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("copies", F.lit("clash"))
+    size, taken, target = defaultdict(int), defaultdict(int), {}
+    found = mixing.mix_plan(df).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        size[r["source"]] += r["size"]
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        assert 0 <= r["copies"] <= 2
+    for s in size:
+        assert abs(taken[s] - target[s]) <= (22 if s == "big" else 3)
+    again = mixing.mix_plan(df.repartition(5)).collect()
+    assert Counter((r["doc_id"], r["source"], r["size"], r["copies"]) for r in again) == Counter((r["doc_id"], r["source"], r["size"], r["copies"]) for r in found)
+
+
+def test_empty_mix(planted):
     assert mixing.mix_plan(planted.limit(0)).count() == 0
 
 

@@ -30,8 +30,8 @@ def _listed(df):
 def test_languages_are_chosen_by_score(spark, rows):
     model = language_id.fit(rows)
     held = _listed(rows)
-    pred, score, _ = model.predict([r[AT["text"]] for r in held], 3.0)
-    want = Counter(r for r, p, s in zip(held, pred, score, strict=True) if p != "und" and s >= 0.5)
+    pred, _, _, share = model.predict([r[AT["text"]] for r in held], 3.0)
+    want = Counter(r for r, p, s in zip(held, pred, share, strict=True) if p != "und" and s >= 0.5)
     assert Counter(_listed(pipeline.languages(spark, rows, ""))) == want
     assert 0 < sum(want.values()) < len(held)
 

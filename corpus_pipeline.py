@@ -13,19 +13,25 @@ from pyspark.sql import functions as F
 from gristmill.llm import jaccard_join, language_id, line_dedup, mixing, packing
 from gristmill.session import staged, table
 
-#: The share of its own that a document's first language must have.
+#: The share of a document that its languages must have together.
 LEAST_SHARE = 0.5
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language that was learned: no letters or no text, or none with half of the document."""
+    """Drops documents without a language that was learned: no letters or no text, or a selected set of languages with less than half of the document.
+
+    Repeated rows and null keys are judged by their text like any other; an empty table stays empty.
+    """
     held = language_id.identify(docs, language_id.fit(docs))
-    return held.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(COLUMNS)
+    return held.where((F.col("lang_pred") != "und") & (F.col("set_share") >= LEAST_SHARE)).select(COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines of recurring templates, and documents of which nothing is left; n_chars follows the text."""
+    """Drops lines of recurring templates, and documents of which nothing is left; n_chars follows the text.
+
+    Null and blank texts go. Repeated rows lose the same lines, null keys come after all others, and an empty table stays empty.
+    """
     held = line_dedup.drop_recurring_lines(docs.select(COLUMNS))
     return held.where(F.length(F.btrim(F.col("text"), F.lit(" \t\n\x0b\x0c\r"))) > 0).withColumn("n_chars", F.length("text").cast("long"))
 
@@ -44,13 +50,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each document as often as its source's target asks: left out, once or twice."""
+    """Takes each document as often as its source's target asks: left out, once or twice; the copies come shard after shard, each shard shuffled.
+
+    Null texts have no words and follow their block; null sources are a source of its own. Repeated rows and null keys count each for itself. An empty table stays empty.
+    """
     plan = mixing.mix_plan(docs.select(COLUMNS), keep=("text", "lang", "n_chars"))
-    return mixing.mixed(plan).select(COLUMNS)
+    return mixing.shuffled(plan).select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the mix into sequences of 2048 tokens: a row for each piece of each copy."""
+    """Packs the mix into sequences of 2048 tokens: a row for each piece of each copy.
+
+    Null and empty texts are one token. Repeated rows and null keys are packed each for itself; an empty table gives none.
+    """
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
 
 

@@ -11,19 +11,23 @@ H + 1 + K: linked sets then meet in segments that count K + 1 or more. A set tha
 the rest gives up those of its shared contents that most sets have, as long as they count K at most. Of the segments in which two linked sets meet, the one with the
 rarest content is kept by both.
 
-Sets that meet are joined into clusters by one edge from each meeting's least member, never by all its pairs. The clusters'
+Sets that meet may have nothing else in common, and clusters over all meetings would grow together. So a meeting's sets are held against each other
+by sketches, the parities of their elements' numbers by hash: these differ in no more places than the sets do, which rules out nearly all but real links, and none of
+these. Only the meeting's least set is held against all others, and those that differ from it against the rest. The clusters'
 sets are read again, and within a cluster all sets are held against each other exactly, in blocks if it is large; only a
 spanning forest of the links leaves a block.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import mixed_bits, release, slices, word_hashes
@@ -32,8 +36,12 @@ from gristmill.session import staged
 
 #: Sets of a verification block, and their elements, at most (but for one larger set).
 BLOCK_SETS, BLOCK_ELEMENTS = 1024, 4_000_000
-#: Signature entries that one part of the index is meant to hold.
-PART_ENTRIES = 1_000_000
+#: Sets of a meeting that are held against each other at once, by sketch.
+MEETING_SETS = 2048
+#: Signature entries that one part of the index is meant to hold, and tasks that the parts are dealt out to at most; a task has its parts one after the other.
+PART_ENTRIES, MOST_TASKS = 1_000_000, 20_000
+#: Elements that small clusters have together in one task, and rows of small meetings.
+TASK_ELEMENTS, TASK_ROWS = 2_000_000, 100_000
 #: K as a share of H + 1.
 SLACK = 0.25
 
@@ -58,11 +66,19 @@ def shingle_sets(texts: list[bytes | None], n: int) -> list[np.ndarray]:
     return out
 
 
-def set_ids(sets: list[np.ndarray]) -> list[int | None]:
-    """64-bit digests of the sets; the empty set has none."""
-    import xxhash
+def set_ids(sets: list[np.ndarray]) -> list[tuple[int | None, int | None]]:
+    """128-bit digests of the sets, as two signed numbers; the empty set has none."""
+    return [struct.unpack("<qq", xxhash.xxh3_128_digest(s.tobytes())) if len(s) else (None, None) for s in sets]
 
-    return [int(np.int64(np.uint64(xxhash.xxh64_intdigest(s.tobytes())))) if len(s) else None for s in sets]
+
+def sketches(sets: list[np.ndarray], num: int, den: int) -> list[np.ndarray]:
+    """Parities of the sets' elements by hash, as 64-bit numbers. A set has four times as many bits as it may differ in, rounded up to a power of two; folding halves gives a smaller sketch."""
+    out = []
+    for s in sets:
+        bits = 1 << max(7, (8 * (den - num) * len(s) // (den + num)).bit_length())
+        at = (mixed_bits(s ^ np.uint64(0xC2B2AE3D27D4EB4F)) & np.uint64(bits - 1)).astype(np.int64)
+        out.append(np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").view(np.int64))
+    return out
 
 
 class Bands:
@@ -166,20 +182,78 @@ def linked_forest(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, num
     return out
 
 
+def _like(n: Column, sketch: Column, m: Column, other: Column, num: int, den: int) -> Column:
+    """Whether sets of n and m elements may link, by sizes and sketches."""
+    folded = lambda x, size: F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.aggregate(F.filter(x, lambda _, j: j % size == i), F.lit(0).cast("long"), lambda a, v: a.bitwiseXOR(v)))
+    least = F.least(F.size(sketch), F.size(other))
+    a, b = (F.when(F.size(x) == least, x).otherwise(folded(x, least)) for x in (sketch, other))
+    apart = F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, v: acc + v)
+    return (F.least(n, m) * den >= F.greatest(n, m) * num) & (apart * (den + num) <= (n + m) * (den - num))
+
+
+def like_forest(a: np.ndarray, left: np.ndarray, n: np.ndarray, sketch: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that may link, of a set on the left and any other one. Of a pair's sketches the longer one is folded."""
+    size = np.array([len(x) for x in sketch])
+    whole = [np.asarray(x, np.int64).view(np.uint64) for x in sketch]
+    # the sketches of each length, and the longer ones folded to it
+    own = {int(k): np.flatnonzero(size >= k) for k in np.unique(size)}
+    flat = {k: np.stack([np.bitwise_xor.reduce(whole[i].reshape(-1, k), axis=0) for i in at]) for k, at in own.items()}
+    root, apart = np.arange(len(a)), np.zeros(len(a), np.int64)
+    out = []
+    for i in np.flatnonzero(left):
+        for k, at in own.items():
+            if k <= size[i]:
+                apart[at] = np.bitwise_count(flat[k] ^ flat[k][np.searchsorted(at, i)]).sum(1)
+        near = (apart * (den + num) <= (n + n[i]) * (den - num)) & (np.minimum(n, n[i]) * den >= np.maximum(n, n[i]) * num) & (root != root[i])
+        for r in np.unique(root[near]):
+            out.append((int(a[i]), int(a[np.flatnonzero(near & (root == r))[0]])))
+        if near.any():
+            root[np.isin(root, root[near])] = root[i]
+    return out
+
+
+def candidate_edges(meetings: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: sets of a meeting that may link, enough of these pairs to join all sets that do. meetings: sig, a, n, sketch; a set once in each.
+
+    The least set of a meeting comes to the others by a join, whose skew Spark may split. Those that differ from it are held against all others of the meeting, in
+    blocks of MEETING_SETS.
+    """
+    x = F.struct("a", "n", "sketch")
+    star = meetings.join(meetings.groupBy("sig").agg(F.min(x).alias("p")), "sig").where(F.col("a") != F.col("p.a"))
+    star = staged(star.select("sig", "a", "n", "sketch", F.col("p.a").alias("b"), _like(F.col("n"), F.col("sketch"), F.col("p.n"), F.col("p.sketch"), num, den).alias("like")), "star")
+    blocks = lambda c: F.ceil(c / MEETING_SETS).cast("int")
+    rest = star.groupBy("sig").agg(blocks(F.count_if(~F.col("like"))).alias("us"), blocks(F.count("*")).alias("ms"), F.count("*").alias("m")).where("us > 0 and m > 1")
+    rest = star.join(rest, "sig").withColumn("i", F.pmod(F.xxhash64("a"), "us").cast("int")).withColumn("j", F.pmod(F.xxhash64(F.lit(1), "a"), "ms").cast("int"))
+    rest = staged(rest, "rest")
+    one, every = rest.where(~F.col("like")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("ms") - 1))), rest.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("us") - 1)))
+    cells = one.withColumn("left", F.lit(True)).unionByName(every.withColumn("left", F.lit(False)))
+    spread = rest.count() // TASK_ROWS + 1
+    cells = cells.select("sig", "i", "j", "left", "a", "n", "sketch", F.when((F.col("us") == 1) & (F.col("ms") == 1), F.pmod(F.xxhash64("sig"), F.lit(spread))).otherwise(F.xxhash64("sig", "i", "j")).alias("task"))
+
+    def like(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, c in rows.sort_values("left", ascending=False).drop_duplicates(["sig", "i", "j", "a"]).groupby(["sig", "i", "j"], sort=False):
+            out += like_forest(c["a"].to_numpy(), c["left"].to_numpy(), c["n"].to_numpy(), list(c["sketch"]), num, den)
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return star.where("like").select("a", "b").unionByName(cells.groupBy("task").applyInPandas(like, "a long, b long")).distinct()
+
+
 def jaccard_components(df: DataFrame, ngram: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each row of df: doc_id, n_shingles, component_id, set_id. Two rows link when the Jaccard similarity of their shingle sets is num / den or more.
+    """For each row of df: doc_id, n_shingles, component_id. Two rows link when the Jaccard similarity of their shingle sets is num / den or more.
 
-    component_id is the least key reachable by links, the row's own included. Null texts and those without words have the empty set, no set_id, and are linked with
+    component_id is the least key reachable by links, the row's own included. Null texts and those without words have the empty set, and are linked with
     nothing; their component is their own key. Null keys link like others but never name a component that has another key. Rows that repeat link with each other.
-    An empty table gives none. Other columns of df are not read. Elements and sets are told apart by 64-bit hashes.
+    An empty table gives none. Other columns of df are not read. Elements are told apart by 64-bit hashes, sets by 128 bits.
     """
-    base_schema = "doc_id long, text_key binary, n_shingles long, set_id long"
+    base_schema = "doc_id long, text_key binary, n_shingles long, s1 long, s2 long, sketch array<long>"
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.encode(text, "UTF-8").alias("text")).withColumn("text_key", F.unhex(F.md5(F.coalesce("text", F.lit(b"")))))
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (s for b in batches for s in slices(b, "text")):
             sets = shingle_sets(b.column("text").to_pylist(), ngram)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key").cast(pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_ids(sets), pa.int64())], ["doc_id", "text_key", "n_shingles", "set_id"])
+            ids = set_ids(sets)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key").cast(pa.binary()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([i[k] for i in ids], pa.int64()) for k in (0, 1)), pa.array(sketches(sets, num, den), pa.list_(pa.int64()))], ["doc_id", "text_key", "n_shingles", "s1", "s2", "sketch"])
         release()
 
     base = staged(docs.mapInArrow(sized, base_schema), "sets")
@@ -196,7 +270,7 @@ def jaccard_components(df: DataFrame, ngram: int = 5, num: int = 80, den: int =
     parts = int(max(1, -(-entries // PART_ENTRIES)))
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int | None] = {None}  # a set of the partition once
+        seen: set[tuple[int | None, int | None]] = {(None, None)}  # a set of the partition once
         for b in (s for b in batches for s in slices(b, "text")):
             sets = shingle_sets(b.column("text").to_pylist(), ngram)
             new = {i: s for i, s in zip(set_ids(sets), sets, strict=True) if i not in seen}
@@ -208,53 +282,54 @@ def jaccard_components(df: DataFrame, ngram: int = 5, num: int = 80, den: int =
                     if g >= 0 and bands.difference(g):  # else only equal sets link, which need no index
                         sigs.append(signatures(s, g, *plan[g]))
                         owner.append(np.full(len(sigs[-1]), len(owners), np.uint32))
-                        owners.append((i, g))
+                        owners.append((*i, g))
             if not sigs:
                 continue
             sig, owner, owners = np.concatenate(sigs), np.concatenate(owner), np.array(owners, np.int64)
             part = (sig >> np.uint64(40)) % np.uint64(parts)
             order = np.argsort(part, kind="stable")
-            edges = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+            there, starts = np.unique(part[order], return_index=True)
             rows = []
-            for p in range(parts):
-                at = order[edges[p] : edges[p + 1]]
-                if len(at):
-                    own, which = np.unique(owner[at], return_inverse=True)
-                    rows.append((p, sig[at].tobytes(), owners[own].tobytes(), which.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()))
+            for p, at in zip(there.tolist(), np.split(order, starts[1:]), strict=True):
+                own, which = np.unique(owner[at], return_inverse=True)
+                rows.append((p, sig[at].tobytes(), owners[own].tobytes(), which.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3)]], ["part", "sig", "ids", "which"])
         release()
 
     def met(rows: pd.DataFrame) -> pd.DataFrame:
         """Contents that several sets have, with each of these sets and their number n."""
         sig = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["sig"]])
-        own = np.concatenate([np.frombuffer(i, np.int64).reshape(-1, 2)[np.ascontiguousarray(np.frombuffer(w, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()] for i, w in zip(rows["ids"], rows["which"], strict=True)])
-        order = np.lexsort((own[:, 0], sig))
-        sig, ids, family = sig[order], own[order, 0], own[order, 1]
+        own = np.concatenate([np.frombuffer(i, np.int64).reshape(-1, 3)[np.ascontiguousarray(np.frombuffer(w, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()] for i, w in zip(rows["ids"], rows["which"], strict=True)])
+        order = np.lexsort((own[:, 1], own[:, 0], sig))
+        sig, own = sig[order], own[order]
         new = np.ones(len(sig), bool)
-        new[1:] = (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])  # a set that stands in several batches counts once
-        sig, ids, family = sig[new], ids[new], family[new]
+        new[1:] = (sig[1:] != sig[:-1]) | (own[1:, :2] != own[:-1, :2]).any(1)  # a set that stands in several batches counts once
+        sig, own = sig[new], own[new]
         new = np.ones(len(sig), bool)
         new[1:] = sig[1:] != sig[:-1]
         n = np.bincount(at := np.cumsum(new) - 1)[at]
         shared = n > 1
         release()
-        return pd.DataFrame({"a": ids[shared], "family": family[shared], "sig": sig[shared].view(np.int64), "n": n[shared]})
+        return pd.DataFrame({"s1": own[shared, 0], "s2": own[shared, 1], "family": own[shared, 2], "sig": sig[shared].view(np.int64), "count": n[shared]})
 
-    meetings = docs.select("text").mapInArrow(signed, "part int, sig binary, ids binary, which binary").repartition(parts, "part").groupBy("part").applyInPandas(met, "a long, family int, sig long, n long")
+    meetings = docs.select("text").mapInArrow(signed, "part int, sig binary, ids binary, which binary").repartition(min(parts, MOST_TASKS), "part").groupBy("part").applyInPandas(met, "s1 long, s2 long, family int, sig long, count long")
     # what a set may give up, the most frequent first (contents of segments with deletions count 2), and what it must share at least
     spared = F.lit([bands.slack(g) // (2 if t else 1) for g, (_, t) in enumerate(plan)] or [0])
     needed = F.lit([-(-(bands.slack(g) + 1) // (2 if t else 1)) for g, (_, t) in enumerate(plan)] or [0])
-    kept = meetings.groupBy("a", "family").agg(F.sort_array(F.collect_list(F.struct("n", "sig")), asc=False).alias("x"))
+    kept = meetings.groupBy("s1", "s2", "family").agg(F.sort_array(F.collect_list(F.struct("count", "sig")), asc=False).alias("x"))
     kept = kept.withColumn("k", F.element_at(spared, F.col("family") + 1)).where((F.size("x") >= F.element_at(needed, F.col("family") + 1)) & (F.size("x") > F.col("k")))
-    kept = staged(kept.select("a", F.explode(F.expr("slice(x, k + 1, size(x) - k)")).alias("x")).select("a", "x.sig"), "meetings")
-    least = staged(kept.groupBy("sig").agg(F.min("a").alias("b")), "least")
-    edges = kept.join(least, "sig").where("a <> b").select("a", "b").distinct()
+    kept = staged(kept.select("s1", "s2", F.explode(F.expr("slice(x, k + 1, size(x) - k)")).alias("x")).select("s1", "s2", "x.sig"), "meetings")
+
+    # a number for each set that meets another one, and the row that speaks for it
+    one = base.join(kept.select("s1", "s2").distinct(), ["s1", "s2"], "left_semi").groupBy("s1", "s2").agg(F.min(F.struct("text_key", "doc_id", "n_shingles", "sketch")).alias("x"))
+    one = staged(one.select(F.monotonically_increasing_id().alias("set_id"), "s1", "s2", "x.*"), "sets")
+    edges = candidate_edges(staged(kept.join(one, ["s1", "s2"]).select("sig", F.col("set_id").alias("a"), F.col("n_shingles").alias("n"), "sketch").distinct(), "meetings"), num, den)
     clusters = components(edges)
 
     # each set of a cluster once, with the blocks of its cluster
-    one = base.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct("text_key", "doc_id", "n_shingles")).alias("x"))
-    member = staged(one.join(clusters.select(F.col("id").alias("set_id"), F.col("root").alias("cluster")), "set_id").select("set_id", "cluster", "x.text_key", "x.doc_id", "x.n_shingles"), "members")
+    member = staged(one.join(clusters.select(F.col("id").alias("set_id"), F.col("root").alias("cluster")), "set_id").select("set_id", "cluster", "text_key", "doc_id", "n_shingles"), "members")
     blocks = staged(member.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n_shingles") / BLOCK_ELEMENTS)).cast("int").alias("blocks")), "clusters")
+    spread = (member.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0) // TASK_ELEMENTS + 1
     member = member.join(blocks, "cluster").select("set_id", "cluster", "text_key", "doc_id", "blocks", F.pmod(F.xxhash64("set_id"), "blocks").cast("int").alias("block"))
     # rows that share key and text are one here: the first batch that has a set speaks for it
     wanted = docs.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"), "text").join(member.hint("merge"), (F.col("_t") == F.col("text_key")) & F.col("_d").eqNullSafe(F.col("doc_id"))).select("text", "set_id", "cluster", "blocks", "block")
@@ -265,7 +340,6 @@ def jaccard_components(df: DataFrame, ngram: int = 5, num: int = 80, den: int =
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("set_id", "cluster", "blocks", "block")), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_id", "cluster", "blocks", "block", "elements"])
         release()
 
-    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
     held = wanted.mapInArrow(fetched, "set_id long, cluster long, blocks int, block int, elements binary")
     # a block meets every block of its cluster, itself included; small clusters share a task
     cell = F.expr("transform(sequence(0, blocks - 1), j -> struct(least(block, j) AS i, greatest(block, j) AS j))")
@@ -281,7 +355,9 @@ def jaccard_components(df: DataFrame, ngram: int = 5, num: int = 80, den: int =
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     links = held.select("set_id", "cluster", "block", "elements", "task", "cell.i", "cell.j").groupBy("task").applyInPandas(verified, "a long, b long")
-    roots = components(links).select(F.col("id").alias("set_id"), "root")
-    told = staged(base.join(roots, "set_id", "left").select("doc_id", "n_shingles", "set_id", F.coalesce("root", "set_id").alias("root")), "roots")
-    first = staged(told.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("first")), "first")
-    return told.join(first, "root", "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id"), "set_id")
+    # a component goes by the digest of its root; sets that are linked with no other one are roots themselves
+    ids = one.select("set_id", "s1", "s2")
+    roots = components(links).join(ids, F.col("id") == F.col("set_id")).select("s1", "s2", F.col("root").alias("set_id")).join(ids.select("set_id", F.col("s1").alias("r1"), F.col("s2").alias("r2")), "set_id").drop("set_id")
+    told = staged(base.select("doc_id", "n_shingles", "s1", "s2").join(roots, ["s1", "s2"], "left").select("doc_id", "n_shingles", F.coalesce("r1", "s1").alias("r1"), F.coalesce("r2", "s2").alias("r2")), "roots")
+    first = staged(told.where("r1 is not null").groupBy("r1", "r2").agg(F.min("doc_id").alias("first")), "first")
+    return told.join(first, ["r1", "r2"], "left").select("doc_id", "n_shingles", F.when(F.col("r1").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id"))

@@ -222,6 +222,64 @@ def test_random_near_copies_at_the_threshold(spark):
         assert found == brute.jaccard_components(rows, n, num, 100)
 
 
+def test_sketches_never_rule_out_a_link():
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        n = int(rng.integers(1, 400))
+        base = rng.integers(0, 1 << 62, n, dtype=np.int64).astype(np.uint64)
+        sets = [np.unique(np.r_[base[int(rng.integers(0, n // 4 + 1)) :], rng.integers(0, 1 << 62, int(rng.integers(0, n // 4 + 1))).astype(np.uint64)]) for _ in range(4)]
+        sets = [s for s in sets if len(s)]
+        sk, size = jaccard_join.sketches(sets, 80, 100), np.array([len(s) for s in sets])
+        forest = jaccard_join.like_forest(np.arange(len(sets)), np.ones(len(sets), bool), size, sk, 80, 100)
+        group = {i: {i} for i in range(len(sets))}
+        for a, b in forest:
+            both = group[a] | group[b]
+            for x in both:
+                group[x] = both
+        for a, b in itertools.combinations(range(len(sets)), 2):
+            common = len(np.intersect1d(sets[a], sets[b]))
+            assert 100 * common < 80 * (size[a] + size[b] - common) or b in group[a]
+
+
+def test_meetings_join_what_may_link_and_no_chain_of_others(spark, monkeypatch):
+    """Sets that meet one after the other, in a chain, a hub and a large meeting, though only some of them are alike."""
+    monkeypatch.setattr(jaccard_join, "MEETING_SETS", 8)
+    rng = np.random.default_rng(10)
+    family = [rng.integers(0, 1 << 62, int(n)).astype(np.uint64) for n in rng.integers(50, 300, 12)]
+    sets = [np.unique(np.r_[family[i % 12][i // 12 :], rng.integers(0, 1 << 62, 2).astype(np.uint64)]) for i in range(60)]
+    sk = jaccard_join.sketches(sets, 80, 100)
+    met = [(i, x) for i in range(59) for x in (i, i + 1)] + [(1000 + i, x) for i in range(1, 60) for x in (0, i)] + [(5000, x) for x in range(60)]
+    df = spark.createDataFrame([(g, x, len(sets[x]), sk[x].tolist()) for g, x in met], "sig long, a long, n long, sketch array<long>")
+    found = {(r["a"], r["b"]) for r in jaccard_join.candidate_edges(df, 80, 100).collect()}
+    assert all(a % 12 == b % 12 for a, b in found)
+    group = {i: {i} for i in range(60)}
+    for a, b in found:
+        both = group[a] | group[b]
+        for x in both:
+            group[x] = both
+    assert all(len(g) == 5 for g in group.values())
+    assert jaccard_join.candidate_edges(df.limit(0), 80, 100).count() == 0
+
+
+def test_components_over_many_parts_and_blocks(planted, pairs, monkeypatch):
+    for name, value in {"PART_ENTRIES": 5000, "MOST_TASKS": 7, "BLOCK_SETS": 4, "MEETING_SETS": 3, "TASK_ELEMENTS": 2000, "TASK_ROWS": 10}.items():
+        monkeypatch.setattr(jaccard_join, name, value)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(planted, 3, 90, 100).collect()}
+    assert found == brute.jaccard_components(pairs, 3, 90, 100)
+
+
+def test_components_of_chains_hubs_and_loops(spark):
+    from gristmill.llm.components import components
+
+    chain = [(i, i + 1) for i in range(100, 260)]
+    hub = [(1000, i) for i in range(1001, 1300)]
+    odd = [(5, 5), (7, 8), (8, 7), (7, 8), (None, 3), (4, None), (2000, 1299)]
+    df = spark.createDataFrame(chain + hub + odd, "a long, b long")
+    found = {r["id"]: r["root"] for r in components(df).collect()}
+    assert found == {**dict.fromkeys(range(100, 261), 100), **dict.fromkeys(range(1000, 1300), 1000), 2000: 1000, 7: 7, 8: 7}
+    assert components(df.limit(0)).count() == 0
+
+
 def test_large_clusters_are_verified_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 8)
     base = [f"w{i}" for i in range(300)]

@@ -112,29 +112,32 @@ def language_name(code: Column) -> Column:
     return F.when(F.coalesce(code, F.lit("")) == "", F.lit("")).otherwise(F.coalesce(F.try_element_at(held, F.lower(F.substring(code, 1, 2))), F.upper(code)))
 
 
+# What counts as a quantity, and as a number by itself.
+QUANTITY = r"(?i)\b\d+(?:[.,]\d+)?\s*(?:g|kg|mg|ml|l|tbsp|tsp|cup|cups|oz|lb|°[cf]?)\b"
+INTEGER = r"\b\d{1,3}\b"
+
+
 def plausible(original: Column, translated: Column, least: float = 0.4) -> Column:
-    """ok and reason of a translation: not empty, not far shorter, with quantities, with some structure or length."""
+    """ok and reason of a translation: not empty, not far shorter, with a quantity or three numbers, with some structure or length."""
     t, n = F.coalesce(translated, F.lit("")), F.length(F.coalesce(original, F.lit("")))
-    counted = F.regexp_count(t, F.lit(r"\d+\s*(?:g|kg|ml|l|oz|lb|cups?|tbsp|tsp|minutes?|min)\b")) > 0
-    reason = F.when(F.trim(t) == "", "empty translation").when((n > 200) & (F.length(t) < least * n), "too short").when(~counted & (F.regexp_count(t, F.lit(r"\d+")) < 3), "no quantities or numeric content")
+    share = F.length(t) / n
+    reason = F.when(~t.rlike(r"\S"), "empty translation").when((n > 200) & (share < least), F.concat(F.lit("length ratio "), F.format_string("%.2f", share), F.lit(f" < {least}")))
+    reason = reason.when(~t.rlike(QUANTITY) & (F.regexp_count(t, F.lit(INTEGER)) < 3), "no quantities or numeric content")
     reason = F.coalesce(reason.when(~t.rlike(r"\n(- |\* |#)") & (F.length(t) < 800), "no list/heading structure"), F.lit("ok"))
     return F.struct((reason == "ok").alias("ok"), reason.alias("reason"))
 
 
-_FOLD_FROM = "".join(c for i in range(0xC0, 0x180) if len(d := unicodedata.normalize("NFD", c := chr(i))) > 1 and unicodedata.combining(d[-1]))
-_FOLD_TO = "".join(unicodedata.normalize("NFD", c)[0] for c in _FOLD_FROM)
+# What decomposes to a letter or digit of ASCII and marks, as that; and all marks, as nothing. No other character can become one of a-z and 0-9.
+_DECOMPOSED = {c: d[0] for i in range(0xC0, 0x30000) if (d := unicodedata.normalize("NFD", c := chr(i))) != c and d[0].isascii() and d[0].isalnum()}
+_MARKS = "".join(chr(i) for i in range(0x300, 0x1F000) if unicodedata.combining(chr(i)))
+_FOLD_FROM, _FOLD_TO = "".join(_DECOMPOSED) + _MARKS, "".join(_DECOMPOSED.values())
 
 
 def normalized_title(title: Column) -> Column:
-    """Without diacritics (Latin letters), lower, anything but a-z and 0-9 as single spaces, one space at either end so that phrases match whole words."""
+    """Without diacritics, lower, anything but a-z and 0-9 as single spaces, one space at either end so that phrases match whole words; empty where nothing is left."""
     x = F.lower(F.translate(F.coalesce(title, F.lit("")), _FOLD_FROM, _FOLD_TO))
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(x, "[^a-z0-9]+", " ")), F.lit(" "))
-
-
-@F.pandas_udf(StringType())
-def folded(x: pd.Series) -> pd.Series:
-    """Any script: canonical decomposition without combining marks. A UDF, since Spark has no such expression."""
-    return x.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c)))
+    x = F.trim(F.regexp_replace(x, "[^a-z0-9]+", " "))
+    return F.when(x == "", x).otherwise(F.concat(F.lit(" "), x, F.lit(" ")))
 
 
 @F.pandas_udf(StringType())
@@ -143,6 +146,14 @@ def unescaped(x: pd.Series) -> pd.Series:
     return x.map(lambda s: html.unescape(s) if s is not None and "&" in s else s)
 
 
+def checked_shortcuts(held: dict[str, str], chapters: list[str], defer: str = "__DEFER__") -> tuple[dict[str, str], list[str]]:
+    """Shortcuts (phrase to chapter) and traps (phrases that leave the choice to someone else) of a loaded table. Blank phrases are skipped; a chapter that isn't there is an error."""
+    held = {p.strip(): c for p, c in held.items() if p.strip()}
+    if unknown := sorted({c for c in held.values() if c != defer} - set(chapters)):
+        raise ValueError(f"unknown chapters: {', '.join(unknown)}")
+    return {p: c for p, c in held.items() if c != defer}, [p for p, c in held.items() if c == defer]
+
+
 def shortcut_chapter(title: Column, shortcuts: dict[str, str], traps: list[str] = [], alone: list[str] = []) -> Column:  # noqa: B006
     """The one chapter whose phrases a title holds; null where a trap phrase stands, none or several chapters match. Chapters in `alone` need the phrase to be the whole title."""
     t = normalized_title(title)
@@ -196,6 +207,33 @@ def distinct_ignoring_case(parts: Column) -> Column:
     return F.aggregate(F.filter(parts, lambda p: F.trim(p) != ""), F.array().cast("array<string>"), lambda a, p: F.when(F.exists(a, lambda q: F.lower(q) == F.lower(p)), a).otherwise(F.array_append(a, p)))
 
 
+def dish_text(card: Column, name: Column, description: Column, queries: Column) -> Column:
+    """What an embedding of a dish is made of: its card, or else name, description and queries, the first of those that differ by case alone."""
+    parts = F.concat(F.array(F.trim(name), F.trim(description)), F.transform(F.coalesce(queries, F.array().cast("array<string>")), lambda q: F.trim(q)))
+    return F.coalesce(denulled(card), F.array_join(distinct_ignoring_case(F.filter(parts, lambda p: p.isNotNull())), ". "))
+
+
+def recipe_text(card: Column, signal: Column, name: Column, cuisine: Column, chapter: Column, ingredients: Column, most: int = 8) -> Column:
+    """What an embedding of a record is made of: its card, or else its signal, name, cuisine, chapter and first ingredients."""
+    first = F.slice(F.coalesce(F.filter(ingredients, lambda p: p.isNotNull() & (F.trim(p) != "")), F.array().cast("array<string>")), 1, most)
+    return F.coalesce(denulled(card), F.concat_ws(". ", denulled(signal), denulled(name), denulled(cuisine), denulled(chapter), F.nullif(F.array_join(first, ", "), F.lit(""))))
+
+
+def changed_count(old: Column, new: Column) -> Column:
+    """How many of two lists' texts differ, place by place."""
+    return F.size(F.filter(F.arrays_zip(old.alias("a"), new.alias("b")), lambda x: ~x["a"].eqNullSafe(x["b"])))
+
+
+def first_image(images: Column) -> Column:
+    """The first text of a list that isn't blank."""
+    return F.get(F.filter(images, lambda x: x.isNotNull() & (F.trim(x) != "")), F.lit(0))
+
+
+def is_local_url(url: Column) -> Column:
+    """A path on our own server: one slash, not two."""
+    return F.coalesce(url.startswith("/") & ~url.startswith("//"), F.lit(False))
+
+
 def matches_search(q: str, *cells: Column) -> Column:
     return F.contains(F.lower(F.concat_ws(" ", *[c.cast("string") for c in cells])), F.lit(q.lower()))
 

@@ -41,7 +41,7 @@ def bare_host(url: Column) -> Column:
 
 
 def _form(x: Column) -> Column:
-    """Decoded and encoded again the way forms do; what can't be decoded is taken as it is."""
+    """Decoded and encoded again the way web pages encode fields; what can't be decoded is taken as it is."""
     return F.replace(F.replace(F.url_encode(F.coalesce(F.try_url_decode(x), x)), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
 
 
@@ -78,8 +78,8 @@ def url_variants(url: Column) -> Column:
     other_host = F.when(host.startswith("www."), F.substring(host, 5, 1 << 20)).otherwise(F.concat(F.lit("www."), host))
     other_path = F.when(path.endswith("/") & (F.length(path) > 1), F.regexp_replace(path, "/+$", "")).otherwise(F.concat(path, F.lit("/")))
     tail = F.regexp_extract(url, r"^[^?#]*(.*)$", 1)
-    forms = [F.concat(scheme_of(url), F.lit("://"), h, p, tail) for h in (host, other_host) for p in (path, other_path)]
-    return F.when(host == "", F.array(url)).otherwise(F.array_distinct(F.array(url, *forms)))
+    variants = [F.concat(scheme_of(url), F.lit("://"), h, p, tail) for h in (host, other_host) for p in (path, other_path)]
+    return F.when(host == "", F.array(url)).otherwise(F.array_distinct(F.array(url, *variants)))
 
 
 def unwrapped(url: Column) -> Column:

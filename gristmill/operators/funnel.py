@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 from gristmill.functions.urls import block_reason, normalize_url
 
 
-def merged_candidates(rows: DataFrame, url: str = "url", query: str = "query", rank: str = "rank", title: str = "title", seq: str = "seq") -> DataFrame:
-    """One row for each normalised URL: url_key, url (of the first row by seq), queries in order of seq, best_rank, title (the longest, the first of equals), n.
+def merged_candidates(rows: DataFrame, url: str = "url", query: str = "query", rank: str = "rank", title: str = "title", seq: str = "seq", group: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each normalised URL (of each group): url_key, url (of the first row by seq), queries, best_rank, title (the longest, the first of equals), n, seq (the first).
 
-    A grouped aggregate, combined before the shuffle; only a URL's queries are gathered. Null ranks count as no rank, null titles as empty.
+    A grouped aggregate, combined before the shuffle. Of a URL only its different queries are gathered, in order of their first seq; they are as many as a dish has. Null ranks count as no rank, null titles as empty.
     """
     key = F.when(normalize_url(F.col(url)) == "", F.col(url)).otherwise(normalize_url(F.col(url)))
     name = F.coalesce(F.col(title), F.lit(""))
-    return rows.withColumn("url_key", key).groupBy("url_key").agg(F.min_by(url, seq).alias("url"), F.transform(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(query).alias("q")))), lambda x: x["q"]).alias("queries"), F.min(rank).alias("best_rank"), F.max_by(name, F.struct(F.length(name), -F.col(seq))).alias("title"), F.count("*").alias("n"))
+    keys, by = [*group, "url_key"], F.struct(F.length("_name").alias("l"), -F.col("_seq"))
+    one = rows.select(*group, key.alias("url_key"), F.col(url).alias("_url"), F.col(query).alias("_query"), F.col(rank).alias("_rank"), name.alias("_name"), F.col(seq).alias("_seq"))
+    # a row for each URL and query first
+    one = one.groupBy(*keys, "_query").agg(F.min_by("_url", "_seq").alias("_url"), F.min("_seq").alias("_first"), F.min("_rank").alias("_rank"), F.max(F.struct(by.alias("by"), "_name")).alias("_title"), F.count("*").alias("_n"))
+    held = F.transform(F.array_sort(F.collect_list(F.struct(F.col("_first").alias("s"), F.col("_query").alias("q")))), lambda x: x["q"])
+    return one.groupBy(*keys).agg(F.min_by("_url", "_first").alias("url"), held.alias("queries"), F.min("_rank").alias("best_rank"), F.max("_title")["_name"].alias("title"), F.sum("_n").alias("n"), F.min("_first").alias("seq"))
 
 
 def blocked(rows: DataFrame, url: str = "url", **lists: list[str]) -> DataFrame:

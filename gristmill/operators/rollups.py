@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def suggestions(records: DataFrame, known: DataFrame, least: int, name: str = "name", examples: int = 5) -> DataFrame:
-    """Names that many records wait for and that aren't known yet, whatever their case: waiting, distinct chapters, up to five example ids."""
+    """Names that at least so many records wait for and that aren't known yet, whatever their case: name_key, waiting, distinct chapters and cuisines, up to five example ids; most waited for first.
+
+    Of a name's ids only the least ones are gathered, cut off before the shuffle; chapters and cuisines are sets of a few values. Blank ones are left out.
+    """
     key = F.lower(F.col(name))
-    held = records.where(F.col(name).isNotNull()).join(known.where(F.col(name).isNotNull()).select(key.alias("_k")).distinct(), F.lower(records[name]) == F.col("_k"), "left_anti")
-    # one row for each name and id first, so that the gathered sets hold distinct values only
-    return held.groupBy(key.alias("name_key")).agg(F.count("*").alias("waiting"), F.array_sort(F.collect_set("chapter")).alias("chapters"), F.array_sort(F.collect_set(F.col("id"))).alias("_ids")).where(F.col("waiting") >= least).withColumn("examples", F.slice("_ids", 1, examples)).drop("_ids")
+    held = records.where(F.col(name).isNotNull()).join(known.where(F.col(name).isNotNull()).select(key.alias("_k")).distinct(), F.lower(records[name]) == F.col("_k"), "left_anti").withColumn("name_key", key)
+    told = lambda c: F.array_sort(F.filter(F.collect_set(c), lambda x: x != "")).alias(c + "s")
+    counts = held.groupBy("name_key").agg(F.count("*").alias("waiting"), told("chapter"), told("cuisine")).where(F.col("waiting") >= least)
+    first = held.select("name_key", "id").distinct().withColumn("_r", F.row_number().over(Window.partitionBy("name_key").orderBy("id"))).where(F.col("_r") <= examples)
+    first = first.groupBy("name_key").agg(F.array_sort(F.collect_list("id")).alias("examples"))
+    return counts.join(first, "name_key").orderBy(F.desc("waiting"), "name_key")
 
 
 def membership(points: DataFrame, saved: DataFrame, rejected: DataFrame, key: str) -> DataFrame:
@@ -48,6 +54,11 @@ def deltas(rows: DataFrame, old: str, new: str) -> DataFrame:
     return rows.agg(F.count_if(d > 0).alias("gained"), F.count_if(d == 0).alias("unchanged"), F.count_if(d < 0).alias("lost"), F.avg(F.when(d > 0, d)).alias("mean_gain"), F.avg(F.when(d < 0, d)).alias("mean_loss"))
 
 
+def top_gainers(rows: DataFrame, old: str, new: str, key: str, n: int = 10) -> DataFrame:
+    """The n rows that gained most, with their delta."""
+    return rows.withColumn("delta", F.col(new) - F.col(old)).where("delta > 0").orderBy(F.desc("delta"), key).limit(n)
+
+
 def usage(journal: DataFrame) -> DataFrame:
     """Tokens by user, model and month."""
     return journal.groupBy("user_id", "model", F.date_trunc("month", "created_at").alias("month")).agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))

@@ -22,12 +22,16 @@ def replaced(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
-def inserted_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    return old.unionByName(new.join(old.select(*keys), keys, "left_anti"))
+def inserted_absent(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """old with those rows of new whose key it hasn't; of rows that repeat a key the first by `order` (a column of new, of old too if it is kept) comes in. Null keys are keys."""
+    rest = [c for c in old.columns if c not in keys]
+    first = new.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_x")).select(*keys, "_x.*").alias("n")
+    held = old.select(*keys).distinct().alias("o")
+    return old.unionByName(first.join(held, [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys], "left_anti").select(*old.columns))
 
 
 def by_priority(keys: list[str], *sources: DataFrame) -> DataFrame:
-    """The union of the sources with one row for each key, from the last source that has it."""
+    """The union of the sources with one row for each key, from the last source that has it. Each source has a key once; of rows that repeat one any may stay."""
     union = None
     for i, s in enumerate(sources):
         s = s.withColumn("_p", F.lit(i))
@@ -36,15 +40,17 @@ def by_priority(keys: list[str], *sources: DataFrame) -> DataFrame:
     return union.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_p").alias("_x")).select(*keys, "_x.*")
 
 
-def merged_rejects(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("dish_name", "url"), own: tuple[str, ...] = ("status", "notes", "marked_at", "created_at")) -> DataFrame:
-    """Rejects after another run: untouched ones (`new`) go, marked ones stay with their notes and take new scores, all others come in as `new`.
+def merged_rejects(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("dish_name", "url"), own: tuple[str, ...] = ("status", "notes", "marked_at", "created_at"), ran: DataFrame | None = None) -> DataFrame:
+    """Rejects after another run: its dishes' untouched ones (`new`) go, marked ones stay with their notes and take new scores, all others come in as `new`.
 
+    ran: the dishes that ran (the first of the keys), which may have no rejects; those of new if it isn't given. Rejects of other dishes stay as they are.
     old and new have the same columns but that new need not have those in `own`. A URL that a run names twice counts once, the last by rank.
     """
     scores = [c for c in old.columns if c not in (*keys, *own)]
     fresh = new.groupBy(*keys).agg(F.max_by(F.struct(*scores), "rank").alias("_n"), F.first("created_at").alias("_at") if "created_at" in new.columns else F.lit(None).alias("_at"))
-    marked = old.where(F.col("status") != "new")
-    j = marked.select(*keys, F.struct(*scores).alias("_o"), F.struct(*own).alias("_own")).join(fresh, list(keys), "full_outer")
+    dishes = (new if ran is None else ran).select(keys[0]).distinct().withColumn("_ran", F.lit(True))
+    stay = old.join(dishes, keys[0], "left").where(F.col("_ran").isNull() | ~F.col("status").eqNullSafe(F.lit("new")))
+    j = stay.select(*keys, F.struct(*scores).alias("_o"), F.struct(*own).alias("_own")).join(fresh, list(keys), "full_outer")
     types = dict(old.dtypes)
     first = {"status": F.lit("new"), "created_at": F.col("_at")}
     return j.select(*keys, *[F.when(F.col("_n").isNotNull(), F.col(f"_n.{c}")).otherwise(F.col(f"_o.{c}")).alias(c) for c in scores], *[F.when(F.col("_own").isNotNull(), F.col(f"_own.{c}")).otherwise(first.get(c, F.lit(None)).cast(types[c])).alias(c) for c in own]).select(*old.columns)
@@ -118,6 +124,7 @@ def patched(rows: DataFrame, values: dict[str, object], allowed: list[str], wher
     return rows.withColumns({c: F.when(where, F.lit(None if v == "" else v).cast(dict(rows.dtypes)[c])).otherwise(F.col(c)) for c, v in values.items()})
 
 
-def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(F.desc(order))
+def latest(rows: DataFrame, keys: list[str], order: str, *ties: str) -> DataFrame:
+    """Each key's last row by `order`, of equals the first by `ties`."""
+    w = Window.partitionBy(*keys).orderBy(F.desc(order), *ties)
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")

@@ -39,10 +39,22 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = N
 def best_match(vectors: DataFrame, queries: DataFrame, narrow: Column, least: float = 0.55, key: str = "vec_id", embedding: str = "embedding", among: Column | None = None) -> DataFrame:
     """query_id, match, similarity, scope: the nearest vector within the narrow filter, or else of all, if its cosine reaches `least`; null if neither does.
 
-    among: what either search is held to, such as all but the query's own row.
+    among: what either search is held to, such as all but the query's own row. Both searches are one pass over the vectors; ties go by key.
     """
-    near, wide = knn(vectors, queries, 1, narrow if among is None else narrow & among, key, embedding), knn(vectors, queries, 1, among, key, embedding)
-    one = lambda x, s: x.select("query_id", F.struct(cosine_of_l2(F.col("distance")).alias("similarity"), F.col(key).alias("match"), F.lit(s).alias("scope")).alias(s))
-    out = queries.select("query_id").join(one(near, "narrow"), "query_id", "left").join(one(wide, "wide"), "query_id", "left")
-    good = F.when(F.col("narrow.similarity") >= least, F.col("narrow")).when(F.col("wide.similarity") >= least, F.col("wide"))
-    return out.withColumn("_x", good).select("query_id", "_x.match", "_x.similarity", "_x.scope")
+    spark, fits = queries.sparkSession, F.size("query") == F.size(embedding)
+    x = F.struct(F.col("distance"), F.col(key).alias("match"))
+
+    def nearest(own: DataFrame) -> DataFrame:
+        pairs = vectors.join(F.broadcast(own), fits if among is None else fits & among).select("query_id", key, narrow.alias("_narrow"), l2(F.col("query"), F.col(embedding)).alias("distance"))
+        return pairs.groupBy("query_id").agg(F.min(F.when(F.col("_narrow"), x)).alias("narrow"), F.min(x).alias("wide"))
+
+    blocks = -(-queries.count() // BLOCK_QUERIES)
+    held, at, found = staged(queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(max(blocks, 1)))), "queries"), place(spark, "matches"), None
+    for b in range(max(blocks, 1)):
+        found = nearest(held.where(F.col("_block") == b).drop("_block"))
+        if blocks > 1:
+            found.write.mode("append").parquet(at)
+    found = spark.read.schema(found.schema).parquet(at) if blocks > 1 else found
+    told = lambda s: F.struct(F.col(f"{s}.match").alias("match"), cosine_of_l2(F.col(f"{s}.distance")).alias("similarity"), F.lit(s).alias("scope"))
+    good = F.when(cosine_of_l2(F.col("narrow.distance")) >= least, told("narrow")).when(cosine_of_l2(F.col("wide.distance")) >= least, told("wide"))
+    return queries.select("query_id").join(found, "query_id", "left").withColumn("_x", good).select("query_id", "_x.match", "_x.similarity", "_x.scope")

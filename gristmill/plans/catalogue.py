@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,26 +11,18 @@ from gristmill.functions import scores as S
 from gristmill.functions import text as T
 from gristmill.functions import urls as U
 from gristmill.operators import cohorts, funnel, rollups, state, vectors
+from gristmill.plans import upkeep  # noqa: F401  registers its queries
+from gristmill.plans.registry import Query, found
+from gristmill.plans.registry import query as _query
 from gristmill.session import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-_found: dict[str, tuple[Query, str | None]] = {}
-
-
-def _query(sql: str | None = None) -> Callable[[Query], Query]:
-    def keep(f: Query) -> Query:
-        _found[f.__name__] = (f, sql)
-        return f
-
-    return keep
-
 
 def queries() -> dict[str, Query]:
-    return {k: f for k, (f, _) in _found.items()}
+    return {k: f for k, (f, _) in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for k, (_, s) in _found.items() if s}
+    return {k: s for k, (_, s) in found.items() if s}
 
 
 # --- URLs
@@ -81,10 +71,10 @@ def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RESULTS = "(SELECT page_id AS seq, url, regexp_extract(url, '//[^/]*/([a-z]*)/', 1) AS query, CASE WHEN page_id % 7 <> 0 THEN page_id % 25 END AS rank, regexp_extract(html, '<title>(.*?)</title>', 1) AS title FROM pages)"
 
 
-@_query(f"""SELECT url_key, arg_min(r.url, seq) AS url, array_to_string(list(query ORDER BY seq), ',') AS queries, min(rank)::INT AS best_rank, arg_max(title, length(title) * 1000000 - seq) AS title, count(*) AS n
-FROM {_RESULTS} r JOIN {_NORM} k ON r.seq = k.page_id GROUP BY url_key""")
+@_query(f"""SELECT url_key, arg_min(r.url, seq) AS url, array_to_string(any_value(qs), ',') AS queries, min(rank)::INT AS best_rank, arg_max(title, length(title) * 1000000 - seq) AS title, count(*) AS n
+FROM {_RESULTS} r JOIN {_NORM} k ON r.seq = k.page_id JOIN (SELECT url_key, list(query ORDER BY s) AS qs FROM (SELECT url_key, query, min(seq) AS s FROM {_RESULTS} r JOIN {_NORM} k ON r.seq = k.page_id GROUP BY ALL) GROUP BY url_key) USING (url_key) GROUP BY url_key""")
 def candidate_dedup_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return funnel.merged_candidates(_results(spark, sf_dir)).withColumn("queries", F.array_join("queries", ","))
+    return funnel.merged_candidates(_results(spark, sf_dir)).withColumn("queries", F.array_join("queries", ",")).drop("seq")
 
 
 @_query(f"""SELECT stage, count(*) AS n FROM (SELECT CASE WHEN {_ROOT} = 'example.net' THEN 'disallowed-domain' WHEN contains(url, '/fr/') THEN 'disallowed-path' ELSE 'kept' END AS stage FROM {_NORM}) GROUP BY stage""")
@@ -227,12 +217,12 @@ _VEC = "(SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)"
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     v = table(spark, sf_dir, "embeddings")
-    return v, v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("label").alias("query_label"))
+    return v, v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("label").alias("query_label"))
 
 
 def _knn_sql(where: str, k: int = 10) -> str:
     return f"""SELECT query_id, rank::INT AS rank, vec_id, round(distance, 6) AS distance FROM (SELECT q.vec_id AS query_id, v.vec_id, list_distance(q.e, v.e) AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.e, v.e), v.vec_id) AS rank
-FROM (SELECT * FROM {_VEC} WHERE vec_id < 5) q JOIN {_VEC} v ON {where}) WHERE rank <= {k}"""
+FROM (SELECT * FROM {_VEC} WHERE vec_id % 100 = 0) q JOIN {_VEC} v ON {where}) WHERE rank <= {k}"""
 
 
 @_query(_knn_sql("true"))
@@ -250,12 +240,12 @@ def knn_excluding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.knn(*_vectors(spark, sf_dir), 10, (F.col("vec_id") != F.col("query_id")) & (F.col("label") != 3)).withColumn("distance", F.round("distance", 6))
 
 
-@_query(f"""WITH d AS (SELECT q.vec_id AS query_id, v.vec_id, q.label = v.label AS narrow, list_distance(q.e, v.e) AS distance FROM (SELECT * FROM {_VEC} WHERE vec_id < 5) q JOIN (SELECT * FROM {_VEC} WHERE vec_id >= 5) v ON true),
+@_query(f"""WITH d AS (SELECT q.vec_id AS query_id, v.vec_id, q.label = v.label AS narrow, list_distance(q.e, v.e) AS distance FROM (SELECT * FROM {_VEC} WHERE vec_id % 100 = 0) q JOIN {_VEC} v ON q.vec_id <> v.vec_id),
 b AS (SELECT query_id, arg_min(vec_id, distance) FILTER (narrow) AS nm, 1 - pow(min(distance) FILTER (narrow), 2) / 2 AS ns, arg_min(vec_id, distance) AS wm, 1 - pow(min(distance), 2) / 2 AS ws FROM d GROUP BY query_id)
 SELECT query_id, CASE WHEN ns >= 0.3 THEN nm WHEN ws >= 0.3 THEN wm END AS match, round(CASE WHEN ns >= 0.3 THEN ns WHEN ws >= 0.3 THEN ws END, 6) AS similarity, CASE WHEN ns >= 0.3 THEN 'narrow' WHEN ws >= 0.3 THEN 'wide' END AS scope FROM b""")
 def match_narrow_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, q = _vectors(spark, sf_dir)
-    return vectors.best_match(v.where("vec_id >= 5"), q, F.col("label") == F.col("query_label"), 0.3).withColumn("similarity", F.round("similarity", 6))
+    return vectors.best_match(v, q, F.col("label") == F.col("query_label"), 0.3, among=F.col("vec_id") != F.col("query_id")).withColumn("similarity", F.round("similarity", 6))
 
 
 @_query(f"SELECT a.vec_id AS vec_id, round(list_cosine_similarity(a.e, b.e), 6) AS similarity FROM {_VEC} a JOIN {_VEC} b ON b.vec_id = a.vec_id + 1")
@@ -266,7 +256,7 @@ def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- text
 
-_LEX = ["the ", "der ", "eau", "the ", "tion"]
+_LEX = ["the ", "der ", "eau", "tion", " la ", "ung", ". ", "ing ", "que", "license"]
 _HITS = " + ".join(f"(contains(lower(text), '{p}'))::INT" for p in _LEX)
 
 
@@ -280,11 +270,11 @@ def region_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.region_score(F.col("text"), _LEX).alias("score"))
 
 
-@_query("""SELECT doc_id, CASE WHEN n < 5 THEN 'fewer than 5 ingredients (' || n || ')' WHEN s < 3 THEN 'fewer than 3 instructions (' || s || ')' ELSE 'ok' END AS reason
+@_query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'no name' WHEN n < 5 THEN 'fewer than 5 ingredients (' || n || ')' WHEN s < 3 THEN 'fewer than 3 instructions (' || s || ')' ELSE 'ok' END AS reason
 FROM (SELECT doc_id, len(list_filter(string_split(text, '. '), lambda x: trim(x) <> '')) AS n, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS s FROM documents)""")
 def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", D.quality_gate(F.lit("name"), F.split("text", r"\. "), F.split("text", "\n"), 5, 3)["reason"].alias("reason"))
+    return d.select("doc_id", D.quality_gate(F.when(F.col("doc_id") % 10 == 0, F.lit(" ")).when(F.col("doc_id") % 5 != 0, F.lit("name")), F.split("text", r"\. "), F.split("text", "\n"), 5, 3)["reason"].alias("reason"))
 
 
 @_query("SELECT doc_id, sha256(array_to_string(list_concat([lower(source)], list_transform(string_split(text, chr(10)), lambda x: lower(trim(x)))), chr(10))) AS fingerprint FROM documents")
@@ -292,14 +282,31 @@ def semantic_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.fingerprint(F.col("source"), F.split("text", "\n"), F.array().cast("array<string>")).alias("fingerprint"))
 
 
-@_query("SELECT page_id, ' ' || trim(regexp_replace(lower(strip_accents(regexp_extract(html, '<title>(.*?)</title>', 1))), '[^a-z0-9]+', ' ', 'g')) || ' ' AS title FROM pages")
+_MORE = ["Ệ ắ phở", "ЁÅ Ǖx", "", "日本 a", "e\u0301te\u0301"]
+_TITLED = f"(SELECT page_id, [{', '.join(repr(x) for x in _MORE)}][page_id % 5 + 1] || CASE WHEN page_id % 5 = 2 AND page_id % 3 = 0 THEN '' ELSE regexp_extract(html, '<title>(.*?)</title>', 1) END AS title FROM pages)"
+
+
+@_query(f"SELECT page_id, CASE WHEN t = '' THEN '' ELSE ' ' || t || ' ' END AS title FROM (SELECT page_id, trim(regexp_replace(lower(strip_accents(title)), '[^a-z0-9]+', ' ', 'g')) AS t FROM {_TITLED})")
 def title_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", T.normalized_title(F.regexp_extract("html", "<title>(.*?)</title>", 1)).alias("title"))
+    """Titles with other scripts before them, and empty ones."""
+    more = F.element_at(F.array(*[F.lit(x) for x in _MORE]), (F.col("page_id") % 5 + 1).cast("int"))
+    title = F.concat(more, F.when((F.col("page_id") % 5 == 2) & (F.col("page_id") % 3 == 0), "").otherwise(F.regexp_extract("html", "<title>(.*?)</title>", 1)))
+    return table(spark, sf_dir, "pages").select("page_id", T.normalized_title(title).alias("title"))
+
 
+# shortcuts of phrases, traps and phrases that have to stand alone, over the titles' words
+_SHORTCUTS = {"the": "Soup", "der": "Bread", "la": "Salad", "de la": "Fish", "and": "Soup", "und": "Bread", "was": "Sauce", "el": "Cake"}
+_TRAPS, _ALONE = ["of"], ["Sauce"]
+_HIT = ", ".join(f"CASE WHEN {f"t = ' {p} '" if c in _ALONE else f"contains(t, ' {p} ')"} THEN '{c}' END" for p, c in _SHORTCUTS.items())
 
-@_query("SELECT page_id, CASE WHEN (contains(t, ' the ')::INT + contains(t, ' der ')::INT) = 1 THEN CASE WHEN contains(t, ' the ') THEN 'Soup' ELSE 'Bread' END ELSE 'Uncertain' END AS chapter FROM (SELECT page_id, ' ' || trim(regexp_replace(lower(strip_accents(regexp_extract(html, '<title>(.*?)</title>', 1))), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t FROM pages)")
+
+@_query(f"""SELECT page_id, CASE WHEN trim(title) = '' THEN 'Uncertain' WHEN NOT contains(t, ' of ') AND len(c) = 1 THEN c[1] WHEN page_id % 2 = 0 THEN 'Given' ELSE 'Uncertain' END AS chapter
+FROM (SELECT page_id, title, t, list_distinct(list_filter([{_HIT}], lambda x: x IS NOT NULL)) AS c FROM (SELECT page_id, title, ' ' || trim(regexp_replace(lower(strip_accents(title)), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t
+FROM (SELECT page_id, regexp_extract(html, '<p>(.*?)[.<]', 1) AS title FROM pages)))""")
 def shortcut_chapter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", T.chapter_of(F.regexp_extract("html", "<title>(.*?)</title>", 1), F.lit(None).cast("string"), {"the": "Soup", "der": "Bread"}).alias("chapter"))
+    shortcuts, traps = T.checked_shortcuts(_SHORTCUTS | {t: "__DEFER__" for t in _TRAPS}, sorted(set(_SHORTCUTS.values())))
+    given = F.when(F.col("page_id") % 2 == 0, F.lit("Given")).otherwise(F.lit("none"))
+    return table(spark, sf_dir, "pages").select("page_id", T.chapter_of(F.regexp_extract("html", "<p>(.*?)[.<]", 1), given, shortcuts, traps=traps, alone=_ALONE).alias("chapter"))
 
 
 @_query("SELECT page_id, coalesce(nullif(lower(regexp_extract(html, '<html[^>]*\\slang=\"([A-Za-z-]+)', 1))[1:2], ''), 'en') AS lang FROM pages")
@@ -315,31 +322,46 @@ def markdown_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", x["title"].alias("title"), x["url"].alias("url"))
 
 
-@_query("SELECT doc_id, length(regexp_replace(replace(text, '. ', '.' || chr(10) || chr(10) || chr(10) || chr(10)), '\\n{3,}', chr(10) || chr(10), 'g')) AS n FROM documents")
+@_query("SELECT doc_id, sha256(regexp_replace(replace(text, '. ', '.' || chr(10) || chr(10) || chr(10) || chr(10)), '\\n{3,}', chr(10) || chr(10), 'g')) AS text_sha256 FROM documents")
 def markdown_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(T.cleaned_markdown(F.concat(F.lit("![x](data:image/png;base64,AA==)"), F.replace("text", F.lit(". "), F.lit(".\n\n\n\n"))))).alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.encode(T.cleaned_markdown(F.concat(F.lit("![x](data:image/png;base64,AA==)"), F.replace("text", F.lit(". "), F.lit(".\n\n\n\n")))), "UTF-8"), 256).alias("text_sha256"))
 
 
-@_query("SELECT p_partkey, trim(split_part(p_name, ',', 1)) AS ingredient FROM part")
+@_query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 3 THEN 'g-' || n WHEN 4 THEN '' ELSE n END AS ingredient FROM (SELECT p_partkey, trim(split_part(p_name, ',', 1)) AS n FROM part)""")
 def ingredient_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.concat(F.col("p_size").cast("string"), F.lit(" 1/2 cups "), F.col("p_name"), F.lit(" (about one), chopped"))
+    """Amounts with and without units, fractions, ranges, a unit's letter that is none, nothing at all, and remarks after a comma or in parentheses."""
+    size, name = F.col("p_size").cast("string"), F.col("p_name")
+    shapes = [F.concat(size, F.lit(" 1/2 cups "), name, F.lit(" (about one), chopped")), F.concat(size, F.lit(" "), name), F.concat(F.lit(" ½ TBSP "), name, F.lit(" (x)")), F.concat(size, F.lit(" g-"), name), F.lit("12, cups"), F.concat(F.lit("2-3 lbs "), name, F.lit(", of "), size)]
+    line = F.element_at(F.array(*shapes), (F.col("p_partkey") % 6 + 1).cast("int"))
     return table(spark, sf_dir, "part").select("p_partkey", T.cleaned_ingredient(line).alias("ingredient"))
 
 
-@_query("SELECT doc_id, CASE WHEN length(text) * 0.3 < 0.4 * length(text) AND length(text) > 200 THEN 'too short' ELSE 'checked' END AS reason FROM documents")
+_TRANSLATED = "CASE doc_id % 5 WHEN 0 THEN ' ' || chr(10) WHEN 1 THEN left(text, (length(text) * 0.3)::INT) WHEN 2 THEN replace(replace(text, '1', 'x'), '2', 'x') WHEN 3 THEN left(text, 700) || ' 250 g, 1.5 Cups' ELSE text || chr(10) || '- 20 mg and 3,5 kg' END"
+
+
+@_query(rf"""SELECT doc_id, CASE WHEN NOT regexp_matches(t, '\S') THEN 'empty translation' WHEN length(text) > 200 AND length(t) / length(text) < 0.4 THEN 'length ratio ' || printf('%.2f', length(t) / length(text)) || ' < 0.4'
+  WHEN NOT regexp_matches(t, '(?i)\b\d+(?:[.,]\d+)?\s*(?:g|kg|mg|ml|l|tbsp|tsp|cup|cups|oz|lb|°[cf]?)\b') AND len(regexp_extract_all(t, '\b\d{{1,3}}\b')) < 3 THEN 'no quantities or numeric content'
+  WHEN NOT regexp_matches(t, '\n(- |\* |#)') AND length(t) < 800 THEN 'no list/heading structure' ELSE 'ok' END AS reason FROM (SELECT doc_id, text, {_TRANSLATED} AS t FROM documents)""")
 def translation_plausible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blank, cut, without numbers, short and good translations."""
     d = table(spark, sf_dir, "documents")
-    r = T.plausible(F.col("text"), F.expr("left(text, int(length(text) * 0.3))"))["reason"]
-    return d.select("doc_id", F.when(r == "too short", r).otherwise(F.lit("checked")).alias("reason"))
+    t, by = F.col("text"), F.col("doc_id") % 5
+    translated = F.when(by == 0, " \n").when(by == 1, F.expr("left(text, cast(round(length(text) * 0.3) as int))")).when(by == 2, F.translate(t, "12", "xx")).when(by == 3, F.concat(F.left(t, F.lit(700)), F.lit(" 250 g, 1.5 Cups"))).otherwise(F.concat(t, F.lit("\n- 20 mg and 3,5 kg")))
+    return d.select("doc_id", T.plausible(t, translated)["reason"].alias("reason"))
 
 
-@_query("SELECT page_id, length(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<title>.*?</title>', ' ', 'gs'), '<script>.*?</script>', ' ', 'gs'), '<style>.*?</style>', ' ', 'gs'), '<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'gs'), '\\s+', ' ', 'g'))) > 0 AS has_text FROM pages")
+@_query(r"""SELECT page_id, sha256(replace(replace(replace(regexp_replace(regexp_replace(html, '<title>.*?</title>|<script>.*?</script>|<style>.*?</style>|<!--.*?-->|<[^>]*>', '', 'gs'), '\s+', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')) AS text_sha256 FROM pages""")
 def html_visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text without its blanks, by digest."""
     p = table(spark, sf_dir, "pages").withColumn("page", P.parsed_page("html"))
-    return p.select("page_id", (F.length("page.visible") > 0).alias("has_text"))
+    return p.select("page_id", F.sha2(F.encode(F.regexp_replace("page.visible", r"\s+", ""), "UTF-8"), 256).alias("text_sha256"))
 
 
-@_query()
+_MAIN = r"(SELECT page_id, replace(replace(replace(trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '<body[^>]*>(.*)', 1, 's'), '<nav.*?</nav>|<footer.*?</footer>|<aside.*?</aside>|<header.*?</header>|<script.*?</script>|<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS text FROM pages)"
+_MAIN_SCORE = "length(text) + 100 * (" + " + ".join(f"contains(lower(text), '{p}')::INT" for p in T.PHRASES) + ")"
+
+
+@_query(f"SELECT page_id, 'body' AS selector, {_MAIN_SCORE} AS score, sha256(text) AS text_sha256 FROM {_MAIN}")
 def html_main_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").withColumn("page", P.parsed_page("html")).withColumn("main", P.main_region(F.col("page")))
     return p.select("page_id", "main.selector", "main.score", F.sha2("main.text", 256).alias("text_sha256"))
@@ -376,12 +398,17 @@ def json_topn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return funnel.top_n(j, 3, ["c_custkey"], ou="k", seq="event_id").select(F.col("c_name").alias("name"), "rank", "event_id")
 
 
-@_query("""SELECT name_key, waiting, array_to_string(chapters, ',') AS chapters, array_to_string(ids[1:5], ',') AS examples FROM (SELECT lower(p_type) AS name_key, count(*) AS waiting, list_sort(list_distinct(list(p_brand))) AS chapters, list_sort(list_distinct(list(p_partkey))) AS ids
-FROM part WHERE lower(p_type) NOT IN (SELECT lower(p_type) FROM part WHERE p_size > 49) GROUP BY 1) WHERE waiting >= 3""")
+_WAITING = "(SELECT p_partkey AS id, CASE WHEN p_partkey % 9 = 0 THEN NULL WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE p_brand END AS name, p_type AS chapter, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'c' || p_size % 4 END AS cuisine, p_size FROM part)"
+
+
+@_query(f"""SELECT name_key, waiting, array_to_string(chapters, ',') AS chapters, array_to_string(cuisines, ',') AS cuisines, array_to_string(ids[1:5], ',') AS examples FROM (SELECT lower(name) AS name_key, count(*) AS waiting, list_sort(list_distinct(list(chapter))) AS chapters,
+list_sort(list_distinct(list(cuisine) FILTER (cuisine <> ''))) AS cuisines, list_sort(list_distinct(list(id))) AS ids FROM {_WAITING} WHERE name IS NOT NULL AND lower(name) NOT IN (SELECT lower(name) FROM {_WAITING} WHERE id % 25 = 1 AND name IS NOT NULL) GROUP BY 1) WHERE waiting >= 3""")
 def suggestions_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("name"), F.col("p_brand").alias("chapter"), "p_size")
-    s = rollups.suggestions(p, p.where("p_size > 49").select("name"), 3)
-    return s.select("name_key", "waiting", F.array_join("chapters", ",").alias("chapters"), F.array_join(F.transform("examples", lambda x: x.cast("string")), ",").alias("examples"))
+    i, b = F.col("p_partkey"), F.col("p_brand")
+    p = table(spark, sf_dir, "part").select(i.alias("id"), F.when(i % 9 == 0, None).when(i % 2 == 0, F.upper(b)).otherwise(b).alias("name"), F.col("p_type").alias("chapter"), F.when(i % 3 == 0, "").otherwise(F.concat(F.lit("c"), (F.col("p_size") % 4).cast("string"))).alias("cuisine"))
+    s = rollups.suggestions(p, p.where("id % 25 = 1").select("name"), 3)
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return s.select("name_key", "waiting", joined("chapters"), joined("cuisines"), joined("examples"))
 
 
 @_query("SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 'saved' WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 'rejected' ELSE 'dropped' END AS label FROM documents")
@@ -442,16 +469,18 @@ def counts_onto_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _AS_OF = "1998-06-01 00:00:00"
 _OLD_REJECTS = "(SELECT o_custkey AS dish_name, o_orderkey AS url, 'old' AS reason, o_totalprice AS ou, 1 AS rank, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE 'skipped' END AS status, 'n' || o_orderkey AS notes FROM orders WHERE o_orderkey % 2 = 0)"
-_NEW_REJECTS = "(SELECT o_custkey AS dish_name, o_orderkey AS url, 'fresh' AS reason, o_totalprice + 1 AS ou, 2 AS rank FROM orders WHERE o_orderkey % 4 < 2)"
+_NEW_REJECTS = "(SELECT o_custkey AS dish_name, o_orderkey AS url, 'fresh' AS reason, o_totalprice + 1 AS ou, 2 AS rank FROM orders WHERE o_orderkey % 4 < 2 AND o_custkey % 3 = 0 AND o_custkey % 2 = 0)"
 
 
 @_query(f"""SELECT coalesce(o.dish_name, n.dish_name) AS dish_name, coalesce(o.url, n.url) AS url, coalesce(n.reason, o.reason) AS reason, round(coalesce(n.ou, o.ou), 2) AS ou, coalesce(n.rank, o.rank) AS rank, coalesce(o.status, 'new') AS status, o.notes AS notes
-FROM (SELECT * FROM {_OLD_REJECTS} WHERE status <> 'new') o FULL JOIN {_NEW_REJECTS} n ON o.dish_name = n.dish_name AND o.url = n.url""")
+FROM (SELECT * FROM {_OLD_REJECTS} WHERE NOT (status = 'new' AND dish_name % 3 = 0)) o FULL JOIN {_NEW_REJECTS} n ON o.dish_name = n.dish_name AND o.url = n.url""")
 def reject_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the dishes ran, half of them without rejects."""
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("dish_name"), F.col("o_orderkey").alias("url"), F.col("o_totalprice").alias("ou"))
     old = o.where("url % 2 = 0").select("dish_name", "url", F.lit("old").alias("reason"), "ou", F.lit(1).alias("rank"), F.when(F.col("url") % 3 == 0, "new").otherwise("skipped").alias("status"), F.concat(F.lit("n"), F.col("url").cast("string")).alias("notes"))
-    new = o.where("url % 4 < 2").select("dish_name", "url", F.lit("fresh").alias("reason"), (F.col("ou") + 1).alias("ou"), F.lit(2).alias("rank"))
-    return state.merged_rejects(old.withColumn("created_at", F.lit(None).cast("string")), new, own=("status", "notes", "created_at")).drop("created_at").withColumn("ou", F.round("ou", 2))
+    new = o.where("url % 4 < 2 AND dish_name % 6 = 0").select("dish_name", "url", F.lit("fresh").alias("reason"), (F.col("ou") + 1).alias("ou"), F.lit(2).alias("rank"))
+    ran = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("dish_name"))
+    return state.merged_rejects(old.withColumn("created_at", F.lit(None).cast("string")), new, own=("status", "notes", "created_at"), ran=ran).drop("created_at").withColumn("ou", F.round("ou", 2))
 
 
 @_query(f"""SELECT c_custkey, CASE WHEN t IS NULL THEN 'miss' WHEN t < TIMESTAMP '{_AS_OF}' - INTERVAL 60 DAY THEN 'stale' ELSE 'fresh' END AS status FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS t FROM orders GROUP BY 1) ON c_custkey = o_custkey""")
@@ -499,9 +528,9 @@ def adopt_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.adopted(rows, held).select("seq", "id", "adopted")
 
 
-@_query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@_query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderkey % 7 = 0)")
 def orphan_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.orphans(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey").select("c_custkey")
+    return state.orphans(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("c_custkey")), "c_custkey").select("c_custkey")
 
 
 @_query("SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS balance, 'old' AS created FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, c_acctbal + 1, 'new' FROM customer WHERE c_custkey % 4 = 1")

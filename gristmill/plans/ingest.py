@@ -10,7 +10,7 @@ from gristmill.functions.pages import envelope, main_region, open_graph, parsed_
 from gristmill.functions.scores import opportunity
 from gristmill.functions.text import fingerprint, language_of, verdict
 from gristmill.functions.urls import normalize_url
-from gristmill.operators.cohorts import fit_groups, graded
+from gristmill.operators.cohorts import LEAST_N, fit_groups, graded
 from gristmill.operators.funnel import blocked, floored, merged_candidates, top_n
 from gristmill.operators.state import adopted, drifted, merged_by_key
 
@@ -23,14 +23,16 @@ def pages_to_records(pages: DataFrame) -> DataFrame:
     return p.select(*pages.columns, normalize_url(F.col("url")).alias("url_normalized"), language_of(F.col("html"), F.lit(None).cast("string"), F.col("page.visible")).alias("language"), open_graph(F.col("page"), F.col("url")).alias("og"), verdict(F.col("page.visible")).alias("verdict"), envelope(F.col("page.title"), F.col("url"), F.get("page.json", F.lit(0)), F.col("main.markdown")).alias("markdown"), "record", "eligible", quality_gate(F.col("record.name"), F.col("record.recipeIngredient"), F.col("record.recipeInstructions")).alias("gate"), fingerprint(F.col("record.name"), F.col("record.recipeIngredient"), F.col("record.recipeInstructions")).alias("fingerprint"))
 
 
-def refreshed_group(results: DataFrame, authority: DataFrame, n: int = 10) -> tuple[DataFrame, DataFrame]:
-    """Winners and rejects of a search: merged, blocked, scored, fitted, floored, ranked. results: dish, url, query, rank, title, seq; authority: url_key, pa, da."""
-    merged = results.select("dish").distinct().join(blocked(merged_candidates(results)).withColumn("seq", F.xxhash64("url_key")))
-    scored = merged.join(authority, "url_key", "left").withColumn("drop_reason", F.coalesce("drop_reason", F.when(F.col("pa").isNull(), "authority-unavailable"))).withColumn("ou", opportunity(F.col("pa"), F.col("da")))
+def refreshed_group(results: DataFrame, authority: DataFrame, n: int = 10, least_n: int = LEAST_N, **lists: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Winners and rejects of each dish's search: merged by URL, blocked, scored, fitted, floored, ranked. results: dish, url, query, rank, title, seq; authority: url_key, pa, da.
+
+    A URL that two dishes find is a candidate of both. Rejects say why: blocked, authority-unavailable, below-floor (no ou, or under 0) or below-cut. lists: see block_reason.
+    """
+    scored = blocked(merged_candidates(results, group=("dish",)), **lists).join(authority.select("url_key", "pa", "da"), "url_key", "left")
+    scored = scored.withColumn("drop_reason", F.coalesce("drop_reason", F.when(F.col("pa").isNull(), "authority-unavailable"))).withColumn("ou", opportunity(F.col("pa"), F.col("da")))
     live = scored.where("drop_reason is null")
-    fitted = graded(live, fit_groups(live, ["dish"]), ["dish"])
-    won = top_n(floored(fitted), n, ["dish"])
-    lost = scored.join(won.select("dish", "url_key"), ["dish", "url_key"], "left_anti").withColumn("drop_reason", F.coalesce("drop_reason", F.lit("below-cut")))
+    won = top_n(floored(graded(live, fit_groups(live, ["dish"], least_n=least_n, models=("linear", "quadratic", "power")), ["dish"])), n, ["dish"])
+    lost = scored.join(won.select("dish", "url_key"), ["dish", "url_key"], "left_anti").withColumn("drop_reason", F.coalesce("drop_reason", F.when(F.coalesce(F.col("ou") < 0, F.lit(True)), "below-floor"), F.lit("below-cut")))
     return won, lost
 
 

@@ -25,16 +25,33 @@ def windowed_usage(entries: DataFrame, window: str = "1 hour", late: str = "1 da
     return entries.withWatermark(at, late).groupBy(F.window(at, window), "model").agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
 
 
-def latest_by_key(changes: DataFrame, path: str, checkpoint: str, keys: list[str], order: str) -> StreamingQuery:
-    """Keeps the newest row of each key as a snapshot: each batch is merged with the snapshot before it and written as the next one."""
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the snapshots that were written whole."""
+    on = spark._jvm.org.apache.hadoop.fs.Path
+    fs = on(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(int(s.getPath().getName()[1:]) for s in fs.listStatus(on(path)) if fs.exists(on(s.getPath(), "_SUCCESS"))) if fs.exists(on(path)) else []
+
+
+def snapshot(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """The last whole snapshot; empty before the first one."""
+    held = _versions(spark, path)
+    return spark.read.schema(schema).parquet(f"{path}/v{held[-1]}") if held else spark.createDataFrame([], schema)
+
+
+def latest_by_key(changes: DataFrame, path: str, checkpoint: str, keys: list[str], order: str, keep: int = 2) -> StreamingQuery:
+    """Keeps the newest row of each key as a snapshot: each batch is merged with the snapshot before it and written as the next one; of equal rows by `order` the greater one stays.
+
+    The last `keep` snapshots stay, so that a reader, or a batch that is run again, finds the one before. A snapshot is written whole, which suits keyed state that is small beside its changes.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark, rest = batch.sparkSession, [c for c in batch.columns if c not in keys]
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-        held = sorted(int(s.getPath().getName()[1:]) for s in fs.listStatus(at) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))) if fs.exists(at) else []
-        held = [n for n in held if n < number]
+        spark, rest = batch.sparkSession, [c for c in batch.columns if c not in (*keys, order)]
+        held = [n for n in _versions(spark, path) if n < number]
         both = batch if not held else batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/v{held[-1]}"))
-        both.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("x")).select(*keys, "x.*").select(*batch.columns).write.mode("overwrite").parquet(f"{path}/v{number}")
+        both.groupBy(*keys).agg(F.max(F.struct(order, *rest)).alias("x")).select(*keys, "x.*").select(*batch.columns).write.mode("overwrite").parquet(f"{path}/v{number}")
+        on = spark._jvm.org.apache.hadoop.fs.Path
+        for old in held[: max(0, len(held) + 1 - keep)]:
+            at = on(f"{path}/v{old}")
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

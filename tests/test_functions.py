@@ -80,5 +80,13 @@ def test_pages_survive_what_they_hold(spark):
 
 
 def test_quality_gate(spark):
-    g = one(spark, D.quality_gate(F.lit("n"), F.array(F.lit("a"), F.lit(" "), F.lit("b")), F.array(F.lit("x"), F.lit("y"), F.lit("z"))))
-    assert g is not None
+    def gate(name, n, m, *least):
+        lines = lambda k: F.array(*[F.lit("x")] * k, F.lit(" "), F.lit(None))
+        return tuple(one(spark, D.quality_gate(F.lit(name), lines(n), lines(m), *least)))
+
+    assert gate("n", 3, 3) == (True, "ok")
+    assert gate("n", 2, 3) == (False, "fewer than 3 ingredients (2)")
+    assert gate("n", 3, 2) == (False, "fewer than 3 instructions (2)")
+    assert gate(" ", 9, 9) == gate(None, 9, 9) == (False, "no name")
+    assert gate("n", 2, 1, 2, 1) == (True, "ok")
+    assert tuple(one(spark, D.quality_gate(F.lit("n"), F.lit(None).cast("array<string>"), F.array(F.lit("x"))))) == (False, "fewer than 3 ingredients (0)")

@@ -136,7 +136,7 @@ class PieceCounter:
         return done
 
     def _neighbour_ranks(self, new: np.ndarray, seq: np.ndarray, gone: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each merged place, the lower rank of the pairs it forms with its neighbours once all have merged."""
+        """For each merged place, the lower rank of the pairs that it makes with its neighbours once all have merged."""
         keep = np.flatnonzero(~gone)
         s, q = new[keep], seq[keep]
         r = np.full(len(keep) + 1, NONE, np.int32)

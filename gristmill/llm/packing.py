@@ -22,13 +22,16 @@ from itertools import islice
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import Memo, numbered, release
+from gristmill.llm.common import Memo, numbered, release, slices
 
 #: Latin letters that neither normalising nor lowering turns into anything but as many letters, then ASCII marks but the apostrophe.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ňŊ-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Texts that tell whether a tokenizer may be asked run by run.
+PROBES = ["", " a  b\n\tc", "Café (été), DON'T 12,345 x2\n\n  Zz. ÀÉ!? ﬁ İ", "a\u00a0b\u3000c \u200bd <unk> </s> [PAD] <|endoftext|>", "word " * 40 + "end\x00x\r\ny"]
 #: A filling of a sequence: (length, pieces of it) from long to short.
 Pieces = tuple[tuple[int, int], ...]
 #: A filling, and how many sequences are filled so.
@@ -306,20 +309,32 @@ def _ids_of(path: str) -> Memo:
 
     def all_ids(new: list[str]) -> list[bytes]:
         """Letters with marks after them are two words of the tokenizer, and case makes no difference to it."""
-        cut = {w: (m[1].lower(), m[2]) for w in new if (m := PLAIN.fullmatch(w))} if suffix else {}
-        head, tail = letters.of({a for a, _ in cut.values()}), marks.of({b for _, b in cut.values() if b})
-        out = {w: head[a] + tail[b] if b else head[a] for w, (a, b) in cut.items()}
-        rest = [w for w in new if w not in cut]
-        out.update(zip(rest, one_by_one(rest), strict=True))
-        return [out[w] for w in new]
-
-    return Memo(all_ids)
-
-
-def _text_ids(texts: list[str | None], memo: Memo) -> list[bytes]:
-    split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-    held = memo.of(set().union(*split)) if split else {}
-    return [b"".join(map(held.__getitem__, s)) for s in split]
+        cut = [(w.lower(), "") if w.isascii() and w.isalpha() else (m[1].lower(), m[2]) if (m := PLAIN.fullmatch(w)) else (None, w) for w in new] if suffix else [(None, w) for w in new]
+        head, tail = letters.of({a for a, _ in cut if a is not None}), marks.of({b for a, b in cut if a is not None and b})
+        rest = iter(one_by_one([b for a, b in cut if a is None]))
+        return [next(rest) if a is None else head[a] + tail[b] if b else head[a] for a, b in cut]
+
+    whole = Memo(all_ids)
+    for probe in PROBES:
+        if _text_ids(pa.array([probe]), whole) != list(one_by_one([probe])):
+            raise ValueError("this tokenizer does not treat runs between blanks alike wherever they stand")
+    return whole
+
+
+def _text_ids(texts: pa.Array, memo: Memo) -> list[bytes]:
+    """The ids of each text; a null one has none. Runs are cut and told apart by Arrow, so that Python sees each different one of a batch once."""
+    runs = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+    flat = runs.flatten().dictionary_encode()
+    different = flat.dictionary.to_pylist()
+    held = memo.of(different)
+    ids = [held[w] for w in different]
+    size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    which = flat.indices.to_numpy()
+    n, start = size[which], (np.cumsum(size) - size)[which]
+    ends = np.r_[0, np.cumsum(n)]
+    out = np.frombuffer(b"".join(ids), "<u4")[np.arange(ends[-1]) + np.repeat(start - ends[:-1], n)].tobytes()
+    edges = (4 * ends[runs.offsets.to_numpy() - runs.offsets[0].as_py()]).tolist()
+    return [out[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
 def pieces(df: DataFrame, tokenizer: str, capacity: int, key: str = "doc_id", text: str = "text", end_id: int = 0, with_ids: bool = False) -> DataFrame:
@@ -331,8 +346,8 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int, key: str = "doc_id", te
         release()
         memo = _ids_of(tokenizer)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                keys, texts = (b.column(i).slice(at, 256).to_pylist() for i in (0, 1))
+            for own in slices(b, "text"):
+                keys, texts = own.column(0).to_pylist(), own.column(1)
                 rows = [(k, i // step, i // 4, len(x) // 4, zlib.crc32(x), *[x] * with_ids) for k, ids in zip(keys, _text_ids(texts, memo), strict=True) for whole in [ids + end] for i in range(0, len(whole), step) for x in [whole[i : i + step]]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
         release()

@@ -80,7 +80,8 @@ class Memo:
         self.compute, self.limit, self.held, self.old = compute, limit, {}, {}
         Memo.alive.add(self)
 
-    def of(self, wanted: set[str]) -> dict:
+    def of(self, wanted: set[str] | list[str]) -> dict:
+        """A value for each of the wanted words, which are different."""
         missing = [w for w in wanted if w not in self.held]
         if missing and len(self.held) + len(missing) > self.limit:
             self.old, self.held, missing = self.held, {}, list(wanted)
@@ -121,6 +122,17 @@ def bucketed(df: DataFrame, by: str, name: str) -> DataFrame:
     return out
 
 
+def joined_to_each(rows: DataFrame, told: DataFrame, on: list[str], n: str = "n") -> DataFrame:
+    """rows with the columns of told, which has a row for each key and in `n` how many of the rows have it; rows without one keep nulls.
+
+    Keys of many rows are few, less than four for each shuffle partition, and are broadcast; what is shuffled has no hot key.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = (told.agg(F.sum(n).alias("s")).first()["s"] or 0) // (4 * parts) + 1
+    hot = F.broadcast(staged(told.where(F.col(n) >= share).drop(n), "hot"))
+    return rows.join(hot, on).unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(told.drop(n), on, "left"))
+
+
 def numbered(df: DataFrame, order: list[str], name: str) -> tuple[DataFrame, int]:
     """df with a global row number from 0 in the given order, and the number of rows.
 

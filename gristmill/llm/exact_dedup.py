@@ -14,7 +14,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import lower_ascii
+from gristmill.llm.common import joined_to_each, lower_ascii
 from gristmill.session import place, staged
 
 SCHEMAS = {"digests": "digest STRING, keep_id BIGINT", "counts": "digest STRING, n BIGINT, batch STRING"}
@@ -125,11 +125,8 @@ def dedup(df: DataFrame, index: DigestIndex | None = None, key: str = "doc_id",
     groups = staged(held.groupBy(at.alias("range"), "digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n")), "groups")
     for i in range(batches):
         index.add(groups.where(F.col("range") == i), name and f"{name}-{i}")
-    told = index.scan()
-    # digests that many rows share are few, and broadcast: the rest has no hot key
-    share = held.count() // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))) + 1
-    hot = F.broadcast(staged(told.join(F.broadcast(groups.groupBy("digest").agg(F.sum("n").alias("n")).where(F.col("n") >= share).select("digest")), "digest", "left_semi"), "hot"))
-    rest = held.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(told, "digest")
+    told = index.scan().join(groups.groupBy("digest").agg(F.sum("n").alias("n")), "digest")
+    out = joined_to_each(held, staged(told, "told"), ["digest"])
     if own:
         index.close()
-    return held.join(hot, "digest").unionByName(rest).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import mixed_bits, release, slices, word_hashes
+from gristmill.llm.common import joined_to_each, mixed_bits, release, slices, word_hashes
 from gristmill.llm.components import components
 from gristmill.session import staged
 
@@ -355,9 +355,12 @@ def jaccard_components(df: DataFrame, ngram: int = 5, num: int = 80, den: int =
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     links = held.select("set_id", "cluster", "block", "elements", "task", "cell.i", "cell.j").groupBy("task").applyInPandas(verified, "a long, b long")
-    # a component goes by the digest of its root; sets that are linked with no other one are roots themselves
+    # each set's component goes by its root, itself if it is linked with no other one; then the rows get those of their sets
     ids = one.select("set_id", "s1", "s2")
     roots = components(links).join(ids, F.col("id") == F.col("set_id")).select("s1", "s2", F.col("root").alias("set_id")).join(ids.select("set_id", F.col("s1").alias("r1"), F.col("s2").alias("r2")), "set_id").drop("set_id")
-    told = staged(base.select("doc_id", "n_shingles", "s1", "s2").join(roots, ["s1", "s2"], "left").select("doc_id", "n_shingles", F.coalesce("r1", "s1").alias("r1"), F.coalesce("r2", "s2").alias("r2")), "roots")
-    first = staged(told.where("r1 is not null").groupBy("r1", "r2").agg(F.min("doc_id").alias("first")), "first")
-    return told.join(first, ["r1", "r2"], "left").select("doc_id", "n_shingles", F.when(F.col("r1").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id"))
+    sets = base.where("s1 is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    sets = staged(sets.join(roots, ["s1", "s2"], "left").select("s1", "s2", "n", "first", F.coalesce("r1", "s1").alias("r1"), F.coalesce("r2", "s2").alias("r2")), "roots")
+    least = staged(sets.groupBy("r1", "r2").agg(F.min("first").alias("component_id"), F.count("*").alias("n")), "first")
+    sets = staged(joined_to_each(sets.select("s1", "s2", F.col("n").alias("rows"), "r1", "r2"), least, ["r1", "r2"]).select("s1", "s2", F.col("rows").alias("n"), "component_id"), "components")
+    told = joined_to_each(base.select("doc_id", "n_shingles", "s1", "s2"), sets, ["s1", "s2"])
+    return told.select("doc_id", "n_shingles", F.when(F.col("s1").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -43,13 +43,15 @@ class PieceCounter:
         self.width = width
         self.keys, self.ranks, self.made = (np.array(x, t) for x, t in zip(zip(*pairs, strict=True), (np.int64, np.int32, np.int32), strict=True))
         self.bigrams = {p[k : k + 2] for p in scores for k in range(len(p) - 1)}
-        assert not any(a != SPACE and b == SPACE for a, b in self.bigrams), "a piece holds a space after another character"
+        if any(a != SPACE and b == SPACE for a, b in self.bigrams):
+            raise ValueError("a piece holds a space after another character")
         # a line feed that is in no piece stands alone; other spaces start a new pre-token
         alone = "\n" if not any("\n" in p for p in scores) else ""
         self.split = re.compile(f"{alone}|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
         self.memo = Memo(self.count_all)
         for probe in ("", " a  b\n\tc <s> ▁x", "Café é ﬁ ² 12,345 </s>\U0001f600", "aaaaaaa  \n\n  zz\u0000"):
-            assert self.counts([probe])[0] == len(sp.encode(probe)), "this model's text rules are not the ones that are counted here"
+            if self.counts([probe])[0] != len(sp.encode(probe)):
+                raise ValueError("this model's text rules are not the ones that are counted here")
 
     def _ranked(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and result of each pair; NONE where there is no such merge."""

@@ -85,14 +85,18 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, tables: int = 8, probe
     A query whose probes find fewer than k is asked again against all rows, which is an exact search; so it gets k, or all there are.
     Rows with a null key, and vectors that are null, empty, zero or not finite take no part; all others must have one length (an error
     otherwise). Equal scores go by the smaller key. Rows that repeat a key and vector are one row, and a row is never its own neighbour. An empty table, or
-    one vector, gives none. Buckets are worked on in blocks of at most `block` vectors by `block` queries, so a bucket may
-    hold any part of the rows. Other columns of df are not read.
+    one vector, gives none. A vector travels once for each table, in the type it has, and a query once for each cell that it probes: a cell holds buckets of a table, of about
+    `block` vectors together, or a part of one larger bucket, so a bucket may hold any part of the rows. Where lengths differ, buckets are of scaled vectors by bands; scores never are. Other columns of df are not read.
     """
     spark = df.sparkSession
+    single = df.schema[embedding].dataType.elementType.typeName() == "float"
+    number = "float" if single else "double"
+    vector = f"array<{number}>"
     # lengths as logarithms of scaled vectors: squares of very large or small numbers are not held
-    large = F.array_max(F.transform("v", lambda v: F.abs(v)))
-    length = F.log(large) + F.log(F.aggregate("v", F.lit(0.0), lambda a, v: a + (v / large) * (v / large))) / 2
-    rows = df.where(_proper(F.col(embedding)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("vec_id"), F.transform(embedding, lambda v: v.cast("double")).alias("v"), is_query.alias("is_query")).dropDuplicates(["vec_id", "v"])
+    d = F.transform("v", lambda v: v.cast("double"))
+    large = F.array_max(F.transform(d, lambda v: F.abs(v)))
+    length = F.log(large) + F.log(F.aggregate(d, F.lit(0.0), lambda a, v: a + (v / large) * (v / large))) / 2
+    rows = df.where(_proper(F.col(embedding)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("vec_id"), F.col(embedding).cast(vector).alias("v"), is_query.alias("is_query")).dropDuplicates(["vec_id", "v"])
     rows = staged(rows.withColumn("length", length), "vectors")
     seen = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("most"), F.min(F.size("v")).alias("least"), F.max("length").alias("long"), F.min("length").alias("short")).first()
     schema = "query_id long, rank int, vec_id long, score double"
@@ -111,58 +115,82 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, tables: int = 8, probe
     rows = rows.withColumn("band", band)
 
     def hashed(deep: np.ndarray, taken: int | None):  # noqa: ANN202
-        """Buckets of rows: in each table of their band the nearest axis, or the `taken` that a query probes, in all bands; bucket 0 holds the bands that aren't in `deep`."""
+        """Buckets of rows, with their vectors: in each table of their band the nearest axis. With `taken`, without them: the axes that a query probes, in all bands. Bucket 0 holds the bands that aren't in `deep`."""
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            def out(at: np.ndarray, bucket: np.ndarray) -> pd.DataFrame:
+                return pd.DataFrame({"bucket": bucket.astype(np.int64), "id": ids[at], **({} if taken else {"v": list(vectors[at])})})
+
             for b in batches:
                 if not len(b):
                     continue
                 ids, vectors, bands = b["vec_id"].to_numpy(), b["v"].to_numpy(), b["band"].to_numpy()
                 whole = np.flatnonzero(~np.isin(bands, deep)) if taken is None else np.arange(len(b))
                 if len(whole):
-                    yield pd.DataFrame({"bucket": np.zeros(len(whole), np.int64), "id": ids[whole], "v": list(vectors[whole])})
+                    yield out(whole, np.zeros(len(whole)))
                 if not len(deep):
                     continue
-                u = np.stack(vectors)
+                u = np.stack(vectors).astype(np.float64)
                 u = u / np.abs(u).max(1, keepdims=True)
                 u = u / np.linalg.norm(u, axis=1, keepdims=True)
                 for t in range(tables):
                     lean = leaning(u, turns[t])
                     for j, own in enumerate(deep):
                         mine = np.flatnonzero(bands == own) if taken is None else np.arange(len(b))
-                        at = np.argpartition(-lean[mine], taken - 1, 1)[:, :taken] if taken else lean[mine].argmax(1)[:, None]
-                        n = at.shape[1]
                         if len(mine):
-                            yield pd.DataFrame({"bucket": (1 + (j * tables + t) * axes + at).ravel().astype(np.int64), "id": np.repeat(ids[mine], n), "v": [v for v in vectors[mine] for _ in range(n)]})
+                            at = np.argpartition(-lean[mine], taken - 1, 1)[:, :taken] if taken else lean[mine].argmax(1)[:, None]
+                            yield out(np.repeat(mine, at.shape[1]), 1 + (j * tables + t) * axes + at.ravel())
 
         return run
 
+    def best(ids: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        """Places of the k best; a key that stands several times counts with its best score."""
+        order = np.lexsort((ids, -scores))
+        _, first = np.unique(ids[order], return_index=True)
+        return order[np.sort(first)[:k]]
+
     def ranked(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        """The k best of a cell for each of its queries."""
         if not len(x) or not len(q):
-            return pd.DataFrame({"query_id": [], "ids": [], "scores": []})
-        found = list(leaders(np.stack(q["v"].to_numpy()), q["id"].to_numpy(), np.stack(x["v"].to_numpy()), x["id"].to_numpy(), k))
-        return pd.DataFrame({"query_id": q["id"].to_numpy(), "ids": [i for i, _ in found], "scores": [s for _, s in found]})
+            return pd.DataFrame({"query_id": [], "ids": [], "scores": []}, dtype=object)
+        x = x.sort_values("bucket", kind="stable")
+        bucket, ids, own = x["bucket"].to_numpy(), x["id"].to_numpy(), np.stack(x["v"].to_numpy()).astype(np.float64)
+        asked, q_ids = np.stack(q["v"].to_numpy()).astype(np.float64), q["id"].to_numpy()
+        which = np.repeat(np.arange(len(q)), [len(z) for z in q["buckets"]])
+        probed = np.concatenate(q["buckets"].to_list())
+        found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(len(q))]
+        there, first = np.unique(bucket, return_index=True)
+        for z, lo, hi in zip(there, first, [*first[1:], len(bucket)], strict=True):
+            mine = which[probed == z]
+            for i, pair in zip(mine, leaders(asked[mine], q_ids[mine], own[lo:hi], ids[lo:hi], k), strict=True):
+                found[i].append(pair)
+        held = [i for i in range(len(q)) if found[i]]
+        out = [(np.concatenate([a for a, _ in found[i]]), np.concatenate([s for _, s in found[i]])) for i in held]
+        out = [(a[top], s[top]) for a, s in out for top in [best(a, s)]]
+        return pd.DataFrame({"query_id": q_ids[held], "ids": pd.Series([a for a, _ in out], dtype=object), "scores": pd.Series([s for _, s in out], dtype=object)})
 
     def merged(own: pd.DataFrame) -> pd.DataFrame:
-        """The k best of what a query's probes found: at most k for each of its cells."""
+        """The k best of all cells: at most k come from each."""
         ids, scores = np.concatenate(own["ids"].to_list()), np.concatenate(own["scores"].to_list())
-        # a key that stands for several vectors may come with several scores: the best is its own
-        order = np.lexsort((ids, -scores))
-        _, first = np.unique(ids[order], return_index=True)
-        top = order[np.sort(first)[:k]]
+        top = best(ids, scores)
         return pd.DataFrame({"query_id": own["query_id"].iloc[0], "rank": np.arange(1, len(top) + 1, dtype=np.int32), "vec_id": ids[top], "score": scores[top]})
 
     def search(queries: DataFrame, deep: np.ndarray) -> DataFrame:
-        indexed = rows.mapInPandas(hashed(deep, None), "bucket long, id long, v array<double>")
-        probed = queries.mapInPandas(hashed(deep, min(probes, axes)), "bucket long, id long, v array<double>")
-        # how many blocks a bucket's rows need on either side; a row for each bucket, of which there are bands x tables x axes
-        blocks = lambda x, name: F.broadcast(x.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias(name)))
-        cells = blocks(indexed.select("bucket", "id"), "xs").join(blocks(probed.select("bucket", "id"), "qs"), "bucket")
+        indexed = rows.mapInPandas(hashed(deep, None), f"bucket long, id long, v {vector}")
+        probed = staged(queries.mapInPandas(hashed(deep, min(probes, axes)), "bucket long, id long").distinct(), "probes")
+        # a row for each bucket, of which there are bands x tables x axes: the cell that it begins in, and the parts of one that is larger than a cell
+        table = F.floor((F.col("bucket") - 1) / axes)
+        counts = indexed.groupBy("bucket").agg(F.count("*").alias("n"))
+        before = F.sum("n").over(Window.partitionBy("table").orderBy("bucket")) - F.col("n")
+        cells = counts.withColumn("table", table).select("bucket", "table", F.floor(before / block).alias("cell"), F.ceil(F.col("n") / block).cast("int").alias("xs"))
         cells = F.broadcast(staged(cells, "cells"))
-        index = indexed.join(cells, "bucket").select("bucket", F.pmod(F.xxhash64("id"), "xs").cast("int").alias("x_block"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("q_block"), "id", "v")
-        asked = probed.join(cells, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("x_block"), F.pmod(F.xxhash64("id"), "qs").cast("int").alias("q_block"), "id", "v")
-        cell = ["bucket", "x_block", "q_block"]
-        found = index.groupBy(*cell).cogroup(asked.groupBy(*cell)).applyInPandas(ranked, "query_id long, ids array<long>, scores array<double>")
+        asked = probed.join(cells, "bucket").select("table", "cell", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("x_block"), "bucket", "id")
+        asked = staged(asked.groupBy("table", "cell", "x_block", "id").agg(F.collect_list("bucket").alias("buckets")), "asked")
+        at = ["table", "cell", "x_block"]
+        blocks = F.broadcast(staged(asked.groupBy(*at).agg(F.ceil(F.count("*") / block).cast("int").alias("qs")), "blocks"))
+        asked = asked.join(blocks, at).join(queries.select(F.col("vec_id").alias("id"), "v"), "id").select(*at, F.pmod(F.xxhash64("id"), "qs").cast("int").alias("q_block"), "id", "buckets", "v")
+        index = indexed.join(cells, "bucket").withColumn("x_block", F.pmod(F.xxhash64("id"), "xs").cast("int")).join(blocks, at).select(*at, F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("q_block"), "bucket", "id", "v")
+        found = index.groupBy(*at, "q_block").cogroup(asked.groupBy(*at, "q_block")).applyInPandas(ranked, "query_id long, ids array<long>, scores array<double>")
         return staged(found.groupBy("query_id").applyInPandas(merged, schema), "nearest")
 
     asked = rows.where("is_query")

@@ -74,6 +74,29 @@ def test_nearest_reaches_recall_where_lengths_differ(spark):
         assert sum(len(found[q] & set(b)) for q, b in zip(own.tolist(), best.tolist(), strict=True)) >= 0.95 * best.size, name
 
 
+def test_few_probes_do_where_vectors_cluster(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(200, 64))[rng.integers(0, 200, 6000)] + 0.35 * rng.normal(size=(6000, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>")
+    own = np.arange(0, 6000, 50)
+    scores = x[own].astype(np.float64) @ x.T.astype(np.float64)
+    scores[np.arange(len(own)), own] = -np.inf
+    best = np.argsort(-scores, axis=1)[:, :20]
+    found = defaultdict(set)
+    for r in ann.nearest(df, F.col("vec_id") % 50 == 0, tables=8, probes=3, block=700).collect():
+        found[r["query_id"]].add(r["vec_id"])
+        assert abs(r["score"] - scores[r["query_id"] // 50, r["vec_id"]]) < 1e-12
+    assert sum(len(found[q] & set(b)) for q, b in zip(own.tolist(), best.tolist(), strict=True)) >= 0.9 * best.size
+
+
+def test_cells_of_any_size_find_the_same(spark, data):
+    df = _vectors(spark, data).withColumns({"cell": F.lit("clash"), "xs": F.lit(1), "table": F.lit(2)})
+    df = df.unionByName(df.where("vec_id % 3 = 0"))  # rows that repeat key and vector are one
+    rows = [sorted(map(tuple, ann.nearest(df, F.col("vec_id") % 20 == 0, block=b).collect())) for b in (3, 100, 20_000)]
+    assert rows[0] == rows[1] == rows[2] == sorted(map(tuple, ann.nearest(_vectors(spark, data), F.col("vec_id") % 20 == 0).collect()))
+
+
 # --- 2: substring dedup
 
 

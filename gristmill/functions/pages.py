@@ -10,14 +10,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType, StructField, StructType
 
-from gristmill.functions.text import PHRASES, region_score
+from gristmill.functions.lexicons import REGION_PHRASES, REGIONS
+from gristmill.functions.text import region_score
 
-# What never holds content, and where main content is looked for, in order.
+# What never holds content.
 SILENT = {"script", "style", "noscript", "iframe", "svg", "form"}
 CHROME = {"nav", "footer", "aside", "header"}
 CHROME_CLASSES = {"ads", "advertisement", "related-posts", "related", "comments", "social-share"}
-REGION_CLASSES = ["recipe-card", "recipe", "recipe-details", "post-content", "entry-content", "article-content", "post-body"]
-REGION_TAGS = ["article", "main", "body"]
 VOID = {"br", "img", "meta", "link", "hr", "input", "source", "wbr", "area", "base", "col", "embed", "track"}
 BREAKS = {"p", "div", "li", "br", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "section", "article", "ul", "ol", "table", "blockquote"}
 
@@ -26,24 +25,37 @@ _REGION = StructType([StructField("selector", _TEXT), StructField("ord", Integer
 SCHEMA = StructType([StructField("lang", _TEXT), StructField("title", _TEXT), StructField("visible", _TEXT), StructField("regions", ArrayType(_REGION)), StructField("meta", MapType(_TEXT, _TEXT)), StructField("json", ArrayType(_TEXT))])
 
 
+def _selects(selector: str, tag: str, attrs: dict[str, str], classes: list[str]) -> bool:
+    """Whether a selector of REGIONS names an element."""
+    if selector.startswith("."):
+        return selector[1:] in classes
+    if m := re.fullmatch(r"\[([\w-]+)(?:(\*?)='(.*)')?\]", selector):
+        name, part, value = m.groups()
+        return name in attrs and (value is None or (value in attrs[name] if part else value == attrs[name]))
+    return selector == tag
+
+
 class _Page(HTMLParser):
-    """Open elements as a stack; a region is an element that a selector names, with its text and markdown."""
+    """Texts in order, each with how many silent and chrome elements it stands in; a region is an element that a selector names, and has the texts between its ends that stand in no more of these than it does itself."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool, bool]] = []  # tag, silent, chrome
+        self.silent = self.chrome = 0
         self.lang, self.title, self.visible = None, "", []
+        self.pieces: list[tuple[str, str, int, int]] = []  # text, markdown, silent, chrome
         self.open: list[dict] = []
-        self.done: list[dict] = []
+        self.regions: list[dict] = []
         self.meta: dict[str, str] = {}
         self.json: list[str] = []
         self.script = None
 
-    def _region(self, tag: str, classes: list[str]) -> tuple[int, str] | None:
-        for i, c in enumerate(REGION_CLASSES):
-            if c in classes:
-                return i, "." + c
-        return (len(REGION_CLASSES) + REGION_TAGS.index(tag), tag) if tag in REGION_TAGS else None
+    def _mark(self, mark: str) -> None:
+        self.pieces.append(("", mark, self.silent, self.chrome))
+
+    def _begin(self, place: int) -> None:
+        self.open.append({"ord": place * 1_000_000 + len(self.regions), "selector": REGIONS[place], "depth": len(self.stack), "start": len(self.pieces), "end": None, "silent": self.silent, "chrome": self.chrome})
+        self.regions.append(self.open[-1])
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         a = {k: v or "" for k, v in attrs}
@@ -55,19 +67,14 @@ class _Page(HTMLParser):
         if tag == "script":
             self.script = [] if a.get("type", "").lower() == "application/ld+json" else None
         if tag in BREAKS:
-            mark = {"li": "\n- ", "br": "\n"}.get(tag, "\n\n" + "#" * int(tag[1]) + " " if re.fullmatch("h[1-6]", tag) else "\n\n")
-            for r in self.open:
-                if not self._chrome():
-                    r["md"].append(mark)
+            self._mark({"li": "\n- ", "br": "\n"}.get(tag, "\n\n" + "#" * int(tag[1]) + " " if re.fullmatch("h[1-6]", tag) else "\n\n"))
         if tag in VOID:
             return
-        chrome = tag in CHROME or a.get("role") == "navigation" or bool(CHROME_CLASSES & set(classes)) or a.get("id") == "comments"
-        self.stack.append((tag, tag in SILENT, chrome))
-        if found := self._region(tag, classes):
-            self.open.append({"ord": found[0], "selector": found[1], "depth": len(self.stack), "text": [], "md": []})
-
-    def _chrome(self) -> bool:
-        return any(s or c for _, s, c in self.stack)
+        if (place := next((i for i, s in enumerate(REGIONS) if _selects(s, tag, a, classes)), None)) is not None:
+            self._begin(place)
+        silent, chrome = tag in SILENT, tag in CHROME or a.get("role") == "navigation" or bool(CHROME_CLASSES & set(classes)) or a.get("id") == "comments"
+        self.stack.append((tag, silent, chrome))
+        self.silent, self.chrome = self.silent + silent, self.chrome + chrome
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "script" and self.script is not None:
@@ -76,35 +83,35 @@ class _Page(HTMLParser):
         if not any(t == tag for t, _, _ in self.stack):
             return
         while self.stack:
-            t, _, _ = self.stack.pop()
-            while self.open and self.open[-1]["depth"] > len(self.stack):
-                self.done.append(self.open.pop())
+            t, silent, chrome = self.stack.pop()
+            self.silent, self.chrome = self.silent - silent, self.chrome - chrome
+            while self.open and self.open[-1]["depth"] >= len(self.stack):
+                self.open.pop()["end"] = len(self.pieces)
             if t == tag:
                 break
-        for r in self.open:
-            if re.fullmatch("h[1-6]|p|ul|ol", tag):
-                r["md"].append("\n\n")
+        if re.fullmatch("h[1-6]|p|ul|ol", tag):
+            self._mark("\n\n")
 
     def handle_data(self, data: str) -> None:
-        tags = [t for t, _, _ in self.stack]
         if self.script is not None:
             self.script.append(data)
-        if tags and tags[-1] == "title":
-            self.title += data
-        if any(s for _, s, _ in self.stack):
+        if any(t == "title" for t, _, _ in self.stack):
+            if self.stack[-1][0] == "title":
+                self.title += data
             return
-        if "title" not in tags:
+        self.pieces.append((data, re.sub(r"\s+", " ", data), self.silent, self.chrome))
+        if not self.silent:
             self.visible.append(data)
-        if not self._chrome():
-            for r in self.open:
-                r["text"].append(data)
-                r["md"].append(re.sub(r"\s+", " ", data))
 
     def row(self) -> dict:
-        self.done += self.open
+        if not any(r["selector"] == "body" for r in self.regions):  # a page without one is all body
+            self.regions.append({"ord": REGIONS.index("body") * 1_000_000, "selector": "body", "start": 0, "end": None, "silent": 0, "chrome": 0})
         tidy = lambda x: re.sub(r"\s+", " ", x).strip()
         md = lambda x: re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]*\n[ \t]*", "\n", "".join(x))).strip()
-        regions = [{"selector": r["selector"], "ord": r["ord"], "text": tidy(" ".join(r["text"])), "markdown": md(r["md"])} for r in sorted(self.done, key=lambda r: r["ord"])]
+        regions = []
+        for r in sorted(self.regions, key=lambda r: r["ord"]):
+            own = [(t, m) for t, m, s, c in self.pieces[r["start"] : r["end"]] if (s, c) == (r["silent"], r["chrome"])]
+            regions.append({"selector": r["selector"], "ord": r["ord"], "text": tidy(" ".join(t for t, _ in own)), "markdown": md([m for _, m in own])})
         return {"lang": self.lang, "title": tidy(self.title), "visible": tidy(" ".join(self.visible)), "regions": regions, "meta": self.meta, "json": self.json}
 
 
@@ -120,7 +127,7 @@ def parsed_page(x: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["lang", "title", "visible", "regions", "meta", "json"])
 
 
-def main_region(page: Column, phrases: list[str] = PHRASES) -> Column:
+def main_region(page: Column, phrases: list[str] = REGION_PHRASES) -> Column:
     """The region of the highest score: characters and 100 for each phrase; the first selector wins ties."""
     scored = F.transform(page["regions"], lambda r: F.struct(region_score(r["text"], phrases).alias("score"), (-r["ord"]).alias("place"), r["selector"].alias("selector"), r["text"].alias("text"), r["markdown"].alias("markdown")))
     return F.array_max(scored)

@@ -10,10 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from gristmill.functions.lexicons import PHRASES, REGION_PHRASES
+
 # Unit words in the order in which they are tried.
 UNITS = ["tablespoons", "tablespoon", "tbsp", "teaspoons", "teaspoon", "tsp", "cups", "cup", "ounces", "ounce", "oz", "pounds", "pound", "lbs", "lb", "grams", "g", "kilograms", "kg", "milliliters", "ml", "liters", "l"]
-# A small lexicon of our own; every function takes another one.
-PHRASES = ["preheat", "tablespoon", "teaspoon", "prep time", "cook time", "servings", "ingredients", "instructions", "whisk", "simmer", "season with", "minutes"]
 LANGUAGES = {"en": "English", "fr": "French", "de": "German", "es": "Spanish", "it": "Italian", "pt": "Portuguese", "el": "Greek", "ja": "Japanese"}
 STOP_WORDS = {"en": ["the", "of", "and", "in", "to", "was"], "fr": ["le", "la", "les", "de", "et", "une"], "de": ["der", "die", "und", "von", "im", "zu"], "es": ["el", "los", "que", "de", "por", "una"]}
 
@@ -32,11 +32,9 @@ def filled(x: Column, default: object) -> Column:
 
 
 def hits(text: Column, phrases: list[str]) -> Column:
-    """How many of the phrases occur in the lower-cased text: presence, not occurrences; a phrase that is listed twice counts twice."""
-    low, out = F.lower(F.coalesce(text, F.lit(""))), F.lit(0)
-    for p in phrases:
-        out = out + F.contains(low, F.lit(p)).cast("int")
-    return out
+    """How many of the phrases occur in the lower-cased text: presence, not occurrences; a phrase that is listed twice counts twice. The text is lowered once."""
+    held = F.lit(phrases) if phrases else F.array().cast("array<string>")
+    return F.get(F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), lambda t: F.size(F.filter(held, lambda p: F.contains(t, p)))), F.lit(0))
 
 
 def verdict(text: Column, phrases: list[str] = PHRASES, least: int = 7) -> Column:
@@ -45,7 +43,7 @@ def verdict(text: Column, phrases: list[str] = PHRASES, least: int = 7) -> Colum
     return F.struct((n >= least).alias("accepted"), n.alias("score"), F.concat(F.lit("score "), n.cast("string"), F.when(n >= least, F.lit(" >= ")).otherwise(F.lit(" < ")), F.lit(str(least))).alias("reason"))
 
 
-def region_score(text: Column, phrases: list[str] = PHRASES) -> Column:
+def region_score(text: Column, phrases: list[str] = REGION_PHRASES) -> Column:
     """Characters and 100 for each phrase."""
     return F.length(F.coalesce(text, F.lit(""))) + 100 * hits(text, phrases)
 

@@ -358,7 +358,7 @@ def html_visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MAIN = r"(SELECT page_id, replace(replace(replace(trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '<body[^>]*>(.*)', 1, 's'), '<nav.*?</nav>|<footer.*?</footer>|<aside.*?</aside>|<header.*?</header>|<script.*?</script>|<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS text FROM pages)"
-_MAIN_SCORE = "length(text) + 100 * (" + " + ".join(f"contains(lower(text), '{p}')::INT" for p in T.PHRASES) + ")"
+_MAIN_SCORE = "length(text) + 100 * (" + " + ".join(f"contains(lower(text), '{p}')::INT" for p in T.REGION_PHRASES) + ")"
 
 
 @_query(f"SELECT page_id, 'body' AS selector, {_MAIN_SCORE} AS score, sha256(text) AS text_sha256 FROM {_MAIN}")

@@ -79,6 +79,34 @@ def test_pages_survive_what_they_hold(spark):
     assert len(rows) == 5
 
 
+def test_main_content_by_selector(spark):
+    html = {
+        "<body><p>intro words that are long enough to win</p><div itemtype='http://schema.org/Recipe'>1 cup, bake 5 minutes</div></body>": "body",
+        "<body><nav>menu menu menu</nav><aside><div class='x recipe'>1 cup flour, 2 tbsp oil, preheat, bake, whisk</div></aside><p>short</p></body>": ".recipe",
+        "<div class='big-hrecipe'>simmer</div>": "[class*='hrecipe']",
+        "<div data-slot-rendered-recipe>boil <script>cup</script></div>": "[data-slot-rendered-recipe]",
+        "<div role=main>one</div>": "[role='main']",
+        "<article>first</article><article>other</article>": "body",
+        "<header class='recipe'>all chrome</header>text": "body",
+        "plain": "body",
+        "": "body",
+    }
+    df = spark.createDataFrame([(h,) for h in html], "html string")
+    found = {r["html"]: r["m"] for r in df.select("html", P.main_region(P.parsed_page("html")).alias("m")).collect()}
+    assert {h: m["selector"] for h, m in found.items()} == html
+    assert found["<div data-slot-rendered-recipe>boil <script>cup</script></div>"]["text"] == "boil"
+    assert found["<article>first</article><article>other</article>"]["text"] == "first other"
+    assert found["<header class='recipe'>all chrome</header>text"]["text"] == "text"
+
+
+def test_phrases_are_presence_and_count_twice_if_listed_twice(spark):
+    assert one(spark, T.hits(F.lit("Spread THE butter, spread the jam"), T.PHRASES)) == 2
+    assert one(spark, T.hits(F.lit(None).cast("string"), T.PHRASES)) == 0 and one(spark, T.hits(F.lit("x"), [])) == 0
+    v = one(spark, T.verdict(F.lit("prep time cook time total time 1/2 cup tsp tbsp preheat the knead"), T.PHRASES, 7))
+    assert (v["accepted"], v["score"]) == (True, 8)
+    assert one(spark, T.region_score(F.lit("Boil cups"))) == 9 + 300
+
+
 def test_quality_gate(spark):
     def gate(name, n, m, *least):
         lines = lambda k: F.array(*[F.lit("x")] * k, F.lit(" "), F.lit(None))

@@ -23,6 +23,8 @@ def fit_groups(points: DataFrame, keys: list[str], da: str = "da", pa: str = "pa
     """
     x, y = F.col(da).cast("double"), F.col(pa).cast("double")
     p = points.where(x.isNotNull() & y.isNotNull() & ~F.isnan(x) & ~F.isnan(y)).select(*keys, x.alias("x"), y.alias("y"))
+    if tuple(models) == ("linear",):
+        return _linear(p, keys, least_n)
     positive = (F.col("x") > 0) & (F.col("y") > 0)
     lx, ly = F.when(positive, F.ln("x")), F.when(positive, F.ln("y"))
     first = p.groupBy(*keys).agg(*_sums(F.col("x"), F.col("y")), F.count_if(positive).alias("n_power"), F.regr_slope(ly, lx).alias("b"), F.regr_intercept(ly, lx).alias("ln_a"), F.min("x").alias("lo"), F.max("x").alias("hi"))
@@ -63,6 +65,17 @@ def fit_groups(points: DataFrame, keys: list[str], da: str = "da", pa: str = "pa
     return f.select(*keys, "n", "used", reason.alias("reason"), model.alias("model"), coefficients.alias("coefficients"), "r2_linear", "r2_quadratic", "r2_power", "r2", sigma.alias("sigma_observed"), F.when(F.col("used"), F.greatest(sigma, F.lit(LEAST_SIGMA))).alias("sigma_effective"))
 
 
+def _linear(p: DataFrame, keys: list[str], least_n: int) -> DataFrame:
+    """The straight line alone needs no second look at the points: residuals follow from the centred sums."""
+    x, y = F.col("x"), F.col("y")
+    f = p.groupBy(*keys).agg(F.count("*").alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    f = f.withColumn("used", (F.col("n") >= least_n) & (F.col("hi") > F.col("lo"))).withColumn("rest", F.greatest(F.col("syy") - F.when(F.col("sxx") > 0, F.col("sxy") * F.col("sxy") / F.col("sxx")).otherwise(0.0), F.lit(0.0)))
+    own = lambda c: F.when(F.col("used"), c)
+    r2, sigma, none = own(F.when(F.col("syy") > 0, 1 - F.col("rest") / F.col("syy")).otherwise(F.lit(0.0))), own(F.sqrt(F.col("rest") / F.col("n"))), F.lit(None).cast("double")
+    reason = F.when(F.col("n") < least_n, F.lit("below_min_n")).when(~F.col("used"), F.lit("degenerate"))
+    return f.select(*keys, "n", "used", reason.alias("reason"), own(F.lit("linear")).alias("model"), own(F.array("slope", "intercept")).alias("coefficients"), r2.alias("r2_linear"), none.alias("r2_quadratic"), none.alias("r2_power"), r2.alias("r2"), sigma.alias("sigma_observed"), F.greatest(sigma, own(F.lit(LEAST_SIGMA))).alias("sigma_effective"))
+
+
 def graded(points: DataFrame, fits: DataFrame, keys: list[str], da: str = "da", pa: str = "pa") -> DataFrame:
     """points with predicted, residual, score and grade by their group's fit; null where the group has none that is used."""
     from gristmill.functions.scores import predicted

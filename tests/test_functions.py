@@ -46,6 +46,22 @@ def test_fits_agree_with_numpy(spark):
     assert abs(1 - (resid**2).sum() / ((pa - pa.mean()) ** 2).sum() - fits["g"]["r2_quadratic"]) < 1e-4
 
 
+def test_the_line_alone_is_the_line_among_others(spark):
+    rng = np.random.default_rng(1)
+    rows = [("a", float(x), float(3 + 2 * x + rng.normal())) for x in range(40)] + [("one", 1.0, 2.0)] + [("same", 5.0, float(i)) for i in range(30)] + [("flat", float(i), 7.0) for i in range(30)] + [("few", float(i), float(i)) for i in range(24)] + [("null", None, 1.0)]
+    df = spark.createDataFrame(rows, "k string, da double, pa double")
+    alone = {r["k"]: r for r in cohorts.fit_groups(df, ["k"], models=("linear",)).collect()}
+    among = {r["k"]: r for r in cohorts.fit_groups(df, ["k"]).collect()}
+    assert set(alone) == set(among) == {"a", "one", "same", "flat", "few"}
+    for k, r in alone.items():
+        assert (r["n"], r["used"], r["reason"]) == (among[k]["n"], among[k]["used"], among[k]["reason"])
+        assert r["r2_linear"] == among[k]["r2_linear"] or abs(r["r2_linear"] - among[k]["r2_linear"]) < 1e-9
+    x = np.arange(40.0)
+    y = np.array([r[2] for r in rows[:40]])
+    assert np.allclose(alone["a"]["coefficients"], np.polyfit(x, y, 1)) and abs(alone["a"]["sigma_observed"] - (y - np.polyval(np.polyfit(x, y, 1), x)).std()) < 1e-9
+    assert alone["flat"]["r2"] == 0.0 and alone["flat"]["sigma_effective"] == 0.5
+
+
 def test_dedup_keeps_first_row_best_rank_longest_title(spark):
     rows = [("https://a.com/x", "q1", 5, "short", 0), ("http://www.a.com/x/", "q2", 2, "longer title", 1), ("https://a.com/x?utm_source=1", "q3", None, "LONGER TITLE", 2)]
     df = spark.createDataFrame(rows, "url string, query string, rank int, title string, seq int")

@@ -92,12 +92,12 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, tables: int = 8, probe
     single = df.schema[embedding].dataType.elementType.typeName() == "float"
     number = "float" if single else "double"
     vector = f"array<{number}>"
-    # lengths as logarithms of scaled vectors: squares of very large or small numbers are not held
-    d = F.transform("v", lambda v: v.cast("double"))
-    large = F.array_max(F.transform(d, lambda v: F.abs(v)))
-    length = F.log(large) + F.log(F.aggregate(d, F.lit(0.0), lambda a, v: a + (v / large) * (v / large))) / 2
+    # lengths as logarithms of scaled vectors: squares of very large or small numbers are not held. The scale is a column of its own, worked out once
+    large = F.array_max(F.transform("v", lambda v: F.abs(v.cast("double"))))
+    scaled = lambda v: v.cast("double") / F.col("large")
+    length = F.log("large") + F.log(F.aggregate("v", F.lit(0.0), lambda a, v: a + scaled(v) * scaled(v))) / 2
     rows = df.where(_proper(F.col(embedding)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("vec_id"), F.col(embedding).cast(vector).alias("v"), is_query.alias("is_query")).dropDuplicates(["vec_id", "v"])
-    rows = staged(rows.withColumn("length", length), "vectors")
+    rows = staged(rows.withColumn("large", large).withColumn("length", length).drop("large"), "vectors")
     seen = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("most"), F.min(F.size("v")).alias("least"), F.max("length").alias("long"), F.min("length").alias("short")).first()
     schema = "query_id long, rank int, vec_id long, score double"
     if seen["most"] is None:

@@ -212,31 +212,42 @@ def like_forest(a: np.ndarray, left: np.ndarray, n: np.ndarray, sketch: list[np.
     return out
 
 
-def candidate_edges(meetings: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b: sets of a meeting that may link, enough of these pairs to join all sets that do. meetings: sig, a, n, sketch; a set once in each.
+def candidate_edges(meetings: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: sets of a meeting that may link, enough of these pairs to join all sets that do. meetings: sig, a, a set once in each; sets: a, n, sketch.
 
-    The least set of a meeting comes to the others by a join, whose skew Spark may split. Those that differ from it are held against all others of the meeting, in
-    blocks of MEETING_SETS.
+    The least set of a meeting comes to the others by a join, whose skew Spark may split; sketches come once to each different pair. Sets that differ from the least one are held against all others of the
+    meeting, in blocks of MEETING_SETS.
     """
-    x = F.struct("a", "n", "sketch")
-    star = meetings.join(meetings.groupBy("sig").agg(F.min(x).alias("p")), "sig").where(F.col("a") != F.col("p.a"))
-    star = staged(star.select("sig", "a", "n", "sketch", F.col("p.a").alias("b"), _like(F.col("n"), F.col("sketch"), F.col("p.n"), F.col("p.sketch"), num, den).alias("like")), "star")
+    star = staged(meetings.join(meetings.groupBy("sig").agg(F.min("a").alias("b")), "sig").where("a <> b"), "star")
+    of = lambda c: sets.select(F.col("a").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    pairs = star.select("a", "b").distinct().join(of("b"), "b").join(of("a"), "a")
+    pairs = staged(pairs.select("a", "b", _like(F.col("n_a"), F.col("s_a"), F.col("n_b"), F.col("s_b"), num, den).alias("like")), "pairs")
     blocks = lambda c: F.ceil(c / MEETING_SETS).cast("int")
-    rest = star.groupBy("sig").agg(blocks(F.count_if(~F.col("like"))).alias("us"), blocks(F.count("*")).alias("ms"), F.count("*").alias("m")).where("us > 0 and m > 1")
+    star = star.join(pairs, ["a", "b"])
+    # the same sets often meet in many segments, and once is enough
+    held = [F.bit_xor(F.xxhash64(F.lit(k), "a")).alias(f"h{k}") for k in (0, 1)]
+    rest = star.groupBy("sig").agg(blocks(F.count_if(~F.col("like"))).alias("us"), blocks(F.count("*")).alias("ms"), F.count("*").alias("m"), F.min("b").alias("b"), *held).where("us > 0 and m > 1")
+    rest = rest.groupBy("b", "m", "h0", "h1").agg(F.min(F.struct("sig", "us", "ms")).alias("x")).select("x.*")
     rest = star.join(rest, "sig").withColumn("i", F.pmod(F.xxhash64("a"), "us").cast("int")).withColumn("j", F.pmod(F.xxhash64(F.lit(1), "a"), "ms").cast("int"))
     rest = staged(rest, "rest")
-    one, every = rest.where(~F.col("like")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("ms") - 1))), rest.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("us") - 1)))
-    cells = one.withColumn("left", F.lit(True)).unionByName(every.withColumn("left", F.lit(False)))
-    spread = rest.count() // TASK_ROWS + 1
-    cells = cells.select("sig", "i", "j", "left", "a", "n", "sketch", F.when((F.col("us") == 1) & (F.col("ms") == 1), F.pmod(F.xxhash64("sig"), F.lit(spread))).otherwise(F.xxhash64("sig", "i", "j")).alias("task"))
-
-    def like(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
+    # small meetings of one least set share a task, which gets each set's sketch once; a large one is dealt out in cells of two blocks
+    left, large, spread = ~F.col("like"), (F.col("us") > 1) | (F.col("ms") > 1), rest.count() // TASK_ROWS + 1
+    small = rest.where(~large).select("sig", "i", "j", left.alias("left"), "a", F.pmod(F.xxhash64("b"), F.lit(spread)).alias("task"))
+    one = rest.where(large & left).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("ms") - 1))).withColumn("left", F.lit(True))
+    every = rest.where(large).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("us") - 1))).withColumn("left", F.lit(False))
+    cells = staged(one.unionByName(every).select("sig", "i", "j", "left", "a", F.xxhash64("sig", "i", "j").alias("task")).unionByName(small), "cells")
+
+    def like(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        known = known.sort_values("id")
+        ids, n, sketch, out = known["id"].to_numpy(), known["n"].to_numpy(), known["sketch"].to_numpy(), set()
         for _, c in rows.sort_values("left", ascending=False).drop_duplicates(["sig", "i", "j", "a"]).groupby(["sig", "i", "j"], sort=False):
-            out += like_forest(c["a"].to_numpy(), c["left"].to_numpy(), c["n"].to_numpy(), list(c["sketch"]), num, den)
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+            at = np.searchsorted(ids, c["a"].to_numpy())
+            out.update(like_forest(ids[at], c["left"].to_numpy(), n[at], list(sketch[at]), num, den))
+        return pd.DataFrame(list(out), columns=["a", "b"], dtype="int64")
 
-    return star.where("like").select("a", "b").unionByName(cells.groupBy("task").applyInPandas(like, "a long, b long")).distinct()
+    known = cells.select(F.col("task").alias("to"), F.col("a").alias("id")).distinct().join(sets.withColumnRenamed("a", "id"), "id")
+    found = cells.groupBy("task").cogroup(known.groupBy("to")).applyInPandas(like, "a long, b long")
+    return pairs.where("like").select("a", "b").unionByName(found).distinct()
 
 
 def jaccard_components(df: DataFrame, ngram: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -323,7 +334,8 @@ def jaccard_components(df: DataFrame, ngram: int = 5, num: int = 80, den: int =
     # a number for each set that meets another one, and the row that speaks for it
     one = base.join(kept.select("s1", "s2").distinct(), ["s1", "s2"], "left_semi").groupBy("s1", "s2").agg(F.min(F.struct("text_key", "doc_id", "n_shingles", "sketch")).alias("x"))
     one = staged(one.select(F.monotonically_increasing_id().alias("set_id"), "s1", "s2", "x.*"), "sets")
-    edges = candidate_edges(staged(kept.join(one, ["s1", "s2"]).select("sig", F.col("set_id").alias("a"), F.col("n_shingles").alias("n"), "sketch").distinct(), "meetings"), num, den)
+    met_by = kept.join(one.select("set_id", "s1", "s2"), ["s1", "s2"]).select("sig", F.col("set_id").alias("a"))
+    edges = candidate_edges(staged(met_by, "meetings"), one.select(F.col("set_id").alias("a"), F.col("n_shingles").alias("n"), "sketch"), num, den)
     clusters = components(edges)
 
     # each set of a cluster once, with the blocks of its cluster

@@ -272,8 +272,8 @@ def test_meetings_join_what_may_link_and_no_chain_of_others(spark, monkeypatch):
     sets = [np.unique(np.r_[family[i % 12][i // 12 :], rng.integers(0, 1 << 62, 2).astype(np.uint64)]) for i in range(60)]
     sk = jaccard_join.sketches(sets, 80, 100)
     met = [(i, x) for i in range(59) for x in (i, i + 1)] + [(1000 + i, x) for i in range(1, 60) for x in (0, i)] + [(5000, x) for x in range(60)]
-    df = spark.createDataFrame([(g, x, len(sets[x]), sk[x].tolist()) for g, x in met], "sig long, a long, n long, sketch array<long>")
-    found = {(r["a"], r["b"]) for r in jaccard_join.candidate_edges(df, 80, 100).collect()}
+    df, of = spark.createDataFrame(met, "sig long, a long"), spark.createDataFrame([(i, len(x), k.tolist()) for i, (x, k) in enumerate(zip(sets, sk, strict=True))], "a long, n long, sketch array<long>")
+    found = {(r["a"], r["b"]) for r in jaccard_join.candidate_edges(df, of, 80, 100).collect()}
     assert all(a % 12 == b % 12 for a, b in found)
     group = {i: {i} for i in range(60)}
     for a, b in found:
@@ -281,7 +281,7 @@ def test_meetings_join_what_may_link_and_no_chain_of_others(spark, monkeypatch):
         for x in both:
             group[x] = both
     assert all(len(g) == 5 for g in group.values())
-    assert jaccard_join.candidate_edges(df.limit(0), 80, 100).count() == 0
+    assert jaccard_join.candidate_edges(df.limit(0), of, 80, 100).count() == 0
 
 
 def test_components_over_many_parts_and_blocks(planted, pairs, monkeypatch):

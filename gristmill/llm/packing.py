@@ -38,6 +38,8 @@ Pieces = tuple[tuple[int, int], ...]
 Filling = tuple[Pieces, int]
 #: Fillings of one waste that are looked at together, so that those of common lengths are tried first. Steps of the search, some 0.2 ms each.
 TOGETHER, STEPS = 64, 30_000
+#: How many of a branch's last choices keep their enumeration; those before it begin theirs again where they are needed.
+LIVE = 32
 
 
 def best_fit(counts: dict[int, int], cap: int) -> list[Filling]:
@@ -191,34 +193,39 @@ class Search:
                 del self.lengths[bisect_left(self.lengths, x)]
 
     def _run(self, most: int) -> tuple[list[Filling] | None, bool]:
-        path: list[tuple[Pieces, int, int, Iterator]] = []
+        path: list[tuple[Pieces, int, int, Iterator | None, int, int]] = []
         spent = made = 0
         seen: dict[tuple, int] = {}
-        todo = self._choices(self.spare)
+        todo, tried, spare = self._choices(self.spare), 0, self.spare
         while self.lengths:
             if self.used > self.steps:
                 return None, False
             if (choice := next(todo, None)) is None:
                 if not path:
                     return None, True
-                f, waste, m, todo = path.pop()
+                f, waste, m, todo, tried, spare = path.pop()
                 self._take(f, -m)
                 spent, made = spent - waste * m, made - m
+                todo = todo or islice(self._choices(spare), tried, None)
                 continue
             f, waste, m = choice
+            tried += 1
             self._take(f, m)
             spent, made = spent + waste * m, made + m
-            path.append((f, waste, m, todo))
+            path.append((f, waste, m, todo, tried, spare))
+            if len(path) > LIVE:
+                path[-LIVE - 1] = (*path[-LIVE - 1][:3], None, *path[-LIVE - 1][4:])
             if made > self.deepest[0]:
-                self.deepest = made, [(x, k) for x, _, k, _ in path], self.n.copy()
+                self.deepest = made, [(x, k) for x, _, k, *_ in path], self.n.copy()
             state = (*self.lengths, *(self.left[x] for x in self.lengths))
             if seen.get(state, spent + 1) <= spent or made + least_sequences(self.n, self.cap) > most:
                 todo = iter(())
                 continue
-            if len(seen) * len(state) < 4_000_000:
+            if len(seen) * len(state) < 1_000_000:
                 seen[state] = spent
-            todo = self._choices(self.spare - spent)
-        return [(x, k) for x, _, k, _ in path], True
+            tried, spare = 0, self.spare - spent
+            todo = self._choices(spare)
+        return [(x, k) for x, _, k, *_ in path], True
 
 
 def completed(counts: dict[int, int], cap: int, steps: int = STEPS, seed: int = 0) -> tuple[list[Filling], int]:

@@ -350,14 +350,14 @@ def translation_plausible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", T.plausible(t, translated)["reason"].alias("reason"))
 
 
-@_query(r"""SELECT page_id, sha256(replace(replace(replace(regexp_replace(regexp_replace(html, '<title>.*?</title>|<script>.*?</script>|<style>.*?</style>|<!--.*?-->|<[^>]*>', '', 'gs'), '\s+', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')) AS text_sha256 FROM pages""")
+@_query(r"""SELECT page_id, sha256(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '<title>.*?</title>|<script>.*?</script>|<style>.*?</style>|<!--.*?-->|<[^>]*>', '', 'gs'), '\s+', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&amp;', '&')) AS text_sha256 FROM pages""")
 def html_visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The visible text without its blanks, by digest."""
     p = table(spark, sf_dir, "pages").withColumn("page", P.parsed_page("html"))
     return p.select("page_id", F.sha2(F.encode(F.regexp_replace("page.visible", r"\s+", ""), "UTF-8"), 256).alias("text_sha256"))
 
 
-_MAIN = r"(SELECT page_id, replace(replace(replace(trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '<body[^>]*>(.*)', 1, 's'), '<nav.*?</nav>|<footer.*?</footer>|<aside.*?</aside>|<header.*?</header>|<script.*?</script>|<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS text FROM pages)"
+_MAIN = r"(SELECT page_id, replace(replace(replace(replace(trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '<body[^>]*>(.*)', 1, 's'), '<nav.*?</nav>|<footer.*?</footer>|<aside.*?</aside>|<header.*?</header>|<script.*?</script>|<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')), '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&amp;', '&') AS text FROM pages)"
 _MAIN_SCORE = "length(text) + 100 * (" + " + ".join(f"contains(lower(text), '{p}')::INT" for p in T.REGION_PHRASES) + ")"
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import ann, exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing, sharding, substring_dedup, token_count
+from gristmill.llm import ann, column_suffixes, exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing, sharding, spelling, substring_dedup, token_count, vector_codes
 from gristmill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op11_column_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return column_suffixes.remove_repeated_bytes(table(spark, sf_dir, "documents"), window=200)
+
+
+def op12_filtering_lloyd_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"), entries=64, parts=16, rounds=2, scale=256)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), least_letters=6, least_n=5, times=5, spoil=199)
+
+
 #: Digests are whole-table equality groups, which SQL says directly.
 OP6_SQL = """
 WITH d AS (
@@ -69,7 +81,7 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_cross_polytope_ann, op2_fixed_block_substring_dedup, op3_best_fit_packing, op4_ngram_jaccard_join, op5_log_template_line_dedup, op6_exact_dedup, op7_feistel_sharding, op8_language_mixture, op9_source_mixing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_cross_polytope_ann, op2_fixed_block_substring_dedup, op3_best_fit_packing, op4_ngram_jaccard_join, op5_log_template_line_dedup, op6_exact_dedup, op7_feistel_sharding, op8_language_mixture, op9_source_mixing, op10_token_counts, op11_column_suffix_dedup, op12_filtering_lloyd_codes, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,153 +1,200 @@
-"""What needs a parser: pages to regions, text, markdown, metadata and embedded JSON. One Arrow UDF parses; choosing and scoring are columns."""
+"""Pages to regions, text, metadata, embedded JSON and markdown. Arrow functions read the HTML; choosing, scoring and putting together are columns."""
 
 from __future__ import annotations
 
+import json
 import re
-from html.parser import HTMLParser
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType, StructField, StructType
 
 from gristmill.functions.lexicons import REGION_PHRASES, REGIONS
+from gristmill.functions.markup import LINK, SILENT, Writer, events, is_chrome
 from gristmill.functions.text import region_score
-
-# What never holds content.
-SILENT = {"script", "style", "noscript", "iframe", "svg", "form"}
-CHROME = {"nav", "footer", "aside", "header"}
-CHROME_CLASSES = {"ads", "advertisement", "related-posts", "related", "comments", "social-share"}
-VOID = {"br", "img", "meta", "link", "hr", "input", "source", "wbr", "area", "base", "col", "embed", "track"}
-BREAKS = {"p", "div", "li", "br", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "section", "article", "ul", "ol", "table", "blockquote"}
+from gristmill.functions.urls import absolute
 
 _TEXT = StringType()
-_REGION = StructType([StructField("selector", _TEXT), StructField("ord", IntegerType()), StructField("text", _TEXT), StructField("markdown", _TEXT)])
-SCHEMA = StructType([StructField("lang", _TEXT), StructField("title", _TEXT), StructField("visible", _TEXT), StructField("regions", ArrayType(_REGION)), StructField("meta", MapType(_TEXT, _TEXT)), StructField("json", ArrayType(_TEXT))])
-
-
-def _selects(selector: str, tag: str, attrs: dict[str, str], classes: list[str]) -> bool:
-    """Whether a selector of REGIONS names an element."""
-    if selector.startswith("."):
-        return selector[1:] in classes
-    if m := re.fullmatch(r"\[([\w-]+)(?:(\*?)='(.*)')?\]", selector):
-        name, part, value = m.groups()
-        return name in attrs and (value is None or (value in attrs[name] if part else value == attrs[name]))
-    return selector == tag
-
-
-class _Page(HTMLParser):
-    """Texts in order, each with how many silent and chrome elements it stands in; a region is an element that a selector names, and has the texts between its ends that stand in no more of these than it does itself."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool]] = []  # tag, silent, chrome
-        self.silent = self.chrome = 0
-        self.lang, self.title, self.visible = None, "", []
-        self.pieces: list[tuple[str, str, int, int]] = []  # text, markdown, silent, chrome
-        self.open: list[dict] = []
-        self.regions: list[dict] = []
-        self.meta: dict[str, str] = {}
-        self.json: list[str] = []
-        self.script = None
-
-    def _mark(self, mark: str) -> None:
-        self.pieces.append(("", mark, self.silent, self.chrome))
-
-    def _begin(self, place: int) -> None:
-        self.open.append({"ord": place * 1_000_000 + len(self.regions), "selector": REGIONS[place], "depth": len(self.stack), "start": len(self.pieces), "end": None, "silent": self.silent, "chrome": self.chrome})
-        self.regions.append(self.open[-1])
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        a = {k: v or "" for k, v in attrs}
-        classes = a.get("class", "").split()
-        if tag == "html":
-            self.lang = a.get("lang")
-        if tag == "meta" and (name := a.get("property") or a.get("name")) and "content" in a:
-            self.meta.setdefault(name.lower(), a["content"])
-        if tag == "script":
-            self.script = [] if a.get("type", "").lower() == "application/ld+json" else None
-        if tag in BREAKS:
-            self._mark({"li": "\n- ", "br": "\n"}.get(tag, "\n\n" + "#" * int(tag[1]) + " " if re.fullmatch("h[1-6]", tag) else "\n\n"))
-        if tag in VOID:
-            return
-        if (place := next((i for i, s in enumerate(REGIONS) if _selects(s, tag, a, classes)), None)) is not None:
-            self._begin(place)
-        silent, chrome = tag in SILENT, tag in CHROME or a.get("role") == "navigation" or bool(CHROME_CLASSES & set(classes)) or a.get("id") == "comments"
-        self.stack.append((tag, silent, chrome))
-        self.silent, self.chrome = self.silent + silent, self.chrome + chrome
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag == "script" and self.script is not None:
-            self.json.append("".join(self.script))
-            self.script = None
-        if not any(t == tag for t, _, _ in self.stack):
-            return
-        while self.stack:
-            t, silent, chrome = self.stack.pop()
-            self.silent, self.chrome = self.silent - silent, self.chrome - chrome
-            while self.open and self.open[-1]["depth"] >= len(self.stack):
-                self.open.pop()["end"] = len(self.pieces)
-            if t == tag:
-                break
-        if re.fullmatch("h[1-6]|p|ul|ol", tag):
-            self._mark("\n\n")
-
-    def handle_data(self, data: str) -> None:
-        if self.script is not None:
-            self.script.append(data)
-        if any(t == "title" for t, _, _ in self.stack):
-            if self.stack[-1][0] == "title":
-                self.title += data
-            return
-        self.pieces.append((data, re.sub(r"\s+", " ", data), self.silent, self.chrome))
-        if not self.silent:
-            self.visible.append(data)
-
-    def row(self) -> dict:
-        if not any(r["selector"] == "body" for r in self.regions):  # a page without one is all body
-            self.regions.append({"ord": REGIONS.index("body") * 1_000_000, "selector": "body", "start": 0, "end": None, "silent": 0, "chrome": 0})
-        tidy = lambda x: re.sub(r"\s+", " ", x).strip()
-        md = lambda x: re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]*\n[ \t]*", "\n", "".join(x))).strip()
-        regions = []
-        for r in sorted(self.regions, key=lambda r: r["ord"]):
-            own = [(t, m) for t, m, s, c in self.pieces[r["start"] : r["end"]] if (s, c) == (r["silent"], r["chrome"])]
-            regions.append({"selector": r["selector"], "ord": r["ord"], "text": tidy(" ".join(t for t, _ in own)), "markdown": md([m for _, m in own])})
-        return {"lang": self.lang, "title": tidy(self.title), "visible": tidy(" ".join(self.visible)), "regions": regions, "meta": self.meta, "json": self.json}
+_REGION = StructType([StructField("selector", _TEXT), StructField("ord", IntegerType()), StructField("at", IntegerType()), StructField("text", _TEXT)])
+SCHEMA = StructType([StructField("lang", _TEXT), StructField("title", _TEXT), StructField("base", _TEXT), StructField("visible", _TEXT), StructField("regions", ArrayType(_REGION)), StructField("meta", MapType(_TEXT, _TEXT)), StructField("json", ArrayType(_TEXT))])
+
+
+class Selectors:
+    """Which selector of a list names an element first: tags and classes are looked up, attributes gone through."""
+
+    def __init__(self, selectors: list[str]):
+        self.names, self.tags, self.classes, self.attrs = selectors, {}, {}, []
+        for i, s in enumerate(selectors):
+            if s.startswith("."):
+                self.classes.setdefault(s[1:], i)
+            elif m := re.fullmatch(r"\[([\w-]+)(?:(\*?)='(.*)')?\]", s):
+                self.attrs.append((m[1], m[2] == "*", m[3], i))
+            else:
+                self.tags.setdefault(s, i)
+
+    def place(self, tag: str, attrs: dict[str, str]) -> int | None:
+        found = [self.tags[tag]] if tag in self.tags else []
+        if attrs:
+            found += [self.classes[c] for c in attrs.get("class", "").split() if c in self.classes]
+            found += [i for name, part, value, i in self.attrs if name in attrs and (value is None or (value in attrs[name] if part else value == attrs[name]))]
+        return min(found, default=None)
+
+
+_REGIONS = Selectors(REGIONS)
+
+
+def _page(html: str) -> tuple:
+    """One page as a row of SCHEMA. A region is an element that a selector names; its text leaves out what silent and chrome elements hold, itself included."""
+    lang, base, title, texts, meta, scripts = None, None, None, [], {}, []
+    regions: list[dict] = []
+    stack: list[tuple[str, int, int, dict | None]] = []
+    silent = chrome = n = 0
+    fresh = True  # whether the next characters begin a text of their own
+    for kind, tag, attrs in events(html):
+        if kind == "text":
+            own = stack[-1][0] if stack else ""
+            if own == "title":
+                title = tag.strip() if title is None else title
+            elif own == "script":
+                if scripts and scripts[-1] is None:
+                    scripts[-1] = tag
+            elif fresh or not texts:
+                texts.append((tag, silent, chrome))
+            else:
+                texts[-1] = (texts[-1][0] + tag, silent, chrome)
+            fresh = False
+            continue
+        fresh = True
+        if kind == "open":
+            region = None
+            if (place := _REGIONS.place(tag, attrs)) is not None:
+                region = {"ord": place * 1_000_000 + n, "selector": REGIONS[place], "at": n, "start": len(texts), "end": None, "held": (silent, chrome)}
+                regions.append(region)
+            if tag == "html":
+                lang = attrs.get("lang", lang)
+            elif tag == "base":
+                base = base or attrs.get("href")
+            elif tag == "meta":
+                for by in ("property", "name"):
+                    if by in attrs:
+                        meta.setdefault(f"{by} {attrs[by]}", attrs["content"].strip() if attrs.get("content") else None)
+            elif tag == "script" and attrs.get("type", "").lower() == "application/ld+json":
+                scripts.append(None)
+            own = (int(tag in SILENT), int(is_chrome(tag, attrs)))
+            stack.append((tag, *own, region))
+            silent, chrome, n = silent + own[0], chrome + own[1], n + 1
+        else:
+            _, s, c, region = stack.pop()
+            silent, chrome = silent - s, chrome - c
+            if tag == "script" and scripts and scripts[-1] is None:
+                scripts[-1] = ""
+            if region:
+                region["end"] = len(texts)
+    if not any(r["selector"] == "body" for r in regions):  # a page without one is all body
+        regions.append({"ord": REGIONS.index("body") * 1_000_000 if "body" in REGIONS else 0, "selector": "body", "at": -1, "start": 0, "end": None, "held": (0, 0)})
+    stripped = [t.strip() for t, _, _ in texts]
+    rows = [(r["selector"], r["ord"], r["at"], " ".join(x for x, (_, s, c) in zip(stripped[r["start"] : r["end"]], texts[r["start"] : r["end"]], strict=True) if x and (s, c) == r["held"])) for r in sorted(regions, key=lambda r: r["ord"])]
+    visible = re.sub(r"\s+", " ", " ".join(t for t, s, _ in texts if not s)).strip()
+    return lang, title or "", base, visible, [dict(zip(("selector", "ord", "at", "text"), r, strict=True)) for r in rows], meta, [x for x in scripts if x is not None]
 
 
 @F.pandas_udf(SCHEMA)
 def parsed_page(x: pd.Series) -> pd.DataFrame:
     """Null pages give empty fields; nothing a page holds makes it fail."""
-    rows = []
-    for s in x:
-        p = _Page()
-        p.feed(s or "")
-        p.close()
-        rows.append(p.row())
-    return pd.DataFrame(rows, columns=["lang", "title", "visible", "regions", "meta", "json"])
+    return pd.DataFrame([_page(s or "") for s in x], columns=["lang", "title", "base", "visible", "regions", "meta", "json"])
+
+
+def _written(html: str, at: int) -> str:
+    w, n, depth = Writer(), 0, 0
+    for kind, tag, attrs in events(html):
+        if kind == "text":
+            if depth or at < 0:
+                w.text(tag)
+            continue
+        if kind == "open":
+            if depth or at < 0 or n == at:
+                w.open(tag, attrs, n != at and (tag in SILENT or is_chrome(tag, attrs)))
+                depth += 1
+            n += 1
+        elif depth:
+            w.close()
+            depth -= 1
+            if not depth and at >= 0:
+                break
+    return w.result()
+
+
+@F.pandas_udf(_TEXT)
+def _marked(html: pd.Series, at: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(i) else _written(h or "", int(i)) for h, i in zip(html, at, strict=True)])
+
+
+def markdown_at(html: Column, at: Column, link: Callable[[Column], Column] | None = None) -> Column:
+    """The element of this number (-1: the whole page) as markdown, without what is silent or chrome inside it. link: what becomes of a target."""
+    parts = F.split(_marked(html, at), LINK)
+    return F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 1, link(x)).otherwise(x)) if link else parts, "")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of few splits, dealt out to all cores before a costly function; tables of many splits stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def main_region(page: Column, phrases: list[str] = REGION_PHRASES) -> Column:
     """The region of the highest score: characters and 100 for each phrase; the first selector wins ties."""
-    scored = F.transform(page["regions"], lambda r: F.struct(region_score(r["text"], phrases).alias("score"), (-r["ord"]).alias("place"), r["selector"].alias("selector"), r["text"].alias("text"), r["markdown"].alias("markdown")))
+    scored = F.transform(page["regions"], lambda r: F.struct(region_score(r["text"], phrases).alias("score"), (-r["ord"]).alias("place"), r["selector"].alias("selector"), r["text"].alias("text"), r["at"].alias("at")))
     return F.array_max(scored)
 
 
+@F.pandas_udf(_TEXT)
+def record_json(scripts: pd.Series) -> pd.Series:
+    """The records of type Recipe in a page's scripts, indented: an object, or a list if there are several; null if there are none. Malformed scripts are passed over."""
+
+    def told(x: object) -> bool:
+        return isinstance(x, dict) and "Recipe" in (t if isinstance(t := x.get("@type"), list) else [t])
+
+    def one(texts: list[str] | None) -> str | None:
+        found = []
+        for s in texts if texts is not None else []:
+            try:
+                held = json.loads(s)
+            except ValueError:
+                continue
+            for item in held if isinstance(held, list) else [held]:
+                inner = item.get("@graph") if isinstance(item, dict) else None
+                found += [x for x in (item, *(inner if isinstance(inner, list) else [])) if told(x)]
+        return json.dumps(found[0] if len(found) == 1 else found, indent=2, ensure_ascii=False) if found else None
+
+    return scripts.map(one)
+
+
 def envelope(title: Column, url: Column, json: Column, body: Column) -> Column:
-    """A page as markdown: title, URL, embedded JSON if any, content."""
-    held = F.when(F.coalesce(json, F.lit("")) != "", F.concat(F.lit("## JSON-LD\n\n```json\n"), json, F.lit("\n```\n")))
-    return F.concat_ws("\n", F.concat(F.lit("# "), title), F.concat(F.lit("URL: "), url), held, F.lit("## PAGE CONTENT\n"), body)
+    """A page as markdown: title (none if blank), URL, embedded records if any, content."""
+    named = F.when(F.coalesce(title, F.lit("")) != "", F.concat(F.lit("# "), title, F.lit("\n")))
+    held = F.when(F.coalesce(json, F.lit("")) != "", F.concat(F.lit("## STRUCTURED RECIPE DATA (JSON-LD)\n\n```json\n"), json, F.lit("\n```\n")))
+    return F.concat_ws("\n", named, F.concat(F.lit("URL: "), url, F.lit("\n")), held, F.lit("## PAGE CONTENT\n"), body)
 
 
 def meta_of(page: Column, *names: str) -> Column:
-    """The first of these meta fields that isn't blank."""
-    return F.coalesce(*[F.nullif(F.trim(F.try_element_at(page["meta"], F.lit(n))), F.lit("")) for n in names])
+    """The content of the first of these meta fields that has any, as property or as name; else empty."""
+    return F.coalesce(*[F.try_element_at(page["meta"], F.lit(f"{by} {n}")) for n in names for by in ("property", "name")], F.lit(""))
 
 
 def open_graph(page: Column, url: Column) -> Column:
-    """Title, description, image (absolute), site, author, type, published and language of a page."""
+    """The eight fields of a page's preview; what it doesn't publish is empty. The image is absolute."""
     image = meta_of(page, "og:image", "twitter:image")
-    host = F.regexp_extract(url, r"^([A-Za-z]+://[^/?#]+)", 1)
-    image = F.when(image.rlike("^https?://"), image).when(image.startswith("//"), F.concat(F.regexp_extract(url, "^([A-Za-z]+:)", 1), image)).when(image.startswith("/"), F.concat(host, image)).otherwise(image)
-    fields = {"title": F.coalesce(meta_of(page, "og:title", "twitter:title"), page["title"]), "description": meta_of(page, "og:description", "description"), "image": image, "site": meta_of(page, "og:site_name"), "author": meta_of(page, "article:author", "author"), "kind": meta_of(page, "og:type"), "published": meta_of(page, "article:published_time"), "language": F.coalesce(meta_of(page, "og:locale"), page["lang"])}
+    base = F.coalesce(absolute(page["base"], url), url)
+    fields = {
+        "image": F.when(image == "", image).otherwise(absolute(image, base)),
+        "description": meta_of(page, "og:description", "twitter:description"),
+        "imageAlt": meta_of(page, "og:image:alt", "twitter:image:alt"),
+        "title": meta_of(page, "og:title", "twitter:title"),
+        "siteName": meta_of(page, "og:site_name", "application-name"),
+        "author": meta_of(page, "article:author", "author"),
+        "publishedTime": meta_of(page, "article:published_time"),
+        "modifiedTime": meta_of(page, "article:modified_time"),
+    }
     return F.struct(*[c.alias(n) for n, c in fields.items()])

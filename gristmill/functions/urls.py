@@ -101,6 +101,26 @@ def cleaned_link(url: Column, prefixes: list[str], names: list[str]) -> Column:
     return F.concat(head, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""), tail)
 
 
+def absolute(link: Column, base: Column) -> Column:
+    """A link as seen from a page: whole URLs stay, anything else is put onto the base's scheme, host or folder, with its dots resolved."""
+    scheme, root = F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*:)", 1), F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    path = F.regexp_extract(base, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    own, tail = F.regexp_extract(link, "^([^?#]*)", 1), F.regexp_extract(link, "^[^?#]*(.*)$", 1)
+    whole = F.when(own.startswith("/"), own).otherwise(F.concat(F.regexp_replace(F.when(path == "", F.lit("/")).otherwise(path), "[^/]*$", ""), own))
+    # a last segment of dots names a folder
+    steps = F.split(F.regexp_replace(whole, r"(/\.\.?)$", "$1/"), "/")
+    kept = F.aggregate(steps, F.array().cast("array<string>"), lambda held, s: F.when(s == ".", held).when(s == "..", F.when(F.size(held) > 1, F.slice(held, F.lit(1), F.size(held) - 1)).otherwise(held)).otherwise(F.array_append(held, s)))
+    joined = F.concat(root, F.array_join(kept, "/"), tail)
+    return (
+        F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), link)
+        .when(link.startswith("//"), F.concat(scheme, link))
+        .when(link == "", base)
+        .when(link.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), link))
+        .when(link.startswith("?"), F.concat(root, path, link))
+        .otherwise(joined)
+    )
+
+
 def site_exclusion(query: str, sites: list[str]) -> str:
     """A search query that leaves these sites out, in sorted order."""
     return " ".join([query, *(f"-site:{s}" for s in sorted(sites))])

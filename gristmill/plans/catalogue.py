@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions import documents as D
@@ -353,24 +353,66 @@ def translation_plausible(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(r"""SELECT page_id, sha256(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '<title>.*?</title>|<script>.*?</script>|<style>.*?</style>|<!--.*?-->|<[^>]*>', '', 'gs'), '\s+', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&amp;', '&')) AS text_sha256 FROM pages""")
 def html_visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The visible text without its blanks, by digest."""
-    p = table(spark, sf_dir, "pages").withColumn("page", P.parsed_page("html"))
+    p = P.spread(table(spark, sf_dir, "pages")).withColumn("page", P.parsed_page("html"))
     return p.select("page_id", F.sha2(F.encode(F.regexp_replace("page.visible", r"\s+", ""), "UTF-8"), 256).alias("text_sha256"))
 
 
-_MAIN = r"(SELECT page_id, replace(replace(replace(replace(trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '<body[^>]*>(.*)', 1, 's'), '<nav.*?</nav>|<footer.*?</footer>|<aside.*?</aside>|<header.*?</header>|<script.*?</script>|<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')), '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&amp;', '&') AS text FROM pages)"
+#: What a page's text holds in the place of characters.
+_DECODED = "replace(replace(replace(regexp_replace({}, '&amp;?', '&', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34))"
+#: The page is rebuilt so that each kind of selector wins on some: a card in a sidebar, an article, a role or main beside a short rest, and ties that the first selector wins.
+_PLANTED = """(SELECT page_id, url, CASE page_id % 6
+  WHEN 1 THEN replace(html, '<article>', '<aside><div class="x recipe-card"><i>1 cup</i> ' || repeat('flour, preheat, bake, whisk. ', 400) || '</div></aside><article>')
+  WHEN 2 THEN replace(replace(html, '<article>', '<aside><article>'), '</article>', '</article></aside>')
+  WHEN 3 THEN replace(replace(html, '<article>', '<footer><div role="main">'), '</article>', '</div></footer>')
+  WHEN 4 THEN replace(replace(html, '<article>', '<nav><main>'), '</article>', '</main></nav>')
+  WHEN 5 THEN replace(html, '<div class="ad">', '<div class="big ads">') ELSE html END AS html FROM pages)"""
+_BARE = r"trim(regexp_replace(regexp_replace({}, '<nav>.*?</nav>|<footer>.*?(</footer>|$)|<aside>.*?</aside>|<div class=.big ads.>.*?</div>|<!--.*?-->', '<>', 'gs'), '(\s*<[^>]*>\s*)+', ' ', 'g'))"
+_REGION_TEXTS = f"""(SELECT page_id, place, selector, {_DECODED.format(_BARE.format("held"))} AS text FROM (
+  SELECT page_id, 17 AS place, 'body' AS selector, regexp_extract(html, '<body[^>]*>(.*)', 1, 's') AS held FROM {_PLANTED}
+  UNION ALL SELECT page_id, 5, '.recipe-card', regexp_extract(html, '<div class=.x recipe-card.>(.*?)</div>', 1, 's') FROM {_PLANTED} WHERE page_id % 6 = 1
+  UNION ALL SELECT page_id, 10, 'article', regexp_extract(html, '<article>(.*?)(</article>|</body>|$)', 1, 's') FROM {_PLANTED} WHERE page_id % 6 NOT IN (3, 4)
+  UNION ALL SELECT page_id, 12, '[role=''main'']', regexp_extract(html, '<div role=.main.>(.*?)</div>', 1, 's') FROM {_PLANTED} WHERE page_id % 6 = 3
+  UNION ALL SELECT page_id, 11, 'main', regexp_extract(html, '<main>(.*?)</main>', 1, 's') FROM {_PLANTED} WHERE page_id % 6 = 4))"""
 _MAIN_SCORE = "length(text) + 100 * (" + " + ".join(f"contains(lower(text), '{p}')::INT" for p in T.REGION_PHRASES) + ")"
 
 
-@_query(f"SELECT page_id, 'body' AS selector, {_MAIN_SCORE} AS score, sha256(text) AS text_sha256 FROM {_MAIN}")
+@_query(f"SELECT page_id, selector, score, sha256(text) AS text_sha256 FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, place) AS i FROM (SELECT *, {_MAIN_SCORE} AS score FROM {_REGION_TEXTS})) WHERE i = 1")
 def html_main_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").withColumn("page", P.parsed_page("html")).withColumn("main", P.main_region(F.col("page")))
+    """Each kind of selector wins on some pages."""
+    html, by = F.col("html"), F.col("page_id") % 6
+    put = lambda c, a, b: F.replace(c, F.lit(a), F.lit(b))
+    planted = (
+        F.when(by == 1, put(html, "<article>", '<aside><div class="x recipe-card"><i>1 cup</i> ' + "flour, preheat, bake, whisk. " * 400 + "</div></aside><article>"))
+        .when(by == 2, put(put(html, "<article>", "<aside><article>"), "</article>", "</article></aside>"))
+        .when(by == 3, put(put(html, "<article>", '<footer><div role="main">'), "</article>", "</div></footer>"))
+        .when(by == 4, put(put(html, "<article>", "<nav><main>"), "</article>", "</main></nav>"))
+        .when(by == 5, put(html, '<div class="ad">', '<div class="big ads">'))
+        .otherwise(html)
+    )
+    p = P.spread(table(spark, sf_dir, "pages")).withColumn("page", P.parsed_page(planted)).withColumn("main", P.main_region(F.col("page")))
     return p.select("page_id", "main.selector", "main.score", F.sha2("main.text", 256).alias("text_sha256"))
 
 
-@_query()
+_PARA = "chr(10) || chr(10)"
+#: Body without chrome; headings, emphasis and paragraphs marked; then blanks put in order. Links stand in menus only, so one is planted into the advertisement, with lists, a table and a quotation.
+_MARKED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+  regexp_extract(html, '<body[^>]*>(.*)', 1, 's'), '<nav>.*?</nav>|<footer>.*?(</footer>|$)|<!--.*?-->', '', 'gs'), '\s+', ' ', 'g'), '([*_])', '\\\1', 'g'), '<h1>\s*(.*?)\s*</h1>', '¶# \1¶', 'g'), '<b>\s*(.*?)\s*<br>', '**\1**', 'g'),
+  '<div class="ad">(.*?)</div>', '¶[\1](/p/' || page_id || '?a=1 "An ad")¶* one¶+ *two*¶| A | B |°| --- | --- |°| 1 |  |¶> said\\_so¶', 'g'), '</?p>', '¶', 'g'), '<[^>]*>', '', 'g')"""
+_BODY_MD = rf"""trim(regexp_replace(regexp_replace(regexp_replace({_DECODED.format("x")}, '[ ]*¶[ ]*', {_PARA}, 'g'), '(\n\n)+', {_PARA}, 'g'), '^\n+|\n+$', '', 'g'))"""
+_AD = '<ul><li>one<ul><li><em>two</em></ul></ul><table><tr><th>A<th>B<tr><td colspan=2>1</table><blockquote>said_so</blockquote>'
+
+
+@_query(rf"""SELECT page_id, sha256('# ' || trim({_DECODED.format("regexp_extract(html, '<title>(.*?)</title>', 1)")}) || {_PARA} || 'URL: ' || url || {_PARA} || CASE WHEN page_id % 3 = 0 THEN '## STRUCTURED RECIPE DATA (JSON-LD)' || {_PARA} || '```json' || chr(10) || '{{' || chr(10) || '  "@type": "Recipe",' || chr(10) || '  "n": ' || page_id || chr(10) || '}}' || chr(10) || '```' || {_PARA} ELSE '' END
+  || '## PAGE CONTENT' || {_PARA} || replace(replace({_BODY_MD}, {_PARA} || '+ *two*', chr(10) || '  + *two*'), '°', chr(10))) AS markdown_sha256
+FROM (SELECT page_id, html, url, {_MARKED} AS x FROM pages)""")
 def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").withColumn("page", P.parsed_page("html")).withColumn("main", P.main_region(F.col("page")))
-    return p.select("page_id", P.envelope(F.col("page.title"), F.col("url"), F.lit(None).cast("string"), F.col("main.markdown")).alias("markdown"))
+    """Whole pages as markdown, with a link, lists, a table and a quotation planted into each and an embedded record into every third."""
+    html = F.regexp_replace("html", '(?s)<div class="ad">(.*?)</div>', F.concat(F.lit('<div class="ad"><a title="An ad" href="/p/'), F.col("page_id").cast("string"), F.lit('?a=1">$1</a></div>' + _AD)))
+    html = F.when(F.col("page_id") % 3 == 0, F.replace(html, F.lit("</head>"), F.concat(F.lit('<script type="application/ld+json">[{"@type": "Recipe", "n": '), F.col("page_id").cast("string"), F.lit("}]</script></head>")))).otherwise(html)
+    p = P.spread(table(spark, sf_dir, "pages")).withColumn("html", html).withColumn("page", P.parsed_page("html"))
+    body = F.get(F.filter(F.col("page.regions"), lambda r: r["selector"] == "body"), F.lit(0))
+    md = P.envelope(F.col("page.title"), F.col("url"), P.record_json("page.json"), P.markdown_at(F.col("html"), body["at"]))
+    return p.select("page_id", F.sha2(F.encode(md, "UTF-8"), 256).alias("markdown_sha256"))
 
 
 @_query("SELECT page_id, replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&amp;', '&') AS title FROM pages")
@@ -378,10 +420,27 @@ def entity_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.unescaped(F.regexp_extract("html", "<title>(.*?)</title>", 1)).alias("title"))
 
 
-@_query("SELECT page_id, trim(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&amp;', '&')) AS title, regexp_extract(html, 'lang=\"([a-z]+)\"', 1) AS language FROM pages")
+@_query("""SELECT page_id, CASE page_id % 5 WHEN 0 THEN regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/i/' || page_id || '.png' WHEN 1 THEN 'https://cdn.example.com/b.png' WHEN 2 THEN regexp_extract(url, '^([a-z]+:)', 1) || '//cdn.example.com/c.png' WHEN 3 THEN 'https://base.example.org/x/d.png' ELSE '' END AS image,
+  CASE WHEN page_id % 2 = 0 THEN 'About & so on' WHEN page_id % 3 = 0 THEN 'Twitter says' ELSE '' END AS description, CASE WHEN page_id % 3 = 1 THEN 'Alt' WHEN page_id % 3 = 2 THEN 'Second alt' ELSE '' END AS imageAlt,
+  CASE WHEN page_id % 4 = 0 THEN 'By name' WHEN page_id % 4 < 3 THEN 'T' || page_id ELSE '' END AS title, CASE WHEN page_id % 2 = 0 THEN 'Site' ELSE 'App' END AS siteName, CASE WHEN page_id % 3 = 0 THEN 'Ann' WHEN page_id % 3 = 1 THEN '' ELSE 'Bob' END AS author,
+  CASE WHEN page_id % 2 = 1 THEN '2024-01-0' || (page_id % 9 + 1) ELSE '' END AS publishedTime, CASE WHEN page_id % 7 = 0 THEN '2025' ELSE '' END AS modifiedTime FROM pages""")
 def open_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").withColumn("page", P.parsed_page("html"))
-    return p.select("page_id", P.open_graph(F.col("page"), F.col("url")).alias("og")).select("page_id", F.trim(F.col("og.title")).alias("title"), "og.language")
+    """All eight fields, with tags planted by page: as property and as name, with each fallback, missing, blank and repeated, and images of every kind of address."""
+    i = F.col("page_id")
+    tag = lambda by, name, value: F.concat(F.lit(f'<meta {by}="{name}" content="'), value if isinstance(value, Column) else F.lit(value), F.lit('">'))
+    some = lambda *cases: F.coalesce(*[F.when(c, v) for c, v in cases], F.lit(""))
+    head = F.concat(
+        some((i % 5 == 0, tag("property", "og:image", F.concat(F.lit(" /i/"), i.cast("string"), F.lit(".png")))), (i % 5 == 1, tag("name", "twitter:image", "https://cdn.example.com/b.png")), (i % 5 == 2, tag("name", "og:image", "//cdn.example.com/c.png")), (i % 5 == 3, F.concat(F.lit('<base href="https://base.example.org/x/y/z">'), tag("property", "og:image", "./q/../../d.png")))),
+        some((i % 2 == 0, tag("property", "og:description", " About &amp; so on ")), (i % 3 == 0, tag("name", "twitter:description", "Twitter says"))),
+        some((i % 3 == 1, tag("property", "og:image:alt", "Alt")), (i % 3 == 2, F.concat(tag("property", "og:image:alt", ""), tag("name", "twitter:image:alt", "Second alt")))),
+        some((i % 4 == 0, F.concat(tag("name", "og:title", "By name"), tag("name", "og:title", "Again"))), (i % 4 < 3, F.concat(tag("name", "twitter:title", "Other"), tag("property", "og:title", F.concat(F.lit("T"), i.cast("string")))))),
+        tag("name", "application-name", "App"), some((i % 2 == 0, tag("property", "og:site_name", "Site"))),
+        tag("name", "author", "Bob"), some((i % 3 == 0, tag("property", "article:author", "Ann")), (i % 3 == 1, tag("property", "article:author", "  "))),
+        some((i % 2 == 1, tag("property", "article:published_time", F.concat(F.lit("2024-01-0"), (i % 9 + 1).cast("string"))))), some((i % 7 == 0, tag("property", "article:modified_time", "2025"))),
+    )
+    html = F.regexp_replace("html", "<head>", F.concat(F.lit("<head>"), head))
+    p = P.spread(table(spark, sf_dir, "pages")).withColumn("page", P.parsed_page(html))
+    return p.select("page_id", P.open_graph(F.col("page"), F.col("url")).alias("og")).select("page_id", "og.*")
 
 
 # --- records and reports

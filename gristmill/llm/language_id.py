@@ -12,17 +12,19 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import PandasUDFType
 
 from gristmill.llm.common import release
+from gristmill.session import staged
 
 BUCKETS = 1 << 16
 #: Letters that are worked on at once.
 CHUNK = 1 << 19
-#: More label values than this are refused: the model has a row of BUCKETS numbers for each, 1.25 MB in all; counts and model fit a driver of 1 GB.
-MOST_LANGUAGES = 256
+#: Languages of one block of the model, a row of BUCKETS numbers each, 0.75 MB; and how many languages, the likeliest by themselves, a document's mixture is taken over.
+BLOCK_LANGUAGES, MIXED_LANGUAGES = 256, 256
 
 
 @cache
@@ -44,11 +46,11 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(texts)), size)[at], (h >> np.uint64(48)).astype(np.int64)
 
 
-def _chunks(texts: list[str | None]) -> Iterator[slice]:
+def _chunks(texts: list[str | None], most: int) -> Iterator[slice]:
     start = total = 0
     for i, t in enumerate(texts):
         total += len(t or "")
-        if total >= CHUNK:
+        if total >= most:
             yield slice(start, i + 1)
             start, total = i + 1, 0
     if start < len(texts):
@@ -64,6 +66,18 @@ class Model:
         self.log = np.log(smooth / smooth.sum(1, keepdims=True)).T.astype(np.float32) if len(langs) else np.zeros((BUCKETS, 0), np.float32)
         self.like = np.exp(self.log.astype(np.float64))
 
+    @property
+    def mixed(self) -> int:
+        return min(len(self.langs), MIXED_LANGUAGES)
+
+    def alone(self, g: np.ndarray, c: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+        """Each document's log-likelihood under each language by itself."""
+        return np.stack([np.bincount(doc, c * self.log[g, j], n) for j in range(len(self.langs))], 1)
+
+    def candidates(self, g: np.ndarray, c: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Likelihoods of the trigrams under the languages that a document is taken for a mixture of, log-likelihoods of these by themselves, and which they are."""
+        return self.like[g], self.alone(g, c, doc, n), np.broadcast_to(np.arange(len(self.langs)), (n, len(self.langs)))
+
     def _em(self, like: np.ndarray, c: np.ndarray, doc: np.ndarray, n: int, share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
         """Proportions of n documents and their log-likelihood. like, c, doc: of each distinct trigram, documents in order."""
         total = np.bincount(doc, c, n)[:, None]
@@ -87,22 +101,22 @@ class Model:
         pred, score, chosen, of_set = ["und"] * len(texts), [0.0] * len(texts), [""] * len(texts), [0.0] * len(texts)
         if not self.langs:
             return pred, score, chosen, of_set
-        for part in _chunks(texts):
+        for part in _chunks(texts, max(1 << 14, CHUNK * 4 // max(4, self.mixed))):
             at, bucket = trigrams(texts[part])
             if not len(at):
                 continue
             key, c = np.unique(at * BUCKETS + bucket, return_counts=True)
             ids, doc = np.unique(key // BUCKETS, return_inverse=True)
             n, g, c = len(ids), key % BUCKETS, c.astype(np.float64)
-            share, _ = self._em(self.like[g], c, doc, n, np.full((n, len(self.langs)), 1 / len(self.langs)), 25)
+            likes, alone, names = self.candidates(g, c, doc, n)
+            share, _ = self._em(likes, c, doc, n, np.full((n, self.mixed), 1 / self.mixed), 25)
             order = np.argsort(-share, axis=1, kind="stable")
             cost = penalty * np.log(np.maximum(np.bincount(doc, c, n), 2))
             # one language: the best by itself
-            alone = np.stack([np.bincount(doc, c * self.log[g, j], n) for j in range(len(self.langs))], 1)
             best = alone.argmax(1)
             value, size, top = alone[np.arange(n), best] - cost, np.ones(n, np.int64), share[np.arange(n), best]
             lead, open_ = best.copy(), np.ones(n, bool)
-            for k in range(2, len(self.langs) + 1):
+            for k in range(2, self.mixed + 1):
                 # the next language joins only where it has some share and all smaller sets were better than those before
                 open_ &= share[np.arange(n), order[:, k - 1]] > 0.01
                 if not (rows := np.flatnonzero(open_)).size:
@@ -110,7 +124,7 @@ class Model:
                 mine = open_[doc]
                 to = np.cumsum(open_) - 1
                 d = to[doc[mine]]
-                like = np.take_along_axis(self.like[g[mine]], order[rows[d], :k], 1)
+                like = np.take_along_axis(likes[mine], order[rows[d], :k], 1)
                 own, ll = self._em(like, c[mine], d, len(rows), np.full((len(rows), k), 1 / k), 25)
                 better = ll - k * cost[rows] > value[rows]
                 won = rows[better]
@@ -119,39 +133,94 @@ class Model:
                 lead[won], top[won] = order[won, first], own[better].max(1)
                 open_[rows[~better]] = False
             for r, i in enumerate(ids + part.start):
-                pred[i], score[i] = self.langs[lead[r]], float(min(1.0, max(0.0, top[r])))
+                pred[i], score[i] = self.langs[names[r, lead[r]]], float(min(1.0, max(0.0, top[r])))
                 of_set[i] = float(min(1.0, share[r, lead[r]] if size[r] == 1 else share[r, order[r, : size[r]]].sum()))
-                chosen[i] = self.langs[lead[r]] if size[r] == 1 else ",".join(self.langs[j] for j in order[r, : size[r]])
+                chosen[i] = self.langs[names[r, lead[r]]] if size[r] == 1 else ",".join(self.langs[names[r, j]] for j in order[r, : size[r]])
         return pred, score, chosen, of_set
 
 
+class Blocks(Model):
+    """A model of many languages in blocks, each broadcast by itself; a task holds one at a time."""
+
+    def __init__(self, langs: list[str], blocks: list):
+        self.langs, self.blocks = langs, blocks
+
+    def _each(self) -> Iterator[tuple[int, Model]]:
+        at = 0
+        for b in self.blocks:
+            block = b.load_from_path(b._path) if getattr(b, "_path", None) else b.value
+            yield at, block
+            at += len(block.langs)
+
+    def candidates(self, g: np.ndarray, c: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The likeliest languages by themselves, in order of names."""
+        alone, names = np.zeros((n, 0)), np.zeros((n, 0), np.int64)
+        for at, block in self._each():
+            alone = np.concatenate([alone, block.alone(g, c, doc, n)], 1)
+            names = np.concatenate([names, np.broadcast_to(np.arange(at, at + len(block.langs)), (n, len(block.langs)))], 1)
+            if alone.shape[1] > self.mixed:
+                keep = np.sort(np.argsort(-alone, axis=1, kind="stable")[:, : self.mixed], 1)
+                alone, names = np.take_along_axis(alone, keep, 1), np.take_along_axis(names, keep, 1)
+        likes = np.empty((len(g), self.mixed))
+        for at, block in self._each():
+            row, col = np.nonzero((names[doc] >= at) & (names[doc] < at + len(block.langs)))
+            likes[row, col] = block.like[g[row], names[doc[row], col] - at]
+        return likes, alone, names
+
+
 def held_out(key: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 
 
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Counts over every document that has a label, a text and is not held out. The driver gets one number for each language and bucket at most."""
+    """Counts over every document that has a label, a text and is not held out.
+
+    A table of counts by language and bucket is written once. The driver then makes the model block by block of at most BLOCK_LANGUAGES labels and
+    holds no more than one block's counts; of the labels it holds the names.
+    """
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
+
+        def out() -> Iterator[pd.DataFrame]:
+            for name, held in sums.items():
+                at = np.flatnonzero(held)
+                yield pd.DataFrame({"lang": name, "bucket": at.astype(np.int32), "n": held[at]})
+            sums.clear()
+
         for b in batches:
             for name, own in b.groupby("lang"):
                 held, texts = sums.setdefault(name, np.zeros(BUCKETS, np.int64)), own["text"].tolist()
-                for part in _chunks(texts):
+                for part in _chunks(texts, CHUNK):
                     held += np.bincount(trigrams(texts[part])[1], minlength=BUCKETS)
-        for name, held in sums.items():
-            at = np.flatnonzero(held)
-            yield pd.DataFrame({"lang": name, "bucket": at.astype(np.int32), "n": held[at]})
+                if len(sums) >= BLOCK_LANGUAGES:
+                    yield from out()
+        yield from out()
         release()
 
-    labelled = df.where(~held_out(F.col(key)) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    rows = labelled.mapInPandas(counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(rows["lang"].unique())
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"{len(langs)} label values; at most {MOST_LANGUAGES} are allowed")
-    counts = np.zeros((len(langs), BUCKETS))
-    counts[rows["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64), rows["bucket"].to_numpy(np.int64)] = rows["n"]
-    return Model(langs, counts)
+    spark = df.sparkSession
+    labelled = df.where(~held_out(F.col(key)) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    table = staged(labelled.mapInPandas(counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "trigrams")
+    langs = sorted(r["lang"] for r in table.select("lang").distinct().collect())
+
+    def block(own: list[str]) -> Model:
+        counts = np.zeros((len(own), BUCKETS))
+        to = {x: i for i, x in enumerate(own)}
+        # a row for each language, its counts as bytes: at most 12 bytes a bucket reach the driver
+        held = table.where(F.col("lang").isin(own)).groupBy("lang").agg(F.collect_list("bucket").alias("bucket"), F.collect_list("n").alias("n")).mapInArrow(packed, "lang string, bucket binary, n binary")
+        for r in held.toLocalIterator():
+            counts[to[r["lang"]], np.frombuffer(r["bucket"], np.int32)] = np.frombuffer(r["n"], np.int64)
+        return Model(own, counts)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                row = b.slice(i, 1)
+                yield pa.RecordBatch.from_arrays([row.column(0), *[pa.array([row.column(j).flatten().to_numpy().astype(t).tobytes()], pa.binary()) for j, t in ((1, np.int32), (2, np.int64))]], ["lang", "bucket", "n"])
+
+    if len(langs) <= BLOCK_LANGUAGES:
+        return block(langs)
+    return Blocks(langs, [spark.sparkContext.broadcast(block(langs[i : i + BLOCK_LANGUAGES])) for i in range(0, len(langs), BLOCK_LANGUAGES)])
 
 
 def identify(df: DataFrame, model: Model, penalty: float = 3.0, text: str = "text") -> DataFrame:
@@ -161,11 +230,13 @@ def identify(df: DataFrame, model: Model, penalty: float = 3.0, text: str = "tex
     empty table stays empty. The four columns replace columns of these names.
     """
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # languages x BUCKETS numbers, whatever the corpus
+    # at most BLOCK_LANGUAGES x BUCKETS numbers, whatever the corpus; blocks are broadcast already
+    shared = None if isinstance(model, Blocks) else spark.sparkContext.broadcast(model)
+    own = model if shared is None else None
 
     def predicted(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for x in texts:
-            yield pd.DataFrame(dict(zip(("lang_pred", "score", "lang_set", "set_share"), shared.value.predict(x.tolist(), penalty), strict=True)))
+            yield pd.DataFrame(dict(zip(("lang_pred", "score", "lang_set", "set_share"), (own or shared.value).predict(x.tolist(), penalty), strict=True)))
         release()
 
     predicted = F.pandas_udf(predicted, "lang_pred string, score double, lang_set string, set_share double", PandasUDFType.SCALAR_ITER)

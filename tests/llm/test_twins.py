@@ -1,6 +1,7 @@
 """Sharding, language ID and mixing against twins in plain Python, row by row."""
 
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -117,12 +118,38 @@ def test_languages_are_those_of_plain_python(rows):
     assert checked[1] > 50
 
 
-def test_more_labels_than_a_model_holds_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 3)
+def test_blocks_of_labels_answer_as_one_model(rows, monkeypatch):
+    whole = language_id.fit(rows)
+    asked = rows.select("doc_id", "text").where("length(text) < 5000").dropDuplicates(["text"])
+    want = {r["text"]: (r["lang_pred"], r["lang_set"], round(r["score"], 6), round(r["set_share"], 6)) for r in language_id.identify(asked, whole).collect()}
+    monkeypatch.setattr(language_id, "BLOCK_LANGUAGES", 2)
+    blocks = language_id.fit(rows)
+    assert isinstance(blocks, language_id.Blocks) and len(blocks.blocks) == -(-len(whole.langs) // 2) > 1
+    got = {r["text"]: (r["lang_pred"], r["lang_set"], round(r["score"], 6), round(r["set_share"], 6)) for r in language_id.identify(asked, blocks).collect()}
+    assert got == want
+
+
+def test_a_thousand_labels_give_answers_and_the_driver_holds_a_block(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "BLOCK_LANGUAGES", 300)
+    held = []
+    plain = language_id.Model.__init__
+    monkeypatch.setattr(language_id.Model, "__init__", lambda self, langs, counts: (held.append(counts.shape), plain(self, langs, counts))[1])
+    letters = [chr(c) for c in (*range(97, 123), *range(0xE0, 0xF6), *range(0x430, 0x450), *range(0x3B1, 0x3C9))]
+
+    def sentence(i):
+        r = random.Random(i)
+        return " ".join("".join(r.choices(letters, k=8)) for _ in range(15))
+
+    texts = [(i * 10 + j, sentence(i), f"l{i:04d}") for i in range(1000) for j in range(3)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    model = language_id.fit(df)
+    assert len(held) == 4 and max(n for n, _ in held) == 300 and len(model.langs) == len({t[2] for t in texts if zlib.crc32(str(t[0]).encode()) % 4 != 2})
+    found = language_id.identify(df.where("doc_id % 100 = 0"), model).collect()
+    assert len(found) == 100 and sum(r["lang_pred"] == r["lang"] for r in found) >= 90
+
+
+def test_a_label_named_und_is_one_like_any_other(spark):
     df = spark.createDataFrame([(i, "abc", f"l{i % 9}") for i in range(99)], "doc_id long, text string, lang string")
-    with pytest.raises(ValueError):
-        language_id.fit(df)
-    # a label named und is one like any other
     und = language_id.identify(df, language_id.fit(df.withColumn("lang", F.lit("und"))))
     assert {(r["lang_pred"], r["score"]) for r in und.collect()} == {("und", 1.0)}
 

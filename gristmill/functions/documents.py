@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import html
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+
+from gristmill.functions.text import denulled
 
-from gristmill.functions.text import denulled, joined, nullish
 
 def text_at(v: Column, path: str) -> Column:
     """A text or number at a path, else null."""
@@ -69,21 +76,41 @@ def image_of(v: Column) -> Column:
     return denulled(F.coalesce(text_at(first, "$.url"), text_at(first, "$.contentUrl"), text_at(first, "$['@id']"), F.when(F.schema_of_variant(first) == "STRING", F.try_variant_get(first, "$", "string"))))
 
 
-def sanitized(v: Column) -> Column:
-    """One typed record of a loose one: lists joined where texts are meant, nullish fields null, numbers from numeric texts."""
-    number = lambda p, t: F.try_variant_get(v, p, t)
-    return F.struct(
-        denulled(text_at(v, "$.name")).alias("name"),
-        denulled(F.coalesce(text_at(v, "$.author.name"), joined(F.transform(F.coalesce(F.try_variant_get(v, "$.author", "array<variant>"), F.array().cast("array<variant>")), lambda a: F.coalesce(text_at(a, "$.name"), F.when(F.schema_of_variant(a) == "STRING", F.try_variant_get(a, "$", "string"))))), text_at(v, "$.author"))).alias("author"),
-        image_of(v).alias("image"),
-        joined(list_at(v, "$.recipeYield")).alias("recipeYield"),
-        joined(list_at(v, "$.keywords")).alias("keywords"),
-        F.filter(list_at(v, "$.recipeIngredient"), lambda p: ~nullish(p)).alias("recipeIngredient"),
-        flat_steps(v).alias("recipeInstructions"),
-        number("$.aggregateRating.ratingValue", "double").alias("ratingValue"),
-        number("$.aggregateRating.reviewCount", "bigint").alias("reviewCount"),
-        F.when(F.get(list_at(v, "$.video['@type']"), F.lit(0)) == "VideoObject", text_at(v, "$.video.contentUrl")).alias("video"),
-    )
+@F.pandas_udf(StructType([StructField("text", StringType()), StructField("changed", IntegerType())]))
+def decoded_json(x: pd.Series) -> pd.DataFrame:
+    """A JSON text with the entities of all its texts decoded, whatever its shape, and how many texts that changed. Keys, numbers and layout stay; null stays null with 0 changes."""
+
+    def one(text: str | None) -> tuple[str | None, int]:
+        if text is None or ("&" not in text and "\\u0026" not in text):
+            return text, 0
+        n = 0
+
+        def swap(m: re.Match[str]) -> str:
+            nonlocal n
+            held = m.group()
+            if m[1] is not None or ("&" not in held and "\\u0026" not in held):
+                return held
+            try:
+                old = json.loads(held)
+            except ValueError:
+                return held
+            new = html.unescape(old)
+            n += new != old
+            return json.dumps(new, ensure_ascii=False) if new != old else held
+
+        return _JSON_TEXT.sub(swap, text), n
+
+    return pd.DataFrame([one(t) for t in x], columns=["text", "changed"])
+
+
+#: A text of JSON, with the colon after it if it is a key.
+_JSON_TEXT = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*"(\s*:)?', re.S)
+
+
+def decoded(v: Column) -> Column:
+    """value: the VARIANT with the entities of all its texts decoded at any depth, keys untouched; changed: how many texts that changed."""
+    held = decoded_json(F.to_json(v))
+    return F.struct(F.parse_json(held["text"]).alias("value"), held["changed"].alias("changed"))
 
 
 def fenced_json(md: Column) -> Column:
@@ -91,14 +118,30 @@ def fenced_json(md: Column) -> Column:
     return parsed(F.nullif(F.regexp_extract(md, r"(?s)```json\s*(.*?)```", 1), F.lit("")))
 
 
-def primary(roles: Column, wanted: list[str] = ["protein", "base", "star"]) -> Column:  # noqa: B006
-    """The texts of ingredients whose role is a leading one, in order. roles: array of text and role."""
-    return F.transform(F.filter(roles, lambda r: r["role"].isin(wanted)), lambda r: r["text"])
+# Roles whose ingredients lead a dish; fields of a record, and of where it comes from, that don't belong to its owner.
+PRIMARY_ROLES = ["main_protein", "primary_vegetable", "starch", "pastry", "sauce_base", "filling"]
+STATIC_FIELDS = [
+    "@context", "@type", "name", "headline", "description", "image", "author", "publisher", "datePublished", "dateModified", "recipeYield", "prepTime", "cookTime", "totalTime", "recipeCategory", "recipeCuisine", "keywords", "tags", "aggregateRating", "nutrition",
+    "recipeIngredient", "recipeInstructions", "notes", "video", "servingSuggestions", "cookingMethod", "equipment", "suitableForDiet", "imageSource", "inputImage", "provenance", "classification", "editorial", "_scoring", "_batch", "_identity",
+]
+STATIC_SOURCE = ["type", "origin", "originalUrl", "previewImage", "previewDescription", "previewImageAlt", "siteName", "author", "publishedTime", "modifiedTime", "pageScreenshot", "originalLanguage", "translated", "translatedAt", "originalTitle"]
+
+
+def primary(roles: Column, wanted: list[str] = PRIMARY_ROLES) -> Column:
+    """The texts of ingredients whose role is a leading one, in order, trimmed; blank ones are left out. roles: array of text and role."""
+    held = F.transform(F.filter(roles, lambda r: r["role"].isin(wanted)), lambda r: F.trim(r["text"]))
+    return F.coalesce(F.filter(held, lambda t: t != ""), F.array().cast("array<string>"))
 
 
-def static_fields(doc: Column, kept: list[str]) -> Column:
-    """A map of texts without the keys that belong to its owner."""
-    return F.map_filter(doc, lambda k, v: k.isin(kept))
+def static_fields(v: Column, kept: list[str] = STATIC_FIELDS, source: list[str] = STATIC_SOURCE, stamped: dict[str, Column] | None = None) -> Column:
+    """A record without the fields that belong to its owner; of `_source` the part that doesn't, and nothing if that is empty. stamped: texts put into `_source` afterwards. A map of VARIANT."""
+    fields = lambda path: F.try_variant_get(v, path, "map<string,variant>")
+    empty = F.create_map().cast("map<string,variant>")
+    own = F.coalesce(F.map_filter(fields("$"), lambda k, _: k.isin(kept)), empty)
+    of = F.map_filter(F.coalesce(fields("$._source"), empty), lambda k, _: k.isin(source))
+    if stamped:
+        of = F.map_concat(of, F.create_map(*[c for k, x in stamped.items() for c in (F.lit(k), x.cast("variant"))]))
+    return F.map_concat(own, F.when(F.size(of) > 0, F.create_map(F.lit("_source"), F.to_variant_object(of))).otherwise(empty))
 
 
 def unwrapped_value(v: Column) -> Column:

@@ -194,10 +194,16 @@ def joined(parts: Column, sep: str = ", ") -> Column:
     return F.array_join(F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p.isNotNull() & (p != "")), sep)
 
 
-def identity_text(dish: Column, title: Column, cuisine: Column, ethnicity: Column, primary: Column, technique: Column) -> Column:
-    """What an embedding of a record is made of; title and ethnicity only where they say something else."""
-    same = lambda a, b: F.lower(F.trim(a)).eqNullSafe(F.lower(F.trim(b)))
-    return F.concat_ws(". ", denulled(dish), F.when(~same(title, dish), denulled(title)), denulled(cuisine), F.when(~same(ethnicity, cuisine), denulled(ethnicity)), F.nullif(joined(primary), F.lit("")), denulled(technique))
+def _said(x: Column, label: str = "") -> Column:
+    """A trimmed text after its label, or null if there is none."""
+    return F.when(F.trim(x) != "", F.concat(F.lit(label), F.trim(x)))
+
+
+def identity_text(card: Column, title: Column) -> Column:
+    """What an embedding is made of: likelyDish, title if it says something else, cuisine, ethnicity if it says something else, primaryIngredients and technique of an identity card."""
+    dish, cuisine, ethnicity = (F.trim(F.coalesce(card[c], F.lit(""))) for c in ("likelyDish", "cuisine", "ethnicity"))
+    leading = F.when(F.size(card["primaryIngredients"]) > 0, F.concat(F.lit("primary: "), F.array_join(F.filter(card["primaryIngredients"], lambda p: p != ""), ", ")))
+    return F.concat_ws(". ", _said(dish), F.when(F.lower(F.trim(title)) != F.lower(dish), _said(title)), _said(cuisine, "cuisine: "), F.when(F.lower(ethnicity) != F.lower(cuisine), _said(ethnicity, "ethnicity: ")), leading, _said(card["technique"], "technique: "))
 
 
 def distinct_ignoring_case(parts: Column) -> Column:
@@ -206,15 +212,15 @@ def distinct_ignoring_case(parts: Column) -> Column:
 
 
 def dish_text(card: Column, name: Column, description: Column, queries: Column) -> Column:
-    """What an embedding of a dish is made of: its card, or else name, description and queries, the first of those that differ by case alone."""
+    """What an embedding of a dish is made of: its card if that names a dish, or else name, description and queries, the first of those that differ by case alone."""
     parts = F.concat(F.array(F.trim(name), F.trim(description)), F.transform(F.coalesce(queries, F.array().cast("array<string>")), lambda q: F.trim(q)))
-    return F.coalesce(denulled(card), F.array_join(distinct_ignoring_case(F.filter(parts, lambda p: p.isNotNull())), ". "))
+    return F.when(F.trim(card["likelyDish"]) != "", identity_text(card, name)).otherwise(F.array_join(distinct_ignoring_case(F.filter(parts, lambda p: p.isNotNull())), ". "))
 
 
-def recipe_text(card: Column, signal: Column, name: Column, cuisine: Column, chapter: Column, ingredients: Column, most: int = 8) -> Column:
-    """What an embedding of a record is made of: its card, or else its signal, name, cuisine, chapter and first ingredients."""
-    first = F.slice(F.coalesce(F.filter(ingredients, lambda p: p.isNotNull() & (F.trim(p) != "")), F.array().cast("array<string>")), 1, most)
-    return F.coalesce(denulled(card), F.concat_ws(". ", denulled(signal), denulled(name), denulled(cuisine), denulled(chapter), F.nullif(F.array_join(first, ", "), F.lit(""))))
+def recipe_text(card: Column, name: Column, signal: Column, cuisine: Column, ethnicity: Column, chapter: Column, ingredients: Column, most: int = 8) -> Column:
+    """What an embedding of a record is made of: its card if that names a dish, or else signal, name, cuisine or ethnicity, chapter and what of the first ingredients isn't blank."""
+    first = F.filter(F.transform(F.slice(F.coalesce(ingredients, F.array().cast("array<string>")), 1, most), lambda p: F.trim(p)), lambda p: p != "")
+    return F.when(F.trim(card["likelyDish"]) != "", identity_text(card, name)).otherwise(F.concat_ws(". ", _said(signal), _said(name), F.coalesce(_said(cuisine, "cuisine: "), _said(ethnicity, "cuisine: ")), _said(chapter, "chapter: "), F.when(F.size(first) > 0, F.concat(F.lit("ingredients: "), F.array_join(first, ", ")))))
 
 
 def changed_count(old: Column, new: Column) -> Column:

@@ -150,9 +150,11 @@ def title_from_url(url: Column) -> Column:
 
 
 def title_from_file(name: Column, prefix: str = "context-") -> Column:
-    """A file's stem without the prefix, words in title case."""
-    stem = F.regexp_replace(F.regexp_replace(name, r"^.*/", ""), r"\.[^.]*$", "")
-    return F.initcap(F.regexp_replace(F.regexp_replace(stem, f"^{prefix}", ""), r"[-_]+", " "))
+    """A file's stem without the prefix, cut at hyphens, underscores and blanks, or where there are none at its capitals; words in title case."""
+    stem = F.regexp_replace(F.regexp_replace(F.regexp_replace(name, r"^.*/", ""), r"\.[^.]*$", ""), f"^{prefix}", "")
+    runs = F.regexp_extract_all(stem, F.lit("([A-Z][a-z]*|[a-z]+)"))
+    parts = F.when(stem.rlike(r"[-_\s]"), F.split(stem, r"[-_\s]+")).when(F.size(runs) > 0, runs).otherwise(F.array(stem))
+    return F.array_join(F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.concat(F.upper(F.left(p, F.lit(1))), F.lower(F.substr(p, F.lit(2))))), " ")
 
 
 def slug(text: Column) -> Column:

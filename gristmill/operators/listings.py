@@ -2,14 +2,34 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.operators.state import is_due, is_stale
+from gristmill.session import staged
 
 
 def placed(rows: DataFrame, group: list[str], *order: Column) -> DataFrame:
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    """rows with `position`, from 1, in this order within each group (none: of the whole table).
+
+    Rows are sorted by ranges of group and order, so that neither a whole table nor a large group meets in one task; a row's number is its place in
+    its range and the counts of the ranges before it, less the number that its group begins with.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*[F.col(g).asc_nulls_first() for g in group], *order]
+    held = staged(rows, "unplaced")  # else rows are computed once more for the ranges' bounds
+    held = staged(held.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), "placed")
+    held = held.withColumn("_part", F.shiftright("_at", 33))
+    counts = held.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each range
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    held = held.join(F.broadcast(before), "_part").withColumn("position", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_part", "_at", "_before")
+    if not group:
+        return held
+    first = held.groupBy(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)]).agg((F.min("position") - 1).alias("_first"))
+    same = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)]
+    return held.join(first, functools.reduce(lambda a, b: a & b, same)).withColumn("position", F.col("position") - F.col("_first")).drop("_first", *[f"_g{i}" for i in range(len(group))])
 
 
 def rejects(rows: DataFrame, group: str = "dish_name", id: str = "id") -> DataFrame:  # noqa: A002

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.functions.documents import static_fields, text_at
+
 
 def merged_by_key(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """old with new's rows in place of those of the same key; columns in `keep` hold their old values where there are any. Each side has a key once."""
@@ -111,10 +113,18 @@ def orphans(rows: DataFrame, referenced: DataFrame, key: str) -> DataFrame:
     return rows.join(referenced.where(F.col(key).isNotNull()).select(key).distinct(), key, "left_anti")
 
 
-def claimed(master: DataFrame, own: DataFrame, user: int, static: list[str]) -> DataFrame:
-    """Copies of master records for a user who hasn't one yet: static fields alone, with where they come from."""
-    new = master.join(own.where(F.col("user_id") == user).select(F.col("source_id").alias("id")), "id", "left_anti")
-    return new.select(F.sha2(F.concat_ws(":", F.lit(str(user)), F.col("id").cast("string")), 256).alias("id"), F.lit(user).cast("long").alias("user_id"), F.col("id").alias("source_id"), *static)
+def claimed(source: DataFrame, own: DataFrame, user: int, as_of: Column) -> DataFrame:
+    """Copies of records for a user who hasn't one of the same source yet: id, user_id, data, url_normalized (empty, so that no later change of the page reaches the copy), created_at, updated_at.
+
+    source: id, user_id (0: the master collection), data (VARIANT); own: user_id, data. data keeps the fields that belong to no owner and is stamped with where it comes from.
+    """
+    have = own.where(F.col("user_id") == user).select(text_at(F.col("data"), "$._source.claimedFromRecipeId").alias("_id")).where("_id is not null").distinct()
+    new = source.join(have, source["id"].cast("string") == have["_id"], "left_anti")
+    where = F.when(F.col("user_id") == 0, F.lit("master")).otherwise(F.concat(F.lit("user:"), F.col("user_id").cast("string")))
+    key = F.sha2(F.concat_ws(":", F.lit(str(user)), F.col("id").cast("string")), 256)
+    fields = static_fields(F.col("data"), stamped={"claimedFrom": where, "claimedAt": as_of.cast("string"), "claimedFromRecipeId": F.col("id").cast("string")})
+    fields = F.map_concat(fields, F.create_map(F.lit("id"), key.cast("variant")))
+    return new.select(key.alias("id"), F.lit(user).cast("long").alias("user_id"), F.to_variant_object(fields).alias("data"), F.lit("").alias("url_normalized"), as_of.alias("created_at"), as_of.alias("updated_at"))
 
 
 def patched(rows: DataFrame, values: dict[str, object], allowed: list[str], where: Column) -> DataFrame:

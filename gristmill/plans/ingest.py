@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.functions.documents import eligible, find_record, parsed, quality_gate, sanitized
+from gristmill.functions.documents import eligible, find_record, parsed, quality_gate
 from gristmill.functions.pages import envelope, main_region, markdown_at, open_graph, parsed_page, record_json
+from gristmill.functions.sanitize import sanitized
 from gristmill.functions.scores import opportunity
 from gristmill.functions.text import fingerprint, language_of, verdict
 from gristmill.functions.urls import normalize_url
@@ -20,7 +21,7 @@ def pages_to_records(pages: DataFrame) -> DataFrame:
     p = pages.withColumn("page", parsed_page(F.coalesce("html", F.lit("")))).withColumn("main", main_region(F.col("page")))
     found = F.get(F.filter(F.transform("page.json", lambda j: find_record(parsed(j))), lambda v: v.isNotNull()), F.lit(0))
     p = p.withColumn("found", found).withColumn("record", F.when(F.col("found").isNotNull(), sanitized(F.col("found")))).withColumn("eligible", eligible(F.col("found")))
-    return p.select(*pages.columns, normalize_url(F.col("url")).alias("url_normalized"), language_of(F.col("html"), F.lit(None).cast("string"), F.col("page.visible")).alias("language"), open_graph(F.col("page"), F.col("url")).alias("og"), verdict(F.col("page.visible")).alias("verdict"), envelope(F.col("page.title"), F.col("url"), record_json("page.json"), markdown_at(F.col("html"), F.col("main.at"))).alias("markdown"), "record", "eligible", quality_gate(F.col("record.name"), F.col("record.recipeIngredient"), F.col("record.recipeInstructions")).alias("gate"), fingerprint(F.col("record.name"), F.col("record.recipeIngredient"), F.col("record.recipeInstructions")).alias("fingerprint"))
+    return p.select(*pages.columns, normalize_url(F.col("url")).alias("url_normalized"), language_of(F.col("html"), F.lit(None).cast("string"), F.col("page.visible")).alias("language"), open_graph(F.col("page"), F.col("url")).alias("og"), verdict(F.col("page.visible")).alias("verdict"), envelope(F.col("page.title"), F.col("url"), record_json("page.json"), markdown_at(F.col("html"), F.col("main.at"))).alias("markdown"), "record", "eligible", quality_gate(F.col("record.name"), F.col("record.recipeIngredient"), F.col("record.recipeInstructions.text")).alias("gate"), fingerprint(F.col("record.name"), F.col("record.recipeIngredient"), F.col("record.recipeInstructions.text")).alias("fingerprint"))
 
 
 def refreshed_group(results: DataFrame, authority: DataFrame, n: int = 10, least_n: int = LEAST_N, **lists: list[str]) -> tuple[DataFrame, DataFrame]:

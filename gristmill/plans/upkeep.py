@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gristmill.functions import documents as D
 from gristmill.functions import text as T
 from gristmill.functions import urls as U
+from gristmill.functions.sanitize import sanitized
 from gristmill.operators import funnel, lifecycle, listings, rollups, state
 from gristmill.plans import ingest
 from gristmill.plans.registry import query as _query
@@ -32,7 +33,7 @@ def _rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(k.alias("id"), F.col("o_custkey").alias("dish_name"), F.when(k % 11 != 0, F.col("o_totalprice")).alias("ou"), status.alias("status"), F.concat(F.lit("note"), k.cast("string")).alias("notes"), F.col("o_orderdate").alias("marked_at"))
 
 
-@_query(f"SELECT dish_name, id, row_number() OVER (PARTITION BY dish_name ORDER BY CASE status WHEN 'new' THEN 0 ELSE 1 END, ou DESC NULLS LAST, id)::INT AS position FROM {_REJECTS}")
+@_query(f"SELECT dish_name, id, row_number() OVER (PARTITION BY dish_name ORDER BY CASE status WHEN 'new' THEN 0 ELSE 1 END, ou DESC NULLS LAST, id) AS position FROM {_REJECTS}")
 def rejects_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings.rejects(_rejects(spark, sf_dir)).select("dish_name", "id", "position")
 
@@ -56,7 +57,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _READ = f"(SELECT *, CASE WHEN json_valid(data) THEN json_extract_string(data, '$._master.dish') END AS dish, CASE WHEN json_valid(data) THEN json_extract_string(data, '$._master.kind') END AS kind, CASE WHEN json_valid(data) THEN json_extract(data, '$._master.rank')::INT END AS rank FROM {_DOCS})"
 
 
-@_query(f"SELECT event_type, id, rank, row_number() OVER (PARTITION BY event_type ORDER BY rank ASC NULLS FIRST, id)::INT AS position FROM {_READ} WHERE id % 7 <> 0 OR id % 5 = 0")
+@_query(f"SELECT event_type, id, rank, row_number() OVER (PARTITION BY event_type ORDER BY rank ASC NULLS FIRST, id) AS position FROM {_READ} WHERE id % 7 <> 0 OR id % 5 = 0")
 def dish_top_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = _docs(spark, sf_dir).where("doc is not null")
     return listings.top_list(held, ["event_type"], F.try_variant_get("doc", "$._master.rank", "int")).select("event_type", "id", "rank", "position")
@@ -82,13 +83,13 @@ def _cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("dish"), (F.col("l_orderkey") * 8 + n).alias("seq"), F.when(n != 1, F.col("l_extendedprice")).alias("pa"), F.when(n != 2, F.col("l_quantity")).alias("da"))
 
 
-@_query(f"SELECT dish, seq, row_number() OVER (PARTITION BY dish ORDER BY pa DESC NULLS LAST, da DESC NULLS LAST, seq)::INT AS position FROM {_COHORT}")
+@_query(f"SELECT dish, seq, row_number() OVER (PARTITION BY dish ORDER BY pa DESC NULLS LAST, da DESC NULLS LAST, seq) AS position FROM {_COHORT}")
 def cohort_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings.cohort(_cohort(spark, sf_dir), ["dish"], "seq").select("dish", "seq", "position")
 
 
 @_query("""WITH n AS (SELECT lower(n_name) AS k FROM nation WHERE n_regionkey = 2), c AS (SELECT c_custkey AS seq, upper(n_name) AS dish, c_acctbal AS da, c_custkey % 10 AS pa FROM customer JOIN nation ON c_nationkey = n_nationkey)
-SELECT seq, row_number() OVER (ORDER BY da DESC, pa DESC, seq)::INT AS position FROM c WHERE lower(dish) IN (SELECT k FROM n)""")
+SELECT seq, row_number() OVER (ORDER BY da DESC, pa DESC, seq) AS position FROM c WHERE lower(dish) IN (SELECT k FROM n)""")
 def chapter_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
     c = table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("seq"), F.upper("n_name").alias("dish"), F.col("c_acctbal").alias("da"), (F.col("c_custkey") % 10).alias("pa"))
@@ -284,13 +285,6 @@ def promote_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.promoted(c, c.where("id % 3 = 0").select(F.col("id").alias("source_id")), c.where("id % 4 = 0").select("id"), _now(), ["name"]).select("source_id", "source_user_id", "name")
 
 
-@_query("SELECT c_custkey AS source_id, c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 5 = 0)")
-def claim_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    master = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("stamp"))
-    own = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select(F.lit(7).alias("user_id"), F.col("o_custkey").alias("source_id"))
-    return state.claimed(master, own.unionByName(master.select(F.lit(8).alias("user_id"), F.col("id").alias("source_id"))), 7, ["name"]).select("source_id", "name")
-
-
 @_query("SELECT o_custkey AS k, min(o_orderkey) AS v FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0) GROUP BY 1 UNION ALL SELECT c_custkey, -1 FROM customer WHERE c_custkey % 3 = 0")
 def insert_or_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), F.lit(-1).cast("long").alias("v"))
@@ -320,11 +314,11 @@ def decision_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", funnel.kept_by_tree(i % 9 != 0, i % 7 == 0, lang, F.when(i % 4 != 0, i % 3 == 0), i % 12).alias("reason"))
 
 
-@_query("SELECT doc_id, row_number() OVER (ORDER BY coalesce(CASE WHEN doc_id % 5 <> 0 THEN n_chars END, 9999), doc_id)::INT AS position FROM documents WHERE doc_id % 3 = 0 AND doc_id % 4 <> 0 AND doc_id < 400")
+@_query("SELECT doc_id, row_number() OVER (ORDER BY coalesce(CASE WHEN doc_id % 5 <> 0 THEN n_chars END, 9999), doc_id) AS position FROM documents WHERE doc_id % 3 = 0 AND doc_id % 4 <> 0")
 def accepted_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The accepted ones of a batch, by rank."""
     i = F.col("doc_id")
-    d = table(spark, sf_dir, "documents").where("doc_id < 400").select("doc_id", F.concat(F.when(i % 4 == 0, "ftp://").otherwise("https://"), i.cast("string")).alias("url"), F.when(i % 3 == 0, "accepted").otherwise("new").alias("status"), F.when(i % 5 != 0, F.col("n_chars")).alias("rank"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.when(i % 4 == 0, "ftp://").otherwise("https://"), i.cast("string")).alias("url"), F.when(i % 3 == 0, "accepted").otherwise("new").alias("status"), F.when(i % 5 != 0, F.col("n_chars")).alias("rank"))
     return listings.placed(funnel.accepted(d), [], F.coalesce("rank", F.lit(9999)), F.col("doc_id")).select("doc_id", "position")
 
 
@@ -333,19 +327,6 @@ def accepted_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PARTS = "[text, ' ' || upper(source), source, lang, NULL, ' ']"
 
 
-@_query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'card' ELSE source || '. ' || lang || CASE WHEN doc_id % 2 = 0 THEN '. q' || doc_id ELSE '' END END AS text FROM documents")
-def dish_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("doc_id")
-    queries = F.array(F.upper("source"), F.lit(" "), F.when(i % 2 == 0, F.concat(F.lit(" q"), i.cast("string"))))
-    return table(spark, sf_dir, "documents").select("doc_id", T.dish_text(F.when(i % 3 == 0, "card").when(i % 3 == 1, "none"), F.col("source"), F.concat(F.lit(" "), "lang"), queries).alias("text"))
-
-
-@_query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'card' ELSE source || '. ' || lang || '. ' || array_to_string(list_filter(string_split(text[1:200], ' '), lambda x: trim(x) <> '')[1:8], ', ') END AS text FROM documents")
-def recipe_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("doc_id")
-    return table(spark, sf_dir, "documents").select("doc_id", T.recipe_text(F.when(i % 5 == 0, "card"), F.lit(" "), F.col("source"), F.lit("None"), F.col("lang"), F.split(F.substring("text", 1, 200), " ")).alias("text"))
-
-
 @_query("SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: contains(x, 'a'))) AS changed FROM documents")
 def changed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.split("text", "\n")
@@ -358,7 +339,7 @@ WHEN 2 THEN json_object('@type', 'Recipe', 'name', ' ', 'recipeIngredient', ['a'
 WHEN 4 THEN json_object('@type', 'Recipe', 'name', source, 'recipeIngredient', ['a', 'b', 'c']) ELSE json_object('@type', 'WebPage') END AS j FROM documents)"""
 
 
-@_query("""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'ok' WHEN 1 THEN 'ok' WHEN 2 THEN 'missing name' WHEN 3 THEN 'missing ingredients' WHEN 4 THEN 'missing instructions' ELSE 'not an object' END AS reason, CASE WHEN doc_id % 6 IN (0, 1, 3, 4) THEN source END AS name,
+@_query("""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'ok' WHEN 1 THEN 'ok' WHEN 2 THEN 'missing name' WHEN 3 THEN 'missing ingredients' WHEN 4 THEN 'missing instructions' ELSE 'not an object' END AS reason, CASE WHEN doc_id % 6 IN (0, 1, 3, 4) THEN source WHEN doc_id % 6 = 2 THEN '' END AS name,
 CASE doc_id % 6 WHEN 0 THEN 'a,' || lang WHEN 1 THEN lang WHEN 2 THEN 'a' WHEN 3 THEN '' WHEN 4 THEN 'a,b,c' END AS ingredients, CASE doc_id % 6 WHEN 0 THEN 'one|two' WHEN 1 THEN 'x|y|z' WHEN 2 THEN 'one' WHEN 3 THEN 'one' WHEN 4 THEN '' END AS steps FROM documents""")
 def jsonld_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embedded records of all shapes: by themselves, in a graph, and with something missing."""
@@ -372,8 +353,8 @@ def jsonld_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         q('{"@type": "WebPage"}'),
     ]
     d = table(spark, sf_dir, "documents").withColumn("v", D.find_record(D.parsed(F.element_at(F.array(*shapes), (i + 1).cast("int")))))
-    d = d.withColumn("r", F.when(F.col("v").isNotNull(), D.sanitized(F.col("v"))))
-    return d.select("doc_id", D.eligible(F.col("v"))["reason"].alias("reason"), "r.name", F.array_join("r.recipeIngredient", ",").alias("ingredients"), F.array_join("r.recipeInstructions", "|").alias("steps"))
+    d = d.withColumn("r", F.when(F.col("v").isNotNull(), sanitized(F.col("v"))))
+    return d.select("doc_id", D.eligible(F.col("v"))["reason"].alias("reason"), "r.name", F.array_join("r.recipeIngredient", ",").alias("ingredients"), F.array_join("r.recipeInstructions.text", "|").alias("steps"))
 
 
 @_query("SELECT p_partkey AS token, CASE WHEN p_partkey % 3 = 0 OR p_partkey % 4 = 0 THEN 404 WHEN p_partkey % 5 = 0 THEN 425 ELSE 200 END AS code FROM part")
@@ -423,16 +404,16 @@ def refreshed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return won.select("dish", "seq", "best_rank", F.lit("won").alias("outcome")).unionByName(lost.select("dish", "seq", "best_rank", F.col("drop_reason").alias("outcome")))
 
 
-@_query(f"""WITH i AS (SELECT doc_id, 'u' || (doc_id % 300) AS url, CASE WHEN doc_id % 300 < 150 THEN 's' || (doc_id % 300) ELSE 'n' || doc_id END AS id FROM documents WHERE doc_id < 300 AND doc_id % 10 <> 0)
-SELECT CASE WHEN i.doc_id IS NULL THEN s.id ELSE i.id END AS id, CASE WHEN s.id IS NOT NULL THEN TIMESTAMP '1998-01-01' ELSE TIMESTAMP '{_AS_OF}' END AS created_at, CASE WHEN i.doc_id IS NULL THEN TIMESTAMP '1998-01-01' ELSE TIMESTAMP '{_AS_OF}' END AS updated_at,
-CASE WHEN i.doc_id IS NOT NULL AND s.id IS NOT NULL AND s.k % 2 = 0 THEN TIMESTAMP '{_AS_OF}' END AS source_changed_at FROM (SELECT 's' || doc_id AS id, doc_id AS k FROM documents WHERE doc_id < 150) s FULL JOIN i ON s.id = i.id""")
+@_query(f"""WITH i AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 's' || doc_id ELSE 'n' || doc_id END AS id FROM documents WHERE doc_id % 10 <> 0)
+SELECT coalesce(i.id, s.id) AS id, CASE WHEN s.id IS NOT NULL THEN TIMESTAMP '1998-01-01' ELSE TIMESTAMP '{_AS_OF}' END AS created_at, CASE WHEN i.id IS NULL THEN TIMESTAMP '1998-01-01' ELSE TIMESTAMP '{_AS_OF}' END AS updated_at,
+CASE WHEN i.id IS NOT NULL AND s.id IS NOT NULL AND s.k % 2 = 0 THEN TIMESTAMP '{_AS_OF}' END AS source_changed_at FROM (SELECT 's' || doc_id AS id, doc_id AS k FROM documents WHERE doc_id % 3 = 0) s FULL JOIN i ON s.id = i.id""")
 def saved_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records that pass the gate are stored: those of a URL that is there take its id, and are stamped where the content changed."""
-    d, i, null = table(spark, sf_dir, "documents").where("doc_id < 300"), F.col("doc_id"), lambda t: F.lit(None).cast(t)
+    d, i, null = table(spark, sf_dir, "documents"), F.col("doc_id"), lambda t: F.lit(None).cast(t)
     name, parts, steps = F.col("source"), F.array(*[F.lit(x) for x in "abc"]), F.array(F.col("lang"), F.lit("x"), F.lit("y"))
     url = F.concat(F.lit("u"), i.cast("string"))
-    base = [F.lit(1).alias("user_id"), url.alias("url_normalized"), name.alias("name"), parts.alias("ingredients"), F.when(i % 10 != 0, steps).otherwise(F.slice(steps, 1, 1)).alias("steps"), F.lit("{}").alias("data")]
+    base = [F.lit(1).alias("user_id"), url.alias("url_normalized"), name.alias("name"), parts.alias("ingredients"), F.when(i % 10 != 0, steps).otherwise(F.slice(steps, 1, 1)).alias("steps"), F.col("text").alias("data")]
     then = F.to_timestamp(F.lit("1998-01-01"))
-    store = d.where("doc_id < 150").select(F.concat(F.lit("s"), i.cast("string")).alias("id"), *base, F.when(i % 2 == 0, F.lit("other")).otherwise(T.fingerprint(name, parts, steps)).alias("fingerprint"), null("timestamp").alias("source_changed_at"), then.alias("created_at"), then.alias("updated_at"))
+    store = d.where("doc_id % 3 = 0").select(F.concat(F.lit("s"), i.cast("string")).alias("id"), *base, F.when(i % 2 == 0, F.lit("other")).otherwise(T.fingerprint(name, parts, steps)).alias("fingerprint"), null("timestamp").alias("source_changed_at"), then.alias("created_at"), then.alias("updated_at"))
     incoming = d.select(F.concat(F.lit("n"), i.cast("string")).alias("id"), *base)
     return ingest.saved(store, incoming, _now()).select("id", "created_at", "updated_at", "source_changed_at")

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.functions.documents import static_fields, text_at
+from gristmill.functions.documents import quality_gate, static_fields, text_at
+from gristmill.functions.text import fingerprint
+from gristmill.functions.urls import is_self_host
+from gristmill.session import staged
 
 
 def merged_by_key(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
@@ -64,6 +67,42 @@ def cache_status(requests: DataFrame, cache: DataFrame, keys: list[str], days: f
     return j.withColumn("status", F.when(F.col(at).isNull(), "miss").when(is_stale(F.col(at), days, as_of), "stale").otherwise("fresh"))
 
 
+def cache_answers(requests: DataFrame, cache: DataFrame, days: float, as_of: Column, model: str, version: str, hosts: list[str], url: str = "url_normalized") -> tuple[DataFrame, DataFrame]:
+    """Both outputs of one look-up, from one pass over the requests that is written once: answers and journal entries.
+
+    Answers: the requests with status (skip: no URL, or one of our own hosts; miss; stale; hit), value (of a hit) and prior_fingerprint (of a hit or a stale row).
+    Journal: for each hit an entry of no tokens, so that what was saved can be counted. cache: url, model, version, value, fingerprint, created_at, a key once.
+    """
+    own = cache.where((F.col("model") == model) & (F.col("version") == version)).select(url, F.col("value").alias("_v"), F.col("fingerprint").alias("_f"), F.col("created_at").alias("_at"), F.lit(True).alias("_there"))
+    skip = (F.coalesce(F.col(url), F.lit("")) == "") | is_self_host(F.col(url), hosts)
+    # requests that ask nothing get keys that match nothing and differ, else all of them would meet in one task
+    asked = requests.withColumn("_k", F.when(~skip, F.col(url)).otherwise(F.concat(F.lit("\0"), F.xxhash64(*requests.columns).cast("string"))))
+    j = asked.join(own.withColumnRenamed(url, "_k"), "_k", "left")
+    status = F.when(skip, "skip").when(F.col("_there").isNull(), "miss").when(is_stale(F.col("_at"), days, as_of), "stale").otherwise("hit")
+    j = j.withColumn("status", status)
+    meta = F.to_json(F.struct(F.col("_at").cast("string").alias("cached_at")))
+    entry = F.struct(F.lit("cache_hit_markdown_to_recipe").alias("operation"), F.lit(model).alias("model"), F.lit(0).cast("long").alias("input_tokens"), F.lit(0).cast("long").alias("output_tokens"), meta.alias("meta"))
+    hit = F.col("status") == "hit"
+    out = staged(j.select(*[F.col(c) for c in requests.columns], "status", F.when(hit, F.col("_v")).alias("value"), F.when(F.col("status").isin("hit", "stale"), F.coalesce("_f", F.lit(""))).otherwise("").alias("prior_fingerprint"), F.when(hit, entry).alias("_entry")), "answers")
+    return out.drop("_entry"), out.where("_entry is not null").select(*requests.columns, "_entry.*")
+
+
+def cache_written(cache: DataFrame, extracts: DataFrame, model: str, version: str, hosts: list[str], as_of: Column, url: str = "url_normalized") -> tuple[DataFrame, DataFrame]:
+    """The cache with new extracts, and what became of each: status (written, or skip: no URL, our own host, or a record that fails the gate) and drift (it is another one than before).
+
+    extracts: url, data (VARIANT), prior_fingerprint, each URL once. What is kept of a record is what belongs to no owner.
+    """
+    at = lambda path: F.try_variant_get(F.col("data"), path, "array<string>")
+    name, parts, steps = text_at(F.col("data"), "$.name"), at("$.recipeIngredient"), at("$.recipeInstructions")
+    good = (F.coalesce(F.col(url), F.lit("")) != "") & ~is_self_host(F.col(url), hosts) & quality_gate(name, parts, steps)["ok"]
+    told = extracts.withColumn("_good", F.coalesce(good, F.lit(False))).withColumn("fingerprint", F.when(F.col("_good"), fingerprint(name, parts, steps)))
+    told = staged(told.withColumn("value", F.when(F.col("_good"), F.to_json(F.to_variant_object(static_fields(F.col("data")))))).drop("data"), "extracts")
+    new = told.where("_good").select(url, F.lit(model).alias("model"), F.lit(version).alias("version"), "value", "fingerprint", as_of.alias("created_at"))
+    keys = [url, "model", "version"]
+    out = cache.join(new.select(*keys), keys, "left_anti").unionByName(new.select(*cache.columns))
+    return out, told.select(url, F.when(F.col("_good"), "written").otherwise("skip").alias("status"), F.coalesce(F.col("_good") & drifted(F.col("prior_fingerprint"), F.col("fingerprint")), F.lit(False)).alias("drift"))
+
+
 def is_stale(at: Column, days: float, as_of: Column) -> Column:
     """Strictly older than `days`; null is stale."""
     return F.coalesce(at < as_of - F.make_dt_interval(secs=F.lit(days * 86400)), F.lit(True))

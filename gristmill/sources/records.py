@@ -126,3 +126,36 @@ class Providers:
         """rows with pa and da; the provider's title where it has one; drop_reason where it has no score."""
         s = self.authority(rows.select("url").distinct())
         return rows.join(s, "url", "left").withColumn("title", F.coalesce(F.nullif(F.col("provider_title"), F.lit("")), F.col("title"))).drop("provider_title").withColumn("drop_reason", F.when(F.col("pa").isNull(), "authority-unavailable"))
+
+
+def _hadoop(spark: SparkSession, path: str):  # noqa: ANN202
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what stands in a folder; none if it isn't there."""
+    fs, at = _hadoop(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+
+
+def whole_versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the folders v<number> that were written whole, ascending."""
+    return sorted(int(n[1:]) for n in names_in(spark, path) if n[:1] == "v" and n[1:].isdigit() and "_SUCCESS" in names_in(spark, f"{path}/{n}"))
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    fs, at = _hadoop(spark, path)
+    fs.delete(at, True)
+
+
+def claim_path(spark: SparkSession, path: str) -> bool:
+    """Makes an empty file where none is; False if somebody else did. Stores decide this as one step."""
+    fs, at = _hadoop(spark, path)
+    try:
+        fs.create(at, False).close()
+    except Exception as e:
+        if "FileAlreadyExists" in str(e) or fs.exists(at):
+            return False
+        raise
+    return True

@@ -14,8 +14,8 @@ from gristmill.functions.lexicons import PHRASES, REGION_PHRASES
 
 # Unit words in the order in which they are tried.
 UNITS = ["tablespoons", "tablespoon", "tbsp", "teaspoons", "teaspoon", "tsp", "cups", "cup", "ounces", "ounce", "oz", "pounds", "pound", "lbs", "lb", "grams", "g", "kilograms", "kg", "milliliters", "ml", "liters", "l"]
-LANGUAGES = {"en": "English", "fr": "French", "de": "German", "es": "Spanish", "it": "Italian", "pt": "Portuguese", "el": "Greek", "ja": "Japanese"}
-STOP_WORDS = {"en": ["the", "of", "and", "in", "to", "was"], "fr": ["le", "la", "les", "de", "et", "une"], "de": ["der", "die", "und", "von", "im", "zu"], "es": ["el", "los", "que", "de", "por", "una"]}
+# Names of languages by code.
+LANGUAGES = {"el": "Greek", "it": "Italian", "fr": "French", "es": "Spanish", "de": "German", "pt": "Portuguese", "ja": "Japanese", "zh": "Chinese", "ko": "Korean", "ru": "Russian", "tr": "Turkish", "ar": "Arabic", "he": "Hebrew", "nl": "Dutch", "pl": "Polish", "sv": "Swedish", "th": "Thai", "vi": "Vietnamese", "hi": "Hindi"}
 
 
 def nullish(x: Column) -> Column:
@@ -91,14 +91,11 @@ def passthrough(md: Column, url: Column, title: Column) -> Column:
     return F.struct(x.alias("markdown"), F.coalesce(denulled(url), sniffed_url(x)).alias("url"), F.coalesce(denulled(title), sniffed_title(x)).alias("title"))
 
 
-def language_of(html_text: Column, header: Column, body: Column, default: str = "en") -> Column:
-    """Two letters: the page's lang attribute, the header, stop words of a text of 50 characters or more, the default."""
-    attr = F.lower(F.substring(F.regexp_extract(html_text, r'(?i)<html[^>]*\slang=["\']?([A-Za-z\-]+)', 1), 1, 2))
-    head = F.lower(F.substring(F.regexp_extract(header, r"^\s*([A-Za-z]{2})", 1), 1, 2))
-    words = F.split(F.lower(body), r"[^\p{L}]+")
-    ranked = F.array_sort(F.array(*[F.struct((-F.size(F.filter(words, lambda w, s=s: w.isin(s)))).alias("n"), F.lit(k).alias("k")) for k, s in STOP_WORDS.items()]))
-    told = F.when((F.length(body) >= 50) & (ranked[0]["n"] < 0), ranked[0]["k"])
-    return F.coalesce(F.nullif(attr, F.lit("")), F.nullif(head, F.lit("")), told, F.lit(default))
+def language_of(html_text: Column, header: Column, told: Column, default: str = "en") -> Column:
+    """Two letters: the page's lang attribute, the first language of the header, what a model tells of its text (null if it tells nothing), the default."""
+    attr = F.lower(F.substring(F.regexp_extract(html_text, r"(?i)<html[^>]*\blang\s*=\s*[\"']([a-zA-Z]{2,3})", 1), 1, 2))
+    head = F.substring(F.lower(F.trim(F.regexp_extract(header, "^([^,]*)", 1))), 1, 2)
+    return F.coalesce(F.nullif(attr, F.lit("")), F.nullif(head, F.lit("")), F.nullif(told, F.lit("")), F.lit(default))
 
 
 def is_foreign(code: Column) -> Column:

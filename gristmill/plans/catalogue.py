@@ -11,7 +11,7 @@ from gristmill.functions import scores as S
 from gristmill.functions import text as T
 from gristmill.functions import urls as U
 from gristmill.operators import cohorts, funnel, rollups, state, vectors
-from gristmill.plans import ledger, shapes, upkeep  # noqa: F401  register their queries
+from gristmill.plans import backfills, ledger, shapes, upkeep  # noqa: F401  register their queries
 from gristmill.plans.registry import Query, found
 from gristmill.plans.registry import query as _query
 from gristmill.session import table
@@ -309,11 +309,6 @@ def shortcut_chapter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.chapter_of(F.regexp_extract("html", "<p>(.*?)[.<]", 1), given, shortcuts, traps=traps, alone=_ALONE).alias("chapter"))
 
 
-@_query("SELECT page_id, coalesce(nullif(lower(regexp_extract(html, '<html[^>]*\\slang=\"([A-Za-z-]+)', 1))[1:2], ''), 'en') AS lang FROM pages")
-def lang_from_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", T.language_of(F.col("html"), F.lit(None).cast("string"), F.lit("")).alias("lang"))
-
-
 @_query("SELECT doc_id, regexp_extract(text, '^([^ \n]*)', 1) AS title, 'https://' || source || '.example.com/' || doc_id AS url FROM documents")
 def markdown_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")

@@ -13,15 +13,25 @@ from gristmill.functions.text import fingerprint, language_of, verdict
 from gristmill.functions.urls import normalize_url
 from gristmill.operators.cohorts import LEAST_N, fit_groups, graded
 from gristmill.operators.funnel import blocked, floored, merged_candidates, top_n
+from gristmill.operators.languages import told
 from gristmill.operators.state import adopted, drifted, merged_by_key
+from gristmill.session import staged
 
 
-def pages_to_records(pages: DataFrame) -> DataFrame:
-    """Each page parsed once: its language, main region, metadata, verdict, embedded record (sanitised), gate and fingerprint."""
+def pages_to_records(pages: DataFrame, model: DataFrame | None = None, key: str = "page_id") -> DataFrame:
+    """Each page parsed once: its language, main region, metadata, verdict, embedded record (sanitised), gate and fingerprint.
+
+    model: language profiles for pages that don't say their language; they are told by their visible text.
+    """
     p = pages.withColumn("page", parsed_page(F.coalesce("html", F.lit("")))).withColumn("main", main_region(F.col("page")))
+    if model is None:
+        p = p.withColumn("_told", F.lit(None).cast("string"))
+    else:
+        p = staged(p, "pages")  # parsed once, though read twice
+        p = p.join(told(p.select(key, F.col("page.visible").alias("_visible")), model, key, "_visible").select(key, F.col("lang").alias("_told")), key, "left")
     found = F.get(F.filter(F.transform("page.json", lambda j: find_record(parsed(j))), lambda v: v.isNotNull()), F.lit(0))
     p = p.withColumn("found", found).withColumn("record", F.when(F.col("found").isNotNull(), sanitized(F.col("found")))).withColumn("eligible", eligible(F.col("found")))
-    return p.select(*pages.columns, normalize_url(F.col("url")).alias("url_normalized"), language_of(F.col("html"), F.lit(None).cast("string"), F.col("page.visible")).alias("language"), open_graph(F.col("page"), F.col("url")).alias("og"), verdict(F.col("page.visible")).alias("verdict"), envelope(F.col("page.title"), F.col("url"), record_json("page.json"), markdown_at(F.col("html"), F.col("main.at"))).alias("markdown"), "record", "eligible", quality_gate(F.col("record.name"), F.col("record.recipeIngredient"), F.col("record.recipeInstructions.text")).alias("gate"), fingerprint(F.col("record.name"), F.col("record.recipeIngredient"), F.col("record.recipeInstructions.text")).alias("fingerprint"))
+    return p.select(*pages.columns, normalize_url(F.col("url")).alias("url_normalized"), language_of(F.col("html"), F.lit(None).cast("string"), F.col("_told")).alias("language"), open_graph(F.col("page"), F.col("url")).alias("og"), verdict(F.col("page.visible")).alias("verdict"), envelope(F.col("page.title"), F.col("url"), record_json("page.json"), markdown_at(F.col("html"), F.col("main.at"))).alias("markdown"), "record", "eligible", quality_gate(F.col("record.name"), F.col("record.recipeIngredient"), F.col("record.recipeInstructions.text")).alias("gate"), fingerprint(F.col("record.name"), F.col("record.recipeIngredient"), F.col("record.recipeInstructions.text")).alias("fingerprint"))
 
 
 def refreshed_group(results: DataFrame, authority: DataFrame, n: int = 10, least_n: int = LEAST_N, **lists: list[str]) -> tuple[DataFrame, DataFrame]:

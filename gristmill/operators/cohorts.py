@@ -1,4 +1,4 @@
-"""Regressions by group, without UDFs: grouped sums, algebra on them, residuals by a join back."""
+"""Regressions by group, without UDFs: sums from one pass over the points and algebra on them; power fits alone take a second look at the points."""
 
 from __future__ import annotations
 
@@ -10,10 +10,6 @@ from gristmill.functions.scores import LEAST_SIGMA, grade, residual_score
 LEAST_N = 25
 
 
-def _sums(x: Column, y: Column) -> list[Column]:
-    return [F.count("*").alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept")]
-
-
 def fit_groups(points: DataFrame, keys: list[str], da: str = "da", pa: str = "pa", least_n: int = LEAST_N, models: tuple[str, ...] = ("linear", "quadratic", "power")) -> DataFrame:
     """A fit for each group: keys, n, used, reason, model, coefficients, r2_linear, r2_quadratic, r2_power, r2, sigma_observed, sigma_effective.
 
@@ -27,28 +23,31 @@ def fit_groups(points: DataFrame, keys: list[str], da: str = "da", pa: str = "pa
         return _linear(p, keys, least_n)
     positive = (F.col("x") > 0) & (F.col("y") > 0)
     lx, ly = F.when(positive, F.ln("x")), F.when(positive, F.ln("y"))
-    first = p.groupBy(*keys).agg(*_sums(F.col("x"), F.col("y")), F.count_if(positive).alias("n_power"), F.regr_slope(ly, lx).alias("b"), F.regr_intercept(ly, lx).alias("ln_a"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-    # quadratic: normal equations in centred x, so that the powers stay small
-    joined = p.join(first.select(*keys, "mx", "my"), keys)
-    u, v = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
-    powers = joined.groupBy(*keys).agg(F.sum(u * u).alias("s2"), F.sum(u * u * u).alias("s3"), F.sum(u * u * u * u).alias("s4"), F.sum(u * v).alias("sxy"), F.sum(u * u * v).alias("sxxy"), F.sum(v * v).alias("syy"))
-    f = first.join(powers, keys)
+    first = p.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.min("x").alias("lo"), F.max("x").alias("hi"),
+        # all of these are merged around the means of what they have seen, so nothing large cancels out
+        F.regr_sxx("y", "x").alias("s2"), F.regr_syy("y", "x").alias("tot"), F.regr_sxy("y", "x").alias("sxy"), F.skewness("x").alias("_skew"), F.kurtosis("x").alias("_kurt"), F.covar_pop(F.col("x") * F.col("x"), "y").alias("_c2"),
+        F.count_if(positive).alias("n_power"), F.regr_slope(ly, lx).alias("b"), F.regr_intercept(ly, lx).alias("ln_a"),
+    )
     n = F.col("n").cast("double")
-    # v = a u^2 + b u + c with sums of u and v zero: c = -a s2 / n
+    f = first.withColumn("s3", F.coalesce(F.col("_skew") * F.pow("s2", F.lit(1.5)) / F.sqrt(n), F.lit(0.0))).withColumn("s4", F.coalesce((F.col("_kurt") + 3) * F.col("s2") * F.col("s2") / n, F.lit(0.0))).withColumn("sxxy", n * F.col("_c2") - 2 * F.col("mx") * F.col("sxy"))
+    # in centred x and y, v = a u^2 + b u + c with sums of u and v zero: c = -a s2 / n
     s4c = F.col("s4") - F.col("s2") * F.col("s2") / n
     det = F.col("s2") * s4c - F.col("s3") * F.col("s3")
     a = F.when(F.abs(det) > 1e-12 * F.col("s2") * s4c, (F.col("s2") * F.col("sxxy") - F.col("s3") * F.col("sxy")) / det)
     b = F.when(a.isNotNull(), (F.col("sxy") - a * F.col("s3")) / F.col("s2"))
     f = f.withColumn("qa", a).withColumn("qb0", b).withColumn("qb", F.col("qb0") - 2 * F.col("qa") * F.col("mx")).withColumn("qc", F.col("my") - F.col("qa") * F.col("s2") / n - F.col("qb0") * F.col("mx") + F.col("qa") * F.col("mx") * F.col("mx"))
-    usable = (F.col("n") >= least_n) & (F.col("hi") > F.col("lo"))
-    f = f.withColumn("pa_", F.when((F.col("n_power") >= least_n), F.exp("ln_a"))).withColumn("pb", F.when(F.col("n_power") >= least_n, F.col("b")))
-    f = f.withColumn("used", usable)
-
-    value = {"linear": F.col("slope") * F.col("x") + F.col("intercept"), "quadratic": F.col("qa") * F.col("x") * F.col("x") + F.col("qb") * F.col("x") + F.col("qc"), "power": F.when(F.col("pa_").isNotNull(), F.when(F.col("x") > 0, F.col("pa_") * F.pow("x", F.col("pb"))).otherwise(F.lit(0.0)))}
+    f = f.withColumn("used", (F.col("n") >= least_n) & (F.col("hi") > F.col("lo"))).withColumn("pa_", F.when((F.col("n_power") >= least_n), F.exp("ln_a"))).withColumn("pb", F.when(F.col("n_power") >= least_n, F.col("b")))
     names = [m for m in ("linear", "quadratic", "power") if m in models]
-    back = p.join(f.select(*keys, "my", "slope", "intercept", "qa", "qb", "qc", "pa_", "pb"), keys)
-    spread = back.groupBy(*keys).agg(F.sum((F.col("y") - F.col("my")) ** 2).alias("tot"), *[F.sum((F.col("y") - value[m]) ** 2).alias(f"ss_{m}") for m in names], *[F.stddev_pop(F.col("y") - value[m]).alias(f"sd_{m}") for m in names])
-    f = f.join(spread, keys)
+    rest = lambda explained: F.greatest(F.col("tot") - explained, F.lit(0.0))
+    f = f.withColumn("ss_linear", F.when(F.col("slope").isNotNull(), rest(F.col("slope") * F.col("sxy")))).withColumn("ss_quadratic", F.when(F.col("qa").isNotNull(), rest(F.col("qa") * F.col("sxxy") + F.col("qb0") * F.col("sxy"))))
+    for m in ("linear", "quadratic"):  # residuals of a least-squares fit have mean zero
+        f = f.withColumn(f"sd_{m}", F.sqrt(F.col(f"ss_{m}") / n))
+    if "power" in names:
+        own = f.where("pa_ is not null and used").select(*keys, "pa_", "pb")
+        error = F.col("y") - F.when(F.col("x") > 0, F.col("pa_") * F.pow("x", F.col("pb"))).otherwise(F.lit(0.0))
+        spread = p.join(own, keys).groupBy(*keys).agg(F.sum(error * error).alias("ss_power"), F.stddev_pop(error).alias("sd_power"))
+        f = f.join(spread, keys, "left")
     for m in ("linear", "quadratic", "power"):
         r2 = F.when(F.col("used"), F.when(F.col("tot") > 0, 1 - F.col(f"ss_{m}") / F.col("tot")).otherwise(F.when(F.col(f"ss_{m}").isNotNull(), F.lit(0.0)))) if m in names else F.lit(None).cast("double")
         f = f.withColumn(f"r2_{m}", r2)
@@ -57,7 +56,7 @@ def fit_groups(points: DataFrame, keys: list[str], da: str = "da", pa: str = "pa
     held = {"linear": F.array("slope", "intercept"), "quadratic": F.array("qa", "qb", "qc"), "power": F.array("pa_", "pb")}
     model = sigma = coefficients = None
     for m in names:
-        hit = F.col(f"r2_{m}") == F.col("r2")
+        hit = F.col(f"r2_{m}") >= F.col("r2") - 1e-12  # what differs by rounding alone is equal
         model = F.when(hit, F.lit(m)) if model is None else model.when(hit, F.lit(m))
         sigma = F.when(hit, F.col(f"sd_{m}")) if sigma is None else sigma.when(hit, F.col(f"sd_{m}"))
         coefficients = F.when(hit, held[m]) if coefficients is None else coefficients.when(hit, held[m])

@@ -7,6 +7,7 @@ documents.
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,12 +37,27 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return held.where(F.length(F.btrim(F.col("text"), F.lit(" \t\n\x0b\x0c\r"))) > 0).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def told_apart(docs: DataFrame) -> DataFrame:
+    """docs with `_row`, a number that no two rows share and every reading repeats: a row's file and place in it, if docs are read from files as they are, else a number written beside the rows.
+
+    Whether files and places do tell all rows apart is counted and not taken for granted, so joins, repeated rows or like hashes of two paths lead to the second way.
+    """
+    try:
+        place = F.col("_metadata.row_index")
+        held = docs.select(*COLUMNS, place.alias("_place"), (F.xxhash64("_metadata.file_path").bitwiseAND((1 << 36) - 1) * F.lit(1 << 27) + place).alias("_row"))
+    except AnalysisException:
+        held = None
+    if held is not None and not held.groupBy("_row").agg(F.count("*").alias("n"), F.max("_place").alias("most")).where((F.col("n") > 1) | (F.col("most") >= 1 << 27)).limit(1).count():
+        return held.drop("_place")
+    return staged(docs.select(COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least doc_id of each group that five-word shingles link at 0.8 or more.
 
     Rows are told apart by a number of their own, so repeated and null keys are groups like any other.
     """
-    rows = staged(docs.select(COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    rows = told_apart(docs)
     found = jaccard_join.jaccard_components(rows, ngram=5, num=80, den=100, key="_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
     # of each group one row: a grouped minimum, not a window, since a group may hold any part of the rows
     ids = rows.select("_row", "doc_id").join(found, "_row")

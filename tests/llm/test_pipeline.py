@@ -1,5 +1,6 @@
 """Each stage of the pipeline against plain Python, on the planted documents with null keys and repeated rows, and on an empty table."""
 
+import glob
 import hashlib
 from collections import Counter, defaultdict
 
@@ -62,6 +63,24 @@ def test_one_document_of_each_group_stays(spark, rows):
     assert not found - Counter(held)
 
 
+def test_rows_of_files_are_told_apart_by_their_place(spark, rows, tmp_path):
+    at = str(tmp_path / "docs")
+    rows.repartition(4).write.parquet(at)
+    docs = spark.read.parquet(at)
+    told = pipeline.told_apart(docs)
+    assert not glob.glob(f"{tmp_path}/*rows*") and "rows-" not in told.inputFiles()[0]
+    numbers = [r["_row"] for r in told.select("_row").collect()]
+    assert len(set(numbers)) == len(numbers) == docs.count() and min(numbers) >= 0
+    assert Counter(numbers) == Counter(r["_row"] for r in told.where("length(text) >= 0 or text is null").select("_row").collect())
+    # rows that a join repeats share their place, and get numbers of their own
+    twice = docs.crossJoin(spark.range(2)).select(docs["*"])
+    assert pipeline.told_apart(twice).select("_row").distinct().count() == 2 * len(numbers)
+    held = _listed(rows)
+    found = Counter(_listed(pipeline.near_duplicates(spark, docs, "")))
+    want = brute.jaccard_components([(i, r[1]) for i, r in enumerate(held)], 5, 80, 100)
+    assert sum(found.values()) == len({g for _, g in want.values()}) and not found - Counter(held)
+
+
 def test_the_mix_copies_whole_documents_up_to_each_target(spark, rows):
     held, found = Counter(_listed(rows)), Counter(_listed(pipeline.mix(spark, rows, "")))
     assert all(n <= 2 * held[r] for r, n in found.items())

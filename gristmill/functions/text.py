@@ -240,9 +240,9 @@ def matches_search(q: str, *cells: Column) -> Column:
 
 
 def natural_key(x: Column) -> list[Column]:
-    """Sort columns: numbers first by value, then texts without regard to case."""
-    number = F.try_to_number(F.regexp_replace(x, r"[,%$\s]", ""), F.lit("S999999999.999999"))
-    return [number.asc_nulls_last(), F.lower(x).asc_nulls_last()]
+    """Sort columns: numbers (with commas, or a percent sign behind) first by value, then texts without regard to case."""
+    number = F.when(x.rlike(r"^\s*-?[0-9.,]+%?\s*$"), F.regexp_replace(x, r"[,%\s]", "").try_cast("double"))
+    return [number.asc_nulls_last(), F.when(number.isNull(), F.lower(x)).asc_nulls_last()]
 
 
 def age_text(seconds: Column) -> Column:

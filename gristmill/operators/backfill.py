@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions.documents import text_at
 from gristmill.functions.scores import exceptionalism
+from gristmill.functions.stamps import patched_block
 from gristmill.functions.urls import normalize_url
 from gristmill.operators.vectors import best_match
 from gristmill.session import staged
@@ -33,16 +34,6 @@ def graded_rows(rows: DataFrame, fits: DataFrame, dishes: DataFrame, least: floa
     return j.withColumn("status", status).select(*rows.columns, "status", F.when(got, grade).alias("grade"), F.when(got, F.when(F.col("_own").isNotNull(), F.col("dish")).otherwise(F.col("match"))).alias("matched_dish"), F.when(got, method).alias("match_method"), F.when(got & F.col("_own").isNull(), F.col("similarity")).alias("confidence"))
 
 
-def _patched(data: Column, block: str, values: dict[str, Column]) -> Column:
-    """A VARIANT object with the block's fields set where values aren't null; all else of it stays."""
-    empty = F.create_map().cast("map<string,variant>")
-    fields = F.coalesce(F.try_variant_get(data, "$", "map<string,variant>"), empty)
-    own = F.coalesce(F.try_variant_get(data, f"$['{block}']", "map<string,variant>"), empty)
-    new = F.map_filter(F.create_map(*[c for k, x in values.items() for c in (F.lit(k), x.cast("variant"))]), lambda _, x: x.isNotNull())
-    block_now = F.map_concat(F.map_filter(own, lambda k, _: ~F.array_contains(F.map_keys(new), k)), new)
-    return F.to_variant_object(F.map_concat(F.map_filter(fields, lambda k, _: k != block), F.create_map(F.lit(block), F.to_variant_object(block_now))))
-
-
 def rescored(rows: DataFrame, scores: DataFrame) -> DataFrame:
     """rows (id, data) with url_key, old_pa, new_pa and, where their page was scored anew, data with the scores in `_scoring`; a raw title is only filled in where there is none.
 
@@ -55,7 +46,7 @@ def rescored(rows: DataFrame, scores: DataFrame) -> DataFrame:
     new = scores.select(F.col("url_key").alias("_k"), F.col("pa").alias("_pa"), F.col("da").alias("_da"), F.col("ou").alias("_ou"), F.col("raw_title").alias("_title"), F.lit(True).alias("_scored"))
     j = held.join(new, "_k", "left")
     title = F.when(F.coalesce(text_at(F.col("data"), "$._scoring.rawTitle"), F.lit("")) == "", F.nullif(F.col("_title"), F.lit("")))
-    data = _patched(F.col("data"), "_scoring", {"pageAuthority": F.col("_pa"), "domainAuthority": F.col("_da"), "ouScore": F.col("_ou"), "rawTitle": title})
+    data = patched_block(F.col("data"), "_scoring", {"pageAuthority": F.col("_pa"), "domainAuthority": F.col("_da"), "ouScore": F.col("_ou"), "rawTitle": title})
     old = F.try_variant_get(F.col("data"), "$._scoring.pageAuthority", "double")
     return j.select("id", F.when(F.col("_scored"), data).otherwise(F.col("data")).alias("data"), "url_key", old.alias("old_pa"), F.when(F.col("_scored"), F.col("_pa")).otherwise(old).alias("new_pa"))
 

@@ -11,7 +11,7 @@ from gristmill.functions import scores as S
 from gristmill.functions import text as T
 from gristmill.functions import urls as U
 from gristmill.operators import cohorts, funnel, rollups, state, vectors
-from gristmill.plans import backfills, ledger, shapes, upkeep  # noqa: F401  register their queries
+from gristmill.plans import backfills, ledger, shapes, stampings, upkeep  # noqa: F401  register their queries
 from gristmill.plans.registry import Query, found
 from gristmill.plans.registry import query as _query
 from gristmill.session import table

@@ -141,7 +141,7 @@ def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gristmill.operators.listings import placed
 
     i, v = F.col("event_id") % 4, F.floor(F.col("value") * 100) / 100
-    shown = F.when(i == 0, F.format_number(v, 2)).when(i == 1, F.concat(F.lit("-"), F.format_string("%.2f", v))).when(i == 2, F.concat(F.format_string(" %.2f", v), F.lit(" %"))).otherwise(F.when(F.col("event_id") % 8 == 3, F.upper("event_type")).otherwise(F.col("event_type")))
+    shown = F.when(i == 0, F.format_number(v, 2)).when(i == 1, F.concat(F.lit("-"), F.format_string("%.2f", v))).when(i == 2, F.concat(F.format_string(" %.2f", v), F.lit("%"))).otherwise(F.when(F.col("event_id") % 8 == 3, F.upper("event_type")).otherwise(F.col("event_type")))
     e = table(spark, sf_dir, "events").select("event_id", shown.alias("shown"))
     return placed(e, [], *T.natural_key(F.col("shown")), F.col("event_id")).select("event_id", "position")
 

@@ -2,31 +2,48 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions.scores import cosine_of_l2, l2
 from gristmill.session import place, staged
 
-#: Queries of one block, about; a block is broadcast, so its size is bounded.
-BLOCK_QUERIES = 1_000
+#: Queries of one block, and bytes of their vectors: a block is broadcast, so its size is bounded. Each block is one pass over the vectors.
+BLOCK_QUERIES, BLOCK_BYTES = 250_000, 64 << 20
+
+
+def _shape(queries: DataFrame) -> tuple[int, int | None]:
+    """How many blocks the queries make, and their number of components if all have the same (and not very many)."""
+    q = queries.agg(F.count("*").alias("n"), F.min(F.size("query")).alias("lo"), F.max(F.size("query")).alias("hi")).first()
+    dim = max(q["hi"] or 1, 1)
+    return -(-q["n"] // max(1, min(BLOCK_QUERIES, BLOCK_BYTES // (8 * dim)))), dim if q["lo"] == dim <= 512 else None
+
+
+def _distance(a: Column, b: Column, dim: int | None) -> Column:
+    """Of vectors of a known length a plain sum, which is compiled; a lambda is run for each component of each pair otherwise."""
+    if dim is None:
+        return l2(a, b)
+    parts = [F.get(a, F.lit(i)).cast("double") - F.get(b, F.lit(i)).cast("double") for i in range(dim)]
+    return F.sqrt(functools.reduce(lambda s, d: s + d * d, parts, F.lit(0.0)))
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, the vector's key, distance: the k nearest by Euclidean distance among the vectors that pass `where`, ties by key.
 
-    queries: query_id, query (and any columns that `where` uses). Vectors of another length, or null, take no part. Beyond BLOCK_QUERIES queries they
+    queries: query_id, query (and any columns that `where` uses). Vectors of another length, or null, take no part. Queries of more than a block
     go block by block, dealt by query_id, and the k nearest of each block are written before the next one begins.
     """
     spark = queries.sparkSession
+    blocks, dim = _shape(queries)
     fits = F.size("query") == F.size(embedding)
     w = Window.partitionBy("query_id").orderBy("distance", key)
 
     def nearest(own: DataFrame) -> DataFrame:
         pairs = vectors.join(F.broadcast(own), fits & (where if where is not None else F.lit(True)))
-        return pairs.select("query_id", key, l2(F.col("query"), F.col(embedding)).alias("distance")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", key, "distance")
+        return pairs.select("query_id", key, _distance(F.col("query"), F.col(embedding), dim).alias("distance")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", key, "distance")
 
-    blocks = -(-queries.count() // BLOCK_QUERIES)
     if blocks <= 1:
         return nearest(queries)
     held, at = staged(queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "queries"), place(spark, "nearest")
@@ -45,10 +62,10 @@ def best_match(vectors: DataFrame, queries: DataFrame, narrow: Column, least: fl
     x = F.struct(F.col("distance"), F.col(key).alias("match"))
 
     def nearest(own: DataFrame) -> DataFrame:
-        pairs = vectors.join(F.broadcast(own), fits if among is None else fits & among).select("query_id", key, narrow.alias("_narrow"), l2(F.col("query"), F.col(embedding)).alias("distance"))
+        pairs = vectors.join(F.broadcast(own), fits if among is None else fits & among).select("query_id", key, narrow.alias("_narrow"), _distance(F.col("query"), F.col(embedding), dim).alias("distance"))
         return pairs.groupBy("query_id").agg(F.min(F.when(F.col("_narrow"), x)).alias("narrow"), F.min(x).alias("wide"))
 
-    blocks = -(-queries.count() // BLOCK_QUERIES)
+    blocks, dim = _shape(queries)
     held, at, found = staged(queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(max(blocks, 1)))), "queries"), place(spark, "matches"), None
     for b in range(max(blocks, 1)):
         found = nearest(held.where(F.col("_block") == b).drop("_block"))

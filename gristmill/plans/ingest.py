@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions.documents import eligible, find_record, parsed, quality_gate
@@ -12,7 +12,7 @@ from gristmill.functions.scores import opportunity
 from gristmill.functions.text import fingerprint, language_of, verdict
 from gristmill.functions.urls import normalize_url
 from gristmill.operators.cohorts import LEAST_N, fit_groups, graded
-from gristmill.operators.funnel import blocked, floored, merged_candidates, top_n
+from gristmill.operators.funnel import blocked, merged_candidates
 from gristmill.operators.languages import told
 from gristmill.operators.state import adopted, drifted, merged_by_key
 from gristmill.session import staged
@@ -41,10 +41,15 @@ def refreshed_group(results: DataFrame, authority: DataFrame, n: int = 10, least
     """
     scored = blocked(merged_candidates(results, group=("dish",)), **lists).join(authority.select("url_key", "pa", "da"), "url_key", "left")
     scored = scored.withColumn("drop_reason", F.coalesce("drop_reason", F.when(F.col("pa").isNull(), "authority-unavailable"))).withColumn("ou", opportunity(F.col("pa"), F.col("da")))
-    live = scored.where("drop_reason is null")
-    won = top_n(floored(graded(live, fit_groups(live, ["dish"], least_n=least_n, models=("linear", "quadratic", "power")), ["dish"])), n, ["dish"])
-    lost = scored.join(won.select("dish", "url_key"), ["dish", "url_key"], "left_anti").withColumn("drop_reason", F.coalesce("drop_reason", F.when(F.coalesce(F.col("ou") < 0, F.lit(True)), "below-floor"), F.lit("below-cut")))
-    return won, lost
+    scored = staged(scored, "scored")
+    fits = fit_groups(scored.where("drop_reason is null"), ["dish"], least_n=least_n, models=("linear", "quadratic", "power"))
+    # one pass says of each candidate where it stands: those over the floor are ranked, and all others, and who comes after the last rank, have a reason
+    placed = graded(scored, fits, ["dish"]).withColumn("_in", F.col("drop_reason").isNull() & F.coalesce(F.col("ou") >= 0, F.lit(False)))
+    placed = placed.withColumn("rank", F.row_number().over(Window.partitionBy("dish", "_in").orderBy(F.col("ou").desc_nulls_last(), "seq")))
+    placed = staged(placed.withColumn("_won", F.col("_in") & (F.col("rank") <= n)), "placed")
+    won = placed.where("_won").drop("_in", "_won")
+    reason = F.coalesce("drop_reason", F.when(~F.col("_in"), F.lit("below-floor")), F.lit("below-cut"))
+    return won, placed.where("not _won").withColumn("drop_reason", reason).select(*scored.columns)
 
 
 def saved(store: DataFrame, incoming: DataFrame, as_of) -> DataFrame:  # noqa: ANN001

@@ -96,3 +96,23 @@ def test_notes_are_set_and_cleared(spark):
     notes = spark.createDataFrame([("a", None), ("c", "new")], "name string, notes string")
     got = {r["name"]: (r["last_ou_fit"], r["notes"], r["fit_updated_at"] is not None) for r in chapters.with_notes(stored, notes, at).collect()}
     assert got == {"a": ("{}", None, False), "b": (None, "stay", False), "c": (None, "new", True)}
+
+
+def _plan(df, *names):
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return [len(re.findall(rf"(?m)^[ :+*\-()\d]*{n}\b", text)) for n in names]
+
+
+def test_fits_and_refreshes_take_few_passes(spark, data, tmp_path):
+    from gristmill.operators.cohorts import fit_groups
+    from gristmill.plans import ingest
+
+    points = spark.read.parquet(f"{data}/lineitem.parquet").select(F.col("l_suppkey").alias("g"), F.col("l_quantity").alias("da"), F.col("l_extendedprice").alias("pa"))
+    scans, shuffles = _plan(fit_groups(points, ["g"]), "(?:File)?Scan parquet", "Exchange")
+    assert (scans, shuffles <= 5) == (3, True), (scans, shuffles)  # the sums; for power fits the sums again beside the points
+    assert _plan(fit_groups(points, ["g"], models=("linear", "quadratic")), "(?:File)?Scan parquet", "Exchange") == [1, 1]
+    results = spark.createDataFrame([(f"https://a.example/{i}", "q", i, "t", i, "d") for i in range(40)], "url string, query string, rank int, title string, seq int, dish string")
+    authority = results.select(F.col("url").alias("url_key"), F.lit(40.0).alias("pa"), F.col("rank").cast("double").alias("da"))
+    won, lost = ingest.refreshed_group(results, authority, domains=[], paths=[])
+    assert _plan(won, "(?:File)?Scan parquet", "Exchange") == _plan(lost, "(?:File)?Scan parquet", "Exchange") == [1, 0]
+    assert won.count() + lost.count() == 40

@@ -282,3 +282,16 @@ def test_wavelet_trees_report_rectangles():
         b, d = np.minimum(b, n), np.minimum(d, n)
         got = Counter(zip(*(x.tolist() for x in spelling.WaveletTree(seq).report(a, b, c, d)), strict=True))
         assert got == Counter((q, int(v)) for q in range(50) for v in seq[a[q] : b[q]] if c[q] <= v < d[q])
+
+
+@pytest.mark.parametrize("name", ["op11_column_suffix_dedup", "op12_filtering_lloyd_codes"])
+def test_queries_equal_their_sql(spark, data, name):
+    import duckdb
+
+    from gristmill.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    df = queries.queries()[name](spark, data)
+    assert sorted(map(tuple, df.collect())) == sorted(con.execute(f"SELECT {', '.join(df.columns)} FROM ({queries.oracle_sql()[name]})").fetchall())

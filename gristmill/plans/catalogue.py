@@ -507,11 +507,13 @@ def nocase_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(named, F.lower(n["n_name"]) == F.lower("c_nation"), "left").groupBy("n_name").agg(F.count("c_custkey").alias("customers"))
 
 
-@_query("SELECT s_suppkey, 'name=' || s_name || ';nation=' || s_nationkey AS fields FROM supplier")
+@_query("""SELECT s_suppkey, '{' || CASE WHEN s_suppkey % 3 <> 0 THEN '"_source":{"originalUrl":"u' || s_suppkey || '","type":"web"},' ELSE '' END || '"name":"' || s_name || '","notes":["' || s_nationkey || '"]}' AS fields FROM supplier""")
 def static_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    doc = F.create_map(F.lit("name"), F.col("s_name"), F.lit("balance"), F.col("s_acctbal").cast("string"), F.lit("nation"), F.col("s_nationkey").cast("string"))
-    kept = D.static_fields(doc, ["name", "nation"])
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.array_join(F.transform(F.array_sort(F.map_entries(kept)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("fields"))
+    """Records without what belongs to their owner, and of where they come from the part that doesn't."""
+    k, lit = F.col("s_suppkey"), F.lit
+    of = F.when(k % 3 != 0, F.struct(lit("web").alias("type"), F.concat(lit("u"), k.cast("string")).alias("originalUrl"), lit("aff").alias("affiliateUrl"), lit("master").alias("claimedFrom")))
+    doc = F.to_variant_object(F.struct(F.col("s_name").alias("name"), k.alias("user_id"), F.col("s_acctbal").alias("balance"), F.array(F.col("s_nationkey").cast("string")).alias("notes"), of.alias("_source"), F.struct(lit("private").alias("visibility")).alias("_access")))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.to_json(F.to_variant_object(D.static_fields(doc))).alias("fields"))
 
 
 @_query("SELECT nation, n FROM (SELECT n_nationkey AS nation FROM nation) LEFT JOIN (SELECT s_nationkey AS nation, count(*) AS n FROM supplier GROUP BY 1) USING (nation) WHERE n IS NOT NULL UNION ALL SELECT n_nationkey, 0 FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)")

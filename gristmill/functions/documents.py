@@ -11,8 +11,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from gristmill.functions.text import denulled
-
 
 def text_at(v: Column, path: str) -> Column:
     """A text or number at a path, else null."""
@@ -69,13 +67,6 @@ def eligible(v: Column) -> Column:
     return F.struct((reason == "ok").alias("ok"), reason.alias("reason"))
 
 
-def image_of(v: Column) -> Column:
-    """The first image: a text, an ImageObject's url, contentUrl or @id, or the first of a list of either."""
-    raw = F.try_variant_get(v, "$.image", "variant")
-    first = F.coalesce(F.get(F.try_variant_get(raw, "$", "array<variant>"), F.lit(0)), raw)
-    return denulled(F.coalesce(text_at(first, "$.url"), text_at(first, "$.contentUrl"), text_at(first, "$['@id']"), F.when(F.schema_of_variant(first) == "STRING", F.try_variant_get(first, "$", "string"))))
-
-
 @F.pandas_udf(StructType([StructField("text", StringType()), StructField("changed", IntegerType())]))
 def decoded_json(x: pd.Series) -> pd.DataFrame:
     """A JSON text with the entities of all its texts decoded, whatever its shape, and how many texts that changed. Keys, numbers and layout stay; null stays null with 0 changes."""

@@ -136,6 +136,12 @@ class Chunk:
         return np.cumsum(cover)[:-1] > 0
 
 
+def runs(gone: np.ndarray) -> list[dict[str, int]]:
+    """Where stretches of true begin, and how long they are."""
+    turns = np.flatnonzero(np.diff(gone, prepend=False, append=False)).tolist()
+    return [{"start": a, "length": e - a} for a, e in zip(turns[::2], turns[1::2], strict=True)]
+
+
 def _packed(df: DataFrame, key: str, text: str) -> DataFrame:
     """chunk, doc_ids, texts: rows of about CHUNK_BYTES, in a table bucketed by chunk, so that answers come to the texts and not the other way."""
 
@@ -172,8 +178,8 @@ def _by_part(answers: object) -> dict[int, bytes]:
     return {r["part"]: r["bits"] for r in answers} if answers is not None else {}
 
 
-def remove_repeats(df: DataFrame, window: int = 20, key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
-    """For each row of df: doc_id, n_words, n_removed, kept_sha256 (and kept, the words that stay joined by single spaces).
+def remove_repeats(df: DataFrame, window: int = 20, key: str = "doc_id", text: str = "text", with_text: bool = False, with_repeats: bool = False) -> DataFrame:
+    """For each row of df: doc_id, n_words, n_removed, kept_sha256 (and kept, the words that stay joined by single spaces; and repeats, the first word and length of each maximal run that repeats what stands earlier).
 
     A word goes if a window of `window` words covers it whose words also start earlier: in a smaller doc_id, or earlier in the
     same document. Null and empty texts have no words. Null keys come after all others, and rows that repeat a key go by text and
@@ -266,6 +272,9 @@ def remove_repeats(df: DataFrame, window: int = 20, key: str = "doc_id", text: s
                 # bytes.split() cuts at just the blanks of the contract
                 split = [(t or b"").split() for t in row["texts"]]
                 kept = [b" ".join(compress(w, stay[a : a + n]) if k else w) for w, k, a, n in zip(split, count, c.first, c.n, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(c.n, pa.int64()), pa.array(count, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), *[pa.array([k.decode() for k in kept], pa.string())] * with_text], ["doc_id", "n_words", "n_removed", "kept_sha256", *["kept"] * with_text])
+                columns = [pa.array(row["doc_ids"], pa.int64()), pa.array(c.n, pa.int64()), pa.array(count, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), *[pa.array([k.decode() for k in kept], pa.string())] * with_text]
+                if with_repeats:
+                    columns.append(pa.array([runs(gone[a : a + n]) for a, n in zip(c.first, c.n, strict=True)], pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept_sha256", *["kept"] * with_text, *["repeats"] * with_repeats])
 
-    return _answered(chunks, hits, firsts).select("chunk", "doc_ids", "texts", "a0", "a1").mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
+    return _answered(chunks, hits, firsts).select("chunk", "doc_ids", "texts", "a0", "a1").mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text + ", repeats array<struct<start: long, length: long>>" * with_repeats)

@@ -45,3 +45,13 @@ def test_packs_do_not_see_other_columns(spark, clashing):
     plain, clash = (sorted((tuple(r) for r in packing.pack(held, public_tokenizers.path("word_bpe_49k.json"), 512).select("doc_id", "piece", "start", "length", "ids_crc32").collect()), key=repr) for held in _both(df))
     assert plain == clash
     assert Counter(r[0] for r in plain if r[1] == 0) == Counter(d for d, _ in rows)
+
+
+def test_repeats_are_the_removed_runs(spark):
+    from gristmill.llm import substring_dedup
+
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(25))
+    rows = [(1, f"{a} {b}"), (2, f"x {b} y {a}"), (3, a.split(" ", 1)[1]), (4, None), (5, "short")]
+    held = {r["doc_id"]: r for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True, with_repeats=True).collect()}
+    assert {k: [tuple(x) for x in r["repeats"]] for k, r in held.items()} == {1: [], 2: [(1, 25), (27, 40)], 3: [(0, 39)], 4: [], 5: []}
+    assert held[2]["kept"] == "x y" and all(sum(x["length"] for x in r["repeats"]) == r["n_removed"] for r in held.values())

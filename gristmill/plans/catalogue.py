@@ -345,7 +345,7 @@ def translation_plausible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", T.plausible(t, translated)["reason"].alias("reason"))
 
 
-@_query(r"""SELECT page_id, sha256(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '<title>.*?</title>|<script>.*?</script>|<style>.*?</style>|<!--.*?-->|<[^>]*>', '', 'gs'), '\s+', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&amp;', '&')) AS text_sha256 FROM pages""")
+@_query(r"""SELECT page_id, sha256(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '<title>.*?</title>|<script>.*?</script>|<style>.*?</style>|<!--.*?-->|<[^>]*>', '', 'gs'), '\s+', '', 'g'), '&amp;?', '&', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34))) AS text_sha256 FROM pages""")
 def html_visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The visible text without its blanks, by digest."""
     p = P.spread(table(spark, sf_dir, "pages")).withColumn("page", P.parsed_page("html"))

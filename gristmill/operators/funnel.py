@@ -48,10 +48,13 @@ def bar_to_beat(ranked: DataFrame, group: list[str], ou: str = "ou") -> DataFram
     return ranked.groupBy(*group).agg(F.max_by(ou, "rank").alias("bar"))
 
 
-def best_authority(answers: DataFrame, key: str, seq: str = "seq") -> DataFrame:
-    """Of each key's answers the one to trust: crawled pages (200, 301, 302) before estimates (402) before all else, then the highest pa (null as 0), then the first."""
+def best_authority(answers: DataFrame, key: str, seq: str = "seq", within: Column | None = None) -> DataFrame:
+    """Of each key's answers the one to trust: crawled pages (200, 301, 302) before estimates (402) before all else, then the highest pa (null as 0), then the first.
+
+    within: what takes the place of pa among answers of one tier, such as a pa that loses by the place of its answer; of equals still the first.
+    """
     tier = F.when(F.col("http_code").isin(200, 301, 302), 2).when(F.col("http_code") == 402, 1).otherwise(0)
-    return answers.groupBy(key).agg(F.max_by(F.struct("pa", "da", "title", "http_code"), F.struct(tier, F.coalesce("pa", F.lit(0.0)), -F.col(seq))).alias("x")).select(key, "x.*")
+    return answers.groupBy(key).agg(F.max_by(F.struct("pa", "da", "title", "http_code"), F.struct(tier, F.coalesce("pa", F.lit(0.0)) if within is None else within, -F.col(seq))).alias("x")).select(key, "x.*")
 
 
 def stage_counts(rows: DataFrame, reason: str = "drop_reason", stages: list[str] | None = None) -> DataFrame:

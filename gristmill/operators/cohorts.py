@@ -53,10 +53,14 @@ def fit_groups(points: DataFrame, keys: list[str], da: str = "da", pa: str = "pa
         f = f.withColumn(f"r2_{m}", r2)
     best = F.greatest(*[F.col(f"r2_{m}") for m in names]) if len(names) > 1 else F.col(f"r2_{names[0]}")
     f = f.withColumn("r2", best)
+    # what the curve explains beyond the line, by itself: the difference of two R squared is lost in their rounding
+    gain = F.coalesce(F.when((F.col("s2") > 0) & (F.col("tot") > 0), F.col("qa") * (F.col("sxxy") - F.col("s3") * F.col("sxy") / F.col("s2")) / F.col("tot")), F.lit(0.0)) if "quadratic" in names else F.lit(0.0)
     held = {"linear": F.array("slope", "intercept"), "quadratic": F.array("qa", "qb", "qc"), "power": F.array("pa_", "pb")}
     model = sigma = coefficients = None
     for m in names:
         hit = F.col(f"r2_{m}") >= F.col("r2") - 1e-12  # what differs by rounding alone is equal
+        if m == "linear":
+            hit &= gain <= 2.0**-52
         model = F.when(hit, F.lit(m)) if model is None else model.when(hit, F.lit(m))
         sigma = F.when(hit, F.col(f"sd_{m}")) if sigma is None else sigma.when(hit, F.col(f"sd_{m}"))
         coefficients = F.when(hit, held[m]) if coefficients is None else coefficients.when(hit, held[m])

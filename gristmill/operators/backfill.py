@@ -23,7 +23,7 @@ def graded_rows(rows: DataFrame, fits: DataFrame, dishes: DataFrame, least: floa
     graded = F.lit(False) if force else F.coalesce(F.col("graded"), F.lit(False))
     own = staged(rows.join(fits.select("dish", F.col("fit").alias("_own")), "dish", "left").withColumn("_todo", ~graded & F.col("da").isNotNull() & F.col("pa").isNotNull()), "rows")
     asked = own.where("_todo and _own is null and embedding is not null").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"), F.col("chapter").alias("_chapter"))
-    near = best_match(dishes, asked, F.col("chapter") == F.col("_chapter"), least=least, key="dish").where("match is not null").select(F.col("query_id").alias("id"), "match", "scope", "similarity")
+    near = best_match(dishes, asked, ("chapter", "_chapter"), least=least, key="dish").where("match is not null").select(F.col("query_id").alias("id"), "match", "scope", "similarity")
     near = near.join(fits.select(F.col("dish").alias("match"), F.col("fit").alias("_near")), "match")
     j = own.join(near, "id", "left")
     fit = F.coalesce("_own", "_near")

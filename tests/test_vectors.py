@@ -50,3 +50,30 @@ def test_more_than_ten_thousand_queries(spark):
     found = vectors.knn(v, spark.createDataFrame(list(enumerate(q.tolist())), "query_id long, query array<double>"), 2)
     best = np.argsort(((q[:, None] - x) ** 2).sum(2), axis=1)[:, :2]
     assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in found.collect()) == [(i, k + 1, int(best[i, k])) for i in range(len(q)) for k in range(2)]
+
+
+@pytest.mark.parametrize("rows", [7, 32_768])
+@pytest.mark.parametrize(("arg", "sql"), [({}, "true"), ({"same": ("label", "query_label")}, "q.label = v.label"), ({"apart": True}, "q.vec_id <> v.vec_id")])
+def test_cells_of_any_size_find_the_nearest(spark, data, monkeypatch, rows, arg, sql):
+    monkeypatch.setattr(vectors, "CELL_ROWS", rows)
+    found = vectors.knn(*_searched(spark, data), 10, **arg)
+    want = duckdb.sql(f"SELECT query_id, rank, vec_id, d FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM ({_pairs(data, sql)})) WHERE rank <= 10").fetchall()
+    assert _plain(found.collect()) == _plain(want)
+
+
+@pytest.mark.parametrize("search", ["knn", "best_match"])
+def test_no_pair_is_shuffled_or_sorted(spark, search):
+    """What leaves the cells is k rows for each query and cell, however many vectors there are."""
+    v = spark.range(4000).selectExpr("id as vec_id", "id % 3 as label", "array(id % 50.0, id % 7.0) as embedding")
+    q = v.where("vec_id < 20").selectExpr("vec_id as query_id", "embedding as query", "label as query_label")
+    found = vectors.knn(v, q, 10, apart=True) if search == "knn" else vectors.best_match(v, q, ("label", "query_label"), -9.0, apart=True)
+    held = vectors._gridded(v, q, 10, ("wide",), None, True, "vec_id", "embedding")
+    assert held.count() == 20 * 10 * vectors.LEAST_CELLS
+    d = {(a["query_id"], b["vec_id"]): ((np.array(a["query"], float) - np.array(b["embedding"], float)) ** 2).sum() ** 0.5 for a in q.collect() for b in v.collect() if a["query_id"] != b["vec_id"]}
+    for i, rows in {i: [r for r in found.collect() if r["query_id"] == i] for i in range(20)}.items():
+        best = sorted((x, b) for (a, b), x in d.items() if a == i)
+        if search == "knn":  # copies by key
+            assert [r["vec_id"] for r in sorted(rows, key=lambda r: r["rank"])] == [b for _, b in best[:10]]
+        else:
+            near = min(x for x in best if x[1] % 3 == i % 3)
+            assert [(r["match"], r["scope"]) for r in rows] == [(near[1], "narrow")]

@@ -164,3 +164,17 @@ def test_envelope(spark):
     got = [r["e"] for r in df.select(P.envelope(F.col("t"), F.lit("u"), F.col("j"), F.lit("body")).alias("e")).collect()]
     assert got == ["# T\n\nURL: u\n\n## STRUCTURED RECIPE DATA (JSON-LD)\n\n```json\n{\"a\": 1}\n```\n\n## PAGE CONTENT\n\nbody"] + ["URL: u\n\n## PAGE CONTENT\n\nbody"] * 2
     assert LINK not in "".join(got)
+
+
+def test_a_batch_is_read_and_handed_on_in_pieces(monkeypatch):
+    import pandas as pd
+
+    from gristmill.functions import pages
+
+    monkeypatch.setattr(pages, "PIECE_CHARS", 100)
+    html = pd.Series(["<p>x</p>" * 5, None, "<p>y</p>" * 40, "", "z"] * 3)
+    found = list(pages.parsed_page.func(iter([html, html[:0]])))
+    assert len(found) >= 4 and sum(map(len, found)) == len(html)
+    assert [v for f in found for v in f["visible"]] == [pages._page(s or "")[3] for s in html]
+    marked = list(pages._marked.func(iter([(html, pd.Series([-1, -1, 0, None, -1] * 3))])))
+    assert len(marked) >= 4 and sum(map(len, marked)) == len(html)

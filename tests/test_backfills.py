@@ -116,3 +116,27 @@ def test_fits_and_refreshes_take_few_passes(spark, data, tmp_path):
     won, lost = ingest.refreshed_group(results, authority, domains=[], paths=[])
     assert _plan(won, "(?:File)?Scan parquet", "Exchange") == _plan(lost, "(?:File)?Scan parquet", "Exchange") == [1, 0]
     assert won.count() + lost.count() == 40
+
+
+def test_texts_are_dealt_out_once_to_tell_their_language(spark, data, monkeypatch):
+    plans, staged = {}, languages.staged
+    monkeypatch.setattr(languages, "staged", lambda df, name: (plans.update({name: _plan(df, "Exchange")[0]}), staged(df, name))[1])
+    d = spark.read.parquet(f"{data}/documents.parquet")
+    assert languages.told(d, languages.profiles(d), "doc_id", "text").count()
+    assert plans["asked"] == 1, plans  # texts by key; neither words nor trigrams
+
+
+def test_more_languages_than_a_block_holds(spark):
+    n = 2 * languages.BLOCK + 3
+    said = [f"common words of all {chr(97 + i % 26) * 3}{'xyz'[i // 26] * 2}qa stand in the texts of every language Été" for i in range(n)]
+    d = spark.createDataFrame([(i, t, f"l{i:02}") for i, t in enumerate(said)], "doc_id int, text string, lang string")
+    counts = [_grams(t) for t in said]
+    kinds = len(set().union(*counts))
+    asked = [*said, "unseen jjjkkk vvvwww letters alone " * 3]
+    for whole in (0, 5, 1000):
+        got = {r["doc_id"]: r for r in languages.told(spark.createDataFrame(list(enumerate(asked)), "doc_id int, text string"), languages.profiles(d, whole_words=whole), "doc_id", "text").collect()}
+        for i, t in enumerate(asked):
+            grams = _grams(t)
+            score = sorted((round(sum(c * math.log((x[g] + 0.5) / (sum(x.values()) + 0.5 * kinds)) for g, c in grams.items()), 9), -j) for j, x in enumerate(counts))
+            assert abs(got[i]["margin"] - (score[-1][0] - score[-2][0]) / sum(grams.values())) < 1e-8
+            assert i == n or got[i]["lang"] == f"l{i:02}" == f"l{-score[-1][1]:02}"

@@ -8,16 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions.documents import text_at, unwrapped_value
+from gristmill.functions.named import let
 from gristmill.functions.urls import normalize_url, root_domain
 
 _MAP = "map<string,variant>"
 
 
-def let(x: Column, f: Callable[[Column], Column]) -> Column:
-    """f of x, with x worked out once however often f uses it."""
-    return F.get(F.transform(F.array(x), lambda v: f(v)), F.lit(0))
-
-
 def patched_block(data: Column, block: str, values: dict[str, Column], over: bool = True) -> Column:
     """A VARIANT object with fields of a block set where their values aren't null; all else stays. over: whether fields that are there are set too."""
     return let(data, lambda d: _patched(d, block, values, over))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.session import staged
+from gristmill.session import dealt, staged
 
 
 #: How many of the commonest words of the labelled texts a model holds whole, so that they need not be taken apart.
@@ -38,8 +38,8 @@ def profiles(df: DataFrame, text: str = "text", lang: str = "lang", whole_words:
 
     The commonest words stand there too, with a blank at either end and the weights of their trigrams summed. Add-half smoothing over all trigrams. Texts without a label or null take no part.
     """
-    dealt = df.where(F.col(lang).isNotNull()).select(lang, text).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a file of few row groups is few tasks
-    words = staged(_words(dealt, F.col(text), [lang]).groupBy(F.col(lang).alias("lang"), "w").agg(F.count("*").alias("c")), "words")
+    labelled = dealt(df.where(F.col(lang).isNotNull()).select(lang, text))
+    words = staged(_words(labelled, F.col(text), [lang]).groupBy(F.col(lang).alias("lang"), "w").agg(F.count("*").alias("c")), "words")
     counts = staged(words.select("lang", "c", "w", F.explode(_places(F.col("w"))).alias("i")).groupBy("lang", _gram(F.col("w"), F.col("i")).alias("gram")).agg(F.sum("c").alias("c")), "grams")
     kinds = counts.select("gram").distinct().agg((0.5 * F.count("*")).alias("v"))
     total = counts.groupBy("lang").agg(F.sum("c").alias("n")).crossJoin(F.broadcast(kinds)).select("lang", F.ln(F.lit(0.5) / (F.col("n") + F.col("v"))).alias("base"))
@@ -60,8 +60,8 @@ def told(df: DataFrame, model: DataFrame, key: str, text: str, least: int = 50)
     Words that the model holds whole are looked up once, all others by their trigrams. Texts are dealt out by their keys; words and trigrams are not shuffled unless the model is too large to broadcast.
     """
     known = model.where("gram <> ''").select("gram", "weights")
-    dealt = df.where(F.length(F.trim(F.col(text))) >= least).select(key, text).repartition(F.col(key))  # what is summed of a text is summed in one task
-    words = _words(dealt, F.col(text), [key]).join(known.select(F.col("gram").alias("w"), F.col("weights").alias("whole")), "w", "left")
+    asked = df.where(F.length(F.trim(F.col(text))) >= least).select(key, text).repartition(F.col(key))  # what is summed of a text is summed in one task
+    words = _words(asked, F.col(text), [key]).join(known.select(F.col("gram").alias("w"), F.col("weights").alias("whole")), "w", "left")
     parts = words.select(key, "w", "whole", F.explode(F.when(F.col("whole").isNull(), _places(F.col("w"))).otherwise(F.array(F.lit(0)))).alias("i"))
     held = parts.withColumn("gram", F.when(F.col("i") > 0, _gram(F.col("w"), F.col("i")))).join(known, "gram", "left")
     n = F.when(F.col("i") > 0, F.lit(1)).otherwise(F.length("w") - 2)  # how many trigrams stand here

@@ -12,7 +12,7 @@ from gristmill.functions import vectors as V
 from gristmill.functions.sanitize import NUTRITION, SOURCE, sanitized
 from gristmill.operators import state
 from gristmill.plans.registry import query as _query
-from gristmill.session import table
+from gristmill.session import dealt, table
 
 
 def _key(name: str) -> Column:
@@ -85,7 +85,7 @@ def sanitized_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     shape = F.element_at(F.array(*[F.lit(x) for x, _ in _SHAPES]), (k % len(_SHAPES) + 1).cast("int"))
     v = F.parse_json(F.replace(F.replace(shape, F.lit("«n»"), F.col("p_name")), F.lit("«k»"), _key("p_partkey")))
-    return table(spark, sf_dir, "part").select("p_partkey", F.to_json(sanitized(v, F.concat(F.lit("id-"), _key("p_partkey")), F.lit("2024-01-01"))).alias("record"))
+    return dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name")).select("p_partkey", F.to_json(sanitized(v, F.concat(F.lit("id-"), _key("p_partkey")), F.lit("2024-01-01"))).alias("record"))
 
 
 # --- texts for embeddings

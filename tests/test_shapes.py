@@ -111,3 +111,10 @@ def test_texts_of_cards(spark):
     parts = F.lit([" a ", "", "b", "c", "d", "e", "f", "g", "h", "i"])
     assert one(T.recipe_text(card(likelyDish=" "), F.lit("N"), F.lit(None).cast("string"), F.lit(" "), F.lit("eth"), F.lit("Ch"), parts)) == "N. cuisine: eth. chapter: Ch. ingredients: a, b, c, d, e, f, g"
     assert one(T.recipe_text(F.lit(None).cast("struct<likelyDish string, cuisine string, ethnicity string, primaryIngredients array<string>, technique string>"), *[F.lit(None).cast("string")] * 5, F.lit(None).cast("array<string>"))) == ""
+
+
+def test_records_of_one_row_group_are_typed_by_all_tasks(spark, data):
+    from gristmill.plans import catalogue
+
+    df = catalogue.queries()["sanitized_records"](spark, data)
+    assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and spark.read.parquet(f"{data}/part.parquet").rdd.getNumPartitions() == 1

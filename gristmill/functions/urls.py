@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gristmill.functions.named import let
+
 # Query parameters that only track, and what a funnel leaves out by default.
 TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "mc_cid", "mc_eid", "ref", "referrer", "source", "igshid", "_ga", "yclid", "msclkid"]
 BLOCKED_DOMAINS = ["youtube.com", "facebook.com", "reddit.com", "twitter.com", "pinterest.com", "instagram.com", "tiktok.com", "linkedin.com", "wikipedia.org"]
@@ -54,17 +56,22 @@ def kept_query(query: Column, dropped: list[str]) -> Column:
 
 def normalize_url(url: Column) -> Column:
     """One form for all spellings: lower-case scheme (https if none) and host, no leading www., no default port, no trailing slash, no path parameters, no tracking parameters, no fragment."""
-    u = _trimmed(url)
-    scheme = F.when(scheme_of(u) == "", F.lit("https")).otherwise(scheme_of(u))
-    host = F.regexp_replace(netloc_of(u), r"^www\.", "")
+    return let(_trimmed(url), lambda u: F.when(u == "", F.lit("")).otherwise(let(_parts(u), _whole)))
+
+
+def _parts(u: Column) -> Column:
+    scheme, host, path = scheme_of(u), F.regexp_replace(netloc_of(u), r"^www\.", ""), F.regexp_replace(path_of(u), r";[^/]*$", "")
+    return F.struct(let(scheme, lambda x: F.when(x == "", F.lit("https")).otherwise(x)).alias("scheme"), host.alias("host"), path.alias("path"), kept_query(query_of(u), TRACKING).alias("query"))
+
+
+def _whole(p: Column) -> Column:
+    """A URL of its parts; each value that a step looks at more than once has a name, since every mention of an expression is worked out again."""
+    scheme, host, query = p["scheme"], p["host"], p["query"]
     host = F.when((scheme == "http") & host.endswith(":80"), F.regexp_replace(host, ":80$", "")).when((scheme == "https") & host.endswith(":443"), F.regexp_replace(host, ":443$", "")).otherwise(host)
-    path = F.regexp_replace(path_of(u), r";[^/]*$", "")
-    path = F.when(path == "", F.lit("/")).otherwise(path)
-    path = F.when((F.length(path) > 1) & path.endswith("/"), F.regexp_replace(path, "/+$", "")).otherwise(path)
-    path = F.when((path != "") & ~path.startswith("/"), F.concat(F.lit("/"), path)).otherwise(path)
-    query = kept_query(query_of(u), TRACKING)
-    whole = F.concat(scheme, F.lit("://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
-    return F.when(u == "", F.lit("")).otherwise(whole)
+    path = F.when(p["path"] == "", F.lit("/")).otherwise(p["path"])
+    path = let(path, lambda x: F.when((F.length(x) > 1) & x.endswith("/"), F.regexp_replace(x, "/+$", "")).otherwise(x))
+    path = let(path, lambda x: F.when((x != "") & ~x.startswith("/"), F.concat(F.lit("/"), x)).otherwise(x))
+    return F.concat(scheme, F.lit("://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 
 
 def root_domain(url: Column) -> Column:

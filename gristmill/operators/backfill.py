@@ -34,6 +34,11 @@ def graded_rows(rows: DataFrame, fits: DataFrame, dishes: DataFrame, least: floa
     return j.withColumn("status", status).select(*rows.columns, "status", F.when(got, grade).alias("grade"), F.when(got, F.when(F.col("_own").isNotNull(), F.col("dish")).otherwise(F.col("match"))).alias("matched_dish"), F.when(got, method).alias("match_method"), F.when(got & F.col("_own").isNull(), F.col("similarity")).alias("confidence"))
 
 
+def _keyed(rows: DataFrame) -> DataFrame:
+    """rows with _k, their page to join by: rows without an address get keys that match nothing and differ."""
+    return rows.withColumn("_k", F.coalesce("url_key", F.concat(F.lit("\0"), F.xxhash64("id").cast("string"))))
+
+
 def rescored(rows: DataFrame, scores: DataFrame) -> DataFrame:
     """rows (id, data) with url_key, old_pa, new_pa and, where their page was scored anew, data with the scores in `_scoring`; a raw title is only filled in where there is none.
 
@@ -41,8 +46,7 @@ def rescored(rows: DataFrame, scores: DataFrame) -> DataFrame:
     """
     url = text_at(F.col("data"), "$._source.originalUrl")
     key = F.when(url.rlike("^https?://"), F.nullif(normalize_url(url), F.lit("")))
-    # rows without an address get keys that match nothing and differ
-    held = rows.withColumn("url_key", key).withColumn("_k", F.coalesce("url_key", F.concat(F.lit("\0"), F.xxhash64("id").cast("string"))))
+    held = _keyed(rows.withColumn("url_key", key))
     new = scores.select(F.col("url_key").alias("_k"), F.col("pa").alias("_pa"), F.col("da").alias("_da"), F.col("ou").alias("_ou"), F.col("raw_title").alias("_title"), F.lit(True).alias("_scored"))
     j = held.join(new, "_k", "left")
     title = F.when(F.coalesce(text_at(F.col("data"), "$._scoring.rawTitle"), F.lit("")) == "", F.nullif(F.col("_title"), F.lit("")))
@@ -54,3 +58,10 @@ def rescored(rows: DataFrame, scores: DataFrame) -> DataFrame:
 def group_changes(changed: DataFrame) -> DataFrame:
     """url_key, rows, moved: of each page that has an address, its rows and how many of them got another pa."""
     return changed.where("url_key is not null").groupBy("url_key").agg(F.count("*").alias("rows"), F.count_if(~F.col("old_pa").eqNullSafe(F.col("new_pa"))).alias("moved"))
+
+
+def with_group_changes(changed: DataFrame) -> DataFrame:
+    """changed with rows and moved of each row's page, null where it has none. Rows are worked out once, for their pages and for themselves; of pages the size is known before the join, so that rows of few pages stay where they are."""
+    held = staged(changed, "rescored")
+    told = staged(group_changes(held), "moved").withColumnRenamed("url_key", "_k")
+    return _keyed(held).join(told, "_k", "left").drop("_k")

@@ -10,7 +10,7 @@ from gristmill.functions import text as T
 from gristmill.operators import backfill, chapters, languages
 from gristmill.operators.cohorts import fit_groups
 from gristmill.plans.registry import query as _query
-from gristmill.session import place, table
+from gristmill.session import dealt, place, table
 
 _AS_OF = "1998-06-01 00:00:00"
 
@@ -94,12 +94,11 @@ def rescored_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.when(i % 10 == 0, F.when(i % 20 == 0, "").otherwise("our own")).otherwise(F.concat(F.when(i % 2 == 0, "http://www.a.example:80/p").otherwise("http://A.example/p"), page, F.when(i % 3 == 0, "/").otherwise("?utm_source=x")))
     scoring = F.struct(F.when(i % 2 == 0, lit(10.0)).alias("pageAuthority"), F.when(i % 3 == 0, "kept").when(i % 3 == 1, "").alias("rawTitle"), F.when(i % 2 == 0, "a.example").alias("rootDomain"))
     data = F.to_variant_object(F.struct(F.concat(lit("x"), i.cast("string")).alias("name"), F.struct(url.alias("originalUrl")).alias("_source"), F.when(i % 6 != 5, scoring).alias("_scoring")))
-    rows = table(spark, sf_dir, "documents").select(i.alias("id"), data.alias("data"))
+    rows = dealt(table(spark, sf_dir, "documents").select(i)).select(i.alias("id"), data.alias("data"))
     n = F.col("id")
     scores = spark.range(97).where("id % 4 <> 0").select(F.concat(lit("http://a.example/p"), n.cast("string")).alias("url_key"), n.cast("double").alias("pa"), (n / 2).alias("da"), (n / 3).alias("ou"), F.when(n % 5 != 0, F.concat(lit("new "), n.cast("string"))).otherwise("").alias("raw_title"))
-    out, at = backfill.rescored(rows, scores), lambda path, t="string": F.try_variant_get("data", path, t)
-    told = backfill.group_changes(out)
-    return out.join(told, "url_key", "left").select("id", at("$._scoring.pageAuthority", "double").alias("pa"), at("$._scoring.domainAuthority", "double").alias("da"), F.nullif(at("$._scoring.rawTitle"), lit("")).alias("raw_title"), at("$._scoring.rootDomain").alias("root"), at("$.name").alias("name"), F.col("rows").alias("page_rows"), "moved")
+    out, at = backfill.with_group_changes(backfill.rescored(rows, scores)), lambda path, t="string": F.try_variant_get("data", path, t)
+    return out.select("id", at("$._scoring.pageAuthority", "double").alias("pa"), at("$._scoring.domainAuthority", "double").alias("da"), F.nullif(at("$._scoring.rawTitle"), lit("")).alias("raw_title"), at("$._scoring.rootDomain").alias("root"), at("$.name").alias("name"), F.col("rows").alias("page_rows"), "moved")
 
 
 # --- stored chapters

@@ -81,6 +81,32 @@ def test_patches_keep_all_else(spark):
     assert (got[2], got[3], got[4]) == (json.loads(docs[2]), 3, {})
 
 
+def test_changes_of_pages_stand_beside_their_rows(spark):
+    rows = [(i, f'{{"_source": {{"originalUrl": "{u}"}}, "_scoring": {{"pageAuthority": {pa}}}}}') for i, (u, pa) in enumerate([("http://a.example/x", 30), ("http://www.a.example/x/?ref=1", 1), ("http://b.example", 2), ("our own", 3), ("", 4), ("http://A.example/x#f", 5)])]
+    scores = spark.createDataFrame([("http://a.example/x", 30.0, 40.0, 1.0, "new")], "url_key string, pa double, da double, ou double, raw_title string")
+    a, b = ("http://a.example/x", 30.0, 3, 2), ("http://b.example/", 2.0, 1, 0)
+    for most in ("10m", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+        try:
+            out = backfill.with_group_changes(backfill.rescored(spark.createDataFrame(rows, "id int, j string").select("id", F.parse_json("j").alias("data")), scores))
+            assert out.columns == ["id", "data", "url_key", "old_pa", "new_pa", "rows", "moved"]
+            got = {r["id"]: (r["url_key"], r["new_pa"], r["rows"], r["moved"]) for r in out.collect()}
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert got == {0: a, 1: a, 2: b, 3: (None, 3.0, None, None), 4: (None, 4.0, None, None), 5: a}
+
+
+def test_records_of_pages_are_worked_out_once(spark, data, monkeypatch):
+    from gristmill.plans import backfills
+
+    plans, staged = {}, backfill.staged
+    monkeypatch.setattr(backfill, "staged", lambda df, name: (plans.update({name: (_plan(df, "Exchange")[0], df._jdf.queryExecution().optimizedPlan().toString())}), staged(df, name))[1])
+    whole = backfills.rescored_groups(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    held, at = plans["rescored"]
+    assert held == 1 and at.count("RLIKE") == 1, plans  # ids are dealt out before they become records
+    assert "RLIKE" not in whole + plans["moved"][1] and "doc_id" not in whole + plans["moved"][1]
+
+
 def test_chapters_read_with_care(spark):
     texts = ['{"used": true, "n": 30, "coefficients": [1.5, 2]}', '{"used": false, "n": 3, "reason": "below_min_n"}', '{"used": true, "n"', "[]", "null", "", None, "3", '{"n": 4}']
     got = [(r["f"] and r["f"]["n"], r["s"]) for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("f", chapters.stored_fit(F.col("t"))).withColumn("s", chapters.status_of(F.col("f"))).orderBy("i").collect()]

@@ -1,5 +1,7 @@
 """Edge cases of functions and operators, on rows of our own."""
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -27,6 +29,35 @@ def test_urls(spark):
     assert held[0] == "https://www.example.com/a/" and len(set(held)) == len(held) == 4
 
 
+def _normalized(u):
+    """normalize_url in plain Python."""
+    u = re.sub(r"^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+\Z", "", u or "")
+    if not u:
+        return ""
+    scheme, netloc, path, query = re.match(r"(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?", u).groups()
+    scheme, host = (scheme or "https").lower(), (netloc or "").lower().removeprefix("www.")
+    host = host.removesuffix({"http": ":80", "https": ":443"}.get(scheme, "\0"))
+    path = re.sub(";[^/]*$", "", path) or "/"
+    path = path.rstrip("/") if len(path) > 1 else path
+    path = path if path.startswith("/") or not path else "/" + path
+    pairs = [(p.partition("=")[0], p.partition("=")[2]) for p in (query or "").split("&") if p]
+    query = "&".join(f"{k}={v}" for k, v in pairs if k.lower() not in U.TRACKING)
+    return f"{scheme}://{host}{path}" + (query and f"?{query}")
+
+
+def test_urls_are_those_of_plain_python(spark):
+    heads, hosts = ["", "http:", "https:", "HTTPS:", "ftp:"], ["", "//www.A.example", "//a.example:80", "//a.example:443", "//www.", "//"]
+    urls = [None, " ", *(a + b + c + d + e for a in heads for b in hosts for c in ["", "/", "//", "/a/", "/a//", "/a;b", "/a;b/", "/;", "a", "a/", ";", ";/x"] for d in ["", "?", "?a=1&&b", "?Ref=1", "?x=&utm_source=2"] for e in ["", "#f", " "])]
+    got = spark.createDataFrame([(u,) for u in urls], "u string").select("u", U.normalize_url(F.col("u")).alias("x")).collect()
+    assert len(got) == len(urls) and {r["u"]: (r["x"], _normalized(r["u"])) for r in got if r["x"] != _normalized(r["u"])} == {}
+
+
+def test_a_url_is_taken_apart_once(spark):
+    df = spark.createDataFrame([("http://a.example",)], "u string").select(U.normalize_url(F.col("u")).alias("x"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(coalesce(u#") == 1 and len(re.findall(r"regexp_(?:replace|extract)\(", plan)) <= 20, plan
+
+
 def test_grade_ladder_edges(spark):
     rows = [r["g"] for r in spark.createDataFrame([(x,) for x in (97.5, 97.4, 42.5, 42.4, -5.0, None)], "s double").select(S.grade(F.col("s")).alias("g")).collect()]
     assert rows[4] == "F" and rows[5] is None and rows[2] != "F" and rows[3] == "F"
